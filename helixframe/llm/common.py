@@ -7,6 +7,7 @@ further columns of any name never disturb them.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -81,14 +82,47 @@ def slices(texts: list, chars: int = 4_000_000):
 class Memo(dict):
     """A bounded memory from a string to what ``make`` computes for a list of strings; it starts afresh when full."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 300_000, most_chars: int = 12_000_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
 
     def learn(self, keys) -> None:
-        new = list(set(keys).difference(self))
-        if len(self) + len(new) > self.most:
+        keys = set(keys)
+        new = [k for k in keys if k not in self]
+        if len(self) + len(new) > self.most or self.chars > self.most_chars:
             self.clear()
-            new = list(set(keys))
+            self.chars, new = 0, list(keys)
         if new:
+            self.chars += sum(map(len, new))
             self.update(zip(new, self.make(new)))
+
+
+class Chunks:
+    """What a tokenizer gives for stretches of text, each computed once and remembered.
+
+    ``make`` takes a list of strings.  The pre-tokenizer's pattern never passes a
+    space between two characters that aren't white space, so a text may be cut
+    before such spaces.  A text with a space beside other white space is cut
+    into the pattern's pieces instead, which give the same.
+    """
+
+    def __init__(self, make, pattern, make_spaced=None):
+        """``make_spaced`` is for stretches that begin with a space and then have none beside white space."""
+        self.pattern, self.pieces = pattern, Memo(make)
+        self.after_space = Memo(lambda keys: self._spaced(make_spaced or make, keys))
+
+    @staticmethod
+    def _spaced(make, keys: list[str]) -> list:
+        plain = [k for k in keys if k and not k[0].isspace() and not k[-1].isspace()]
+        known = dict(zip(plain, make([" " + k for k in plain])))
+        return [known.get(k) for k in keys]
+
+    def values(self, texts: list) -> list[list]:
+        """For each text, what ``make`` gives for its stretches, in order."""
+        cut = [(t or "").split(" ") for t in texts]
+        self.after_space.learn(itertools.chain.from_iterable(parts[1:] for parts in cut))
+        rest = [list(map(self.after_space.__getitem__, parts[1:])) for parts in cut]
+        odd = [None in found for found in rest]
+        heads = [self.pattern.findall((text or "") if bad else parts[0]) for text, bad, parts in zip(texts, odd, cut)]
+        self.pieces.learn(itertools.chain.from_iterable(heads))
+        return [[self.pieces[p] for p in head] + ([] if bad else found) for head, bad, found in zip(heads, odd, rest)]

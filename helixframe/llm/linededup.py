@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         drops = drops.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct(*HASHES)).alias("gone"))
         drops = scratch.result(drops)
     whole = docs.select("doc_id", F.struct("*").alias("row"))
-    joined = whole.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    joined = whole.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
     lines = lines_of(F.col("row.text"))
 
     def stays(line):

@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .bpe import digests
+from .common import Scratch, documents
+from .langid import identify
 from .linededup import dedup_lines
+from .media import media_digests, store_avi
 from .mixing import mix_sources
+from .perplexity import quality
+from .secretscan import scan_secrets
+from .tokenfile import read_shards, write_shards
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    with Scratch(spark) as scratch:
+        return read_shards(write_shards(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN, scratch))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return digests(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +34,36 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op5_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op8_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(store_avi(documents(spark, sf_dir)))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(documents(spark, sf_dir))
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_mix_sources": op3_mix_sources,
+    "op5_ngram_perplexity": op5_ngram_perplexity,
+    "op6_language_id": op6_language_id,
+    "op8_motion_jpeg": op8_motion_jpeg,
     "op9_line_dedup": op9_line_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 OP9_SQL = r"""
