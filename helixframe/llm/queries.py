@@ -11,6 +11,7 @@ from .langid import identify
 from .linededup import dedup_lines
 from .media import media_digests, store_avi
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .perplexity import quality
 from .secretscan import scan_secrets
 from .tokenfile import read_shards, write_shards
@@ -42,6 +43,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op8_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(store_avi(documents(spark, sf_dir)))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_ngram_perplexity": op5_ngram_perplexity,
     "op6_language_id": op6_language_id,
+    "op7_setsketch": op7_setsketch,
     "op8_motion_jpeg": op8_motion_jpeg,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
