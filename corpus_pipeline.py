@@ -1,6 +1,75 @@
-STAGES = []
+"""The corpus pipeline: five stages from documents to token digests.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but
+the last return the columns of documents.  SQL can't express the first and the
+third to fifth stages, so there is none; each is tested against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from helixframe.llm.bpe import digests
+from helixframe.llm.common import Scratch, documents
+from helixframe.llm.langid import UNKNOWN, predict, prototypes
+from helixframe.llm.linededup import dedup_lines
+from helixframe.llm.mixing import mix_sources
+from helixframe.llm.neardup import near_duplicates
+from helixframe.ship import ship
+
+#: A document whose cosine with every language is below this is rejected; clean prose of a few words is above.
+LEAST_SCORE = 0.05
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or like no language."""
+    ship(spark)
+    languages, vectors = prototypes(docs)
+    found = predict(docs, languages, vectors)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that many documents share, but for the last of them; n_chars follows the text."""
+    cleaned = dedup_lines(docs).select("row.*", "text_kept")
+    return cleaned.withColumn("text", F.when(F.col("text").isNotNull(), F.col("text_kept"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near duplicates; of equal rows, one."""
+    ship(spark)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of")).distinct()
+    whole = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    before = F.lag(F.struct("text")).over(Window.partitionBy("doc_id").orderBy("text"))
+    marked = whole.withColumn("_before", before)
+    return marked.where(F.col("_before").isNull() | ~F.col("_before.text").eqNullSafe(F.col("text"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources meet their target weights."""
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("_copies"))
+    joined = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests of each document that is left, copies included."""
+    import public_tokenizers as tokenizers
+
+    ship(spark)
+    return digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    scratch = Scratch(spark)
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return docs

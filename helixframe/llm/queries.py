@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import digests
+from .chat import link_tool_calls
 from .common import Scratch, documents
 from .langid import identify
 from .linededup import dedup_lines
@@ -35,6 +36,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+#: Tools that conversations may call: (tool, param, type, required).
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("fetch", "url", "string", True), ("calculate", "expression", "string", True)]
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', '{p}', '{k}', {str(r).lower()})" for t, p, k, r in TOOLS) + " AS t(tool, param, type, required)")
+    linked = link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"), schemas)
+    return linked.select("conv_id", "turn", "kind", "level", "ordinal", "call_id", F.col("linked_turn").cast("string").alias("linked_turn"), F.array_join("problems", ", ").alias("problems"), F.sha2("json", 256).alias("json_sha256"))
+
+
 def op5_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -64,6 +75,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mix_sources": op3_mix_sources,
+    "op4_tool_calls": op4_tool_calls,
     "op5_ngram_perplexity": op5_ngram_perplexity,
     "op6_language_id": op6_language_id,
     "op7_setsketch": op7_setsketch,
@@ -88,4 +100,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
+#: The table's turns hold no calls or results, which the query's WHERE makes sure of.
+OP4_SQL = r"""
+SELECT conv_id, turn, 'message' AS kind, 0::INTEGER AS level, 0::INTEGER AS ordinal, NULL::VARCHAR AS call_id, NULL::VARCHAR AS linked_turn, '' AS problems,
+       sha256(concat('{"content":', coalesce(to_json(text)::VARCHAR, 'null'), ',"role":', coalesce(to_json(role)::VARCHAR, 'null'), ',"turn":', coalesce(turn::VARCHAR, 'null'), '}')) AS json_sha256
+FROM conversations
+WHERE NOT coalesce(role IN ('assistant', 'tool') AND starts_with(ltrim(text), '{') AND (contains(text, '"tool_calls"') OR contains(text, '"tool_call_id"')), false)
+"""
+
+ORACLE_SQL = {"op4_tool_calls": OP4_SQL, "op9_line_dedup": OP9_SQL}
