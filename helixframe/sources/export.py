@@ -210,7 +210,7 @@ def graphml_lines(grammars: DataFrame, deepest: int | None = None, terminals: bo
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}\n  <graph id="G" edgedefault="directed">'
     data = lambda key, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{key}">'), F.col(c).cast("string"), F.lit("</data>"))).otherwise("")
     nodes, edges = graph_nodes(grammars, deepest, terminals), graph_edges(grammars, deepest, terminals)
-    number = F.coalesce(F.regexp_extract("id", r"R(\d+)", 1).cast("long"), F.lit(0))
+    number = F.coalesce(F.regexp_extract("id", r"R(\d+)", 1).try_cast("long"), F.lit(0))
     return _union([
         _lines(grammars, 0, 0, F.lit(head)),
         _lines(nodes, 1, number, F.concat(F.lit('    <node id="'), "id", F.lit('">'), data("d_label", "label"), data("d_type", "type"), data("d_usage", "usage_count"), data("d_depth", "depth"), F.lit("</node>"))),
