@@ -52,11 +52,18 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 class MarkovPair:
     """Log probabilities of the next character after two, for random strings and for ordinary ones."""
 
-    def __init__(self, random_counts: np.ndarray, plain_counts: np.ndarray, prior: float = 0.5):
-        def log_p(counts):
-            return np.log((counts + prior) / (counts.sum(2, keepdims=True) + prior * counts.shape[2]))
+    def __init__(self, random_counts: np.ndarray, plain_counts: np.ndarray):
+        self.ratio = np.log(self.probabilities(random_counts)) - np.log(self.probabilities(plain_counts))
 
-        self.ratio = (log_p(random_counts) - log_p(plain_counts)).astype(np.float64)
+    @staticmethod
+    def probabilities(counts: np.ndarray, prior: float = 0.5) -> np.ndarray:
+        """Witten-Bell: a context backs off to the shorter one as far as it has shown new characters."""
+        one = counts.sum((0, 1)) + prior
+        p = one / one.sum()
+        for n in (counts.sum(0), counts):
+            kinds = np.maximum((n > 0).sum(-1, keepdims=True), 1)
+            p = (n + kinds * p) / (n.sum(-1, keepdims=True) + kinds)
+        return p
 
     @staticmethod
     def codes(token: str) -> np.ndarray:
