@@ -8,12 +8,13 @@ further columns of any name never disturb them.
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,15 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables in the shared folder that cut a job's lineage; those still held are removed on exit.
 
@@ -106,14 +98,18 @@ class Chunks:
     into the pattern's pieces instead, which give the same.
     """
 
-    def __init__(self, make, pattern, make_spaced=None):
-        """``make_spaced`` is for stretches that begin with a space and then have none beside white space."""
+    def __init__(self, make, pattern, make_spaced=None, most: int = 300_000):
+        """``make_spaced`` is for stretches that begin with a space and then have none beside white space; ``most`` bounds what is remembered."""
         self.pattern, self.pieces = pattern, Memo(make)
-        self.after_space = Memo(lambda keys: self._spaced(make_spaced or make, keys))
+        self.after_space = Memo(lambda keys: self._spaced(make_spaced or make, keys), most, 40 * most)
 
     @staticmethod
     def _spaced(make, keys: list[str]) -> list:
-        plain = [k for k in keys if k and not k[0].isspace() and not k[-1].isspace()]
+        """None for a key with white space at either end."""
+        odd = [k for k in keys if not k or k.strip() is not k]
+        if not odd:
+            return make([" " + k for k in keys])
+        plain = [k for k in keys if k and k.strip() is k]
         known = dict(zip(plain, make([" " + k for k in plain])))
         return [known.get(k) for k in keys]
 

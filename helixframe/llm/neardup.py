@@ -205,8 +205,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 keep.append(bool(linked(common, len(x), len(y), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -242,7 +242,7 @@ def across_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-        found = links_between(ids, comp, block == i, block == j, [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()], percent)
+        found = links_between(ids, comp, block == i, block == j, [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")], percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return ready.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")

@@ -108,4 +108,25 @@ FROM conversations
 WHERE NOT coalesce(role IN ('assistant', 'tool') AND starts_with(ltrim(text), '{') AND (contains(text, '"tool_calls"') OR contains(text, '"tool_call_id"')), false)
 """
 
-ORACLE_SQL = {"op4_tool_calls": OP4_SQL, "op9_line_dedup": OP9_SQL}
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION
+  SELECT y, root FROM reach JOIN both_ways ON x = id WHERE root < y),
+least_root AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN least_root ON id = doc_id
+"""
+
+ORACLE_SQL = {"op4_tool_calls": OP4_SQL, "op7_setsketch": OP7_SQL, "op9_line_dedup": OP9_SQL}
