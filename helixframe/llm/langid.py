@@ -3,8 +3,9 @@
 Each letter class has a random vector of +1 and -1.  A trigram's vector binds
 (multiplies) its letters' vectors, each permuted (rolled) by its place; a text's
 vector bundles (adds) those of the trigrams of its words, with a mark at both
-ends of a word.  A language's prototype bundles its training texts.  Texts get
-the language of the prototype of greatest cosine.
+ends of a word.  A language's prototype bundles its training texts, each divided by
+its number of trigrams so that no long text rules.  Texts get the language of
+the prototype of greatest cosine.
 
 Letters are lower-cased; a to z have classes of their own, other letters share
 ``CLASSES`` - 27 by a hash of their code point, so there are at most ``CLASSES``
@@ -28,6 +29,8 @@ from .common import Memo, slices
 
 DIM, CLASSES, SEED = 1024, 64, 5
 UNKNOWN = "und"
+SCALE = 1_000_000  # of the whole numbers that Spark adds up, so that sums don't depend on their order
+MOST_HELD = 64  # languages whose counts a task holds before it sends them on
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -99,15 +102,29 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     the driver receives ``DIM`` numbers for each language.
     """
 
+    def flushed(counts: dict[str, np.ndarray]):
+        for lang, n in counts.items():
+            used, total = np.flatnonzero(n), np.zeros(DIM)
+            for k in range(0, len(used), 8192):
+                part = used[k : k + 8192]
+                total += n[part] @ trigram_vectors(part).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM)), pa.array(np.rint(total * SCALE).astype(np.int64))], ["lang", "dim", "x"])
+        counts.clear()
+
     def bundle(batches):
-        sums: dict[str, np.ndarray] = {}
+        counts: dict[str, np.ndarray] = {}  # bundling adds up, so trigrams are counted first
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in slices(texts, 1_000_000):
-                for k, vector in zip(langs[a:b], bundles(codes_of(texts[a:b]))):
-                    sums[k] = sums.get(k, 0) + vector.astype(np.float64)
-        for k, vector in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * DIM), pa.array(np.arange(DIM)), pa.array(np.rint(vector).astype(np.int64))], ["lang", "dim", "x"])
+                codes = codes_of(texts[a:b])
+                for lang in set(langs[a:b]):
+                    mine = [c for c, k in zip(codes, langs[a:b]) if k == lang]
+                    own = np.concatenate(mine)
+                    share = np.concatenate([np.full(len(c), 1 / max(1, len(c))) for c in mine])
+                    if lang not in counts and len(counts) >= MOST_HELD:
+                        yield from flushed(counts)
+                    counts[lang] = counts.get(lang, 0) + np.bincount(own, share, CLASSES**3)
+        yield from flushed(counts)
 
     parts = training.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(bundle, "lang string, dim long, x long")
     found = parts.groupBy("lang", "dim").agg(F.sum("x").alias("x")).toPandas()
