@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Chunks, Scratch, slices
 
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, LEAST, BITS = 8, 1024, 32, 18
+ROUNDS, PAIRS, LEAST, BITS = 6, 2048, 32, 18
 END_ID = 0
 
 
@@ -44,7 +44,10 @@ def remembered(path: str, pattern: str) -> Chunks:
 
     found = tokenizer(path)
     one = lambda pieces: [np.array(e.ids, np.uint32).tobytes() for e in found.encode_batch_fast(pieces, add_special_tokens=False)]
-    return Chunks(one, regex.compile(pattern), lambda spaced: encode_joined(found, spaced))
+    lengths = np.zeros(found.get_vocab_size(), np.int64)
+    for token, k in found.get_vocab(with_added_tokens=False).items():
+        lengths[k] = len(token)  # the vocabulary writes each byte as a character
+    return Chunks(one, regex.compile(pattern), lambda chunks: encode_joined(found, lengths, chunks), 1_000_000)
 
 
 @functools.lru_cache(maxsize=2)
@@ -59,38 +62,38 @@ def tokenizer(path: str):
     return found
 
 
-def encode_joined(found, chunks: list[str], most: int = 20_000) -> list[bytes]:
-    """Ids of stretches of text that begin at piece borders: many are encoded as one text and told apart by their offsets."""
+def encode_joined(found, lengths: np.ndarray, chunks: list[str], most: int = 20_000) -> list[bytes]:
+    """Ids of stretches of text that begin at piece borders: many are encoded as one text and told apart by their tokens' numbers of bytes."""
     out: list[bytes] = []
     for k in range(0, len(chunks), most):
         part = chunks[k : k + most]
-        ends = np.cumsum([len(c) for c in part])
-        encoded = found.encode("".join(part), add_special_tokens=False)
-        ids = np.array(encoded.ids, np.uint32)
-        cuts = np.searchsorted(np.fromiter((b for _, b in encoded.offsets), np.int64, len(ids)), ends, "right")
-        held, cuts = ids.tobytes(), (cuts * 4).tolist()
-        out += [held[a:b] for a, b in zip([0, *cuts], cuts)]
+        ends = np.cumsum(list(map(len, map(str.encode, part))))
+        ids = np.array(found.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = (np.searchsorted(np.cumsum(lengths[ids]), ends, "right") * 4).tolist()
+        held = ids.tobytes()
+        out += map(held.__getitem__, map(slice, [0, *cuts], cuts))
     return out
 
 
 def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, round_no: int, most: int = PAIRS, least: int = LEAST):
     """One round: the new symbols and ends, and the rules as pairs; ``top`` is the first free nonterminal."""
-    left, right = symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64)
-    keys = left << 32 | right
-    slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * round_no)) >> np.uint64(64 - BITS)).astype(np.int32)
-    inside = ~last[:-1]
-    counts = np.bincount(slot[inside], minlength=1 << BITS)
-    full = np.argsort(-counts, kind="stable")[:most]
-    full = full[counts[full] >= least]
+    odd = np.uint32((0x9E3779B1 + 2 * round_no) % 2**32)
+    slot = ((symbols[:-1] * odd ^ symbols[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int64)
+    slot[last[:-1]] = 1 << BITS  # no pair passes a document's end
+    counts = np.bincount(slot, minlength=(1 << BITS) + 1)
+    counts[1 << BITS] = 0
+    full = np.flatnonzero(counts >= max(least, np.partition(counts, -most)[-most]))
     if not len(full):
         return symbols, last, []
-    of = np.full(1 << BITS, -1, np.int32)
+    of = np.full((1 << BITS) + 1, -1, np.int32)
     of[full] = np.arange(len(full))
-    at = np.flatnonzero((of[slot] >= 0) & inside)
-    group = of[slot[at]]
+    group = of[slot]
+    at = np.flatnonzero(group >= 0)
+    group = group[at]
+    keys = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
     pair = np.zeros(len(full), np.int64)
-    pair[group[::-1]] = keys[at[::-1]]
-    same = keys[at] == pair[group]
+    pair[group] = keys
+    same = keys == pair[group]
     at, group = at[same], group[same]
     exact = np.bincount(group, minlength=len(full))
     begins, ends, chosen = set(), set(), []
@@ -181,20 +184,17 @@ class Shard:
         self.rules = np.stack([take(np.uint32, rules), take(np.uint32, rules)], 1)
         self.lengths = take(np.uint32, rules).astype(np.int64)
         self.symbols = np.ascontiguousarray(take(np.uint8, symbols * 4).reshape(4, -1).T).view(np.uint32).ravel()
-        self.starts, self.flat = expansions(self.rules, self.first)[1:]
+        starts, flat = expansions(self.rules, self.first)[1:]
+        ids = np.arange(self.first)  # an id stands for itself
+        self.all_lengths = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+        self.all_starts = np.concatenate([ids, starts + self.first])
+        self.all_flat = np.concatenate([ids.astype(np.uint32), flat])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols >= self.first
-        which = np.where(rule, symbols.astype(np.int64) - self.first, 0)
-        if not len(self.lengths):
-            return symbols.copy()
-        lengths = np.where(rule, self.lengths[which], 1)
-        ends = np.cumsum(lengths)
-        out = np.repeat(symbols, lengths)
-        inner = np.repeat(rule, lengths)
-        at = np.arange(len(out)) + np.repeat(self.starts[which] - (ends - lengths), lengths)
-        out[inner] = self.flat[at[inner]]
-        return out
+        lengths = self.all_lengths[symbols]
+        at = np.repeat(self.all_starts[symbols] - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return self.all_flat[at]
 
     def all_ids(self) -> np.ndarray:
         return self.expand(self.symbols)
