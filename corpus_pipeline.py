@@ -32,25 +32,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share, but for the last of them; n_chars follows the text."""
-    cleaned = dedup_lines(docs).select("row.*", "text_kept")
-    return cleaned.withColumn("text", F.when(F.col("text").isNotNull(), F.col("text_kept"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    text = F.when(F.col("row.text").isNotNull(), F.col("text_kept"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast("long"))
+    return dedup_lines(docs).select(row.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates; of equal rows, one."""
+    """Keeps the first document of each group of near duplicates; of rows with equal doc_id and text, one."""
     ship(spark)
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of")).distinct()
-    whole = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    before = F.lag(F.struct("text")).over(Window.partitionBy("doc_id").orderBy("text"))
-    marked = whole.withColumn("_before", before)
-    return marked.where(F.col("_before").isNull() | ~F.col("_before.text").eqNullSafe(F.col("text"))).select(*docs.columns)
+    packed = docs.select("doc_id", F.struct("*").alias("row"))
+    whole = packed.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    before = F.lag("row.text").over(Window.partitionBy("doc_id").orderBy("row.text"))
+    marked = whole.select("row", place.alias("place"), before.alias("before"))
+    return marked.where((F.col("place") == 1) | ~F.col("before").eqNullSafe(F.col("row.text"))).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their target weights."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Repeats or leaves out documents so that sources meet their target weights; rows that repeat a doc_id get the copies of one."""
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
+    packed = docs.select("doc_id", F.struct("*").alias("row"))
+    joined = packed.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of"))).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
