@@ -17,12 +17,22 @@ PIECE = 65_536
 
 
 def pieces(seqs: DataFrame, right: int, left: int = 0, size: int = PIECE) -> DataFrame:
-    """seq_id, start, owned, lead, dna: pieces of ``size`` owned bases with up to ``left`` before and ``right`` after."""
-    n = F.length("dna")
-    cut = seqs.where(n > 0).select("seq_id", "dna", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("i"))
+    """seq_id, start, owned, lead, dna: pieces of ``size`` owned bases with up to ``left`` before and ``right`` after.
+
+    dna is BINARY here: a slice of bytes costs its own length, while a substring
+    of a STRING is found by walking from its start.
+    """
+    raw = seqs.where(F.length("dna") > 0).select("seq_id", F.col("dna").cast("binary").alias("raw"))
+    n = F.octet_length("raw")
+    cut = raw.select("seq_id", "raw", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("i"))
     start = F.col("i") * size
     begin = F.greatest(start - left, F.lit(0))
-    return cut.select("seq_id", start.cast("long").alias("start"), F.least(F.lit(size), n - start).alias("owned"), (start - begin).alias("lead"), F.substring(F.col("dna"), begin + 1, start - begin + size + right).alias("dna"))
+    return cut.select("seq_id", start.cast("long").alias("start"), F.least(F.lit(size), n - start).alias("owned"), (start - begin).alias("lead"), F.substring(F.col("raw"), begin + 1, start - begin + size + right).alias("dna"))
+
+
+def kmer_at(i, k: int) -> Column:
+    """The k-mer at a 1-based place of a piece, as bytes."""
+    return F.substring(F.col("dna"), i, F.lit(k))
 
 
 def extract_kmers(seqs: DataFrame, k: int, canonical_only: bool = False, size: int = PIECE) -> DataFrame:
@@ -30,10 +40,10 @@ def extract_kmers(seqs: DataFrame, k: int, canonical_only: bool = False, size: i
     if not 1 <= k <= 255:
         raise ValueError("k must be from 1 to 255")
     part = pieces(seqs, k - 1, size=size)
-    last = F.least(F.col("owned"), F.length("dna") - k + 1)
-    found = part.where(last > 0).select("seq_id", "start", F.posexplode(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("dna"), i, F.lit(k)))).alias("i", "kmer"))
-    kmer = canonical("kmer") if canonical_only else F.col("kmer")
-    return found.select("seq_id", (F.col("start") + F.col("i")).alias("pos"), kmer.alias("kmer"))
+    last = F.least(F.col("owned"), F.octet_length("dna") - k + 1)
+    found = part.where(last > 0).select("seq_id", "start", F.posexplode(F.transform(F.sequence(F.lit(1), last), lambda i: kmer_at(i, k))).alias("i", "bytes"))
+    kmer = F.col("bytes").cast("string")
+    return found.select("seq_id", (F.col("start") + F.col("i")).alias("pos"), (canonical(kmer) if canonical_only else kmer).alias("kmer"))
 
 
 def count_kmers(seqs: DataFrame, k: int, canonical_only: bool = False, by: tuple = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import polynomial_hash
-from .kmers import PIECE, count_kmers, extract_kmers, pieces
+from .kmers import PIECE, count_kmers, extract_kmers, kmer_at, pieces
 
 
 def rolling_hash_counts(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
@@ -51,8 +51,8 @@ def minimizers(seqs: DataFrame, k: int, w: int, size: int = PIECE) -> DataFrame:
     first minimizer is new, so pieces need no exchange.
     """
     part = pieces(seqs, w + k - 2, left=1, size=size)
-    n = F.length("dna") - k + 1
-    kmers = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(polynomial_hash(F.substring(F.col("dna"), i, F.lit(k)), k).alias("h"), (-i).alias("back")))
+    n = F.octet_length("dna") - k + 1
+    kmers = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(polynomial_hash(kmer_at(i, k).cast("string"), k).alias("h"), (-i).alias("back")))
     hashed = part.where(n >= w).select("seq_id", "start", "owned", "lead", kmers.alias("x"))
     windows = F.least(F.size("x") - w + 1, F.col("lead") + F.col("owned"))
     least = hashed.where(windows > F.col("lead")).select("seq_id", "start", "lead", F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice("x", i, w))).alias("m"))
@@ -68,8 +68,8 @@ def minimizer_counts(seqs: DataFrame, k: int, w: int) -> DataFrame:
 def bottom_sketch(seqs: DataFrame, k: int, n: int) -> DataFrame:
     """seq_id, sketch: the n least distinct k-mer hashes, in order; pieces send n at most."""
     part = pieces(seqs, k - 1)
-    last = F.least(F.col("owned"), F.length("dna") - k + 1)
-    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: polynomial_hash(F.substring(F.col("dna"), i, F.lit(k)), k))
+    last = F.least(F.col("owned"), F.octet_length("dna") - k + 1)
+    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: polynomial_hash(kmer_at(i, k).cast("string"), k))
     least = part.where(last > 0).select("seq_id", F.slice(F.array_sort(F.array_distinct(hashes)), 1, n).alias("x"))
     return least.groupBy("seq_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, n).alias("sketch"))
 

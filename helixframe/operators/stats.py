@@ -48,10 +48,11 @@ def digram_entropy(seqs: DataFrame, sample: int | None = None) -> DataFrame:
 
 def trimer_entropy(seqs: DataFrame, samples: int = 1000) -> DataFrame:
     """seq_id, entropy: half the 3-mer entropy of up to ``samples`` evenly spaced bases; 0.5 below 3 of them."""
-    n = F.length("dna")
+    raw = seqs.select("seq_id", F.col("dna").cast("binary").alias("raw"))
+    n = F.octet_length("raw")
     step = F.greatest(F.floor(n / F.greatest(F.least(F.lit(samples), n), F.lit(1))), F.lit(1)).cast("int")
-    taken = F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n, step), 1, samples), lambda i: F.substring(F.col("dna"), i, F.lit(1))), "")
-    picked = seqs.select("seq_id", F.when(n > 0, taken).otherwise("").alias("dna"))
+    taken = F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n, step), 1, samples), lambda i: F.substring(F.col("raw"), i, F.lit(1)).cast("string")), "")
+    picked = raw.select("seq_id", F.when(n > 0, taken).otherwise("").alias("dna"))
     found = entropy_of(count_kmers(picked, 3, by=("seq_id",))).select("seq_id", F.round(F.col("entropy") / 2, 6).alias("entropy"))
     return picked.select("seq_id").join(found, "seq_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.5)))
 

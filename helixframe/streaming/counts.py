@@ -17,7 +17,7 @@ def write_chunks(seqs: DataFrame, path: str, size: int, right: int) -> None:
     from ..operators.kmers import pieces
 
     part = pieces(seqs, right, size=size)
-    part.select("seq_id", F.floor(F.col("start") / size).cast("int").alias("idx"), "start", F.col("owned").cast("int").alias("owned"), "dna").write.parquet(path)
+    part.select("seq_id", F.floor(F.col("start") / size).cast("int").alias("idx"), "start", F.col("owned").cast("int").alias("owned"), F.col("dna").cast("string").alias("dna")).write.parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
