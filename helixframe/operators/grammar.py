@@ -294,3 +294,18 @@ def merged_rules(grammars: DataFrame, origins: DataFrame) -> DataFrame:
     sym = F.when(F.col("sym").between(0, 3), F.col("sym")).when(F.col("sym") >= 4, 4 + F.col("to")).otherwise(-5 - F.col("to"))
     bodies = named.groupBy("seq_id", "old_rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", sym.alias("sym")))), lambda x: x["sym"]).alias("symbols"))
     return bodies.join(origins, ["seq_id", "old_rule_id"]).groupBy("rule_id").agg(F.min("symbols").alias("symbols"))
+
+
+def used_enough(rules: DataFrame, least: int) -> DataFrame:
+    return rules.where(F.col("usage_count") >= least)
+
+
+def canonical_body(symbols) -> F.Column:
+    """The lesser of a rule's symbols and their reverse complement: equal for rules that are each other's reverse."""
+    back = F.reverse(F.transform(symbols, lambda s: F.when(s.between(0, 3), 3 - s).otherwise(-1 - s)))
+    return F.least(symbols, back)
+
+
+def deduplicate_rules(rules: DataFrame) -> DataFrame:
+    """body, usage_count, n_origins: rules of equal or reverse symbols as one, within a grammar's numbering."""
+    return rules.groupBy("seq_id", canonical_body(F.col("symbols")).alias("body")).agg(F.sum("usage_count").alias("usage_count"), F.count("*").alias("n_origins"))

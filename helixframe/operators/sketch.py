@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import polynomial_hash
+from ..functions.dna import fingerprint_bases, polynomial_hash
 from .kmers import PIECE, count_kmers, extract_kmers, kmer_at, pieces
 
 
@@ -80,3 +82,40 @@ def sketch_similarity(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, n)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     return both.select("pair", "a", "b", F.round(shared / F.size(union), 6).alias("similarity"))
+
+
+def window_fingerprints(seqs: DataFrame, w: int) -> DataFrame:
+    """seq_id, pos, fingerprint of every window of w bases; each distinct window is hashed where it occurs in a batch."""
+    return extract_kmers(seqs, w).select("seq_id", "pos", fingerprint_bases("kmer").alias("fingerprint"))
+
+
+def suffix_order(text: str) -> np.ndarray:
+    """Starts of the suffixes of a text in order, by doubling the prefix that is ranked."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    rank = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    step = 1
+    while True:
+        after = np.full(n, -1, np.int64)
+        after[: n - step] = rank[step:] if step < n else []
+        order = np.lexsort((after, rank))
+        new = np.ones(n, bool)
+        new[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        if new.all():
+            return order
+        step *= 2
+
+
+def suffix_arrays(seqs: DataFrame) -> DataFrame:
+    """seq_id, rank, pos: each sequence's suffixes in order; a sequence is handled in one task."""
+
+    def run(batches):
+        for batch in batches:
+            for seq_id, dna in zip(batch.column("seq_id").to_pylist(), batch.column("dna").to_pylist()):
+                order = suffix_order(dna or "")
+                yield pa.RecordBatch.from_arrays([pa.array([seq_id] * len(order), pa.int64()), pa.array(np.arange(len(order))), pa.array(order, pa.int64())], ["seq_id", "rank", "pos"])
+
+    return seqs.select("seq_id", "dna").mapInArrow(run, "seq_id long, rank long, pos long")

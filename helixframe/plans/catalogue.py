@@ -326,6 +326,16 @@ def sketch_similarity(spark, sf_dir):
     return sketch.sketch_similarity(left, right, SKETCH)
 
 
+@query(f"WITH {S} SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY substr(dna, i)) - 1 AS rank, i - 1 AS pos FROM (SELECT seq_id, dna, unnest(range(1, length(dna) + 1)) AS i FROM s)")
+def suffix_arrays(spark, sf_dir):
+    return sketch.suffix_arrays(sequences(spark, sf_dir))
+
+
+@query()
+def window_fingerprints(spark, sf_dir):
+    return sketch.window_fingerprints(sequences(spark, sf_dir), 8)
+
+
 # Grammars by pair replacement.
 
 
@@ -453,6 +463,11 @@ def original_sizes(spark, sf_dir):
     return grammar.compression_stats(grammars(spark, sf_dir)).select("seq_id", "original_size")
 
 
+@query()
+def deduplicated_rules(spark, sf_dir):
+    return grammar.deduplicate_rules(grammar.explode_rules(grammars(spark, sf_dir)))
+
+
 # Merging.
 
 

@@ -303,5 +303,20 @@ def export_grammar(grammars: DataFrame, path: str, kind: str | None = None, **op
     write_lines(lines_for(grammars, kind or format_of(path), **options), path)
 
 
+def write_json_streaming(grammars: DataFrame, path: str, flush: int = 1000) -> int:
+    """One grammar in the object dialect, rule by rule in order of ids, so that the driver holds few; returns the number of rules."""
+    rules = analyze(grammars).select("rule_id", F.to_json(F.struct(F.transform("symbols", lambda s, i: _symbol_json(s, i, "object")).alias("symbols"), "usage_count", "depth")).alias("json"))
+    sequence = grammars.select(F.to_json(F.transform("symbols", lambda s, i: _symbol_json(s, i, "object"))).alias("json")).first()["json"]
+    n = 0
+    with open(path, "w", encoding="utf-8") as out:
+        out.write('{"final_sequence":' + sequence + ',"rules":{')
+        for n, row in enumerate(rules.orderBy("rule_id").toLocalIterator(), 1):
+            out.write(("," if n > 1 else "") + f'"{row["rule_id"]}":{row["json"]}')
+            if n % flush == 0:
+                out.flush()
+        out.write("}}")
+    return n
+
+
 def edges(grammars: DataFrame) -> DataFrame:
     return rule_edges(explode_rules(grammars))

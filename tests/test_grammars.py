@@ -137,6 +137,14 @@ def test_repeats_and_sketches(spark):
     assert len(sketch.bottom_sketch(seqs(spark, "AAAAAAAAAA"), 3, 5).first().sketch) == 1
 
 
+def test_suffixes():
+    assert sketch.suffix_order("ACGT").tolist() == [0, 1, 2, 3]
+    rng = random.Random(15)
+    for _ in range(100):
+        text = "".join(rng.choice("AC") for _ in range(rng.randrange(40)))
+        assert sketch.suffix_order(text).tolist() == sorted(range(len(text)), key=lambda k: text[k:])
+
+
 def test_stats(spark):
     row = stats.sequence_stats(seqs(spark, "ACGTACGT"), k=2).first()
     assert (row.length, row.a, row.gc, row.longest_run, row.top_kmer, row.top_n) == (8, 2, 50.0, 1, "AC", 4)
@@ -177,6 +185,10 @@ def test_exports(spark, tmp_path):
         assert (tmp_path / name).stat().st_size > 0
     back = fasta.read_grammar_json(spark, str(tmp_path / "g.json")).select(F.lit(0).cast("long").alias("seq_id"), "symbols", "rules")
     assert grammar.expand(back).first().dna == "ACACG"
+    import json
+
+    assert export.write_json_streaming(g, str(tmp_path / "s.json"), 1) == 2
+    assert json.loads((tmp_path / "s.json").read_text()) == json.loads(export.grammar_json(g, "object").first()["json"])
     with pytest.raises(ValueError):
         export.format_of("g.xyz")
 
