@@ -10,6 +10,9 @@ from __future__ import annotations
 import itertools
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..shared import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,16 +32,20 @@ class Scratch:
     """Tables in the shared folder that cut a job's lineage; those still held are removed on exit.
 
     ``keep`` writes and rereads a table.  ``result`` does so for the table an
-    operator returns, which outlives the block.
+    operator returns, which outlives the block.  Inside the block Arrow batches hold
+    ``BATCH_ROWS`` rows, which bounds what a Python worker holds of wide rows.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> "Scratch":
+        self.batch_rows = self.spark.conf.get(BATCH_CONF)
+        self.spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(self.batch_rows)) if int(self.batch_rows) > 0 else BATCH_ROWS))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(BATCH_CONF, self.batch_rows)
         for path in self.paths:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -59,16 +67,17 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(texts: list, chars: int = 4_000_000):
-    """Consecutive index ranges whose texts hold about ``chars`` characters, so that memory is bounded by one text or that."""
+def slices(texts, chars: int = 4_000_000):
+    """Consecutive index ranges of a list or Arrow array whose texts hold about ``chars`` characters (bytes, in an array), so that memory is bounded by one text or that."""
+    sizes = [len(t) if t else 0 for t in texts] if isinstance(texts, list) else pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text) if text else 0
+    for i, size in enumerate(sizes):
+        held += size
         if held >= chars:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 class Memo(dict):
@@ -123,3 +132,39 @@ class Chunks:
         heads = [self.pattern.findall((text or "") if bad else parts[0]) for text, bad, parts in zip(texts, odd, cut)]
         self.pieces.learn(itertools.chain.from_iterable(heads))
         return [[self.pieces[p] for p in head] + ([] if bad else found) for head, bad, found in zip(heads, odd, rest)]
+
+    def ids(self, texts) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array, where ``make`` gives them as bytes of unsigned 32-bit numbers.
+
+        Arrow cuts the texts and numbers their distinct stretches, so Python sees
+        each once, and numpy lays the ids out.
+        """
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
+        borders = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        numbered = cut.flatten().dictionary_encode()
+        known = numbered.dictionary.to_pylist()
+        self.stretches.learn(known)
+        found = list(map(self.stretches.__getitem__, known))
+        odd = np.array([f is None for f in found], bool)
+        table = np.frombuffer(b"".join([f or b"" for f in found]), np.uint32)
+        sizes = np.array([len(f) // 4 if f else 0 for f in found], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy()
+        heads = borders[:-1]
+        length, bad = sizes[which], odd[which]
+        length[heads], bad[heads] = 0, False
+        ends = np.cumsum(length)
+        at = np.repeat(starts[which] - (ends - length), length)
+        at += np.arange(len(at))
+        flat = table[at]
+        cuts = np.concatenate([[0], ends])[borders]
+        whole = np.add.reduceat(bad, heads) > 0 if len(heads) else bad
+        first = [self.pattern.findall(texts[k].as_py() if whole[k] else known[which[h]]) for k, h in enumerate(heads.tolist())]
+        self.pieces.learn(itertools.chain.from_iterable(first))
+        out = []
+        for k, pieces in enumerate(first):
+            head = np.frombuffer(b"".join([self.pieces[p] for p in pieces]), np.uint32)
+            out.append(head if whole[k] else np.concatenate([head, flat[cuts[k] : cuts[k + 1]]]))
+        return out
