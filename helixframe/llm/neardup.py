@@ -291,12 +291,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         real = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         classes = scratch.keep(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
         placed = scratch.keep(buckets(classes))
-        pivots = scratch.keep(placed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+        who = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
+        full = scratch.keep(placed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows"), who).where("rows > 1"))
+        pivots = full.select("key", "pivot")
         star = placed.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
         pairs = scratch.keep(plausible(star, classes, percent).distinct())
-        crowded = placed.join(pivots, "key").where("id <> pivot").groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("rows > 1")
-        once = scratch.keep(crowded.groupBy("rows", "who").agg(F.min("key").alias("key")).select("key"))
-        members = scratch.keep(placed.join(once, "key").join(pivots, "key").where("id <> pivot").select("key", "id").distinct())
+        # Buckets with the same members besides the pivot are looked at once.
+        others = full.where("rows > 2").select("key", "pivot", "rows", (F.col("who") - F.xxhash64("pivot").cast("decimal(38,0)")).alias("who"))
+        once = scratch.keep(others.groupBy("rows", "who").agg(F.min(F.struct("key", "pivot")).alias("x")).select("x.key", "x.pivot"))
+        members = scratch.keep(placed.join(once, "key").where("id <> pivot").select("key", "id"))
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
         sets = scratch.keep(sets_of(narrow, scratch.keep(wanted), width))
         links = scratch.keep(verified(pairs, sets, percent))
