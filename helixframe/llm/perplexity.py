@@ -1,18 +1,24 @@
 """Quality rules: repetition counts, and the perplexity of a modified Kneser-Ney model of characters.
 
-The model is of order 4 over a word's characters, with a mark at both ends.
-Characters are folded to ``CLASSES`` classes, so that the model has at most
-CLASSES**4 + CLASSES**3 + ... entries whatever the corpus, and may be sent to all tasks.
-Spark counts the 4-grams of every word of every text; lower orders count the
-different characters that precede.  Probabilities are held in arrays sorted by
-a hash of the n-gram.
+The model is of order ``LONG`` over the characters themselves, unfolded, of a text's words
+with one space between them: n-grams go across word borders, so the order of
+words counts.  The model grows with the corpus and is never gathered: n-grams are rows
+of Spark tables, partitioned by hash and joined.
+
+Each language has its own model, and no text is scored by what it taught.  A language's texts are halved by
+a hash of the text, so that exact copies stay together, and each half is scored by the
+model of the other.  Documents come in blocks of about ``BLOCK`` bytes; a block's distinct
+n-grams are joined to their probabilities, and come back as a sorted array of hashes
+that its documents are scored by.
 
 A document's log perplexity is the mean negative log probability of its
-characters.  For each language (null is one) the bounds lie ``WIDTH`` quartile
-ranges, and at least ``SLACK``, outside the quartiles of documents that pass the base rules, so the
-bounds follow the corpus and clean documents stay inside.
+characters and its end.  For each language (null is one) the bounds lie ``WIDTH`` quartile
+ranges outside the quartiles of documents that pass the base rules.
 
 Null texts have no words and fail the base rules.
+
+``KneserNey`` is a model of characters folded to ``CLASSES`` classes within words, which
+fits in memory whatever the corpus; the query does not use it.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, slices
+from .common import Scratch, slices
 
 ORDER, CLASSES = 4, 40
-WIDTH, SLACK = 4.0, 0.25
+LONG, BLOCK = 5, 8_000_000
+WIDTH = 3.0
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 ASCII_BLANKS = {ord(c): None for c in " \t\n\x0b\x0c\r"}
@@ -89,26 +96,6 @@ def words_of(text) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n) over every word of every text, added up in tasks before Spark adds them."""
-
-    def run(batches):
-        total = np.zeros(CLASSES**ORDER, np.int64)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                seen = Counter()
-                for text in texts[a:b]:
-                    seen.update(words_of(text))
-                if seen:
-                    codes, owner = gram_table(list(seen))
-                    total += np.bincount(codes, np.fromiter(seen.values(), np.int64, len(seen))[owner], CLASSES**ORDER).astype(np.int64)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def mixed(keys: np.ndarray, order: int) -> np.ndarray:
     """A 64-bit hash of n-grams of an order; one-to-one for a given order."""
     x = keys.astype(np.uint64) * np.uint64(8) + np.uint64(order)
@@ -165,10 +152,89 @@ class KneserNey:
         return out
 
 
-def model_of(docs: DataFrame) -> KneserNey | None:
-    """Fitted on all texts; the driver receives at most CLASSES**4 rows."""
-    found = count_grams(docs).toPandas().sort_values("gram")
-    return KneserNey(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)) if len(found) else None
+def long_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that aren't empty: all characters' numbers, the places of those that are predicted, the hashes of the n-grams that end there, and the text each belongs to.
+
+    A line end stands before and after each text, which has none of its own.
+    """
+    pad = "\n" * (LONG - 1)
+    points = np.frombuffer("".join(f"{pad}{t}\n" for t in texts).replace("\0", "\uffff").encode("utf-32-le"), np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    before = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) + np.repeat((LONG - 1) * np.arange(1, len(texts) + 1), lengths)
+    x = points.astype(np.uint64)
+    h = np.zeros(max(len(x) - LONG + 1, 0), np.uint64)
+    for k in range(LONG):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + x[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    return points, at, h[at - LONG + 1].view(np.int64), before
+
+
+def plain(text) -> str:
+    return b" ".join(words_of(text)).decode("utf-8", "replace")
+
+
+def in_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """doc_id, lang, text, half, block; ``half`` tells the language and, by its last bit, the half."""
+    enough = docs.groupBy(F.col("lang").alias("of")).agg(F.greatest(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / (2 * size)), F.lit(1)).alias("blocks"))
+    half = F.xxhash64("lang", F.col("lang").isNull()).bitwiseAND(F.lit(-2)).bitwiseOR(F.pmod(F.xxhash64("text"), F.lit(2)))
+    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.col("blocks")).cast("int")
+    return docs.select("doc_id", "lang", "text").join(F.broadcast(enough), F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", "lang", "text", half.alias("half"), block.alias("block"))
+
+
+def count_grams(blocks: DataFrame) -> DataFrame:
+    """half, block, h, gram, n: each block's n-grams, added up."""
+
+    def run(table):
+        hashes, counts, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, f"<U{LONG}")]
+        texts = [t for t in map(plain, table.column("text").to_pylist()) if t]
+        for a, b in slices(texts, 1_000_000):
+            points, at, h, _ = long_grams(texts[a:b])
+            found, first, n = np.unique(h, return_index=True, return_counts=True)
+            windows = np.lib.stride_tricks.sliding_window_view(points, LONG)[at[first] - LONG + 1]
+            hashes.append(found)
+            counts.append(n)
+            names.append(np.ascontiguousarray(windows).view(f"<U{LONG}").ravel())
+        found, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        n = np.bincount(which, np.concatenate(counts), len(found)).astype(np.int64)
+        same = lambda c: pa.array(np.full(len(found), table.column(c)[0].as_py()), table.schema.field(c).type)
+        return pa.table([same("half"), same("block"), pa.array(found), pa.array(np.concatenate(names)[first].tolist(), pa.string()), pa.array(n)], ["half", "block", "h", "gram", "n"])
+
+    return blocks.select("block", "half", "text").groupBy("half", "block").applyInArrow(run, "half long, block int, h long, gram string, n long")
+
+
+def discounts(table: DataFrame) -> DataFrame:
+    """By half, what is taken from counts of 1, 2 and more: half, one, two, more."""
+    n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == k), F.lit(1)) for k in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    held = lambda x, most: F.greatest(F.least(x, F.lit(most)), F.lit(0.05))
+    return table.groupBy("half").agg(held(1 - 2 * y * n2 / n1, 0.95).alias("one"), held(2 - 3 * y * n3 / n2, 1.95).alias("two"), held(3 - 4 * y * n4 / n3, 2.95).alias("more"))
+
+
+def gram_scores(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """half, h, log_p: each n-gram of a half under the interpolated modified Kneser-Ney model of the other half."""
+    asked = scratch.keep(counts.groupBy("half", "h").agg(F.first("gram").alias("gram"), F.sum("n").alias("n")))
+    tables, wanted = {}, {}
+    for k in range(LONG, 0, -1):
+        last = F.substring("gram", 2, k).alias("gram")
+        tables[k] = asked.select(F.col("half").bitwiseXOR(F.lit(1)).alias("half"), "gram", "n") if k == LONG else scratch.keep(tables[k + 1].groupBy("half", last).agg(F.count("*").alias("n")))
+        wanted[k] = asked.select("half", "gram") if k == LONG else wanted[k + 1].select("half", last).distinct()
+    letters = tables[1].select("gram").distinct().count() + 1  # one for all others
+    scores = None
+    for k in range(1, LONG + 1):
+        off = F.when(F.col("n") == 1, F.col("one")).when(F.col("n") == 2, F.col("two")).otherwise(F.col("more"))
+        table = tables[k].join(F.broadcast(discounts(tables[k])), "half").select("half", "gram", "n", off.alias("off"))
+        known = table.select("half", "gram", (F.col("n") - F.col("off")).alias("rest"))
+        heads = table.groupBy("half", F.substring("gram", 1, k - 1).alias("head")).agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("left"))
+        heads = F.broadcast(heads) if k == 1 else heads
+        rows = wanted[k].withColumn("head", F.substring("gram", 1, k - 1)).withColumn("tail", F.substring("gram", 2, k))
+        rows = rows.join(known, ["half", "gram"], "left").join(heads, ["half", "head"], "left")
+        rows = rows.withColumn("lower", F.lit(1.0 / letters)) if k == 1 else rows.join(scores, ["half", "tail"])
+        p = F.coalesce(F.coalesce("rest", F.lit(0.0)) / F.col("total") + F.col("left") * F.col("lower"), F.col("lower"))
+        if k < LONG:
+            scores = scratch.keep(rows.select("half", F.col("gram").alias("tail"), p.alias("lower")))
+    return asked.select("half", "h", "gram").join(rows.select("half", "gram", F.log(p).alias("log_p")), ["half", "gram"]).select("half", "h", "log_p")
 
 
 def repeated_words(words: list[bytes], numbers: dict) -> int:
@@ -209,48 +275,63 @@ def base_features(text: str, words: list[bytes], numbers: dict) -> tuple:
     return n, chars, symbols, dups, repeats, n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
 
 
-def score(docs: DataFrame, model: KneserNey | None) -> DataFrame:
-    """doc_id, lang, the base features and log_ppl (null without words) of each whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+class Lookup:
+    """Values of sorted hashes; most are found by their upper bits at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 4).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[(self.keys.view(np.uint64) >> self.shift).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[(keys.view(np.uint64) >> self.shift).astype(np.int64)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return self.values[at]
+
+
+def score(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """doc_id, lang, the base features and log_ppl (null without words) of each whole text; grams are (half, block, h, log_p)."""
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
 
-    def word_scores(words: list[bytes]) -> list[tuple[float, int]]:
-        codes, owner = gram_table(words)
-        sums = np.bincount(owner, held.value.log_p(codes), len(words))
-        return list(zip(sums.tolist(), np.bincount(owner, minlength=len(words)).tolist()))
-
-    def run(batches):
-        memo = Memo(word_scores)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            rows = []
-            for a, b in slices(texts):
-                split = [words_of(t) for t in texts[a:b]]
-                memo.learn(w for words in split for w in words)
-                numbers = {w: k for k, w in enumerate({w for words in split for w in words})}
-                for text, words in zip(texts[a:b], split):
-                    known = np.array([memo[w] for w in words]).reshape(-1, 2).sum(0)
-                    rows.append((*base_features(text or "", words, numbers), -known[0] / known[1] if words else None))
-            kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *cols], [f.split()[0] for f in schema.split(", ")])
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
-
-
-def bounds(scored: DataFrame, width: float = WIDTH, slack: float = SLACK) -> DataFrame:
+    def run(table, known):
+        lookup = Lookup(known.column("h").to_numpy(), known.column("log_p").to_numpy())
+        texts, rows = table.column("text").to_pylist(), []
+        for a, b in slices(texts, 1_000_000):
+            split = [words_of(t) for t in texts[a:b]]
+            numbers = {w: k for k, w in enumerate({w for words in split for w in words})}
+            there = [b" ".join(words).decode("utf-8", "replace") for words in split if words]
+            means = iter(())
+            if there:
+                _, _, h, before = long_grams(there)
+                means = iter((-np.add.reduceat(lookup(h), before) / np.diff(before, append=len(h))).tolist())
+            rows += [(*base_features(t or "", words, numbers), next(means) if words else None) for t, words in zip(texts[a:b], split)]
+        kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64()]
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
+        return pa.table([table.column("doc_id"), table.column("lang"), *cols], [f.split()[0] for f in schema.split(", ")])
+
+    held = blocks.select("half", "block", "doc_id", "lang", "text").groupBy("half", "block")
+    return held.cogroup(grams.groupBy("half", "block")).applyInArrow(run, schema)
+
+
+def bounds(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     """of, low, high: exact quartiles, from a histogram of log perplexity to three decimals."""
     counts = scored.where(~F.col("base_failed")).groupBy("lang", F.round("log_ppl", 3).alias("x")).count()
     q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("count"))
     found = counts.groupBy(F.col("lang").alias("of")).agg(q.alias("q"))
-    margin = F.greatest(F.lit(width) * (F.col("q")[1] - F.col("q")[0]), F.lit(slack))
+    margin = F.lit(width) * (F.col("q")[1] - F.col("q")[0])
     return found.select("of", (F.col("q")[0] - margin).alias("low"), (F.col("q")[1] + margin).alias("high"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, log_ppl."""
     with Scratch(docs.sparkSession) as scratch:
-        scored = scratch.keep(score(docs, model_of(docs)))
+        blocks = in_blocks(docs)
+        counts = scratch.keep(count_grams(blocks))
+        grams = counts.select("half", "block", "h").join(gram_scores(counts, scratch), ["half", "h"])
+        scored = scratch.keep(score(blocks, grams))
         joined = scored.join(bounds(scored), F.col("lang").eqNullSafe(F.col("of")), "left")
         inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
         return scratch.result(joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "lang"))

@@ -197,6 +197,27 @@ def test_quality(spark):
     assert perplexity.quality(docs(spark, "x").where("doc_id < 0")).count() == 0
 
 
+def test_quality_tells_junk_and_order(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "te", "ru", "san"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    follows = {w: rng.sample(vocabulary, 3) for w in vocabulary}
+
+    def prose():
+        out = [rng.choice(vocabulary)]
+        while len(out) < 120:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    clean = [prose() for _ in range(150)]
+    mixed = [rng.sample(p, len(p)) for p in clean[:5]]
+    capitals = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(7)) for _ in range(120)]
+    numbers = [str(rng.randrange(10**6)) for _ in range(120)]
+    rows = {r.doc_id: r for r in perplexity.quality(docs(spark, *(" ".join(t) for t in [*clean, *mixed, capitals, numbers]))).collect()}
+    assert sum(rows[k].kept for k in range(150)) >= 140
+    assert not any(rows[k].kept for k in range(150, 157))
+    assert all(rows[150 + k].log_ppl > rows[k].log_ppl + 0.1 for k in range(5))
+
+
 # 6: languages.
 
 
