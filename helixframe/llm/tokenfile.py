@@ -2,7 +2,7 @@
 
 Documents in ascending doc_id are cut into shards of about ``SHARD_IDS`` ids.
 In a shard, frequent pairs of neighbouring ids are replaced by nonterminals,
-again and again.  A round replaces many pairs at once; no id that ends one of
+until no pair within documents is left ``LEAST`` times.  A round replaces many pairs at once; no id that ends one of
 them begins another, so their places never overlap but in runs of a single id,
 which are paired from the left.  No pair passes the end of a document, so a
 document is a slice of the shard's symbols and can be decoded alone.
@@ -21,6 +21,7 @@ and hold the end id alone; rows that repeat a doc_id are kept in text order.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import zlib
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Chunks, Scratch, slices
 
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, LEAST, BITS = 6, 2048, 32, 16  # 2**16 counters stay in a core's cache
+PAIRS, LEAST, BITS = 2048, 32, 18
 END_ID = 0
 
 
@@ -82,6 +83,7 @@ def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, round_no: int
     slot[last[:-1]] = 1 << BITS  # no pair passes a document's end
     counts = np.bincount(slot, minlength=(1 << BITS) + 1)
     counts[1 << BITS] = 0
+    most = min(most, 1 << BITS)
     full = np.flatnonzero(counts >= max(least, np.partition(counts, -most)[-most]))
     if not len(full):
         return symbols, last, []
@@ -94,6 +96,15 @@ def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, round_no: int
     pair = np.zeros(len(full), np.int64)
     pair[group] = keys
     same = keys == pair[group]
+    crowded = np.zeros(len(full), bool)
+    crowded[group[~same]] = True
+    if crowded.any():  # a slot of several pairs stands for the most frequent, ties to the smallest
+        mixed = np.flatnonzero(crowded[group])
+        found, first, n = np.unique(keys[mixed], return_index=True, return_counts=True)
+        of_group = group[mixed[first]]
+        order = np.lexsort((-found, n))
+        pair[of_group[order]] = found[order]
+        same = keys == pair[group]
     at, group = at[same], group[same]
     exact = np.bincount(group, minlength=len(full))
     begins, ends, chosen = set(), set(), []
@@ -110,7 +121,7 @@ def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, round_no: int
             ends.add(a)
         chosen.append(g)
     if not chosen:
-        return symbols, last, []
+        return (symbols, last, []) if most == 1 << BITS else replace_pairs(symbols, last, top, round_no, 1 << BITS, least)
     rule = np.full(len(full), -1, np.int64)
     rule[chosen] = top + np.arange(len(chosen))
     keep = rule[group] >= 0
@@ -137,14 +148,14 @@ def expansions(rules: np.ndarray, first: int):
     return lengths, np.cumsum(lengths) - lengths, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
 
 
-def pack_shard(doc_ids: list, ids: list[np.ndarray], rounds: int = ROUNDS) -> bytes:
+def pack_shard(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     n_ids = np.array([len(x) for x in ids], np.int64)
     symbols = np.concatenate(ids).astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(n_ids) - 1] = True
     first = top = int(symbols.max()) + 1
     rules: list = []
-    for k in range(rounds):
+    for k in itertools.count():
         symbols, last, new = replace_pairs(symbols, last, top, k)
         if not new:
             break

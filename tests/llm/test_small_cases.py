@@ -93,6 +93,18 @@ def test_shards_give_back_any_document():
         tokenfile.Shard(b"nothing of the kind")
 
 
+def test_shard_leaves_no_frequent_pair():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 50_000, 500)
+    ids = [np.concatenate([rng.integers(0, 50_000, 300), passage, rng.zipf(1.3, 2_000) % 3_000, [0]]).astype(np.uint32) for _ in range(60)]
+    shard = tokenfile.Shard(tokenfile.pack_shard(list(range(60)), ids))
+    assert all(np.array_equal(shard.ids_of(k), x) for k, x in enumerate(ids))
+    assert shard.lengths.max() > 64
+    ends = np.cumsum(shard.n_symbols)
+    pairs = shard.symbols[:-1].astype(np.int64) << 32 | shard.symbols[1:]
+    assert np.unique(np.delete(pairs, ends[:-1] - 1), return_counts=True)[1].max() < tokenfile.LEAST
+
+
 # 3: mixing.
 
 
