@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,26 +97,68 @@ def repair(symbols: list[int], least: int = 2, most_rules: int | None = None, ei
 
 def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int | None = None):
     """(final symbols, rules as (symbols, usage, count)): the most frequent window of k is replaced until none is frequent enough."""
+    n = len(symbols)
+    syms, nxt, prv, alive = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+
+    def nodes(i: int) -> list[int]:
+        out: list[int] = []
+        while len(out) < k and i < n:
+            out.append(i)
+            i = nxt[i]
+        return out
+
+    def window(i: int) -> tuple | None:
+        found = nodes(i)
+        return tuple(syms[x] for x in found) if len(found) == k else None
+
+    count: dict = {}
+    places: dict = {}
+
+    def add(i: int) -> tuple | None:
+        w = window(i)
+        if w:
+            count[w] = count.get(w, 0) + 1
+            places.setdefault(w, []).append(i)
+        return w
+
+    for i in range(n):
+        add(i)
+    heap = [(-c, w) for w, c in count.items() if c >= least]
+    heapq.heapify(heap)
     rules: list = []
-    while len(symbols) >= k and (most_rules is None or len(rules) < most_rules):
-        windows = np.lib.stride_tricks.sliding_window_view(np.array(symbols, np.int64), k)
-        found, n = np.unique(windows, axis=0, return_counts=True)
-        best = int(np.flatnonzero(n == n.max())[0])  # rows are in order, so ties go to the least
-        if n[best] < least:
-            break
-        body, out, used, i = found[best].tolist(), [], 0, 0
-        while i < len(symbols):
-            if symbols[i : i + k] == body:
-                out.append(4 + len(rules))
-                used, i = used + 1, i + k
-            else:
-                out.append(symbols[i])
-                i += 1
-        if used < 2:
+    while heap and (most_rules is None or len(rules) < most_rules):
+        c, body = heapq.heappop(heap)
+        if count.get(body, 0) != -c:
+            continue
+        chosen, after = [], 0
+        for i in sorted(set(places.pop(body))):
+            if i >= after and alive[i] and window(i) == body:
+                chosen.append(i)
+                after = nodes(i)[-1] + 1
+        if len(chosen) < 2:
             break
-        rules.append((body, used, int(n[best])))
-        symbols = out
-    return symbols, rules
+        touched = set()
+        for i in chosen:
+            inner, before, left = nodes(i), [], prv[i]
+            while left >= 0 and len(before) < k - 1:
+                before.append(left)
+                left = prv[left]
+            for x in before + inner:
+                w = window(x)
+                if w:
+                    count[w] -= 1
+                    touched.add(w)
+            syms[i], nxt[i] = 4 + len(rules), nxt[inner[-1]]
+            for x in inner[1:]:
+                alive[x] = False
+            if nxt[i] < n:
+                prv[nxt[i]] = i
+            touched.update(w for x in [*before, i] if (w := add(x)))
+        rules.append((list(body), len(chosen), -c))
+        for w in touched:
+            if count[w] >= least:
+                heapq.heappush(heap, (-count[w], w))
+    return [x for x, ok in zip(syms, alive) if ok], rules
 
 
 def _grammar_batch(ids, found):

@@ -42,7 +42,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grammars(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Written once: several operators read it."""
-    return keep(repair.build(sequences(spark, sf_dir), **{"length_factor": 100} | options))
+    return keep(repair.build(sequences(spark, sf_dir), **options))
 
 
 S = "s AS (SELECT doc_id AS seq_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS dna FROM documents)"
@@ -373,22 +373,22 @@ def repair_first_rules(spark, sf_dir):
 
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def repair_roundtrip(spark, sf_dir):
-    return grammar.expand(repair.build(sequences(spark, sf_dir), length_factor=100))
+    return grammar.expand(repair.build(sequences(spark, sf_dir)))
 
 
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def repair_either_strand_roundtrip(spark, sf_dir):
-    return grammar.expand(repair.build(sequences(spark, sf_dir), length_factor=100, either_strand=True))
+    return grammar.expand(repair.build(sequences(spark, sf_dir), either_strand=True))
 
 
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def kmer_grammar_roundtrip(spark, sf_dir):
-    return grammar.expand(repair.build(sequences(spark, sf_dir), kmer=4, length_factor=50))
+    return grammar.expand(repair.build(sequences(spark, sf_dir), kmer=4))
 
 
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def simplified_roundtrip(spark, sf_dir):
-    built = repair.build(sequences(spark, sf_dir), length_factor=100)
+    built = repair.build(sequences(spark, sf_dir))
     return grammar.expand(grammar.simplify(built, most_rules=8))
 
 
@@ -417,12 +417,12 @@ def lcg_phrase_rules(spark, sf_dir):
 
 @query()
 def repair_rules(spark, sf_dir):
-    return grammar.explode_rules(repair.build(sequences(spark, sf_dir), length_factor=100))
+    return grammar.explode_rules(repair.build(sequences(spark, sf_dir)))
 
 
 @query()
 def evicted_rules(spark, sf_dir):
-    built = repair.build(sequences(spark, sf_dir), length_factor=100)
+    built = repair.build(sequences(spark, sf_dir))
     return grammar.explode_rules(grammar.simplify(built, most_rules=8))
 
 

@@ -1,12 +1,14 @@
 """Small cases of grammars, encodings and chunks."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna as D
 from helixframe.operators import chunks, grammar, kmers, lcg, repair, sketch, stats
+from helixframe.plans import catalogue
 from helixframe.sources import export, fasta
 from helixframe.streaming import counts
 
@@ -216,3 +218,10 @@ def test_growing_grammar():
     texts = grammar.expand_all({k: [a, b] for k, (a, b) in enumerate(zip(state[2], state[3]))})
     assert "".join(grammar.text_of(s, texts) for s in state[1]) == text
     assert len(set(zip(state[2], state[3]))) == len(state[2])
+
+
+def test_catalogue_grammars_leave_no_repeated_pair(spark, sf_dir):
+    built = catalogue.grammars(spark, sf_dir).orderBy(F.size("symbols").desc()).limit(20).collect()
+    assert max(len(r.symbols) for r in built) > 100
+    for row in built:
+        assert max(Counter(zip(row.symbols, row.symbols[1:])).values(), default=0) < 2
