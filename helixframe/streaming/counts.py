@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import _codes
-from ..operators.repair import repair
+from ..operators.repair import GRAMMAR, RULES, repair
 
 CHUNK = "seq_id long, idx int, start long, owned int, dna string"
 
@@ -95,9 +96,21 @@ def stream_grammars(chunks: DataFrame, least: int = 2, budget: int | None = None
     return chunks.groupBy("seq_id").applyInPandasWithState(step, GROWN, STATE, "update", "NoTimeout")
 
 
-def finalize(grown: DataFrame) -> DataFrame:
-    """Grammar rows from the table of a finished stream: each sequence's last state, single uses put in place."""
+def finish(symbols: list[int], rules: list[dict], least: int = 2) -> tuple[list[int], list[dict]]:
+    """A grown grammar with pairs replaced, without a budget, until none of its final symbols is left ``least`` times."""
+    symbols, new = repair(symbols, least, first=len(rules))
+    return symbols, rules + [{"rule_id": len(rules) + r, "symbols": [a, b], "usage_count": n, "pair_count": c} for r, (a, b, n, c) in enumerate(new)]
+
+
+def finalize(grown: DataFrame, least: int = 2, most_rules: int | None = None) -> DataFrame:
+    """Grammar rows from the table of a finished stream: each sequence's last state, finished; single uses put in place, and the least used rules beyond ``most_rules``."""
     from ..operators.grammar import simplify
 
+    def run(batches):
+        for batch in batches:
+            found = [finish(s or [], r or [], least) for s, r in zip(batch.column("symbols").to_pylist(), batch.column("rules").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([r for _, r in found], RULES)], ["seq_id", "symbols", "rules"])
+
     last = grown.groupBy("seq_id").agg(F.max_by(F.struct("symbols", "rules"), "chunks").alias("x"))
-    return simplify(last.select("seq_id", "x.symbols", "x.rules"))
+    finished = last.select("seq_id", "x.symbols", "x.rules").mapInArrow(run, GRAMMAR)
+    return simplify(finished, most_rules=most_rules)

@@ -225,3 +225,20 @@ def test_catalogue_grammars_leave_no_repeated_pair(spark, sf_dir):
     assert max(len(r.symbols) for r in built) > 100
     for row in built:
         assert max(Counter(zip(row.symbols, row.symbols[1:])).values(), default=0) < 2
+
+
+def test_finalize_leaves_no_repeated_pair(spark):
+    rng = random.Random(6)
+    dna = "".join(rng.choice("ACGT") for _ in range(3000))
+    state = (0, [], [], [], [], [])
+    for k in range(0, 3000, 500):
+        state = counts.grow(state, dna[k : k + 500], 2, 3)
+    _, symbols, left, right, used, counted = state
+    assert max(Counter(zip(symbols, symbols[1:])).values()) > 2
+    rules = [(r, [a, b], u, c) for r, (a, b, u, c) in enumerate(zip(left, right, used, counted))]
+    grown = spark.createDataFrame([(1, 6, symbols, rules)], counts.GROWN)
+    row = counts.finalize(grown).first()
+    assert max(Counter(zip(row.symbols, row.symbols[1:])).values()) < 2
+    assert grammar.expand(counts.finalize(grown)).first().dna == dna
+    small = counts.finalize(grown, most_rules=5)
+    assert len(small.first().rules) == 5 and grammar.expand(small).first().dna == dna
