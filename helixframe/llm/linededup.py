@@ -4,7 +4,8 @@ A line's key is the line without blanks at both ends and with A-Z in lower
 case.  A run is a table of key hashes, sorted, with the number of documents
 that hold the key and the last of them.  A new batch is merge-anti-joined with
 the runs, which tells its fresh keys from those known, and becomes a run of
-level 0; ``fan_in`` runs of a level are merged to one of the next.
+level 0; ``fan_in`` runs of a level are merged to one of the next.  The
+anti-join only sets the mark ``fresh``; counts come from grouping all runs.
 
 Null and empty texts are one empty line.  Rows that repeat a doc_id are one
 document when documents are counted, and each is cleaned.  A null doc_id is
