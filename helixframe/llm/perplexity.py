@@ -1,240 +1,300 @@
-"""Quality rules: repetition counts, and the perplexity of a modified Kneser-Ney model of characters.
-
-The model is of order ``LONG`` over the characters themselves, unfolded, of a text's words
-with one space between them: n-grams go across word borders, so the order of
-words counts.  The model grows with the corpus and is never gathered: n-grams are rows
-of Spark tables, partitioned by hash and joined.
-
-Each language has its own model, and no text is scored by what it taught.  A language's texts are halved by
-a hash of the text, so that exact copies stay together, and each half is scored by the
-model of the other.  Documents come in blocks of about ``BLOCK`` bytes; a block's distinct
-n-grams are joined to their probabilities, and come back as a sorted array of hashes
-that its documents are scored by.
-
-A document's log perplexity is the mean negative log probability of its
-characters and its end.  For each language (null is one) the bounds lie ``WIDTH`` quartile
+"""Quality rules: repetition counts, and the perplexity of a modified Kneser-Ney model.
+
+The model is of order ``ORDER`` over the UTF-8 bytes of a text's words with one
+space between them, unfolded, so that it knows every script; n-grams go across
+word borders, so the order of words counts.  It grows with the corpus.
+
+Each language has its own model, and no text is scored by what it taught.  A
+language's texts are halved by a hash of the text, so that exact copies stay
+together, and each half is scored by the model of the other.
+
+1. Tasks count the n-grams of what they read, as sorted arrays, and send them by
+   language, last context byte ``d`` and a part of the byte before it.  All contexts
+   and suffixes of order 3 and more of an n-gram lie in its own group, and a
+   group has at most 2**24 n-grams for each byte before ``d`` that it holds.  Arrays
+   of ``FAN`` tasks are merged at a time, in as many rounds as it takes.
+2. Orders 1 and 2 and the discounts are made of sums of the groups, at most 65,536
+   pairs of bytes for a language.
+3. Each group becomes a sorted array of hashes and one of log probabilities.
+4. Arrays of up to ``MOST_BROADCAST`` bytes in all are sent to the tasks that score.
+   Beyond that texts are packed in blocks, and each block's n-grams are joined to the
+   groups by Spark; results are the same.
+
+A document's log perplexity is the mean negative log probability of its bytes
+and its end.  For each language (null is one) the bounds lie ``WIDTH`` quartile
 ranges outside the quartiles of documents that pass the base rules.
 
-Null texts have no words and fail the base rules.
-
-``KneserNey`` is a model of characters folded to ``CLASSES`` classes within words, which
-fits in memory whatever the corpus; the query does not use it.
+Null texts, empty ones and those of blanks have no words and fail the base rules;
+long texts are scored whole; equal texts get equal values; rows that repeat are rows
+of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-ORDER, CLASSES = 4, 40
-LONG, BLOCK = 5, 8_000_000
+ORDER, PARTS, FAN = 5, 4, 64
+COUNTED, HELD = 8_000_000, 1_500_000  # bytes of text counted at once, and n-grams that a task holds of a half
+MOST_BROADCAST, BLOCK = 64_000_000, 16_000_000
 WIDTH = 3.0
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
-ASCII_BLANKS = {ord(c): None for c in " \t\n\x0b\x0c\r"}
-
-
-def character_classes() -> np.ndarray:
-    """Class of each code point below 65,536 by rule: mark 0, a-z 1-26, capitals 27, digits 28, marks of sentences 29, other signs 30, other letters 31-39."""
-    out = np.zeros(65_536, np.int64)
-    for k in range(65_536):
-        c = chr(k)
-        if "a" <= c <= "z":
-            out[k] = k - 96
-        elif c.isupper():
-            out[k] = 27
-        elif c.isdigit():
-            out[k] = 28
-        elif c in ".,;:!?'\"-()":
-            out[k] = 29
-        elif c.isalpha():
-            out[k] = 31 + k * 2654435761 % 2**32 * 9 // 2**32
-        else:
-            out[k] = 30
-    return out
-
-
-_classes: list[np.ndarray] = []
-
-
-def word_grams(word: bytes) -> np.ndarray:
-    """Codes of the word's 4-grams: each character, and the end mark, after the three before it."""
-    if not _classes:
-        _classes.append(character_classes())
-    points = np.frombuffer(word.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = np.concatenate([[0, 0, 0], _classes[0][np.minimum(points, 65_535)], [0]])
-    return ((x[:-3] * CLASSES + x[1:-2]) * CLASSES + x[2:-1]) * CLASSES + x[3:]
-
-
-def gram_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All words' 4-gram codes in one array, and the word each belongs to."""
-    if not _classes:
-        _classes.append(character_classes())
-    text = b"\n".join(words).decode("utf-8", "surrogatepass")
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.append(np.flatnonzero(points == 10), len(points))
-    lengths = np.diff(ends, prepend=-1) - 1
-    width = lengths + 4
-    base = np.cumsum(width) - width
-    x = np.zeros(int(width.sum()), np.int64)
-    inner = np.repeat(base + 3 - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    x[inner] = _classes[0][np.minimum(points[points != 10], 65_535)]
-    codes = ((x[:-3] * CLASSES + x[1:-2]) * CLASSES + x[2:-1]) * CLASSES + x[3:]
-    grams = lengths + 1
-    at = np.repeat(base - (np.cumsum(grams) - grams), grams) + np.arange(int(grams.sum()))
-    return codes[at], np.repeat(np.arange(len(words)), grams)
 
 
 def words_of(text) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def mixed(keys: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of n-grams of an order; one-to-one for a given order."""
-    x = keys.astype(np.uint64) * np.uint64(8) + np.uint64(order)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(27))
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities from 4-gram counts."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        tables = [(grams, counts)]
-        for order in range(ORDER - 1, 0, -1):
-            lower, n = np.unique(tables[0][0] % CLASSES**order, return_counts=True)
-            tables.insert(0, (lower, n))
-        p = np.full(1, 1.0 / CLASSES)
-        keys, logs, weights = [], [], []
-        below: tuple = (np.zeros(1, np.int64), p)
-        for order, (gram, n) in enumerate(tables, 1):
-            often = [max(1, int((n == k).sum())) for k in range(1, 5)]
-            y = often[0] / (often[0] + 2 * often[1])
-            discount = np.clip([0, 1 - 2 * y * often[1] / often[0], 2 - 3 * y * often[2] / often[1], 3 - 4 * y * often[3] / often[2]], 0, [0, 0.95, 1.95, 2.95])
-            head, which = np.unique(gram // CLASSES, return_inverse=True)
-            total = np.bincount(which, n)
-            off = discount[np.minimum(n, 3)]
-            left = np.bincount(which, off) / total
-            suffix = gram % CLASSES ** (order - 1)
-            lower = below[1][np.searchsorted(below[0], suffix)]
-            prob = (n - off) / total[which] + left[which] * lower
-            below = (gram, prob)
-            keys += [mixed(gram, order), mixed(head, 4 + order)]
-            logs += [np.log(prob), np.log(np.maximum(left, 1e-12))]
-        order = np.argsort(np.concatenate(keys))
-        self.keys, self.logs = np.concatenate(keys)[order], np.concatenate(logs)[order].astype(np.float32)
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.logs[at]
-
-    def log_p(self, grams: np.ndarray) -> np.ndarray:
-        """Log probability of the last character of each 4-gram."""
-        out = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            if not len(left):
-                return out
-            gram = grams[left] % CLASSES**order
-            hit, value = self._find(mixed(gram, order))
-            out[left[hit]] += value[hit]
-            left, gram = left[~hit], gram[~hit]
-            back, weight = self._find(mixed(gram // CLASSES, 4 + order))
-            out[left] += np.where(back, weight, 0)
-        out[left] += np.log(1.0 / CLASSES)
-        return out
-
-
-def long_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that aren't empty: all characters' numbers, the places of those that are predicted, the hashes of the n-grams that end there, and the text each belongs to.
-
-    A line end stands before and after each text, which has none of its own.
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of n-grams; one-to-one."""
+    x = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in each byte and in the end of each text, as numbers, and where a text's begin.
+
+    Line ends stand before and after each text, which has none of its own.
     """
-    pad = "\n" * (LONG - 1)
-    points = np.frombuffer("".join(f"{pad}{t}\n" for t in texts).replace("\0", "\uffff").encode("utf-32-le"), np.uint32)
+    pad = b"\n" * (ORDER - 1)
+    raw = np.frombuffer(b"".join([x for t in texts for x in (pad, t, b"\n")]), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     before = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum())) + np.repeat((LONG - 1) * np.arange(1, len(texts) + 1), lengths)
-    x = points.astype(np.uint64)
-    h = np.zeros(max(len(x) - LONG + 1, 0), np.uint64)
-    for k in range(LONG):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + x[k : k + len(h)]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    return points, at, h[at - LONG + 1].view(np.int64), before
+    keys = np.zeros(max(len(raw) - ORDER + 1, 0), np.uint64)
+    for k in range(ORDER):
+        keys <<= np.uint64(8)
+        keys |= raw[k : k + len(keys)]
+    real = np.ones(len(keys), bool)
+    starts = before[1:] + (ORDER - 1) * np.arange(1, len(texts))
+    real[(starts[:, None] - np.arange(1, ORDER)).ravel()] = False
+    return keys[real], before
+
+
+def runs_of(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and their numbers or the sums of ``n``."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(first)
+    return keys[at], (np.diff(at, append=len(keys)) if n is None else np.add.reduceat(n, at) if len(at) else n)
+
+
+def with_half(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text, half: a hash of the language, whose last bit tells the half."""
+    half = F.xxhash64("lang", F.col("lang").isNull()).bitwiseAND(F.lit(-2)).bitwiseOR(F.pmod(F.xxhash64("text"), F.lit(2)))
+    return docs.select("doc_id", "lang", "text", half.alias("half"))
 
 
-def plain(text) -> str:
-    return b" ".join(words_of(text)).decode("utf-8", "replace")
+def in_groups(keys: np.ndarray):
+    """(d, part, places) of the groups that n-grams are sent to."""
+    d, c = (keys >> np.uint64(8)).astype(np.int64) & 255, (keys >> np.uint64(16)).astype(np.int64) & 255
+    code = d * PARTS + c % PARTS
+    order = np.argsort(code, kind="stable")
+    found, at = np.unique(code[order], return_index=True)
+    for g, places in zip(found.tolist(), np.split(order, at[1:])):
+        yield g // PARTS, g % PARTS, places
+
+
+COUNTS = "lang long, d int, part int, side int, task long, keys binary, n binary"
+COUNT_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
-def in_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """doc_id, lang, text, half, block; ``half`` tells the language and, by its last bit, the half."""
-    enough = docs.groupBy(F.col("lang").alias("of")).agg(F.greatest(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / (2 * size)), F.lit(1)).alias("blocks"))
-    half = F.xxhash64("lang", F.col("lang").isNull()).bitwiseAND(F.lit(-2)).bitwiseOR(F.pmod(F.xxhash64("text"), F.lit(2)))
-    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.col("blocks")).cast("int")
-    return docs.select("doc_id", "lang", "text").join(F.broadcast(enough), F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", "lang", "text", half.alias("half"), block.alias("block"))
-
-
-def count_grams(blocks: DataFrame) -> DataFrame:
-    """half, block, h, gram, n: each block's n-grams, added up."""
-
-    def run(table):
-        hashes, counts, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, f"<U{LONG}")]
-        texts = [t for t in map(plain, table.column("text").to_pylist()) if t]
-        for a, b in slices(texts, 1_000_000):
-            points, at, h, _ = long_grams(texts[a:b])
-            found, first, n = np.unique(h, return_index=True, return_counts=True)
-            windows = np.lib.stride_tricks.sliding_window_view(points, LONG)[at[first] - LONG + 1]
-            hashes.append(found)
-            counts.append(n)
-            names.append(np.ascontiguousarray(windows).view(f"<U{LONG}").ravel())
-        found, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        n = np.bincount(which, np.concatenate(counts), len(found)).astype(np.int64)
-        same = lambda c: pa.array(np.full(len(found), table.column(c)[0].as_py()), table.schema.field(c).type)
-        return pa.table([same("half"), same("block"), pa.array(found), pa.array(np.concatenate(names)[first].tolist(), pa.string()), pa.array(n)], ["half", "block", "h", "gram", "n"])
-
-    return blocks.select("block", "half", "text").groupBy("half", "block").applyInArrow(run, "half long, block int, h long, gram string, n long")
-
-
-def discounts(table: DataFrame) -> DataFrame:
-    """By half, what is taken from counts of 1, 2 and more: half, one, two, more."""
-    n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == k), F.lit(1)) for k in range(1, 5))
+def count_grams(halved: DataFrame) -> DataFrame:
+    """lang, d, part, side, task, keys, n: sorted arrays of n-grams and their numbers, from each task."""
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        waiting: dict[int, list[bytes]] = {}
+        sizes: dict[int, int] = {}
+        held: dict[int, list] = {}
+
+        def counted(half):
+            held.setdefault(half, []).append(runs_of(gram_keys(waiting.pop(half))[0]))
+            sizes[half] = 0
+
+        def sent(half):
+            parts = held.pop(half)
+            keys, n = runs_of(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            rows = [(half & -2, d, part, half & 1, task, keys[at].tobytes(), n[at].astype(np.int64).tobytes()) for d, part, at in in_groups(keys)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), COUNT_KINDS)], [f.split()[0] for f in COUNTS.split(", ")])
+
+        for batch in batches:
+            for half, text in zip(batch.column("half").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                if not words:
+                    continue
+                waiting.setdefault(half, []).append(b" ".join(words))
+                sizes[half] = sizes.get(half, 0) + len(text)
+                if sizes[half] >= COUNTED:
+                    counted(half)
+                    if sum(len(k) for k, _ in held[half]) >= HELD:
+                        yield sent(half)
+        for half in list(waiting):
+            counted(half)
+        for half in list(held):
+            yield sent(half)
+
+    return halved.select("half", "text").mapInArrow(run, COUNTS)
+
+
+def numbers_in(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def in_rounds(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The counts with the arrays of many tasks merged, so that ``FAN`` of a group are left at most."""
+
+    def merge(key, table):
+        rows = []
+        for side in (0, 1):
+            mine = table.filter(pa.compute.equal(table.column("side"), side))
+            if mine.num_rows:
+                keys, n = runs_of(*(np.concatenate(numbers_in(mine.column(c), t)) for c, t in (("keys", np.uint64), ("n", np.int64))))
+                rows.append((*(k.as_py() for k in key[:3]), side, key[3].as_py(), keys.tobytes(), n.tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), COUNT_KINDS)], [f.split()[0] for f in COUNTS.split(", ")])
+
+    counts = scratch.keep(counts)
+    tasks = counts.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        counts = scratch.keep(counts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("lang", "d", "part", "task").applyInArrow(merge, COUNTS))
+    return counts
+
+
+def lower_grams(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of an order from distinct ones of the next, and how many of those each ends."""
+    return runs_of(keys & np.uint64((1 << 8 * order) - 1))
+
+
+def how_often(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+MERGED = "lang long, d int, part int, keys binary, n0 binary, n1 binary, seen array<long>, follow0 binary, follow1 binary"
+
+
+def merge_counts(counts: DataFrame) -> DataFrame:
+    """A row for each group: its n-grams, their numbers in each half, and what orders 1 and 2 and the discounts are made of."""
+
+    def run(key, table):
+        side = table.column("side").to_numpy()
+        keys, n = (numbers_in(table.column(c), t) for c, t in (("keys", np.uint64), ("n", np.int64)))
+        owner = np.repeat(side, [len(k) for k in keys])
+        keys, n = np.concatenate(keys), np.concatenate(n)
+        known, of = np.unique(keys, return_inverse=True)
+        both = [np.bincount(of, np.where(owner == s, n, 0), len(known)).astype(np.int64) for s in (0, 1)]
+        seen, follow = [], []
+        for count in both:
+            mine = known[count > 0]
+            four, n4 = lower_grams(mine, 4)
+            three, n3 = lower_grams(four, 3)
+            seen += how_often(count[count > 0]) + how_often(n4) + how_often(n3)
+            follow.append(np.bincount((three & np.uint64(255)).astype(np.int64), minlength=256).astype(np.int64).tobytes())
+        row = [*key, *(x.tobytes() for x in (known, *both)), seen, *follow]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.table([pa.array([x.as_py() if isinstance(x, pa.Scalar) else x], t) for x, t in zip(row, kinds)], [f.split()[0] for f in MERGED.split(", ")])
+
+    return counts.groupBy("lang", "d", "part").applyInArrow(run, MERGED)
+
+
+def discounts(seen) -> np.ndarray:
+    """What is taken from counts of 0, 1, 2 and more, from how many n-grams have the counts 1 to 4."""
+    n1, n2, n3, n4 = (max(1, x) for x in seen)
     y = n1 / (n1 + 2 * n2)
-    held = lambda x, most: F.greatest(F.least(x, F.lit(most)), F.lit(0.05))
-    return table.groupBy("half").agg(held(1 - 2 * y * n2 / n1, 0.95).alias("one"), held(2 - 3 * y * n3 / n2, 1.95).alias("two"), held(3 - 4 * y * n4 / n3, 2.95).alias("more"))
-
-
-def gram_scores(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """half, h, log_p: each n-gram of a half under the interpolated modified Kneser-Ney model of the other half."""
-    asked = scratch.keep(counts.groupBy("half", "h").agg(F.first("gram").alias("gram"), F.sum("n").alias("n")))
-    tables, wanted = {}, {}
-    for k in range(LONG, 0, -1):
-        last = F.substring("gram", 2, k).alias("gram")
-        tables[k] = asked.select(F.col("half").bitwiseXOR(F.lit(1)).alias("half"), "gram", "n") if k == LONG else scratch.keep(tables[k + 1].groupBy("half", last).agg(F.count("*").alias("n")))
-        wanted[k] = asked.select("half", "gram") if k == LONG else wanted[k + 1].select("half", last).distinct()
-    letters = tables[1].select("gram").distinct().count() + 1  # one for all others
-    scores = None
-    for k in range(1, LONG + 1):
-        off = F.when(F.col("n") == 1, F.col("one")).when(F.col("n") == 2, F.col("two")).otherwise(F.col("more"))
-        table = tables[k].join(F.broadcast(discounts(tables[k])), "half").select("half", "gram", "n", off.alias("off"))
-        known = table.select("half", "gram", (F.col("n") - F.col("off")).alias("rest"))
-        heads = table.groupBy("half", F.substring("gram", 1, k - 1).alias("head")).agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("left"))
-        heads = F.broadcast(heads) if k == 1 else heads
-        rows = wanted[k].withColumn("head", F.substring("gram", 1, k - 1)).withColumn("tail", F.substring("gram", 2, k))
-        rows = rows.join(known, ["half", "gram"], "left").join(heads, ["half", "head"], "left")
-        rows = rows.withColumn("lower", F.lit(1.0 / letters)) if k == 1 else rows.join(scores, ["half", "tail"])
-        p = F.coalesce(F.coalesce("rest", F.lit(0.0)) / F.col("total") + F.col("left") * F.col("lower"), F.col("lower"))
-        if k < LONG:
-            scores = scratch.keep(rows.select("half", F.col("gram").alias("tail"), p.alias("lower")))
-    return asked.select("half", "h", "gram").join(rows.select("half", "gram", F.log(p).alias("log_p")), ["half", "gram"]).select("half", "h", "log_p")
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
+
+
+BELOW = "of_lang long, of_d int, below binary, off array<double>"
+
+
+def low_orders(merged: DataFrame) -> DataFrame:
+    """For each language and ``d``: the probabilities of all bytes after it by orders 1 and 2, by half, and the discounts of orders 5, 4 and 3."""
+
+    def run(key, table):
+        seen = np.array(table.column("seen").to_pylist(), np.int64).sum(0).reshape(2, 3, 4)
+        d = table.column("d").to_numpy()
+        off = np.array([[discounts(s) for s in one] for one in seen])
+        out = np.empty((256, 2, 256))
+        for side in (0, 1):
+            pairs = np.zeros((256, 256), np.int64)
+            np.add.at(pairs, d, np.stack(numbers_in(table.column(f"follow{side}"), np.int64)))
+            single = (pairs > 0).sum(0)
+            p = np.full(256, 1 / 256)
+            for n in (single[None], pairs):
+                take = discounts(how_often(n))[np.minimum(n, 3)]
+                total = n.sum(1, keepdims=True)
+                p = np.where(total > 0, (n - take + take.sum(1, keepdims=True) * p) / np.maximum(total, 1), p)
+            out[:, side] = p
+        mine = np.unique(d)
+        names = [f.split()[0] for f in BELOW.split(", ")]
+        return pa.table([pa.array([key[0].as_py()] * len(mine), pa.int64()), pa.array(mine, pa.int32()), pa.array([out[x].tobytes() for x in mine], pa.binary()), pa.array([off.ravel().tolist()] * len(mine), pa.list_(pa.float64()))], names)
+
+    return merged.select("lang", "d", "seen", "follow0", "follow1").groupBy("lang").applyInArrow(run, BELOW)
+
+
+def interpolated(asked: np.ndarray, grams: np.ndarray, n: np.ndarray, take: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of an order for n-grams asked about, from its sorted n-grams, their counts, the discounts and the order below."""
+    if not len(grams):
+        return lower
+    at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+    hit = grams[at] == asked
+    off = take[np.minimum(n, 3)]
+    heads, first = np.unique(grams >> np.uint64(8), return_index=True)
+    total, left = np.add.reduceat(n, first), np.add.reduceat(off, first)
+    head = np.minimum(np.searchsorted(heads, asked >> np.uint64(8)), len(heads) - 1)
+    p = (np.where(hit, n[at] - off[at], 0.0) + left[head] * lower) / total[head]
+    return np.where(heads[head] == asked >> np.uint64(8), p, lower)
+
+
+def group_scores(known: np.ndarray, asks: np.ndarray, n: np.ndarray, below: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and log probabilities, of the n-grams of a group that a half asks for, by the counts ``n`` of the other."""
+    asked, grams, n = known[asks], known[n > 0], n[n > 0]
+    tables = [(grams, n)]
+    for order in (4, 3):
+        tables.append(lower_grams(tables[-1][0], order))
+    p = below[(asked & np.uint64(255)).astype(np.int64)]
+    for order, (gram, count), take in zip((3, 4, 5), tables[::-1], off[::-1]):
+        p = interpolated(asked & np.uint64((1 << 8 * order) - 1), gram, count, take, p)
+    h = mixed(asked)
+    order = np.argsort(h)
+    return h[order], np.log(p[order]).astype(np.float32)
+
+
+MODEL = "half long, d int, part int, h binary, log_p binary"
+
+
+def model_of(merged: DataFrame) -> DataFrame:
+    """half, d, part, h, log_p: the n-grams that the half's texts hold, under the model of the other half."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for lang, d, part, keys, n0, n1, below, off in zip(*(batch.column(c).to_pylist() for c in ("lang", "d", "part", "keys", "n0", "n1", "below", "off"))):
+                known, n = np.frombuffer(keys, np.uint64), [np.frombuffer(x, np.int64) for x in (n0, n1)]
+                below, off = np.frombuffer(below, np.float64).reshape(2, 256), np.array(off).reshape(2, 3, 4)
+                for side in (0, 1):
+                    h, log_p = group_scores(known, n[side] > 0, n[1 - side], below[1 - side], off[1 - side])
+                    rows.append((lang | side, d, part, h.tobytes(), log_p.tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], [f.split()[0] for f in MODEL.split(", ")])
+
+    match = (F.col("lang") == F.col("of_lang")) & (F.col("d") == F.col("of_d"))
+    ready = merged.join(low_orders(merged), match).select("lang", "d", "part", "keys", "n0", "n1", "below", "off")
+    return ready.mapInArrow(run, MODEL)
 
 
 def repeated_words(words: list[bytes], numbers: dict) -> int:
@@ -283,37 +343,122 @@ class Lookup:
         self.keys, self.values = keys[order], values[order]
         self.shift = np.uint64(64 - max(4, int(len(keys) * 4).bit_length()))
         self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
-        self.slots[(self.keys.view(np.uint64) >> self.shift).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+        self.slots[(self.keys >> self.shift).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slots[(keys.view(np.uint64) >> self.shift).astype(np.int64)]
+        at = self.slots[(keys >> self.shift).astype(np.int64)]
         missed = np.flatnonzero(self.keys[at] != keys)
         at[missed] = np.searchsorted(self.keys, keys[missed])
         return self.values[at]
 
 
-def score(blocks: DataFrame, grams: DataFrame) -> DataFrame:
-    """doc_id, lang, the base features and log_ppl (null without words) of each whole text; grams are (half, block, h, log_p)."""
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
+SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
+
+
+def scored_rows(doc_ids, langs, halves: np.ndarray, texts: list, lookup_of) -> pa.RecordBatch:
+    """The base features and log_ppl (null without words) of texts; ``lookup_of`` gives a half's look-up."""
+    rows: list = []
+    for a, b in slices(texts, 4_000_000):
+        split = [words_of(t) for t in texts[a:b]]
+        numbers = {w: k for k, w in enumerate({w for words in split for w in words})}
+        means: list = [None] * len(split)
+        for half in np.unique(halves[a:b]).tolist():
+            mine = [k for k in np.flatnonzero(halves[a:b] == half).tolist() if split[k]]
+            if mine:
+                keys, before = gram_keys([b" ".join(split[k]) for k in mine])
+                values = lookup_of(half)(mixed(keys)).astype(np.float64)
+                for k, x in zip(mine, (-np.add.reduceat(values, before) / np.diff(before, append=len(keys))).tolist()):
+                    means[k] = x
+        rows += [(*base_features(t or "", words, numbers), x) for t, words, x in zip(texts[a:b], split, means)]
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64()]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(langs, pa.string()), *cols], [f.split()[0] for f in SCORED.split(", ")])
+
+
+def score_by_broadcast(halved: DataFrame, model: DataFrame) -> DataFrame:
+    """Scores with the whole model in each worker; its size has been checked."""
+    arrays: dict[int, list] = {}
+    for row in model.select("half", "h", "log_p").collect():
+        arrays.setdefault(row.half, []).append((np.frombuffer(row.h, np.uint64), np.frombuffer(row.log_p, np.float32)))
+    held = halved.sparkSession.sparkContext.broadcast({half: tuple(map(np.concatenate, zip(*parts))) for half, parts in arrays.items()})
+
+    def run(batches):
+        lookups: dict[int, Lookup] = {}
+
+        def lookup_of(half):
+            if half not in lookups:
+                lookups[half] = Lookup(*held.value[half])
+            return lookups[half]
+
+        for batch in batches:
+            if batch.num_rows:
+                yield scored_rows(*(batch.column(c).to_pylist() for c in ("doc_id", "lang")), batch.column("half").to_numpy(), batch.column("text").to_pylist(), lookup_of)
+
+    return halved.mapInArrow(run, SCORED)
+
+
+def in_blocks(halved: DataFrame, size: int = BLOCK) -> DataFrame:
+    """block, half, docs: texts of a half, about ``size`` characters in a row, as compressed Arrow streams."""
+
+    def run(batches):
+        waiting: dict[int, list] = {}
+        sizes: dict[int, int] = {}
+
+        def packed(half):
+            table = pa.table(dict(zip(("doc_id", "lang", "text"), map(pa.array, zip(*waiting.pop(half)), (pa.int64(), pa.string(), pa.string())))))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            sizes[half] = 0
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([half], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "half", "docs"])
+
+        for batch in batches:
+            for half, *row in zip(*(batch.column(c).to_pylist() for c in ("half", "doc_id", "lang", "text"))):
+                waiting.setdefault(half, []).append(row)
+                sizes[half] = sizes.get(half, 0) + len(row[2] or "")
+                if sizes[half] >= size:
+                    yield packed(half)
+        for half in list(waiting):
+            yield packed(half)
+
+    return halved.select("half", "doc_id", "lang", "text").mapInArrow(run, "block string, half long, docs binary")
+
+
+def docs_in(stream) -> pa.Table:
+    return pa.ipc.open_stream(stream).read_all()
+
+
+def score_by_join(halved: DataFrame, model: DataFrame, scratch: Scratch, size: int = BLOCK) -> DataFrame:
+    """Scores blocks of texts, each with the values of its own n-grams, which are joined to the model's groups."""
+    blocks = scratch.keep(in_blocks(halved, size))
+
+    def ask(batches):
+        for batch in batches:
+            for block, half, stream in zip(*(batch.column(c).to_pylist() for c in ("block", "half", "docs"))):
+                texts = [b" ".join(w) for w in map(words_of, docs_in(stream).column("text").to_pylist()) if w]
+                known = runs_of(gram_keys(texts)[0])[0] if texts else np.zeros(0, np.uint64)
+                rows = [(block, half, d, part, known[at].tobytes()) for d, part, at in in_groups(known)]
+                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["block", "half", "d", "part", "asked"])
+
+    def answer(batches):
+        for batch in batches:
+            values = []
+            for asked, h, log_p in zip(*(numbers_in(batch.column(c), t) for c, t in (("asked", np.uint64), ("h", np.uint64), ("log_p", np.float32)))):
+                values.append(log_p[np.searchsorted(h, mixed(asked))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("asked"), pa.array(values, pa.binary())], ["block", "asked", "log_p"])
 
-    def run(table, known):
-        lookup = Lookup(known.column("h").to_numpy(), known.column("log_p").to_numpy())
-        texts, rows = table.column("text").to_pylist(), []
-        for a, b in slices(texts, 1_000_000):
-            split = [words_of(t) for t in texts[a:b]]
-            numbers = {w: k for k, w in enumerate({w for words in split for w in words})}
-            there = [b" ".join(words).decode("utf-8", "replace") for words in split if words]
-            means = iter(())
-            if there:
-                _, _, h, before = long_grams(there)
-                means = iter((-np.add.reduceat(lookup(h), before) / np.diff(before, append=len(h))).tolist())
-            rows += [(*base_features(t or "", words, numbers), next(means) if words else None) for t, words in zip(texts[a:b], split)]
-        kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64()]
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
-        return pa.table([table.column("doc_id"), table.column("lang"), *cols], [f.split()[0] for f in schema.split(", ")])
+    asked = blocks.mapInArrow(ask, "block string, half long, d int, part int, asked binary")
+    answers = asked.join(model, ["half", "d", "part"]).select("block", "asked", "h", "log_p").mapInArrow(answer, "block string, asked binary, log_p binary")
 
-    held = blocks.select("half", "block", "doc_id", "lang", "text").groupBy("half", "block")
-    return held.cogroup(grams.groupBy("half", "block")).applyInArrow(run, schema)
+    def score(block, known):
+        asked, log_p = (numbers_in(known.column(c), t) for c, t in (("asked", np.uint64), ("log_p", np.float32)))
+        lookup = Lookup(mixed(np.concatenate(asked)), np.concatenate(log_p)) if asked else None
+        docs = docs_in(block.column("docs")[0].as_py())
+        halves = np.full(docs.num_rows, block.column("half")[0].as_py())
+        return pa.Table.from_batches([scored_rows(docs.column("doc_id"), docs.column("lang"), halves, docs.column("text").to_pylist(), lambda _: lookup)])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def bounds(scored: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -325,13 +470,13 @@ def bounds(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     return found.select("of", (F.col("q")[0] - margin).alias("low"), (F.col("q")[1] + margin).alias("high"))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept, log_ppl."""
+def quality(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, n_words, the base counts, base_failed, kept, log_ppl, lang."""
     with Scratch(docs.sparkSession) as scratch:
-        blocks = in_blocks(docs)
-        counts = scratch.keep(count_grams(blocks))
-        grams = counts.select("half", "block", "h").join(gram_scores(counts, scratch), ["half", "h"])
-        scored = scratch.keep(score(blocks, grams))
+        halved = with_half(docs)
+        model = scratch.keep(model_of(scratch.keep(merge_counts(in_rounds(count_grams(halved), scratch)))))
+        n_bytes = model.agg(F.coalesce(F.sum(F.octet_length("h") + F.octet_length("log_p")), F.lit(0))).first()[0]
+        scored = scratch.keep(score_by_broadcast(halved, model) if n_bytes <= most_broadcast else score_by_join(halved, model, scratch))
         joined = scored.join(bounds(scored), F.col("lang").eqNullSafe(F.col("of")), "left")
         inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
         return scratch.result(joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "lang"))
