@@ -7,18 +7,20 @@ ends of a word.  A language's prototype bundles its training texts, each divided
 its number of trigrams so that no long text rules.  Texts get the language of
 the prototype of greatest cosine.
 
-Letters are lower-cased; a to z have classes of their own, other letters share
-``CLASSES`` - 27 by a hash of their code point, so there are at most ``CLASSES``
-to the third power trigrams.  Null texts, and texts without a letter, are
-``und`` with score 0; so is every text if nothing was learned.  Ties go to the
-language first in order.
+Letters are lower-cased, and every letter of every script has a vector of its
+own, drawn by its code point.  A worker numbers the trigrams it meets, and starts
+afresh at ``MOST_TRIGRAMS``.
+
+Null texts, and texts without a letter, are ``und`` with score 0; so is every text
+if nothing was learned.  Ties go to the language first in order.  Equal texts
+get equal results whatever their number, long texts are taken whole, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,72 +29,89 @@ from pyspark.sql import functions as F
 
 from .common import Memo, slices
 
-DIM, CLASSES, SEED = 1024, 64, 5
+DIM, SEED = 1024, 5
+MARK = "\0"  # stands at both ends of a word
 UNKNOWN = "und"
 SCALE = 1_000_000  # of the whole numbers that Spark adds up, so that sums don't depend on their order
 MOST_HELD = 64  # languages whose counts a task holds before it sends them on
+MOST_TRIGRAMS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def class_of(letter: str) -> int:
-    if "a" <= letter <= "z":
-        return ord(letter) - 96
-    return 27 + zlib.crc32(letter.encode("utf-8", "surrogatepass")) % (CLASSES - 27)
+@functools.lru_cache(maxsize=65_536)
+def letter_vector(letter: str) -> np.ndarray:
+    return np.random.default_rng([SEED, ord(letter)]).choice(np.array([-1, 1], np.int8), DIM)
 
 
-@functools.lru_cache(maxsize=1)
-def letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIM))
-
-
-def trigram_vectors(codes: np.ndarray) -> np.ndarray:
-    """A row of +1 and -1 for each trigram code."""
-    v = letter_vectors()
-    a, b, c = codes // (CLASSES * CLASSES), codes // CLASSES % CLASSES, codes % CLASSES
+def trigram_vectors(trigrams: list[str]) -> np.ndarray:
+    """A row of +1 and -1 for each trigram."""
+    letters = {c: k for k, c in enumerate(sorted(set("".join(trigrams))))}
+    v = np.stack([letter_vector(c) for c in letters]) if letters else np.zeros((0, DIM), np.int8)
+    a, b, c = np.array([[letters[x] for x in t] for t in trigrams], np.int64).reshape(-1, 3).T
     return np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]
 
 
-@functools.lru_cache(maxsize=4096)
-def cached_class(letter: str) -> int:
-    return class_of(letter)
-
-
-def word_codes(words: list[str]) -> list[bytes]:
-    """The trigram codes of each word's runs of letters, as int32 bytes."""
-    out = []
-    for word in words:
-        held = []
-        for run in LETTERS.findall(word.lower()):
-            k = [0, *(cached_class(c) for c in run if c.isalpha()), 0]
-            held += [(k[i] * CLASSES + k[i + 1]) * CLASSES + k[i + 2] for i in range(len(k) - 2)]
-        out.append(np.array(held, np.int32).tobytes())
-    return out
+class Trigrams:
+    """The trigrams a worker has met, by number, and those of words."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.words = Memo(self.word_codes)
+
+    def word_codes(self, words: list[str]) -> list[bytes]:
+        """The numbers of the trigrams of each word's runs of letters, as int32 bytes."""
+        numbers, out = self.numbers, []
+        for word in words:
+            held = []
+            for run in LETTERS.findall(word.lower()):
+                letters = run if run.isalpha() else "".join(filter(str.isalpha, run))
+                if letters:
+                    x = MARK + letters + MARK
+                    held += [numbers.setdefault(x[i : i + 3], len(numbers)) for i in range(len(letters))]
+            out.append(np.array(held, np.int32).tobytes())
+        return out
+
+    def codes_of(self, texts: list) -> list[np.ndarray]:
+        """The numbers of each text's trigrams."""
+        words = [(t or "").split() for t in texts]
+        self.words.learn(w for own in words for w in own)
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, own)), np.int32) for own in words]
+
+    def is_full(self) -> bool:
+        return len(self.numbers) > MOST_TRIGRAMS
+
+    def vectors(self, used: np.ndarray) -> np.ndarray:
+        names = list(self.numbers)
+        return trigram_vectors([names[k] for k in used.tolist()])
+
+    def bundles(self, codes: list[np.ndarray]) -> np.ndarray:
+        """The texts' vectors: their counts of the trigrams that occur, times those trigrams' vectors."""
+        there = np.zeros(len(self.numbers), bool)
+        for c in codes:
+            there[c] = True
+        used = np.flatnonzero(there)
+        out = np.zeros((len(codes), DIM), np.float32)
+        place = np.cumsum(there) - 1
+        for a in range(0, len(used), 16_384):
+            part = used[a : a + 16_384]
+            vectors = self.vectors(part).astype(np.float32)
+            for k in range(0, len(codes), 256):
+                counts = np.stack([np.bincount(place[c], minlength=len(used))[a : a + 16_384] for c in codes[k : k + 256]]).astype(np.float32)
+                out[k : k + 256] += counts @ vectors
+        return out
 
 
 @functools.lru_cache(maxsize=1)
-def word_memo() -> Memo:
-    return Memo(word_codes)
-
-
-def codes_of(texts: list) -> list[np.ndarray]:
-    """Each text's trigram codes."""
-    memo = word_memo()
-    words = [(t or "").split() for t in texts]
-    memo.learn(w for own in words for w in own)
-    return [np.frombuffer(b"".join(map(memo.__getitem__, own)), np.int32) for own in words]
+def worker_trigrams() -> list[Trigrams]:
+    """What a Python worker knows, from task to task."""
+    return [Trigrams()]
 
 
-def bundles(codes: list[np.ndarray]) -> np.ndarray:
-    """The texts' vectors: their counts of the trigrams that occur, times those trigrams' vectors."""
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-    there = np.zeros(CLASSES**3, bool)
-    there[flat] = True
-    used = np.flatnonzero(there)
-    place = np.zeros(CLASSES**3, np.int32)
-    place[used] = np.arange(len(used))
-    vectors = trigram_vectors(used).astype(np.float32)
-    counts = np.stack([np.bincount(place[c], minlength=len(used)) for c in codes]).astype(np.float32) if codes else np.zeros((0, 0), np.float32)
-    return counts @ vectors if len(used) else np.zeros((len(codes), DIM), np.float32)
+def trigrams() -> Trigrams:
+    held = worker_trigrams()
+    if held[0].is_full():
+        held[0] = Trigrams()
+    return held[0]
 
 
 def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -102,29 +121,36 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     the driver receives ``DIM`` numbers for each language.
     """
 
-    def flushed(counts: dict[str, np.ndarray]):
+    def flushed(known: Trigrams, counts: dict[str, np.ndarray]):
         for lang, n in counts.items():
             used, total = np.flatnonzero(n), np.zeros(DIM)
             for k in range(0, len(used), 8192):
                 part = used[k : k + 8192]
-                total += n[part] @ trigram_vectors(part).astype(np.float64)
+                total += n[part] @ known.vectors(part).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM)), pa.array(np.rint(total * SCALE).astype(np.int64))], ["lang", "dim", "x"])
         counts.clear()
 
     def bundle(batches):
         counts: dict[str, np.ndarray] = {}  # bundling adds up, so trigrams are counted first
+        known = trigrams()
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in slices(texts, 1_000_000):
-                codes = codes_of(texts[a:b])
+                if known.is_full():
+                    yield from flushed(known, counts)
+                    known = trigrams()
+                codes = known.codes_of(texts[a:b])
                 for lang in set(langs[a:b]):
                     mine = [c for c, k in zip(codes, langs[a:b]) if k == lang]
                     own = np.concatenate(mine)
                     share = np.concatenate([np.full(len(c), 1 / max(1, len(c))) for c in mine])
                     if lang not in counts and len(counts) >= MOST_HELD:
-                        yield from flushed(counts)
-                    counts[lang] = counts.get(lang, 0) + np.bincount(own, share, CLASSES**3)
-        yield from flushed(counts)
+                        yield from flushed(known, counts)
+                    n = np.bincount(own, share, len(known.numbers))
+                    before = counts.get(lang, n[:0])
+                    n[: len(before)] += before
+                    counts[lang] = n
+        yield from flushed(known, counts)
 
     parts = training.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(bundle, "lang string, dim long, x long")
     found = parts.groupBy("lang", "dim").agg(F.sum("x").alias("x")).toPandas()
@@ -150,14 +176,15 @@ def predict(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> DataF
             row = batch.column("row")
             texts = row.field("text").to_pylist()
             for a, b in slices(texts, 1_000_000):
-                codes = codes_of(texts[a:b])
-                sums = bundles(codes)
+                known = trigrams()
+                codes = known.codes_of(texts[a:b])
+                sums = known.bundles(codes)
                 length = np.linalg.norm(sums, axis=1, keepdims=True)
                 cosines = (sums / np.maximum(length, 1e-9)) @ table.T if names else np.zeros((b - a, 1))
-                known = np.array([len(c) > 0 for c in codes]) & bool(names)
+                real = np.array([len(c) > 0 for c in codes]) & bool(names)
                 best = cosines.argmax(1)
                 top = np.clip(cosines.max(1), 0, 1)
-                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, known)]), pa.array(np.where(known, top, 0.0).astype(np.float64))], ["row", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, real)]), pa.array(np.where(real, top, 0.0).astype(np.float64))], ["row", "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
 
