@@ -1,8 +1,9 @@
 """Tool-call linking in conversations, with DataFrame functions only.
 
 Turns are rows (conv_id, turn, role, text).  An assistant's text that is a JSON
-object with ``tool_calls`` makes calls: objects with id, name, arguments (an object)
-and, optionally, depends_on (ids of calls whose results it uses).  A tool's text
+object with ``tool_calls`` makes calls: objects with id, name, arguments (an object,
+or its JSON as a string) and, optionally, depends_on (ids of calls whose results it
+uses); its own ``content``, where it isn't null, is a message beside them.  A tool's text
 that is a JSON object with ``tool_call_id`` is a result, with its ``content``.  Every
 other turn is a message, JSON or not.
 
@@ -10,14 +11,16 @@ Calls are hash-joined to results by conversation and identifier.  A call's level
 is 0, or one more than the highest level it depends on; calls in a cycle, or
 after one, have none.  Identifiers that no call has are no obstacle, but make
 the call invalid.  Arguments are checked against schemas (tool, param, type,
-required), type being string, integer, number, boolean, array or object.
+required), type being string, integer, number, boolean, array or object; null is
+allowed for an argument that isn't required.
 
 One row for each message, call and result comes out, with its canonical JSON: keys
 in order, no white space.  Nothing gathers a conversation in one task, so one of
 any length is spread over many.  Rows order a conversation by turn, level
 and ordinal.
 
-Null texts and roles are null in the JSON; empty tables give no rows; rows that
+Null texts and roles are null in the JSON; a null conversation is one like others,
+and so is a call without an identifier; empty tables give no rows; rows that
 repeat give repeated rows; of several results with one identifier the first
 turn's is linked, and of several calls with one identifier each is linked to it.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
+CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: What schema_of_variant says of a value, for each type a schema may name.
 TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
@@ -39,43 +42,81 @@ def split_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages, calls and results."""
     start = F.ltrim("text")
     whole = turns.select("conv_id", "turn", "role", "text")
-    parsed = whole.withColumn("made", F.when((F.col("role") == "assistant") & start.startswith("{"), F.from_json("text", CALLS)["tool_calls"])).withColumn(
+    parsed = whole.withColumn("made", F.when((F.col("role") == "assistant") & start.startswith("{"), F.from_json("text", CALLS))).withColumn(
         "got", F.when((F.col("role") == "tool") & start.startswith("{"), F.from_json("text", RESULT))
     )
-    is_call = F.coalesce(F.size("made") > 0, F.lit(False))
+    is_call = F.coalesce(F.size("made.tool_calls") > 0, F.lit(False))
     is_result = F.col("got.tool_call_id").isNotNull()
-    messages = parsed.where(~is_call & ~is_result).select("conv_id", "turn", "role", "text")
-    calls = parsed.where(is_call).select("conv_id", "turn", F.posexplode("made").alias("ordinal", "c"))
+    said = F.when(is_call, F.col("made.content")).otherwise(F.col("text"))
+    messages = parsed.where((~is_call & ~is_result) | (is_call & F.col("made.content").isNotNull())).select("conv_id", "turn", "role", said.alias("text"))
+    calls = parsed.where(is_call).select("conv_id", "turn", F.posexplode("made.tool_calls").alias("ordinal", "c"))
     calls = calls.select("conv_id", "turn", "ordinal", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.try_parse_json("c.arguments").alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
     results = parsed.where(is_result).select("conv_id", "turn", F.col("got.tool_call_id").alias("call_id"), F.col("got.content").alias("content"))
     return messages, calls, results
 
 
+def same(*names: str):
+    """Equality of each of the columns with that of the same name and ``of_`` before it; nulls are equal."""
+    out = F.lit(True)
+    for name in names:
+        out = out & F.col(name).eqNullSafe(F.col(f"of_{name}"))
+    return out
+
+
+def as_other(table: DataFrame, *names: str) -> DataFrame:
+    return table.withColumnsRenamed({name: f"of_{name}" for name in names})
+
+
 def with_levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds level, by rounds: a call is placed once all the known calls that it depends on are; and missing, its unknown identifiers."""
-    named = calls.select("conv_id", "call_id").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs")).distinct()
-    known = scratch.keep(edges.join(named.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]))
-    missing = edges.join(named.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti").groupBy("conv_id", "call_id").agg(F.count("*").alias("missing"))
-    first = named.join(known.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    placed = scratch.keep(first.withColumn("level", F.lit(0)))
-    while not known.isEmpty():
-        level = placed.select("conv_id", F.col("call_id").alias("needs"), "level")
-        ready = known.join(level, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.max("level").alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("open"))
-        ready = scratch.keep(ready.where("open = 0").select("conv_id", "call_id", (F.col("level") + 1).alias("level")))
+    """Adds level; and missing, the number of unknown identifiers.
+
+    Chains of calls with one known need each are shortened by pointer jumping: in each
+    round a call points as far again, so a chain takes the logarithm of its
+    length.  What is left, calls of several needs, is placed by rounds, one for each level of those.
+    """
+    key = ("conv_id", "call_id")
+    named = scratch.keep(calls.select(*key).distinct())
+    edges = scratch.keep(calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("needs")).distinct())
+    of = as_other(named.withColumnRenamed("call_id", "needs"), "conv_id", "needs")
+    known = scratch.keep(edges.join(of, same("conv_id", "needs"), "left_semi"))
+    missing = edges.join(of, same("conv_id", "needs"), "left_anti").groupBy(*key).agg(F.count("*").alias("missing"))
+    fan = known.groupBy(*key).agg(F.count("*").alias("fan"), F.min("needs").alias("needs"))
+    # Where each call of one need leads, and how far: to the first call of none or of several.
+    jumps = scratch.keep(fan.where("fan = 1").select(*key, "needs", F.lit(1).cast("long").alias("far")))
+    rounds = jumps.count().bit_length()
+    for _ in range(rounds):
+        onward = as_other(jumps.withColumnRenamed("far", "more").withColumnRenamed("needs", "next"), *key)
+        match = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & F.col("needs").eqNullSafe(F.col("of_call_id"))
+        step = jumps.join(onward, match, "left")
+        jumped = scratch.keep(step.select(*key, F.when(F.col("more").isNull(), F.col("needs")).otherwise(F.col("next")).alias("needs"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("more").isNotNull().alias("moved")))
+        jumps = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            break
+    ends = named.join(as_other(jumps.select(*key), *key), same(*key), "left_anti")
+    heads = ends.join(as_other(fan.select(*key), *key), same(*key), "left_anti")
+    placed = scratch.keep(heads.withColumn("level", F.lit(0).cast("long")))
+    # A need of a call of several needs is that call's, or the end of its chain and the way there.
+    several = known.join(as_other(fan.where("fan > 1").select(*key), *key), same(*key), "left_semi")
+    onward = as_other(jumps.withColumnRenamed("needs", "end"), *key)
+    match = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & F.col("needs").eqNullSafe(F.col("of_call_id"))
+    open_ = scratch.keep(several.join(onward, match, "left").select(*key, F.when(F.col("far").isNull(), F.col("needs")).otherwise(F.col("end")).alias("needs"), (F.coalesce("far", F.lit(0)) + 1).alias("far")))
+    while not open_.isEmpty():
+        level = placed.select(F.col("conv_id").alias("of_conv_id"), F.col("call_id").alias("of_needs"), "level")
+        ready = open_.join(level, same("conv_id", "needs"), "left").groupBy(*key).agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("open"))
+        ready = scratch.keep(ready.where("open = 0").select(*key, "level"))
         if ready.isEmpty():
             break
         placed = scratch.keep(placed.unionByName(ready))
-        known = scratch.keep(known.join(ready, ["conv_id", "call_id"], "left_anti"))
-    out = joined(joined(calls, placed), missing)
+        open_ = scratch.keep(open_.join(as_other(ready.select(*key), *key), same(*key), "left_anti"))
+    level = placed.select(F.col("conv_id").alias("of_conv_id"), F.col("call_id").alias("of_needs"), "level")
+    chained = jumps.join(level, same("conv_id", "needs")).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    out = joined(joined(calls, placed.unionByName(chained).withColumn("level", F.col("level").cast("int"))), missing)
     return out.withColumn("missing", F.coalesce("missing", F.lit(0)))
 
 
 def joined(calls: DataFrame, other: DataFrame) -> DataFrame:
-    """Left-joins a table with a row for each (conv_id, call_id); a null conversation is one like others."""
-    other = other.withColumnsRenamed({"conv_id": "of_conv", "call_id": "of_call"})
-    match = F.col("conv_id").eqNullSafe(F.col("of_conv")) & F.col("call_id").eqNullSafe(F.col("of_call"))
-    return calls.join(other, match, "left").drop("of_conv", "of_call")
+    """Left-joins a table with a row for each (conv_id, call_id); a null is equal to another."""
+    return calls.join(as_other(other, "conv_id", "call_id"), same("conv_id", "call_id"), "left").drop("of_conv_id", "of_call_id")
 
 
 def with_validity(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -92,7 +133,7 @@ def with_validity(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         F.when(F.col("given").isNull(), "arguments are no object"),
         F.when(F.exists("params", lambda p: p["required"] & ~F.array_contains(keys, p["param"])), "parameter missing"),
         F.when(F.exists(keys, lambda k: ~F.exists("params", lambda p: p["param"] == k)), "unknown parameter"),
-        F.when(F.exists(F.arrays_zip("params", "types"), lambda z: F.array_contains(keys, z["params"]["param"]) & ~F.coalesce(F.rlike(z["types"], z["params"]["type"]), F.lit(False))), "wrong type"),
+        F.when(F.exists(F.arrays_zip("params", "types"), lambda z: F.array_contains(keys, z["params"]["param"]) & (z["params"]["required"] | (z["types"] != "VOID")) & ~F.coalesce(F.rlike(z["types"], z["params"]["type"]), F.lit(False))), "wrong type"),
         F.when(F.col("missing") > 0, "unknown identifier"),
         F.when(F.col("level").isNull(), "cycle"),
     ]
@@ -106,11 +147,12 @@ def canonical(*fields: tuple[str, object]) -> F.Column:
 
 def link_tool_calls(turns: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, turn, kind, level, ordinal, call_id, linked_turn, problems, json."""
-    scratch = Scratch(turns.sparkSession)
     messages, calls, results = split_turns(turns)
     answer = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
-    checked = with_validity(with_levels(calls, scratch), schemas)
-    answered = joined(checked, answer)
+    with Scratch(turns.sparkSession) as scratch:
+        calls = scratch.keep(calls)
+        checked = with_validity(with_levels(calls, scratch), schemas)
+        answered = scratch.result(joined(checked, answer))
     none = lambda kind: F.lit(None).cast(kind)
     rows = [
         messages.select("conv_id", "turn", F.lit("message").alias("kind"), F.lit(0).alias("level"), F.lit(0).alias("ordinal"), none("string").alias("call_id"), none("long").alias("linked_turn"), F.array().cast("array<string>").alias("problems"), canonical(("turn", "turn"), ("role", "role"), ("content", "text")).alias("json")),
