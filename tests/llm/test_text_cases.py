@@ -170,15 +170,81 @@ def test_tool_calls(spark):
 # 5: quality.
 
 
-def test_kneser_ney_sums_to_one():
-    words = [b"the", b"then", b"there", b"a", b"ab", b"abc", b"zebra", b"the", b"The.", "é日".encode()]
-    codes, _ = perplexity.gram_table(words)
-    assert sorted(codes.tolist()) == sorted(int(c) for w in words for c in perplexity.word_grams(w))
-    grams, n = np.unique(codes, return_counts=True)
-    model = perplexity.KneserNey(grams, n)
-    for head in (0, int(grams[5] // perplexity.CLASSES), 12_345):
-        p = np.exp(model.log_p(head * perplexity.CLASSES + np.arange(perplexity.CLASSES)))
-        assert abs(p.sum() - 1) < 1e-5
+class BruteKneserNey:
+    """Interpolated modified Kneser-Ney over bytes, in dictionaries."""
+
+    def __init__(self, texts):
+        top = {}
+        for t in texts:
+            x = b"\n" * 4 + t + b"\n"
+            for k in range(4, len(x)):
+                top[x[k - 4 : k + 1]] = top.get(x[k - 4 : k + 1], 0) + 1
+        self.n = {5: top}
+        for order in (4, 3, 2, 1):
+            self.n[order] = {}
+            for gram in self.n[order + 1]:
+                self.n[order][gram[1:]] = self.n[order].get(gram[1:], 0) + 1
+        self.off, self.heads = {}, {}
+        for order, table in self.n.items():
+            n1, n2, n3, n4 = (max(1, sum(v == k for v in table.values())) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+            self.off[order] = [0] + [min(max(x, 0.05), k + 0.95) for k, x in enumerate(raw)]
+            for gram, v in table.items():
+                head = self.heads.setdefault(gram[:-1] if order > 1 else b"", [0, 0.0]) if order > 1 else self.heads.setdefault(b"", [0, 0.0])
+                head[0] += v
+                head[1] += self.off[order][min(v, 3)]
+
+    def p(self, gram):
+        if not gram:
+            return 1 / 256
+        lower = self.p(gram[1:])
+        if gram[:-1] not in self.heads:
+            return lower
+        total, left = self.heads[gram[:-1]]
+        v = self.n[len(gram)].get(gram, 0)
+        return (v - self.off[len(gram)][min(v, 3)] + left * lower) / total
+
+    def mean(self, text):
+        x = b"\n" * 4 + text + b"\n"
+        return -sum(np.log(self.p(x[k - 4 : k + 1])) for k in range(4, len(x))) / (len(text) + 1)
+
+
+@pytest.mark.parametrize("most_broadcast", [perplexity.MOST_BROADCAST, 0])
+def test_perplexity_equals_brute_force(spark, most_broadcast):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice(["ka", "lo", "mé", "日", "te"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + [None, "", " \n", "a", "x" * 500]
+    texts += texts[:5]
+    langs = [rng.choice(["en", "fr", None]) for _ in texts]
+    df = docs(spark, *texts, langs=langs).repartition(5)
+    halves = {r.doc_id: (r.half, r.text) for r in perplexity.with_half(df).collect()}
+    rows = {r.doc_id: r for r in perplexity.quality(df, most_broadcast).collect()}
+    assert len(rows) == len(texts)
+    models = {}
+    for k, (half, text) in halves.items():
+        words = perplexity.words_of(text)
+        if not words:
+            assert rows[k].log_ppl is None and not rows[k].kept
+            continue
+        if half not in models:
+            models[half] = BruteKneserNey([b" ".join(w) for h, t in halves.values() if h == half ^ 1 and (w := perplexity.words_of(t))])
+        assert abs(rows[k].log_ppl - models[half].mean(b" ".join(words))) < 1e-4
+    for lang in set(langs):
+        own = sorted(round(rows[k].log_ppl, 3) for k in rows if langs[k] == lang and not rows[k].base_failed)
+        low, high = (np.quantile(own, q) for q in (0.25, 0.75)) if own else (0, 0)
+        margin = perplexity.WIDTH * (high - low)
+        for k in rows:
+            if langs[k] == lang:
+                assert rows[k].kept == (not rows[k].base_failed and low - margin <= rows[k].log_ppl <= high + margin)
+
+
+def test_arrays_of_many_tasks_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "FAN", 2)
+    df = docs(spark, *[f"some text {k} and {k * k} more" for k in range(40)]).repartition(7)
+    with common.Scratch(spark) as scratch:
+        found = perplexity.in_rounds(perplexity.count_grams(perplexity.with_half(df)), scratch)
+        assert found.agg(F.max("task")).first()[0] <= 1
+        assert found.groupBy("lang", "d", "part", "side", "task").count().where("count > 1").count() == 0
 
 
 def brute_repeats(words):
@@ -256,13 +322,47 @@ def test_language_id(spark):
     assert langid.identify(docs(spark, "x").where("doc_id < 0")).count() == 0
 
 
-def test_prototypes_bundle_the_texts_vectors(spark):
-    texts = ["the thing", "and then", "eau de vie"]
-    names, vectors = langid.prototypes(docs(spark, *texts, langs=["en", "en", "fr"]))
-    sums = langid.bundles(langid.codes_of(texts))
-    sizes = [len(c) for c in langid.codes_of(texts)]
-    want = np.stack([sums[0] / sizes[0] + sums[1] / sizes[1], sums[2] / sizes[2]]).astype(float)
-    assert names == ["en", "fr"] and np.allclose(vectors, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-5)
+def brute_vector(text):
+    """The text's vector, trigram by trigram."""
+    import re
+
+    total, n = np.zeros(langid.DIM), 0
+    for word in (text or "").split():
+        for run in re.findall(r"[^\W\d_]+", word.lower()):
+            x = "\0" + run + "\0"
+            for k in range(len(run)):
+                a, b, c = (langid.letter_vector(p).astype(int) for p in x[k : k + 3])
+                total += np.roll(a, 2) * np.roll(b, 1) * c
+                n += 1
+    return total, n
+
+
+def test_languages_equal_brute_force(spark):
+    texts = ["the thing", "and then", "eau de vie", "日本語 です", "日本 は", "ßung", "the the", None, "12", "привет мир", "мир"]
+    langs = ["en", "en", "fr", "ja", "ja", "de", None, "en", None, "ru", None]
+    names, vectors = langid.prototypes(docs(spark, *texts, langs=langs).repartition(3))
+    want = {}
+    for text, lang in zip(texts, langs):
+        total, n = brute_vector(text)
+        if lang and n:
+            want[lang] = want.get(lang, 0) + total / n
+    assert names == sorted(want)
+    table = np.stack([want[k] / np.linalg.norm(want[k]) for k in names])
+    assert np.allclose(vectors, table, atol=1e-5)
+    rows = {r.row.doc_id: r for r in langid.predict(docs(spark, *texts, langs=langs), names, vectors).collect()}
+    for k, text in enumerate(texts):
+        total, n = brute_vector(text)
+        cosines = table @ total / max(np.linalg.norm(total), 1e-9)
+        assert (rows[k].lang_pred, round(rows[k].score, 4)) == ((names[cosines.argmax()], round(float(max(cosines.max(), 0)), 4)) if n else ("und", 0))
+
+
+def test_languages_when_the_memory_starts_afresh(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_TRIGRAMS", 3)
+    known = langid.Trigrams()
+    codes = known.codes_of(["some words here", "others"])
+    assert known.is_full()
+    for got, text in zip(known.bundles(codes), ["some words here", "others"]):
+        assert np.array_equal(got, brute_vector(text)[0])
 
 
 # 7: near duplicates.
