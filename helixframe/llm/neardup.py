@@ -13,18 +13,23 @@ as their Jaccard similarity.
 3. The similarity of a pair is estimated by maximum likelihood from how many
    registers are greater, less and equal; pairs far below the threshold go.
    The others are verified on the full sets.
-4. Verified links are contracted to components.  Buckets whose other members
-   still fall into several components are compared block by block, each
-   pair of blocks in a task of its own, and links across components are added.
+4. Verified links are contracted to components.  Members of buckets that still
+   hold several components are compared by an exact filter: a set's shingles are
+   ordered from the rarest among these members to the commonest, and two sets whose
+   first common shingle leaves too few after it can't be linked.  So sets meet only
+   on their rare shingles, texts of one source with many others like it included,
+   and the pairs that pass are verified on the full sets.
 
 A pair at the threshold shares no bucket with a probability of
 (1 - threshold**ROWS)**BANDS: 4e-7 at 0.85 and 5e-5 at 0.8; components usually
-have many links.  Nothing else is lost: buckets have no cap.
+have many links.  Nothing else is lost: buckets have no cap, and no bucket or
+component is ever gathered in one task.
 
 Texts with fewer than ``width`` words have the whole sequence as one shingle.
 Null texts and texts without words have the empty set and are linked with
 nothing, nor are rows without a doc_id.  Rows that repeat a doc_id with other
-texts are one node of the graph, with the links of any of them.
+texts are one node of the graph, with the links of any of them.  Ties go to the
+least doc_id; long texts are compared whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, Scratch, slices
@@ -43,7 +48,7 @@ BANDS = REGISTERS // ROWS
 BASE = 1.02
 OFFSET = 1024  # keeps registers of sets of any size above 0
 SLACK = 0.2  # of the estimate: more than five of its deviations
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+PAIRS_A_PART = 1024  # pairs that share a pivot and are verified together
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -185,22 +190,30 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes) of one document for each id."""
-    chosen = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    """id, which (a hash of the set), shingles (sorted 64-bit hashes) of the documents of some ids."""
+    chosen = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts, 2_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b], width)], pa.binary())], ["id", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(texts[a:b], width)]
+                which = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(which), pa.array(sets, pa.binary())], ["id", "which", "shingles"])
 
-    return chosen.mapInArrow(run, "id long, shingles binary")
+    return chosen.mapInArrow(run, "id long, which long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets pass the threshold."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """The pairs whose full sets pass the threshold; the set of a ``b`` of many pairs is copied for each ``PAIRS_A_PART`` of them."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_PART).alias("parts"))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(parts, "b")
+    right = right.select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(left, "a").join(right, ["b", "part"])
 
     def run(batches):
         for batch in batches:
@@ -232,54 +245,45 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components inside buckets: members has (key, id, comp, parts), parts the bucket's number of blocks."""
-    block = F.pmod(F.xxhash64("id"), F.col("parts"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = members.withColumn("block", block).select("key", "id", "comp", "block", F.explode(others).alias("at"))
-    ready = dealt.join(sets, "id").select("key", "at.i", "at.j", "block", "id", "comp", "shingles")
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, comp of the members (key, id) of buckets that hold several components."""
+    own = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # of an id, ``BANDS`` at most
+    named = own.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), F.explode("keys").alias("key"))
+    several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return named.join(several, "key", "left_semi").select("id", "comp").distinct()
 
-    def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-        found = links_between(ids, comp, block == i, block == j, [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return ready.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+def shingle_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, which, comp, n, shingle: a row for each shingle of the members (id, comp)."""
+    schema = "id long, which long, comp long, n long, shingle long"
 
+    def run(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            if sets:
+                n = np.array([len(x) for x in sets])
+                whole = [np.repeat(batch.column(c).to_numpy(), n) for c in ("id", "which", "comp")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*whole, np.repeat(n, n), np.concatenate(sets)))], [f.split()[0] for f in schema.split(", ")])
 
-def links_between(ids, comp, left, right, sets, percent: int) -> list[tuple[int, int]]:
-    """Links between the left and right members that join different components, as few as join them."""
-    n = np.array([len(s) for s in sets], np.int64)
-    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    _, code, count = np.unique(items, return_inverse=True, return_counts=True)
-    several = count[code] > 1
-    _, code = np.unique(code[several], return_inverse=True)
-    owner = owner[several]
-    rows, cols = np.flatnonzero(left), np.flatnonzero(right)
-    common = np.zeros((len(rows), len(cols)))
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for a in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-        lo, hi = np.searchsorted(code, [a, a + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[lo:hi], code[lo:hi] - a] = 1
-        common += part[rows] @ part[cols].T
-    hit = linked(common, n[rows][:, None], n[cols][None, :], percent) & (comp[rows][:, None] != comp[cols][None, :])
-    root: dict = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
+    return members.join(sets, "id").select("id", "which", "comp", "shingles").mapInArrow(run, schema)
 
-    out = []
-    for r, c in zip(*np.nonzero(hit)):
-        x, y = find(comp[rows[r]]), find(comp[cols[c]])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(ids[rows[r]]), int(ids[cols[c]])))
-    return out
+
+def reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that may be linked; every link between them is among these.
+
+    A set's shingles are counted down, from the rarest: ``left`` is how many there
+    are from one to the commonest.  Two linked sets share as many as their
+    first common shingle has ``left`` in both.  Shingles of a single member take no part but as ones before.
+    """
+    rows = shingle_rows(members, sets)
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    down = Window.partitionBy("id", "which").orderBy(F.col("often").desc(), F.col("shingle").desc())
+    placed = rows.join(often, "shingle").withColumn("left", F.row_number().over(down).cast("long"))
+    first = placed.where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n")).select("shingle", "id", "comp", "n", "left")
+    other = first.withColumnsRenamed({c: f"of_{c}" for c in first.columns})
+    enough = F.lit(100 + percent) * F.least("left", "of_left") >= F.lit(percent) * (F.col("n") + F.col("of_n"))
+    match = (F.col("shingle") == F.col("of_shingle")) & (F.col("id") < F.col("of_id")) & (F.col("comp") != F.col("of_comp")) & enough
+    return first.join(other, match).select(F.col("of_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -291,23 +295,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         real = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         classes = scratch.keep(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
         placed = scratch.keep(buckets(classes))
-        who = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
-        full = scratch.keep(placed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows"), who).where("rows > 1"))
-        pivots = full.select("key", "pivot")
-        star = placed.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        full = scratch.keep(placed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1"))
+        star = placed.join(full.select("key", "pivot"), "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
         pairs = scratch.keep(plausible(star, classes, percent).distinct())
-        # Buckets with the same members besides the pivot are looked at once.
-        others = full.where("rows > 2").select("key", "pivot", "rows", (F.col("who") - F.xxhash64("pivot").cast("decimal(38,0)")).alias("who"))
-        once = scratch.keep(others.groupBy("rows", "who").agg(F.min(F.struct("key", "pivot")).alias("x")).select("x.key", "x.pivot"))
-        members = scratch.keep(placed.join(once, "key").where("id <> pivot").select("key", "id"))
+        members = scratch.keep(placed.join(full.where("rows > 2").select("key"), "key", "left_semi").select("key", "id").distinct())
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
         sets = scratch.keep(sets_of(narrow, scratch.keep(wanted), width))
+        if not sets.groupBy("id", "which").count().where("count > 1").isEmpty():  # rows that repeat a doc_id and its text
+            sets = scratch.keep(sets.dropDuplicates(["id", "which"]))
         links = scratch.keep(verified(pairs, sets, percent))
         labels = components(links, scratch)
-        own = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(classes.select("id", "n"), "id")
-        size = own.groupBy("key").agg(F.count_distinct("comp").alias("comps"), F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).alias("parts")).where("comps > 1").drop("comps")
-        open_ = scratch.keep(own.join(size, "key").select("key", "id", "comp", "parts"))
-        more = scratch.keep(across_components(open_, sets, percent))
+        far = scratch.keep(reachable(scratch.keep(open_members(members, labels)), sets, percent))
+        more = scratch.keep(verified(far, sets, percent))
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
         named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"))
