@@ -133,38 +133,154 @@ class Chunks:
         self.pieces.learn(itertools.chain.from_iterable(heads))
         return [[self.pieces[p] for p in head] + ([] if bad else found) for head, bad, found in zip(heads, odd, rest)]
 
-    def ids(self, texts) -> list[np.ndarray]:
-        """The ids of each text of an Arrow array, where ``make`` gives them as bytes of unsigned 32-bit numbers.
-
-        Arrow cuts the texts and numbers their distinct stretches, so Python sees
-        each once, and numpy lays the ids out.
-        """
-        texts = pc.fill_null(texts, "")
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
-        borders = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        numbered = cut.flatten().dictionary_encode()
-        known = numbered.dictionary.to_pylist()
-        self.stretches.learn(known)
-        found = list(map(self.stretches.__getitem__, known))
-        odd = np.array([f is None for f in found], bool)
-        table = np.frombuffer(b"".join([f or b"" for f in found]), np.uint32)
-        sizes = np.array([len(f) // 4 if f else 0 for f in found], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        which = numbered.indices.to_numpy()
-        heads = borders[:-1]
-        length, bad = sizes[which], odd[which]
-        length[heads], bad[heads] = 0, False
-        ends = np.cumsum(length)
-        at = np.repeat(starts[which] - (ends - length), length)
-        at += np.arange(len(at))
-        flat = table[at]
-        cuts = np.concatenate([[0], ends])[borders]
-        whole = np.add.reduceat(bad, heads) > 0 if len(heads) else bad
-        first = [self.pattern.findall(texts[k].as_py() if whole[k] else known[which[h]]) for k, h in enumerate(heads.tolist())]
-        self.pieces.learn(itertools.chain.from_iterable(first))
-        out = []
-        for k, pieces in enumerate(first):
-            head = np.frombuffer(b"".join([self.pieces[p] for p in pieces]), np.uint32)
-            out.append(head if whole[k] else np.concatenate([head, flat[cuts[k] : cuts[k + 1]]]))
+
+BYTE_MASKS = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
+
+
+class Stretches:
+    """Ids of texts, made of those of their stretches, each computed once and remembered in numpy tables.
+
+    A text is cut before each space and line end that stands between two
+    characters that aren't white space, as no piece of the pre-tokenizer's pattern passes
+    such a place; a text with other white space beside one is encoded whole.
+    Stretches of up to 15 bytes are looked up all at once by those bytes and their
+    number, longer ones in a dictionary.  The tables start afresh at ``most`` stretches.
+
+    ``joinable`` gives the ids (bytes of unsigned 32-bit numbers) of strings that begin with a
+    space or line end; ``whole`` those of any strings.
+    """
+
+    def __init__(self, joinable, whole, most: int = 2_000_000):
+        self.joinable, self.whole, self.most = joinable, whole, most
+        self.bits = int(2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.at, self.n = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.uint16)
+        self.held, self.used, self.arena = 0, 0, np.zeros(1 << 16, np.uint32)
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def store(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids into the arena; where each lies, and how many there are."""
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        if self.used + len(flat) > len(self.arena):
+            self.arena = np.concatenate([self.arena[: self.used], np.zeros(max(len(flat), len(self.arena)), np.uint32)])
+        self.arena[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        self.held += len(ids)
+        return at, n
+
+    def slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slots of stretches, -1 for unknown ones; an empty slot has ``low`` 0, which no stretch has."""
+        slot = self.slot(low, high)
+        out = np.where((self.low[slot] == low) & (self.high[slot] == high), slot, -1)
+        left = np.flatnonzero((out < 0) & (self.low[slot] != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            hit = (self.low[slot] == low[left]) & (self.high[slot] == high[left])
+            out[left[hit]] = slot[hit]
+            go = ~hit & (self.low[slot] != 0)
+            left, slot = left[go], slot[go]
         return out
+
+    def insert(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Adds distinct unknown stretches."""
+        left, slot = np.arange(len(low)), self.slot(low, high)
+        while len(left):
+            free = self.low[slot] == 0
+            taken, first = np.unique(slot[free], return_index=True)
+            put = left[free][first]
+            self.low[taken], self.high[taken], self.at[taken], self.n[taken] = low[put], high[put], at[put], n[put]
+            go = ~((self.low[slot] == low[left]) & (self.high[slot] == high[left]))
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+
+    @staticmethod
+    def is_blank(raw: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Whether the bytes at ``a``, or from ``a`` to ``b`` or ``c``, are a white space character."""
+        x, y, z = raw[a], raw[b], raw[c]
+        out = ((x >= 9) & (x <= 13)) | ((x >= 28) & (x <= 32))
+        many = np.flatnonzero(x >= 0xC2)
+        x, y, z = x[many], y[many], z[many]
+        two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+        general = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+        out[many] = two | general | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+        return out
+
+    def looked_up(self, raw: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of stretches of ``raw`` lie in the arena, and how many there are."""
+        at, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(n <= 15)
+        words = np.ndarray(len(raw) - 7, "<u8", raw.tobytes(), strides=(1,))
+        low = words[starts[short]] & BYTE_MASKS[n[short]]
+        high = words[np.minimum(starts[short] + 8, len(words) - 1)] & BYTE_MASKS[np.maximum(n[short] - 8, 0)] | n[short].astype(np.uint64) << np.uint64(56)
+        slot = self.find(low, high)
+        new = np.flatnonzero(slot < 0)
+        content = memoryview(raw)
+        if len(new):
+            order = new[np.lexsort((low[new], high[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+            new = order[first]
+            where = short[new]
+            strings = [str(content[a : a + b], "utf-8", "surrogatepass") for a, b in zip(starts[where].tolist(), n[where].tolist())]
+            self.insert(low[new], high[new], *self.store(self.joinable(strings)))
+            slot = np.where(slot < 0, self.find(low, high), slot)
+        at[short], size[short] = self.at[slot], self.n[slot]
+        others = np.flatnonzero(n > 15)
+        if len(others):
+            found = [bytes(content[a : a + b]) for a, b in zip(starts[others].tolist(), n[others].tolist())]
+            unknown = list({x for x in found if x not in self.long})
+            if unknown:
+                places = self.store(self.joinable([str(x, "utf-8", "surrogatepass") for x in unknown]))
+                self.long.update(zip(unknown, zip(*(p.tolist() for p in places))))
+            at[others], size[others] = np.array([self.long[x] for x in found], np.int64).T
+        return at, size
+
+    def ids(self, texts) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array; null is empty."""
+        if self.held > self.most:
+            self.clear()
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        if not len(texts):
+            return []
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        raw = np.concatenate([raw, np.zeros(16, np.uint8)])  # so that whole words may be read at the end
+        cut = np.flatnonzero((raw == 32) | (raw == 10))
+        owner = np.searchsorted(edges, cut, "right") - 1
+        begin, end = edges[owner], edges[owner + 1]
+        after = np.minimum(cut + 1, end)
+        bad = (after == end) | self.is_blank(raw, after, after + 1, after + 2)
+        before = cut > begin
+        p = np.maximum(cut[:, None] - np.array([1, 2, 3]), 0)
+        last = self.is_blank(raw, p[:, 0], p[:, 0], p[:, 0]) | self.is_blank(raw, p[:, 1], p[:, 0], p[:, 0]) & (raw[p[:, 1]] == 0xC2) | self.is_blank(raw, p[:, 2], p[:, 1], p[:, 0]) & (raw[p[:, 2]] >= 0xE1)
+        bad |= before & last
+        odd = np.zeros(len(texts), bool)
+        odd[owner[bad]] = True
+        good = ~odd[owner]
+        cut, owner = cut[good], owner[good]
+        stop = np.append(cut[1:], edges[-1])
+        stop = np.minimum(stop, edges[owner + 1])
+        at, size = self.looked_up(raw, cut, stop - cut)
+        ends = np.cumsum(size)
+        place = np.repeat(at - (ends - size), size)
+        place += np.arange(len(place))
+        flat = self.arena[place]
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        cuts = np.concatenate([[0], ends])[bounds]
+        head = edges[1:].copy()  # of a text that isn't cut, all
+        some = np.flatnonzero(bounds[1:] > bounds[:-1])
+        head[some] = cut[bounds[:-1][some]]
+        heads = self.whole([str(memoryview(raw)[a:b], "utf-8", "surrogatepass") for a, b in zip(edges[:-1].tolist(), head.tolist())])
+        return [np.concatenate([np.frombuffer(h, np.uint32), flat[a:b]]) if b > a else np.frombuffer(h, np.uint32) for h, a, b in zip(heads, cuts[:-1].tolist(), cuts[1:].tolist())]

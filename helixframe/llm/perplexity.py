@@ -85,7 +85,7 @@ def runs_of(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     if n is None:
         keys = np.sort(keys)
     else:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, n = keys[order], n[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
@@ -103,7 +103,7 @@ def in_groups(keys: np.ndarray):
     """(d, part, places) of the groups that n-grams are sent to."""
     d, c = (keys >> np.uint64(8)).astype(np.int64) & 255, (keys >> np.uint64(16)).astype(np.int64) & 255
     code = d * PARTS + c % PARTS
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code.astype(np.uint16), kind="stable")  # by radix
     found, at = np.unique(code[order], return_index=True)
     for g, places in zip(found.tolist(), np.split(order, at[1:])):
         yield g // PARTS, g % PARTS, places

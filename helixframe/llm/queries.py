@@ -22,7 +22,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     with Scratch(spark) as scratch:
-        return read_shards(write_shards(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN, scratch))
+        return read_shards(write_shards(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"), scratch))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Token ids in binary shards under a Re-Pair grammar.
 
+Texts are encoded as the vocabulary's library does without adding special
+tokens; the text of a special token stands for its id, as there.
 Documents in ascending doc_id are cut into shards of about ``SHARD_IDS`` ids.
 In a shard, frequent pairs of neighbouring ids are replaced by nonterminals,
 until no pair within documents is left ``LEAST`` times.  A round replaces many pairs at once; no id that ends one of
@@ -15,13 +17,14 @@ symbols and expansion lengths (32-bit); and the symbols as four byte planes.
 
 Shards are rows of a table in the shared folder: part (which range of doc_id),
 shard, first (ids before it in its part), n_ids, content.  Null texts are empty
-and hold the end id alone; rows that repeat a doc_id are kept in text order.
+and hold the end id alone; rows that repeat a doc_id are kept in text order, and those
+without one come first; a text of any length lies in one shard; an empty table
+gives no shards.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import struct
 import zlib
 
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Chunks, Scratch, slices
+from .common import Scratch, Stretches, slices
 
 SHARD_IDS = 1 << 20
 PAIRS, LEAST, BITS = 2048, 32, 18
@@ -39,16 +42,16 @@ END_ID = 0
 
 
 @functools.lru_cache(maxsize=1)
-def remembered(path: str, pattern: str) -> Chunks:
+def remembered(path: str) -> Stretches:
     """What a Python worker knows of a vocabulary, from task to task."""
-    import regex
-
     found = tokenizer(path)
-    one = lambda pieces: [np.array(e.ids, np.uint32).tobytes() for e in found.encode_batch_fast(pieces, add_special_tokens=False)]
-    lengths = np.zeros(found.get_vocab_size(), np.int64)
+    lengths = np.zeros(max(found.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
     for token, k in found.get_vocab(with_added_tokens=False).items():
         lengths[k] = len(token)  # the vocabulary writes each byte as a character
-    return Chunks(one, regex.compile(pattern), lambda chunks: encode_joined(found, lengths, chunks), 1_000_000)
+    for k, token in found.get_added_tokens_decoder().items():
+        lengths[k] = len(token.content.encode())
+    whole = lambda texts: [np.array(e.ids, np.uint32).tobytes() for e in found.encode_batch_fast(texts, add_special_tokens=False)]
+    return Stretches(lambda stretches: encode_joined(found, lengths, stretches), whole)
 
 
 @functools.lru_cache(maxsize=2)
@@ -58,9 +61,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def encode_joined(found, lengths: np.ndarray, chunks: list[str], most: int = 20_000) -> list[bytes]:
@@ -76,66 +77,94 @@ def encode_joined(found, lengths: np.ndarray, chunks: list[str], most: int = 20_
     return out
 
 
-def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, round_no: int, most: int = PAIRS, least: int = LEAST):
-    """One round: the new symbols and ends, and the rules as pairs; ``top`` is the first free nonterminal."""
-    odd = np.uint32((0x9E3779B1 + 2 * round_no) % 2**32)
-    slot = ((symbols[:-1] * odd ^ symbols[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int64)
-    slot[last[:-1]] = 1 << BITS  # no pair passes a document's end
-    counts = np.bincount(slot, minlength=(1 << BITS) + 1)
-    counts[1 << BITS] = 0
-    most = min(most, 1 << BITS)
-    full = np.flatnonzero(counts >= max(least, np.partition(counts, -most)[-most]))
-    if not len(full):
+def frequent_places(symbols: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """Places of all pairs that occur ``least`` times, and of a few others: those whose slots count as many."""
+    slot = ((symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int64)
+    counts = np.bincount(slot[~last[:-1]], minlength=1 << BITS)
+    return np.flatnonzero((counts >= least)[slot] & ~last[:-1])
+
+
+def sorted_pairs(symbols: np.ndarray, after: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that begin at places, as numbers, in order, and their places, in order for each pair; symbols are below ``top``."""
+    wide, far = top.bit_length(), len(symbols).bit_length()
+    left, right = symbols[at].astype(np.uint64), symbols[after[at]].astype(np.uint64)
+    pairs = left << np.uint64(wide) | right
+    if 2 * wide + far <= 64:  # pair and place fit in one number, which sorts faster
+        both = pairs << np.uint64(far) | at.astype(np.uint64)
+        both.sort()
+        return both >> np.uint64(far), (both & np.uint64((1 << far) - 1)).astype(np.int32)
+    order = np.argsort(pairs, kind="stable")
+    return pairs[order], at[order]
+
+
+def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, most: int = PAIRS, least: int = LEAST):
+    """The symbols and ends that are left, and the rules as pairs; ``top`` is the first free nonterminal.
+
+    Places keep their numbers and are linked to the next and the one before, so
+    a round looks only at pairs that were frequent in the last one and
+    at those beside what it replaced: counts of other pairs only fall.
+    """
+    n = len(symbols)
+    if n < 2:
         return symbols, last, []
-    of = np.full((1 << BITS) + 1, -1, np.int32)
-    of[full] = np.arange(len(full))
-    group = of[slot]
-    at = np.flatnonzero(group >= 0)
-    group = group[at]
-    keys = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
-    pair = np.zeros(len(full), np.int64)
-    pair[group] = keys
-    same = keys == pair[group]
-    crowded = np.zeros(len(full), bool)
-    crowded[group[~same]] = True
-    if crowded.any():  # a slot of several pairs stands for the most frequent, ties to the smallest
-        mixed = np.flatnonzero(crowded[group])
-        found, first, n = np.unique(keys[mixed], return_index=True, return_counts=True)
-        of_group = group[mixed[first]]
-        order = np.lexsort((-found, n))
-        pair[of_group[order]] = found[order]
-        same = keys == pair[group]
-    at, group = at[same], group[same]
-    exact = np.bincount(group, minlength=len(full))
-    begins, ends, chosen = set(), set(), []
-    for g in np.lexsort((pair, -exact)):
-        a, b = int(pair[g] >> 32), int(pair[g] & 0xFFFFFFFF)
-        if exact[g] < least:
+    symbols = symbols.copy()
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    ends = np.flatnonzero(last)
+    after[ends] = -1
+    before[0] = -1
+    before[ends[:-1] + 1] = -1
+    rules: list = []
+    alive, looked = np.ones(n, bool), np.zeros(n, bool)
+    looked[frequent_places(symbols, last, least)] = True
+    while looked.any():
+        pairs, at = sorted_pairs(symbols, after, np.flatnonzero(looked).astype(np.int32), top + len(rules))
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        first = np.flatnonzero(new)
+        count = np.diff(first, append=len(pairs))
+        often = count >= least
+        full = np.flatnonzero(often)
+        if not len(full):
             break
-        if a in ends or b in begins or (a == b and a in begins):
-            continue
-        begins.add(a)
-        ends.add(b)
-        if a == b:  # neither in another pair
-            begins.add(b)
-            ends.add(a)
-        chosen.append(g)
-    if not chosen:
-        return (symbols, last, []) if most == 1 << BITS else replace_pairs(symbols, last, top, round_no, 1 << BITS, least)
-    rule = np.full(len(full), -1, np.int64)
-    rule[chosen] = top + np.arange(len(chosen))
-    keep = rule[group] >= 0
-    at, to = at[keep], rule[group[keep]]
-    starts = np.ones(len(at), bool)
-    starts[1:] = at[1:] != at[:-1] + 1
-    odd = (np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))) & 1
-    at, to = at[odd == 0], to[odd == 0]
-    out, ended = symbols.copy(), last.copy()
-    out[at] = to
-    ended[at] = last[at + 1]
-    stay = np.ones(len(out), bool)
-    stay[at + 1] = False
-    return out[stay], ended[stay], [(int(pair[g] >> 32), int(pair[g] & 0xFFFFFFFF)) for g in chosen]
+        wide = (top + len(rules)).bit_length()
+        begins, finishes, chosen = set(), set(), []
+        best = full[np.lexsort((pairs[first[full]], -count[full]))][:most]
+        for g, pair in zip(best.tolist(), pairs[first[best]].tolist()):
+            a, b = pair >> wide, pair & ((1 << wide) - 1)
+            if a in finishes or b in begins or (a == b and a in begins):
+                continue
+            begins.add(a)
+            finishes.add(b)
+            if a == b:  # neither in another pair
+                begins.add(b)
+                finishes.add(a)
+            chosen.append((g, a, b))
+        rule = np.full(len(first), -1, np.int32)
+        rule[[g for g, _, _ in chosen]] = top + len(rules) + np.arange(len(chosen))
+        rules += [(a, b) for _, a, b in chosen]
+        looked[:] = False
+        looked[at[np.repeat(often, count)]] = True
+        to = np.repeat(rule, count)
+        hit = to >= 0
+        at, to = at[hit], to[hit]
+        again = np.zeros(len(at), bool)  # a place right after one of the same pair, in a run of one symbol
+        again[1:] = (after[at[:-1]] == at[1:]) & (to[1:] == to[:-1])
+        if again.any():
+            order = np.arange(len(at))
+            odd = (order - np.maximum.accumulate(np.where(again, 0, order))) & 1
+            at, to = at[odd == 0], to[odd == 0]
+        gone = after[at]
+        beyond = after[gone]
+        symbols[at], after[at] = to, beyond
+        alive[gone] = looked[gone] = False
+        real = beyond >= 0
+        before[beyond[real]] = at[real]
+        looked[at] = real
+        near = before[at]
+        looked[near[near >= 0]] = True
+    ended = np.zeros(n, bool)
+    ended[alive & (after == -1)] = True
+    return symbols[alive], ended[alive], rules
 
 
 def expansions(rules: np.ndarray, first: int):
@@ -153,16 +182,12 @@ def pack_shard(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     symbols = np.concatenate(ids).astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(n_ids) - 1] = True
-    first = top = int(symbols.max()) + 1
-    rules: list = []
-    for k in itertools.count():
-        symbols, last, new = replace_pairs(symbols, last, top, k)
-        if not new:
-            break
-        rules += new
-        top += len(new)
+    first = int(symbols.max()) + 1
+    symbols, last, rules = replace_pairs(symbols, last, first)
     table = np.array(rules, np.uint32).reshape(-1, 2)
-    lengths = expansions(table, first)[0].astype(np.uint32)
+    lengths = np.ones(len(rules), np.uint32)
+    for k, pair in enumerate(rules):
+        lengths[k] = sum(int(lengths[x - first]) if x >= first else 1 for x in pair)
     ends = np.flatnonzero(last) + 1
     n_symbols = np.diff(ends, prepend=0).astype(np.int64)
     known = np.array([d is not None for d in doc_ids], np.uint8)
@@ -216,12 +241,12 @@ class Shard:
         return self.expand(self.symbols[start : start + int(self.n_symbols[k])])
 
 
-def write_shards(docs: DataFrame, path: str, pattern: str, scratch: Scratch, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, scratch: Scratch, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the documents' shards as a table that outlives the scratch folder, and returns it as read back."""
 
     def run(batches):
         part, shard, first = TaskContext.get().partitionId(), 0, 0
-        known, end = remembered(path, pattern), np.array([END_ID], np.uint32)
+        known, end = remembered(path), np.array([END_ID], np.uint32)
         names, ids, held = [], [], 0
 
         def pack():
