@@ -63,23 +63,83 @@ def test_op2_rows(spark):
     assert all(bytes(r.decoded).decode() == (TEXTS[r.doc_id] or "") and r.ids == plain.encode_ordinary(TEXTS[r.doc_id] or "") for r in both)
 
 
+def library(name="byte_bpe_50k.json"):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizers.path(name))
+
+
+SPACES = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000"]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 40])
+def test_stretches_equal_the_library(most):
+    import pyarrow as pa
+
+    found = library()
+    known = tokenfile.remembered(tokenizers.path("byte_bpe_50k.json"))
+    known = common.Stretches(known.joinable, known.whole, most)
+    rng = random.Random(3)
+    parts = ["a", "word", "Hello", "don't", "é", "日本", "12", "...", "<|endoftext|>", "longer-than-sixteen-bytes", "x" * 40, "'s", "\u2029", "ß©", "\0"]
+    for _ in range(30):
+        texts = [None, "", " ", "\n"] + ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "\n", rng.choice(SPACES), "  ", ""]) for _ in range(rng.randrange(30))).strip(rng.choice([" ", "x"])) for _ in range(40)]
+        array = pa.array(["left out", *texts])[1:]
+        for text, ids in zip(texts, known.ids(array)):
+            assert ids.tolist() == found.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_op1_rows(spark):
     import zlib
 
-    plain = tokenfile.tokenizer(tokenizers.path("byte_bpe_50k.json"))
+    plain, path = library(), tokenizers.path("byte_bpe_50k.json")
+    texts = [*TEXTS, "a <|endoftext|> in the text<|endoftext|>", "tab\there  and\u3000there"]
     with common.Scratch(spark) as scratch:
-        table = tokenfile.write_shards(docs(spark, *TEXTS).repartition(3), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN, scratch, shard_ids=50)
+        table = tokenfile.write_shards(docs(spark, *texts).repartition(3), path, scratch, shard_ids=50)
         rows = sorted(tokenfile.read_shards(table).collect(), key=lambda r: r.doc_id)
     start = 0
     for r in rows:
-        ids = plain.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [0]
+        ids = plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, np.uint32).tobytes()))
         start += len(ids)
     with common.Scratch(spark) as scratch:
-        empty = tokenfile.write_shards(docs(spark, "x").where("doc_id < 0"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN, scratch)
+        empty = tokenfile.write_shards(docs(spark, "x").where("doc_id < 0"), path, scratch)
         assert tokenfile.read_shards(empty).count() == 0
 
 
+def test_op1_rows_that_repeat_and_lack_a_doc_id(spark):
+    df = docs(spark, "one text", "one text", "other", "last").withColumn("doc_id", F.when(F.col("doc_id") == 3, None).otherwise(F.floor(F.col("doc_id") / 2)))
+    with common.Scratch(spark) as scratch:
+        rows = tokenfile.read_shards(tokenfile.write_shards(df, tokenizers.path("byte_bpe_50k.json"), scratch)).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in rows), key=lambda r: r[1]) == [(None, 0, 2), (0, 2, 3), (0, 5, 3), (1, 8, 2)]
+
+
+def brute_pairs(documents, first, least):
+    """Whether no pair within documents is left ``least`` times, and what rules stand for."""
+    counts: dict = {}
+    for d in documents:
+        for pair in zip(d, d[1:]):
+            counts[pair] = counts.get(pair, 0) + 1
+    return max(counts.values(), default=0) < least
+
+
+def test_pairs_are_replaced_to_the_end():
+    rng = np.random.default_rng(9)
+    for trial in range(20):
+        ids = [rng.integers(1, 4 + trial, rng.integers(1, 60)).astype(np.uint32) for _ in range(80)] + [np.full(99, 1, np.uint32), np.full(64, 2, np.uint32)]
+        last = np.zeros(sum(map(len, ids)), bool)
+        last[np.cumsum(list(map(len, ids))) - 1] = True
+        symbols, ended, rules = tokenfile.replace_pairs(np.concatenate(ids), last, 100, most=int(rng.integers(1, 50)), least=int(rng.integers(2, 40)) if trial else 2)
+        body = {100 + k: pair for k, pair in enumerate(rules)}
+
+        def text(x):
+            return [x] if x < 100 else text(body[x][0]) + text(body[x][1])
+
+        cut = np.split(symbols, np.flatnonzero(ended) + 1)[:-1]
+        assert [[y for x in d.tolist() for y in text(x)] for d in cut] == [d.tolist() for d in ids]
+        if not trial:
+            assert brute_pairs([d.tolist() for d in cut], 100, 2)
+
+
 def test_shards_give_back_any_document():
     rng = np.random.default_rng(2)
     ids = [np.append(np.tile(rng.integers(0, 9, 7), int(rng.integers(1, 300))), 0).astype(np.uint32) for _ in range(60)] + [np.zeros(1, np.uint32), np.append(np.full(5000, 3), 0).astype(np.uint32)]
@@ -425,12 +485,64 @@ def test_registers_merge_and_estimate():
     assert not neardup.registers_of([np.zeros(0, np.uint64)]).any()
 
 
-def test_links_between_blocks():
-    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 10, 500)]
-    ids, comp = np.arange(4), np.arange(4)
-    every = np.ones(4, bool)
-    assert sorted(tuple(sorted(p)) for p in neardup.links_between(ids, comp, every, every, sets, 85)) == [(0, 1), (1, 2)]
-    assert neardup.links_between(ids, np.zeros(4, int), every, every, sets, 85) == []
+def test_reachable_pairs_hold_every_link(spark):
+    rng = random.Random(15)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(copy[: rng.randrange(100, 121)]))
+    sets = neardup.shingle_sets(texts, 3)
+    rows = [(k, k % 7, k, s.tobytes()) for k, s in enumerate(sets)]
+    held = spark.createDataFrame([(k, w, bytearray(b)) for k, w, _, b in rows], "id long, which long, shingles binary")
+    members = spark.createDataFrame([(k, k) for k in range(len(sets))], "id long, comp long")
+    found = {(r.b, r.a) for r in neardup.reachable(members, held, 85).collect()}
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                want.add((i, j))
+    assert want and want <= found and len(found) < len(sets) * (len(sets) - 1) / 2
+    pairs = neardup.verified(spark.createDataFrame([(b, a) for a, b in found], "a long, b long"), held, 85)
+    assert {(r.b, r.a) for r in pairs.collect()} == want
+
+
+def test_near_copies_of_one_text_in_one_bucket(spark):
+    """Thousands of near copies, whose links mostly pass by others than the first."""
+    rng = random.Random(16)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(2500):
+        copy = list(base)
+        for _ in range(rng.choice([1, 3, 4, 5, 6])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, *texts), 3, 85).collect()}
+    vocabulary: dict = {}
+    sets = [{vocabulary.setdefault(tuple(w[k : k + 3]), len(vocabulary)) for k in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    common: dict = {}
+    for s in sets:
+        for x in s:
+            common[x] = common.get(x, 0) + 1
+    shared = {x: k for k, x in enumerate(x for x, n in common.items() if n > 1)}
+    table = np.zeros((len(sets), len(shared)), np.float32)
+    for k, s in enumerate(sets):
+        table[k, [shared[x] for x in s if x in shared]] = 1
+    n = np.array([len(s) for s in sets])
+    overlap = table @ table.T
+    linked = 100 * overlap >= 85 * (n[:, None] + n[None, :] - overlap)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        near = np.where(linked, label[None, :], len(sets)).min(1)
+        near = near[near]
+        if (near == label).all():
+            break
+        label = near
+    assert [rows[k] for k in range(len(sets))] == label.tolist()
 
 
 # 8: media.
