@@ -7,9 +7,8 @@ ends of a word.  A language's prototype bundles its training texts, each divided
 its number of trigrams so that no long text rules.  Texts get the language of
 the prototype of greatest cosine.
 
-Letters are lower-cased, and every letter of every script has a vector of its
-own, drawn by its code point.  A worker numbers the trigrams it meets, and starts
-afresh at ``MOST_TRIGRAMS``.
+Letters are lower-cased, words are runs of letters, and every letter of every
+script has a vector of its own, drawn by its code point.
 
 Null texts, and texts without a letter, are ``und`` with score 0; so is every text
 if nothing was learned.  Ties go to the language first in order.  Equal texts
@@ -20,98 +19,75 @@ gives an empty result.
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import slices
 
 DIM, SEED = 1024, 5
-MARK = "\0"  # stands at both ends of a word
+MARK = 0  # the code point that stands at both ends of a word
 UNKNOWN = "und"
 SCALE = 1_000_000  # of the whole numbers that Spark adds up, so that sums don't depend on their order
-MOST_HELD = 64  # languages whose counts a task holds before it sends them on
-MOST_TRIGRAMS = 100_000
-LETTERS = re.compile(r"[^\W\d_]+")
+MOST_HELD = 64  # languages whose sums a task holds before it sends them on
+MOST_DENSE = 1 << 22  # trigram numbers that are counted in a table instead of by sorting
 
 
 @functools.lru_cache(maxsize=65_536)
-def letter_vector(letter: str) -> np.ndarray:
-    return np.random.default_rng([SEED, ord(letter)]).choice(np.array([-1, 1], np.int8), DIM)
+def letter_vector(point: int) -> np.ndarray:
+    return np.random.default_rng([SEED, point]).choice(np.array([-1, 1], np.int8), DIM)
 
 
-def trigram_vectors(trigrams: list[str]) -> np.ndarray:
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def trigrams_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text that each trigram belongs to, its number, and the distinct trigrams as rows of three code points, which the numbers refer to."""
+    held = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join(["", *held, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.where(letters()[points], points, MARK)
+    at = np.flatnonzero(points)
+    owner = np.repeat(np.arange(len(held)), np.diff(np.searchsorted(at, np.cumsum([1, *(len(t) + 1 for t in held)]))))
+    used = np.zeros(0x110000, bool)
+    used[points] = used[MARK] = True
+    alphabet = np.flatnonzero(used)
+    place = np.zeros(0x110000, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    small, k = place[points], len(alphabet)
+    codes = (small[at - 1] * k + small[at]) * k + small[at + 1]
+    if k**3 <= MOST_DENSE:
+        there = np.zeros(k**3, bool)
+        there[codes] = True
+        found = np.flatnonzero(there)
+        number = (np.cumsum(there) - 1)[codes]
+    else:
+        found, number = np.unique(codes, return_inverse=True)
+    return owner, number, alphabet[np.stack([found // (k * k), found // k % k, found % k], 1)]
+
+
+def trigram_vectors(found: np.ndarray) -> np.ndarray:
     """A row of +1 and -1 for each trigram."""
-    letters = {c: k for k, c in enumerate(sorted(set("".join(trigrams))))}
-    v = np.stack([letter_vector(c) for c in letters]) if letters else np.zeros((0, DIM), np.int8)
-    a, b, c = np.array([[letters[x] for x in t] for t in trigrams], np.int64).reshape(-1, 3).T
+    alphabet, rows = np.unique(found, return_inverse=True)
+    v = np.stack([letter_vector(p) for p in alphabet.tolist()]) if len(alphabet) else np.zeros((0, DIM), np.int8)
+    a, b, c = rows.reshape(-1, 3).T
     return np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]
 
 
-class Trigrams:
-    """The trigrams a worker has met, by number, and those of words."""
-
-    def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.words = Memo(self.word_codes)
-
-    def word_codes(self, words: list[str]) -> list[bytes]:
-        """The numbers of the trigrams of each word's runs of letters, as int32 bytes."""
-        numbers, out = self.numbers, []
-        for word in words:
-            held = []
-            for run in LETTERS.findall(word.lower()):
-                letters = run if run.isalpha() else "".join(filter(str.isalpha, run))
-                if letters:
-                    x = MARK + letters + MARK
-                    held += [numbers.setdefault(x[i : i + 3], len(numbers)) for i in range(len(letters))]
-            out.append(np.array(held, np.int32).tobytes())
-        return out
-
-    def codes_of(self, texts: list) -> list[np.ndarray]:
-        """The numbers of each text's trigrams."""
-        words = [(t or "").split() for t in texts]
-        self.words.learn(w for own in words for w in own)
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, own)), np.int32) for own in words]
-
-    def is_full(self) -> bool:
-        return len(self.numbers) > MOST_TRIGRAMS
-
-    def vectors(self, used: np.ndarray) -> np.ndarray:
-        names = list(self.numbers)
-        return trigram_vectors([names[k] for k in used.tolist()])
-
-    def bundles(self, codes: list[np.ndarray]) -> np.ndarray:
-        """The texts' vectors: their counts of the trigrams that occur, times those trigrams' vectors."""
-        there = np.zeros(len(self.numbers), bool)
-        for c in codes:
-            there[c] = True
-        used = np.flatnonzero(there)
-        out = np.zeros((len(codes), DIM), np.float32)
-        place = np.cumsum(there) - 1
-        for a in range(0, len(used), 16_384):
-            part = used[a : a + 16_384]
-            vectors = self.vectors(part).astype(np.float32)
-            for k in range(0, len(codes), 256):
-                counts = np.stack([np.bincount(place[c], minlength=len(used))[a : a + 16_384] for c in codes[k : k + 256]]).astype(np.float32)
-                out[k : k + 256] += counts @ vectors
-        return out
-
-
-@functools.lru_cache(maxsize=1)
-def worker_trigrams() -> list[Trigrams]:
-    """What a Python worker knows, from task to task."""
-    return [Trigrams()]
-
-
-def trigrams() -> Trigrams:
-    held = worker_trigrams()
-    if held[0].is_full():
-        held[0] = Trigrams()
-    return held[0]
+def bundles(texts: list, block: int = 8192) -> np.ndarray:
+    """The texts' vectors: their counts of the trigrams that occur, times those trigrams' vectors."""
+    owner, number, found = trigrams_of(texts)
+    out = np.zeros((len(texts), DIM), np.float32)
+    for a in range(0, len(found), block):
+        part = found[a : a + block]
+        inside = (number >= a) & (number < a + block) if len(found) > block else slice(None)
+        counts = np.bincount(owner[inside] * len(part) + number[inside] - a, minlength=len(texts) * len(part))
+        out += counts.reshape(len(texts), len(part)).astype(np.float32) @ trigram_vectors(part).astype(np.float32)
+    return out
 
 
 def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -121,36 +97,27 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     the driver receives ``DIM`` numbers for each language.
     """
 
-    def flushed(known: Trigrams, counts: dict[str, np.ndarray]):
-        for lang, n in counts.items():
-            used, total = np.flatnonzero(n), np.zeros(DIM)
-            for k in range(0, len(used), 8192):
-                part = used[k : k + 8192]
-                total += n[part] @ known.vectors(part).astype(np.float64)
+    def flushed(sums: dict[str, np.ndarray]):
+        for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM)), pa.array(np.rint(total * SCALE).astype(np.int64))], ["lang", "dim", "x"])
-        counts.clear()
+        sums.clear()
 
     def bundle(batches):
-        counts: dict[str, np.ndarray] = {}  # bundling adds up, so trigrams are counted first
-        known = trigrams()
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in slices(texts, 1_000_000):
-                if known.is_full():
-                    yield from flushed(known, counts)
-                    known = trigrams()
-                codes = known.codes_of(texts[a:b])
-                for lang in set(langs[a:b]):
-                    mine = [c for c, k in zip(codes, langs[a:b]) if k == lang]
-                    own = np.concatenate(mine)
-                    share = np.concatenate([np.full(len(c), 1 / max(1, len(c))) for c in mine])
-                    if lang not in counts and len(counts) >= MOST_HELD:
-                        yield from flushed(known, counts)
-                    n = np.bincount(own, share, len(known.numbers))
-                    before = counts.get(lang, n[:0])
-                    n[: len(before)] += before
-                    counts[lang] = n
-        yield from flushed(known, counts)
+                owner, number, found = trigrams_of(texts[a:b])
+                share = 1 / np.maximum(np.bincount(owner, minlength=b - a), 1)
+                names = {lang: k for k, lang in enumerate(dict.fromkeys(langs[a:b]))}
+                of = np.array([names[lang] for lang in langs[a:b]])
+                counts = np.bincount(of[owner] * len(found) + number, share[owner], len(names) * len(found)).reshape(len(names), len(found))
+                totals = sum((counts[:, k : k + 8192] @ trigram_vectors(found[k : k + 8192]).astype(np.float64) for k in range(0, len(found), 8192)), np.zeros((len(names), DIM)))
+                if len(sums) + len(names) > MOST_HELD:
+                    yield from flushed(sums)
+                for lang, k in names.items():
+                    sums[lang] = sums.get(lang, 0) + totals[k]
+        yield from flushed(sums)
 
     parts = training.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(bundle, "lang string, dim long, x long")
     found = parts.groupBy("lang", "dim").agg(F.sum("x").alias("x")).toPandas()
@@ -176,12 +143,10 @@ def predict(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> DataF
             row = batch.column("row")
             texts = row.field("text").to_pylist()
             for a, b in slices(texts, 1_000_000):
-                known = trigrams()
-                codes = known.codes_of(texts[a:b])
-                sums = known.bundles(codes)
+                sums = bundles(texts[a:b])
                 length = np.linalg.norm(sums, axis=1, keepdims=True)
                 cosines = (sums / np.maximum(length, 1e-9)) @ table.T if names else np.zeros((b - a, 1))
-                real = np.array([len(c) > 0 for c in codes]) & bool(names)
+                real = (length[:, 0] > 0) & bool(names)
                 best = cosines.argmax(1)
                 top = np.clip(cosines.max(1), 0, 1)
                 yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, real)]), pa.array(np.where(real, top, 0.0).astype(np.float64))], ["row", "lang_pred", "score"])
