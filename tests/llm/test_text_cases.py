@@ -391,7 +391,7 @@ def brute_vector(text):
         for run in re.findall(r"[^\W\d_]+", word.lower()):
             x = "\0" + run + "\0"
             for k in range(len(run)):
-                a, b, c = (langid.letter_vector(p).astype(int) for p in x[k : k + 3])
+                a, b, c = (langid.letter_vector(ord(p)).astype(int) for p in x[k : k + 3])
                 total += np.roll(a, 2) * np.roll(b, 1) * c
                 n += 1
     return total, n
@@ -416,13 +416,14 @@ def test_languages_equal_brute_force(spark):
         assert (rows[k].lang_pred, round(rows[k].score, 4)) == ((names[cosines.argmax()], round(float(max(cosines.max(), 0)), 4)) if n else ("und", 0))
 
 
-def test_languages_when_the_memory_starts_afresh(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_TRIGRAMS", 3)
-    known = langid.Trigrams()
-    codes = known.codes_of(["some words here", "others"])
-    assert known.is_full()
-    for got, text in zip(known.bundles(codes), ["some words here", "others"]):
-        assert np.array_equal(got, brute_vector(text)[0])
+@pytest.mark.parametrize("dense", [0, langid.MOST_DENSE])
+def test_bundles_equal_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(langid, "MOST_DENSE", dense)
+    texts = ["some words here", None, "日本語 др", "", "x1y", "others " * 30]
+    for block in (7, 8192):
+        for got, text in zip(langid.bundles(texts, block), texts):
+            assert np.array_equal(got, brute_vector(text)[0])
+    assert langid.bundles([]).shape == (0, langid.DIM) and not langid.bundles(["1 2", None]).any()
 
 
 # 7: near duplicates.
