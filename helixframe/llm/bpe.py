@@ -4,10 +4,13 @@ Text is cut into pieces by the vocabulary's pattern.  Distinct pieces are laid
 out as rows of padded matrices, one for each length bucket.  In each round every
 row merges its leftmost pair of minimum rank; pairs are looked up in a hash
 table, merged rows are closed up, and rows with no pair left are taken out of
-the matrix.  Pieces of more than ``LONG`` bytes, each a document's odd run of
-letters or signs, keep their pairs in a heap instead, with the same result.
+the matrix.  A piece of more than ``LONG`` bytes is a padded matrix of its own, whose rows
+follow each other: a round merges the leftmost pair of minimum rank among the
+rows' minima, so that it looks at one or two rows only.
 
-Null texts are empty; an empty text has no ids.
+Null texts are empty; an empty text has no ids; texts and pieces of any length are
+encoded whole; equal texts get equal results and rows that repeat are rows of
+their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,13 +18,13 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Chunks, slices
+from .common import Stretches, slices
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -91,6 +94,8 @@ class Bpe:
         self.lengths = np.array([len(t) for t in by_id], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        self.id_bytes = {token: np.uint32(rank).tobytes() for token, rank in self.ranks.items()} | {b"": b""}
+        self.decimals = np.array([b"%d " % k for k in range(size)])
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left.astype(np.int64) << 32) | right
@@ -99,9 +104,9 @@ class Bpe:
         out[real] = self.table.find(keys[real])
         return out
 
-    def _bucket(self, rows: np.ndarray) -> list[np.ndarray]:
-        """Merges the rows of one padded matrix; -1 pads."""
-        out: list = [None] * len(rows)
+    def _bucket(self, rows: np.ndarray) -> list[bytes]:
+        """Merges the rows of one padded matrix, -1 pads; each row's ids as bytes."""
+        number, ids = [], []
         which = np.arange(len(rows))
         pairs = self._pairs(rows[:, :-1], rows[:, 1:])
         while len(rows):
@@ -109,8 +114,9 @@ class Bpe:
             line = np.arange(len(rows))
             best = pairs[line, at] if pairs.shape[1] else np.full(len(rows), NONE)
             done = best == NONE
-            for i in np.flatnonzero(done):
-                out[which[i]] = rows[i][rows[i] >= 0]
+            if done.any():
+                number.append(which[done])
+                ids.append(rows[done])
             go = ~done
             rows, pairs, at, best, which = rows[go], pairs[go], at[go], best[go], which[go]
             if not len(rows):
@@ -119,7 +125,6 @@ class Bpe:
             width = rows.shape[1] - 1
             cols = np.arange(width)
             rows = np.take_along_axis(rows, cols + (cols > at[:, None]), 1)
-            line = np.arange(len(rows))
             if width == 1:
                 pairs = pairs[:, :0]
                 continue
@@ -129,62 +134,92 @@ class Bpe:
             pairs[after, at[after]] = self._pairs(rows[after, at[after]], rows[after, at[after] + 1])
             before = np.flatnonzero(at > 0)
             pairs[before, at[before] - 1] = self._pairs(rows[before, at[before] - 1], rows[before, at[before]])
-        return out
-
-    def _long(self, piece: bytes) -> np.ndarray:
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank = lambda i: int(self._pairs(np.array([ids[i]]), np.array([ids[after[i]]]))[0])
-        first = self._pairs(np.array(ids[:-1]), np.array(ids[1:]))
-        now = first.tolist() + [int(NONE)]
-        heap = [(r, i) for i, r in enumerate(now) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or now[i] != r:
-                continue
-            gone = after[i]
-            ids[i], ids[gone] = r, -1
-            after[i] = after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            for j in (before[i], i):
-                if j >= 0:
-                    now[j] = rank(j) if after[j] < n else int(NONE)
-                    if now[j] != NONE:
-                        heapq.heappush(heap, (now[j], j))
-        ids = np.array(ids, np.int32)
-        return ids[ids >= 0]
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(pieces)
+        size = np.concatenate([(x >= 0).sum(1) for x in ids])
+        held = b"".join([x[x >= 0].tobytes() for x in ids])
+        ends = (np.cumsum(size) * 4).tolist()
+        cut = list(map(held.__getitem__, map(slice, [0, *ends], ends)))
+        return [cut[k] for k in np.argsort(np.concatenate(number)).tolist()]
+
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The hash table's content, for look-ups of one pair."""
+        there = self.table.keys >= 0
+        return dict(zip(self.table.keys[there].tolist(), self.table.ranks[there].tolist()))
+
+    def _long(self, piece: bytes, width: int = LONG) -> np.ndarray:
+        """Merges one piece laid out over the rows of a padded matrix."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n = -(-len(ids) // width)
+        rows, pairs = np.full((n, width), -1, np.int32), np.full((n, width), NONE, np.int32)
+        rows.ravel()[: len(ids)] = ids
+        pairs.ravel()[: len(ids) - 1] = self._pairs(ids[:-1], ids[1:])
+        size = np.minimum(len(ids) - width * np.arange(n), width).tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # rows that aren't empty
+        least = pairs.min(1)
+
+        def rank(left, right) -> int:
+            return self.rank_of.get(int(left) << 32 | int(right), int(NONE))
+
+        def drop(r: int, j: int) -> None:
+            """Closes a row up over the place ``j``."""
+            size[r] -= 1
+            rows[r, j : size[r]], pairs[r, j : size[r]] = rows[r, j + 1 : size[r] + 1], pairs[r, j + 1 : size[r] + 1]
+            rows[r, size[r]], pairs[r, size[r]] = -1, NONE
+            if not size[r]:
+                if before[r] >= 0:
+                    after[before[r]] = after[r]
+                if after[r] < n:
+                    before[after[r]] = before[r]
+
+        while True:
+            r = int(least.argmin())
+            if least[r] == NONE:
+                return rows[rows >= 0]
+            j = int(pairs[r].argmin())
+            rows[r, j] = pairs[r, j]
+            if j + 1 < size[r]:
+                drop(r, j + 1)
+            else:
+                beyond = after[r]
+                drop(beyond, 0)
+                least[beyond] = pairs[beyond].min()
+            follow = rows[r, j + 1] if j + 1 < size[r] else rows[after[r], 0] if after[r] < n else None
+            pairs[r, j] = rank(rows[r, j], follow) if follow is not None else NONE
+            if j:
+                pairs[r, j - 1] = rank(rows[r, j - 1], rows[r, j])
+            elif before[r] >= 0:
+                near = before[r]
+                pairs[near, size[near] - 1] = rank(rows[near, size[near] - 1], rows[r, 0])
+                least[near] = pairs[near].min()
+            least[r] = pairs[r].min()
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Each piece's ids as bytes of 32-bit numbers."""
+        out: list = list(map(self.id_bytes.get, pieces))
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = np.array([whole], np.int32)
-            elif len(piece) > LONG:
-                out[i] = self._long(piece)
-            else:
-                buckets.setdefault(-(-len(piece) // 4) * 4 if piece else 0, []).append(i)
+            if out[i] is None:
+                if len(piece) > LONG:
+                    out[i] = self._long(piece).tobytes()
+                else:
+                    buckets.setdefault(-(-len(piece) // 4) * 4, []).append(i)
         for width, members in buckets.items():
             for k in range(0, len(members), max(1, 2_000_000 // max(width, 1))):
                 part = members[k : k + max(1, 2_000_000 // max(width, 1))]
-                lengths = np.array([len(pieces[i]) for i in part])
+                mine = [pieces[i] for i in part]
+                lengths = np.fromiter(map(len, mine), np.int64, len(mine))
                 rows = np.full((len(part), width), -1, np.int32)
-                rows[np.arange(width) < lengths[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
+                rows[np.arange(width) < lengths[:, None]] = self.of_byte[np.frombuffer(b"".join(mine), np.uint8)]
                 for i, ids in zip(part, self._bucket(rows)):
                     out[i] = ids
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of stretches of text, each cut into pieces by the pattern."""
-        cut = [self.pattern.findall(c) for c in chunks]
-        distinct = list({p for pieces in cut for p in pieces})
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of stretches of text as bytes of 32-bit numbers, each cut into pieces by the pattern."""
+        cut = list(map(self.pattern.findall, chunks))
+        distinct = list(set(itertools.chain.from_iterable(cut)))
         ids = dict(zip(distinct, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in distinct])))
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([ids[p] for p in pieces]) if pieces else none for pieces in cut]
+        return [ids[pieces[0]] if len(pieces) == 1 else b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -196,16 +231,16 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=1)
-def remembered(path: str, pattern: str) -> tuple[Bpe, Chunks]:
-    """A vocabulary, and the ids of stretches of text as bytes and in decimal; kept by a Python worker from task to task."""
+def remembered(path: str, pattern: str) -> tuple[Bpe, Stretches]:
+    """A vocabulary, and the ids of stretches of text; kept by a Python worker from task to task."""
     bpe = Bpe(path, pattern)
-    return bpe, Chunks(lambda texts: [(i.tobytes(), " ".join(map(str, i.tolist()))) for i in bpe.encode_chunks(texts)], bpe.pattern)
+    return bpe, Stretches(bpe.encode_chunks, bpe.encode_chunks)
 
 
-def encode_texts(known: Chunks, texts: list):
-    """(ids as int32, their decimal text) of each text."""
-    for found in known.values(texts):
-        yield np.frombuffer(b"".join([f[0] for f in found]), np.int32), " ".join([f[1] for f in found])
+def encode_texts(bpe: Bpe, known: Stretches, texts):
+    """Ids of each text of an Arrow array, as int32, and their decimal text as bytes."""
+    for ids in known.ids(texts):
+        yield ids.view(np.int32), bpe.decimals[ids].tobytes().translate(None, b"\0")[:-1]
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -214,9 +249,9 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe, known = remembered(path, pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for a, b in slices(texts):
-                ids = [i for i, _ in encode_texts(known, texts[a:b])]
+                ids = [i for i, _ in encode_texts(bpe, known, texts.slice(a, b - a))]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([bpe.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
@@ -230,12 +265,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe, known = remembered(path, pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for a, b in slices(texts):
                 n, named, decoded = [], [], []
-                for ids, decimal in encode_texts(known, texts[a:b]):
+                for ids, decimal in encode_texts(bpe, known, texts.slice(a, b - a)):
                     n.append(len(ids))
-                    named.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    named.append(hashlib.sha256(decimal).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(named), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

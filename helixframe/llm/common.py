@@ -7,7 +7,6 @@ further columns of any name never disturb them.
 
 from __future__ import annotations
 
-import itertools
 import uuid
 
 import numpy as np
@@ -98,42 +97,6 @@ class Memo(dict):
             self.update(zip(new, self.make(new)))
 
 
-class Chunks:
-    """What a tokenizer gives for stretches of text, each computed once and remembered.
-
-    ``make`` takes a list of strings.  The pre-tokenizer's pattern never passes a
-    space, or begins before or goes on after a line end, that stands between two
-    characters that aren't white space; so a text may be cut before those.  A
-    text with other white space, or a longer run of it, is cut into the pattern's
-    pieces instead, which give the same.
-    """
-
-    def __init__(self, make, pattern, make_joinable=None, most: int = 300_000):
-        """``make_joinable`` is for stretches that may be put together; ``most`` bounds what is remembered."""
-        self.pattern, self.pieces = pattern, Memo(make)
-        self.stretches = Memo(lambda keys: self._made(make_joinable or make, keys), most, 40 * most)
-
-    @staticmethod
-    def _made(make, keys: list[str]) -> list:
-        """A key stands for itself after a space, or after a line end if it begins with one; None for a key with other white space at an end."""
-        bare = [k[1:] if k[:1] == "\n" else k for k in keys]
-        good = [k if k[:1] == "\n" else " " + k for k, b in zip(keys, bare) if b and b.strip() is b]
-        if len(good) == len(keys):
-            return make(good)
-        made = iter(make(good))
-        return [next(made) if b and b.strip() is b else None for b in bare]
-
-    def values(self, texts: list) -> list[list]:
-        """For each text, what ``make`` gives for its stretches, in order."""
-        cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        self.stretches.learn(itertools.chain.from_iterable(parts[1:] for parts in cut))
-        rest = [list(map(self.stretches.__getitem__, parts[1:])) for parts in cut]
-        odd = [None in found for found in rest]
-        heads = [self.pattern.findall((text or "") if bad else parts[0]) for text, bad, parts in zip(texts, odd, cut)]
-        self.pieces.learn(itertools.chain.from_iterable(heads))
-        return [[self.pieces[p] for p in head] + ([] if bad else found) for head, bad, found in zip(heads, odd, rest)]
-
-
 BYTE_MASKS = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
 
 
