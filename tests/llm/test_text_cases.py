@@ -34,17 +34,29 @@ def encoding():
 
 
 def test_bpe_equals_the_library():
+    import pyarrow as pa
+
     vocabulary, plain = encoding()
     known = bpe.remembered(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)[1]
     rng = random.Random(1)
     made = ["".join(rng.choice("ab \n\t'sdé日1!_") for _ in range(rng.randrange(60))) for _ in range(500)]
-    texts = TEXTS + made + ["a" * 3000, "ab" * 400 + " " + "!" * 700, "<|endoftext|> x"]
-    for text, (ids, decimal) in zip(texts, bpe.encode_texts(known, texts)):
+    letters = ["".join(rng.choice("aehinorst") for _ in range(n)) for n in (255, 256, 257, 511, 512, 513, 6000)]
+    texts = TEXTS + made + letters + ["a" * 3000, "ab" * 400 + " " + "!" * 700, "<|endoftext|> x", "é" * 700, "=" * 1000 + "\n" + "-" * 999]
+    for text, (ids, decimal) in zip(texts, bpe.encode_texts(vocabulary, known, pa.array(texts))):
         want = plain.encode_ordinary(text or "")
-        assert ids.tolist() == want and decimal == " ".join(map(str, want))
+        assert ids.tolist() == want and decimal.decode() == " ".join(map(str, want))
         assert vocabulary.decode(ids) == (text or "").encode()
 
 
+def test_long_pieces_in_narrow_rows():
+    vocabulary, plain = encoding()
+    rng = random.Random(2)
+    for width in (2, 3, 5, 64):
+        for _ in range(20):
+            piece = "".join(rng.choice("aehinorst") for _ in range(rng.randrange(2, 300))).encode()
+            assert vocabulary._long(piece, width).tolist() == plain.encode_ordinary(piece.decode())
+
+
 def test_pairs_not_in_the_table():
     table = bpe.PairTable(np.array([1 << 32 | 2, 7], np.int64), np.array([5, 6], np.int32))
     assert table.find(np.array([1 << 32 | 2, 7, 8, 2 << 32 | 1])).tolist() == [5, 6, bpe.NONE, bpe.NONE]
