@@ -1,26 +1,33 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of identifiers.
 
-Two order-2 Markov models over printable characters are trained: one on strings
-labelled random (the values that the fixed patterns find, and seeded random
-strings over the alphabets keys are written in), one on strings labelled ordinary
-(words and identifiers of the sampled texts outside those values).  A candidate,
-a long run of key characters with a digit, is a span of kind ``random`` if its
-log-likelihood ratio passes the threshold.  Candidates that overlap a span of the
+Two order-2 Markov models over the characters that keys are written in are
+trained: one on strings labelled random (the values that the fixed patterns find, and
+seeded random strings over the alphabets of keys), one on strings labelled
+ordinary (words and identifiers of the sampled texts outside those values, but for
+those as long as candidates, which may be secrets).  A candidate, a run of ``LEAST_LENGTH`` key characters or more with single dots inside, is a span
+of kind ``random`` if its log-likelihood ratio per character passes the
+threshold, whatever characters it has.  Candidates that overlap a span of the
 fixed patterns are left to it, so fixed spans always stay.
 
-Null and empty texts have no spans.  The training sample is bounded by
-``sample_docs`` texts and ``sample_tokens`` tokens of a label; the scan covers
-every text.
+The training sample is the texts whose seeded hash is below a bound, about
+``sample_docs`` of them; Spark adds up their counts, which are at most ``N_CODES``
+to the third power for each label.  The scan covers every text.
+
+Null and empty texts have no spans; texts of any length are scanned whole;
+equal texts get equal spans, and rows that repeat are rows of their own; of spans
+that begin together the kind listed first comes first; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The patterns, and the least length of what each must match.
@@ -30,12 +37,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+LEAST_LENGTH, THRESHOLD = 20, 1.0
+KEY = "A-Za-z0-9+/_="
+CANDIDATE = re.compile(rf"(?=[{KEY}.-]{{{LEAST_LENGTH}}})[{KEY}-]+(?:\.[{KEY}-]+)*")
+WORD = re.compile(rf"[{KEY}-]{{4,}}")
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+MADE = 2000  # seeded random strings of each alphabet
 #: Characters of the models: those of a candidate, and one mark for the start.
-CODES = {c: k + 1 for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")}
+CODES = {c: k + 1 for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")}
 N_CODES = len(CODES) + 1
+CODE_OF_BYTE = np.zeros(256, np.int64)
+CODE_OF_BYTE[[ord(c) for c in CODES]] = list(CODES.values())
 
 
 def fixed_spans(text: str) -> list[tuple[str, int, int]]:
@@ -67,15 +79,22 @@ class MarkovPair:
 
     @staticmethod
     def codes(token: str) -> np.ndarray:
-        return np.array([0, 0, *(CODES.get(c, 0) for c in token)], np.int64)
+        return np.concatenate([[0, 0], CODE_OF_BYTE[np.frombuffer(token.encode("latin-1", "replace"), np.uint8)]])
+
+    @classmethod
+    def numbers(cls, tokens: list[str]) -> np.ndarray:
+        """The trigrams of all tokens, as numbers below ``N_CODES`` cubed."""
+        raw = np.frombuffer("".join(f"\0\0{t}" for t in tokens).encode("latin-1", "replace"), np.uint8)
+        c = CODE_OF_BYTE[raw]
+        inside = np.ones(len(c), bool)
+        starts = np.cumsum([0, *(len(t) + 2 for t in tokens)])[:-1]
+        inside[np.concatenate([starts, starts + 1])] = False
+        at = np.flatnonzero(inside)
+        return (c[at - 2] * N_CODES + c[at - 1]) * N_CODES + c[at]
 
     @classmethod
     def counts(cls, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((N_CODES,) * 3, np.int64)
-        for token in tokens:
-            c = cls.codes(token)
-            np.add.at(out, (c[:-2], c[1:-1], c[2:]), 1)
-        return out
+        return np.bincount(cls.numbers(tokens), minlength=N_CODES**3).reshape((N_CODES,) * 3)
 
     def score(self, token: str) -> float:
         """Log-likelihood ratio per character; above 0 the token looks random."""
@@ -83,59 +102,68 @@ class MarkovPair:
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean())
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, sample_tokens: int = 40_000, seed: int = 11) -> MarkovPair:
-    """Fits both models on a bounded sample: texts of least seeded hash, and of their tokens those of least hash for each label."""
-    spark: SparkSession = docs.sparkSession
-    rank = F.xxhash64(F.lit(seed), "doc_id", F.length("text"))
-    share = min(1.0, 2 * sample_docs / max(1, docs.count()))
-    near = docs.where(rank < F.lit(int((share * 2 - 1) * (2**63 - 1)))) if share < 1 else docs
-    sample = near.select("text").where(F.col("text").isNotNull()).orderBy(rank).limit(sample_docs)
+def labelled(text: str) -> tuple[list[str], list[str]]:
+    """The strings of a text that are taken as random, and those taken as ordinary."""
+    spans = sorted((a, b) for _, a, b in fixed_spans(text))
+    secret = [x for a, b in spans for x in CANDIDATE.findall(text[a:b]) if len(x) >= LEAST_LENGTH]
+    plain, k = [], 0
+    for m in WORD.finditer(text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if m.end() - m.start() < LEAST_LENGTH and (k == len(spans) or spans[k][0] >= m.end()):
+            plain.append(m[0])
+    return secret, plain
 
-    def label(batches):
-        for batch in batches:
-            tokens, labels = [], []
-            for text in batch.column("text").to_pylist():
-                spans = sorted((a, b) for _, a, b in fixed_spans(text))
-                for a, b in spans:
-                    found = CANDIDATE.findall(text[a:b])
-                    tokens += found
-                    labels += [True] * len(found)
-                starts = np.array([a for a, _ in spans] or [len(text) + 1])
-                ends = np.maximum.accumulate(np.array([b for _, b in spans] or [0]))
-                for m in WORD.finditer(text):
-                    k = int(np.searchsorted(starts, m.end())) - 1
-                    if k < 0 or ends[k] <= m.start():
-                        tokens.append(m[0])
-                        labels.append(False)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(labels, pa.bool_())], ["token", "secret"])
-
-    labelled = sample.mapInArrow(label, "token string, secret boolean").select("token", "secret", F.xxhash64(F.lit(seed), "token").alias("rank")).where(F.length("token") <= 512)
-    found = [labelled.where(F.col("secret") == s).orderBy("rank", "token").limit(sample_tokens).select("token").toPandas()["token"].tolist() for s in (True, False)]
+
+def made_strings(seed: int) -> list[str]:
     rng = np.random.default_rng(seed)
-    made = ["".join(rng.choice(list(alphabet), int(rng.integers(20, 64)))) for alphabet in ALPHABETS for _ in range(2000)]
-    plain = found[1] or ["the", "and", "value", "identifier"]
-    return MarkovPair(MarkovPair.counts(found[0] + made), MarkovPair.counts(plain))
+    return ["".join(rng.choice(list(alphabet), int(rng.integers(20, 64)))) for alphabet in ALPHABETS for _ in range(MADE)]
+
 
+def train(docs: DataFrame, sample_docs: int = 4000, seed: int = 11) -> MarkovPair:
+    """Fits both models on about ``sample_docs`` texts; the driver receives summed counts of trigrams."""
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    rank = F.xxhash64(F.lit(seed), "doc_id", F.length("text"))
+    near = docs.where(rank <= F.lit(int((share * 2 - 1) * (2**63 - 1)))) if share < 1 else docs
 
-def looks_random(model: MarkovPair, token: str, threshold: float) -> bool:
-    digits = sum(c.isdigit() for c in token)
-    return 0 < digits and model.score(token) > threshold
+    def count(batches):
+        sums = np.zeros((2, N_CODES**3), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for k, tokens in enumerate(labelled(text)):
+                    if tokens:
+                        np.add.at(sums[k], MarkovPair.numbers(tokens), 1)
+        for k in (0, 1):
+            found = np.flatnonzero(sums[k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), not k)), pa.array(found), pa.array(sums[k][found])], ["secret", "gram", "n"])
+
+    parts = near.select("text").where(F.col("text").isNotNull()).mapInArrow(count, "secret boolean, gram long, n long")
+    table = parts.groupBy("secret", "gram").agg(F.sum("n").alias("n")).toPandas()
+    both = []
+    for secret in (True, False):
+        mine = table[table.secret == secret]
+        both.append(np.bincount(mine.gram.to_numpy(np.int64), mine.n.to_numpy(np.float64), N_CODES**3).reshape((N_CODES,) * 3))
+    plain = both[1] if both[1].any() else MarkovPair.counts(["the", "and", "value", "identifier"])
+    return MarkovPair(both[0] + MarkovPair.counts(made_strings(seed)), plain)
 
 
 def scan_text(text: str, model: MarkovPair, threshold: float) -> tuple[list, list]:
     """The fixed spans, and those that the models add."""
     base = fixed_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    starts = sorted(a for _, a, _ in base)
+    ends = sorted(b for _, _, b in base)
     more = []
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        if m.end() - m.start() < LEAST_LENGTH:
             continue
-        if looks_random(model, m[0], threshold):
+        if bisect.bisect_left(starts, m.end()) > bisect.bisect_right(ends, m.start()):
+            continue  # some fixed span began before its end and hasn't ended at its start
+        if model.score(m[0]) > threshold:
             more.append(("random", m.start(), m.end()))
     return base, more
 
 
-def scan_secrets(docs: DataFrame, threshold: float = 1.0, **training) -> DataFrame:
+def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, **training) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document's whole text."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), **training))
 
