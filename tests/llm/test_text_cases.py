@@ -658,3 +658,124 @@ def test_markov_models_tell_strings_apart():
     model = secretscan.MarkovPair(secretscan.MarkovPair.counts([make() for _ in range(2000)]), secretscan.MarkovPair.counts([plain() for _ in range(2000)]))
     held = [(make(), True) for _ in range(300)] + [(plain(), False) for _ in range(300)]
     assert sum((model.score(t) > 0) == label for t, label in held) >= 590
+
+
+def brute_spans(text, model):
+    """All spans, candidates compared with every fixed span."""
+    import re
+
+    found = []
+    for kind, pattern, group, least in (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", r"(AKIA[A-Z0-9]+)", 1, 20), ("hex", r"([0-9a-f]+)", 1, 24)):
+        found += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+(\.[A-Za-z0-9+/_=-]+)*", text):
+        if len(m[0]) >= 20 and not any(a < m.end() and m.start() < b for _, a, b in found) and model.score(m[0]) > secretscan.THRESHOLD:
+            more.append(("random", m.start(), m.end()))
+    return secretscan.joined(found), secretscan.joined(found + more)
+
+
+def test_secrets_equal_brute_force(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secretscan.train(documents.select("doc_id", "text"))
+    rows = {r.doc_id: r for r in secretscan.scan_secrets(documents).collect()}
+    for r in documents.collect():
+        base, spans = brute_spans(r.text or "", model)
+        assert rows[r.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and rows[r.doc_id].spans == spans
+    rng = random.Random(17)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    mixed = [draw(letters, 48) + " token: abcdefg " + draw(letters + "0123456789", 12) + "." + draw(letters, 30), "password=" + draw(letters, 40) + "." + draw(letters, 40), "x" * 19, "word.word.word.word.word.word"]
+    for text in mixed:
+        found, more = secretscan.scan_text(text, model, secretscan.THRESHOLD)
+        assert (secretscan.joined(found), secretscan.joined(found + more)) == brute_spans(text, model)
+    assert secretscan.joined(secretscan.scan_text(mixed[0], model, 1.0)[1]).startswith("random:0:48,random:")
+
+
+def test_precision_and_recall_of_held_out_strings(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = secretscan.train(documents)
+    rng = random.Random(18)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "abcdefghijklmnopqrstuvwxyz"]
+    secret = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for alphabet in alphabets for _ in range(100)]
+    words = sorted({w for r in documents.collect() for w in (r.text or "").split() if w.isascii() and w.isalpha() and len(w) > 4})
+    plain = ["_".join(rng.sample(words, rng.randrange(4, 7))) for _ in range(500)]
+    hits = [model.score(t) > secretscan.THRESHOLD for t in secret]
+    false = [model.score(t) > secretscan.THRESHOLD for t in plain]
+    assert sum(hits) >= 0.98 * len(hits) and sum(hits) >= 0.98 * (sum(hits) + sum(false))
+
+
+def test_secrets_without_labels(spark):
+    rows = secretscan.scan_secrets(docs(spark, "the same words", "the same words", None), sample_docs=1).collect()
+    assert [r.spans for r in rows] == ["", "", ""]
+    assert secretscan.scan_secrets(docs(spark, None, "")).count() == 2
+
+
+# 4: tool calls against brute force.
+
+
+def brute_calls(turns):
+    """Levels and links of calls, by conversation and identifier."""
+    import json
+
+    needs, first = {}, {}
+    for conv, turn, role, text in turns:
+        try:
+            body = json.loads(text)
+        except (TypeError, ValueError):
+            continue
+        for c in body.get("tool_calls", []) if role == "assistant" else []:
+            needs.setdefault((conv, c["id"]), set()).update(c.get("depends_on", []))
+        if role == "tool":
+            key = (conv, body["tool_call_id"])
+            first[key] = min(first.get(key, (turn, "")), (turn, body["content"]))
+    level, state = {}, {}
+
+    def of(key):
+        if state.get(key) == 1:
+            return None
+        if key not in level:
+            state[key] = 1
+            inner = [of((key[0], n)) for n in sorted(needs[key]) if (key[0], n) in needs]
+            level[key] = None if None in inner else 1 + max(inner, default=-1)
+            state[key] = 2
+        return level[key]
+
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    return {key: of(key) for key in needs}, needs, first
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_calls_equal_brute_force(spark, seed):
+    import json
+
+    rng = random.Random(seed)
+    turns = []
+    for conv in (1, 2, None):
+        names = [f"c{k}" for k in range(60)]
+        for k, name in enumerate(names):
+            if conv == 2:
+                depends = [names[k - 1]] if k else []  # one long chain
+            else:
+                depends = rng.sample(names[:k], min(k, rng.choice([0, 1, 1, 2, 3]))) + (["gone"] if rng.random() < 0.1 else []) + ([names[rng.randrange(60)]] if rng.random() < 0.04 else [])
+            call = {"id": name, "name": "search", "arguments": {"query": "q", "limit": None}, "depends_on": depends}
+            turns.append((conv, 2 * k, "assistant", json.dumps({"content": f"text {k}", "tool_calls": [call, call]} if k % 9 == 0 else {"content": None, "tool_calls": [call]})))
+            if rng.random() < 0.7:
+                turns += [(conv, 2 * k + 1, "tool", json.dumps({"tool_call_id": name, "content": f"r{k}"}))] * rng.choice([1, 1, 2])
+    rng.shuffle(turns)
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    schemas = spark.createDataFrame(queries.TOOLS, "tool string, param string, type string, required boolean")
+    rows = chat.link_tool_calls(table, schemas).collect()
+    level, needs, first = brute_calls(turns)
+    calls = [r for r in rows if r.kind == "call"]
+    assert len(calls) == sum(len(json.loads(t).get("tool_calls", [])) for _, _, role, t in turns if role == "assistant")
+    for r in calls:
+        key = (r.conv_id, r.call_id)
+        assert r.level == level[key], key
+        assert r.linked_turn == (first[key][0] if key in first else None)
+        want = ["unknown identifier"] if any((r.conv_id, n) not in needs for n in needs[key]) else []
+        assert r.problems == want + (["cycle"] if level[key] is None else [])
+    messages = sorted(json.loads(r.json)["content"] for r in rows if r.kind == "message")
+    assert messages == sorted(f"text {k}" for k in range(60) if k % 9 == 0 for _ in range(3))
+    assert sum(r.kind == "result" for r in rows) == sum(t[2] == "tool" for t in turns)
