@@ -30,13 +30,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Scratch:
     """Tables in the shared folder that cut a job's lineage; those still held are removed on exit.
 
-    ``keep`` writes and rereads a table.  ``result`` does so for the table an
-    operator returns, which outlives the block.  Inside the block Arrow batches hold
+    ``keep`` writes and rereads a table; ``keep_sorted`` does so in buckets, sorted
+    by the columns, which joins on them read without an exchange.  ``result`` is for the
+    table an operator returns, which outlives the block; it is removed when
+    the application ends.  Inside the block Arrow batches hold
     ``BATCH_ROWS`` rows, which bounds what a Python worker holds of wide rows.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.names = spark, [], []
 
     def __enter__(self) -> "Scratch":
         self.batch_rows = self.spark.conf.get(BATCH_CONF)
@@ -45,21 +47,37 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         self.spark.conf.set(BATCH_CONF, self.batch_rows)
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in self.paths:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def _path(self) -> str:
+        return f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+
     def _write(self, df: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        path = self._path()
         self.paths.append(path)
         return self._write(df, path, list(partition_by))
 
+    def keep_sorted(self, df: DataFrame, *columns: str) -> DataFrame:
+        path, name = self._path(), f"kept_{uuid.uuid4().hex}"
+        self.paths.append(path)
+        self.names.append(name)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, *columns).sortBy(*columns).saveAsTable(name)
+        return self.spark.table(name)
+
     def result(self, df: DataFrame) -> DataFrame:
-        return self._write(df, f"{shared_dir(self.spark)}/{uuid.uuid4().hex}", [])
+        path = self._path()
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        return self._write(df, path, [])
 
 
 def n_words(text) -> F.Column:
