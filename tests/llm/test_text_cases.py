@@ -625,10 +625,29 @@ def test_line_runs(spark):
         for k in range(5):
             runs.add(spark.createDataFrame([(k, h, 0) for h in (1, 2 + k)], "doc_id long, h1 long, h2 long"))
         assert [len(level) for level in runs.levels] == [1, 0, 1]
+        held = [{r.h1 for r in run.collect()} for run in runs.runs()]
+        assert held == [{6}, {1, 2, 3, 4, 5}]  # a key is in one run, that of the batch that had it first
+        assert sorted((r.h1, r.docs, r.last) for change in runs.changes for r in change.collect()) == [(1, 1, k) for k in (1, 2, 3, 4)]
         merged = {r.h1: (r.docs, r.last) for r in runs.merged().collect()}
-        assert merged[1] == (5, 4) and merged[3] == (1, 1)
-        fresh = {r.h1: r.fresh for r in runs.runs()[0].collect()}
-        assert fresh == {1: False, 6: True}
+        assert merged == {1: (5, 4)} | {2 + k: (1, k) for k in range(5)}
+        plan = runs.runs()[0].join(runs.runs()[1].select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().toString()
+        assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_lines_of_a_text_that_loses_very_many(spark):
+    lines = [f"common line number {k} that is long enough to count" for k in range(3000)]
+    rows = [(k, "\n".join(["own " + str(k), *lines, *lines[:5]])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.dedup_lines(df).select("row.doc_id", "n_lines", "n_dropped", "text_kept").collect()
+    assert sorted(map(tuple, got)) == brute_lines(rows)
+
+
+def test_lines_of_rows_without_or_with_one_doc_id(spark):
+    line = "a line that is shared by rows of one doc_id, long enough"
+    rows = [(None, line)] * 3 + [(1, line)] * 4 + [(2, line), (3, line), (4, line + "\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_dropped) for r in linededup.dedup_lines(df, min_docs=4).select("row.doc_id", "n_dropped").collect()), key=repr)
+    assert got == sorted([(None, 1)] * 3 + [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 0)], key=repr)
 
 
 # 10: secrets.
