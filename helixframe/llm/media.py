@@ -1,23 +1,32 @@
-"""Media columns: AVI files of lossless motion-JPEG frames.
+"""Media columns: AVI files of motion-JPEG frames.
 
 Bytes are stored as 8-bit grey samples of frames of 24 by 24, each a lossless
 JPEG (SOF3, predictor 1), in a RIFF file with an idx1 index.  Frames of a batch are
 coded together in numpy: one table look-up per sample and a bitwise layout when
 writing, and one step for each sample position over all frames when reading.
 
+The reader parses the index, or the chunks of ``movi`` where there is none, and each frame's
+markers: any lossless grey frame of 8 bits, whatever its tables, size and predictor,
+and baseline frames (SOF0) of any components, of which it returns the first, luma.  Frames
+without Huffman tables of their own, and other kinds, raise ValueError.
+
 Shots: the grey histograms of neighbouring frames are compared; a difference
 above the mean of its neighbourhood by ``SHARP`` deviations, and above ``FLOOR``,
 begins a new clip.
 
-Null and empty texts are stored as one frame of padding.
+Null and empty texts are stored as one frame of padding; texts of any length are
+stored whole; equal texts give equal files, and rows that repeat are rows of their own;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +41,6 @@ PAD = 255
 MS_PER_FRAME = 40
 #: Huffman codes for the difference categories 0 to 8: (length, categories), shortest first.
 CODE_LENGTHS = ((3, (7, 6, 5, 4)), (4, (3, 2, 1, 0)), (5, (8,)))
-WINDOW = 13  # the longest code and its further bits
 BINS, NEAR, SHARP, FLOOR = 16, 4, 1.5, 0.15
 
 
@@ -74,18 +82,6 @@ def coding() -> tuple[np.ndarray, np.ndarray]:
     return bits, lengths
 
 
-@functools.lru_cache(maxsize=1)
-def decoding() -> tuple[np.ndarray, np.ndarray]:
-    """For each window of bits: the difference that it begins with and the number of its bits."""
-    bits, lengths = coding()
-    diffs, used = np.zeros(1 << WINDOW, np.int16), np.zeros(1 << WINDOW, np.uint8)
-    for k, (b, n) in enumerate(zip(bits.tolist(), lengths.tolist())):
-        at = b << (WINDOW - n)
-        diffs[at : at + (1 << (WINDOW - n))] = k - 255
-        used[at : at + (1 << (WINDOW - n))] = n
-    return diffs, used
-
-
 def code_frames(samples: np.ndarray) -> list[bytes]:
     """The JPEG files of frames given as rows of ``FRAME`` samples."""
     n = len(samples)
@@ -121,31 +117,214 @@ def code_frames(samples: np.ndarray) -> list[bytes]:
     return [HEAD + data[a:b] + TAIL for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def decode_frames(files: list[bytes]) -> np.ndarray:
-    """The samples of JPEG files written by ``code_frames``, a row for each."""
-    for f in files:
-        if not f.startswith(HEAD) or not f.endswith(TAIL):
-            raise ValueError("not a lossless frame of this writer")
-    data = [f[len(HEAD) : -len(TAIL)] for f in files]
+@dataclass(frozen=True)
+class Head:
+    """What a frame's markers say, up to its scan."""
+
+    lossless: bool
+    height: int
+    width: int
+    components: tuple  # (id, horizontal, vertical, quantization table)
+    scan: tuple  # (component, dc table, ac table)
+    predictor: int
+    restart: int
+    huffman: tuple  # (class and number, counts of lengths, symbols)
+    quantization: tuple  # (number, 64 values in zigzag order)
+
+
+@functools.lru_cache(maxsize=4096)
+def parse_head(head: bytes) -> Head:
+    """Reads the markers of a frame from its start to the end of its scan header."""
+    at, huffman, quantization, frame, restart = 2, {}, {}, None, 0
+    if head[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    while True:
+        if head[at] != 0xFF:
+            raise ValueError("a JPEG marker is missing")
+        marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
+        body = head[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC4:
+            while body:
+                counts = tuple(body[1:17])
+                huffman[body[0]] = (counts, tuple(body[17 : 17 + sum(counts)]))
+                body = body[17 + sum(counts) :]
+        elif marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quantization[body[0] & 15] = struct.unpack_from(">64H" if wide else ">64B", body, 1)
+                body = body[129 if wide else 65 :]
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif marker in (0xC0, 0xC1, 0xC3):
+            if body[0] != 8:
+                raise ValueError("only frames of 8 bits are read")
+            frame = (marker == 0xC3, *struct.unpack_from(">HH", body, 1), tuple((body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)))
+        elif marker == 0xDA:
+            scan = tuple((body[k], body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2))
+            break
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+            raise ValueError("a kind of JPEG frame that isn't read")
+    if frame is None or not huffman:
+        raise ValueError("a frame without its own size or Huffman tables")
+    return Head(*frame, scan, body[1 + 2 * body[0]], restart, tuple((k, *v) for k, v in sorted(huffman.items())), tuple(sorted(quantization.items())))
+
+
+def head_size(file: bytes) -> int:
+    """Where a frame's coded samples begin."""
+    at = 2
+    while file[:2] == b"\xff\xd8" and at + 4 <= len(file):
+        end = at + 2 + struct.unpack_from(">H", file, at + 2)[0]
+        if file[at + 1] == 0xDA:
+            return end
+        at = end
+    raise ValueError("not a JPEG frame")
+
+
+@functools.lru_cache(maxsize=256)
+def reading_table(counts: tuple, symbols: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of 16 bits: the symbol whose code it begins with, and the code's length (0: none)."""
+    value, length, code, k = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8), 0, 0
+    for n, count in enumerate(counts, 1):
+        for _ in range(count):
+            at = code << (16 - n)
+            value[at : at + (1 << (16 - n))], length[at : at + (1 << (16 - n))] = symbols[k], n
+            code, k = code + 1, k + 1
+        code <<= 1
+    return value, length
+
+
+def unstuffed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of several scans without their stuffing, as 32-bit windows at each byte, and where each scan begins."""
     raw = np.frombuffer(b"".join(data), np.uint8)
     stuffing = np.zeros(len(raw), bool)
     stuffing[1:] = (raw[:-1] == 255) & (raw[1:] == 0)
     dropped = np.concatenate([[0], np.cumsum(stuffing)])
     starts = np.cumsum([0, *map(len, data)])[:-1]
-    starts = starts - dropped[starts]
-    flat = np.concatenate([raw[~stuffing], np.zeros(3, np.uint8)]).astype(np.uint32)
-    windows = flat[:-2] << np.uint32(16) | flat[1:-1] << np.uint32(8) | flat[2:]
-    diffs, used = decoding()
+    flat = np.concatenate([raw[~stuffing], np.zeros(4, np.uint8)]).astype(np.uint32)
+    windows = flat[:-3] << np.uint32(24) | flat[1:-2] << np.uint32(16) | flat[2:-1] << np.uint32(8) | flat[3:]
+    return windows, starts - dropped[starts]
+
+
+def lossless_samples(head: Head, data: list[bytes]) -> np.ndarray:
+    """The samples of frames that share a head, a row for each; a step for each place handles all frames."""
+    if len(head.components) != 1 or head.restart:
+        raise ValueError("only grey lossless frames without restarts are read")
+    tables = {k: (counts, symbols) for k, counts, symbols in head.huffman}
+    category, length = reading_table(*tables[head.scan[0][1]])
+    windows, starts = unstuffed(data)
     at = starts.astype(np.int64) * 8
-    out = np.empty((FRAME, len(files)), np.int16)
-    for k in range(FRAME):
-        v = windows[at >> 3] >> (24 - WINDOW - (at & 7)).astype(np.uint32) & np.uint32((1 << WINDOW) - 1)
-        out[k] = diffs[v]
-        at += used[v]
-    x = np.ascontiguousarray(out.T).reshape(len(files), SIDE, SIDE)
+    h, w, n = head.height, head.width, len(data)
+    out = np.empty((h * w, n), np.int16)
+    for k in range(h * w):
+        bits = windows[at >> 3] << (at & 7).astype(np.uint32)  # 25 bits or more are true ones
+        code = bits >> np.uint32(16)
+        size, used = category[code], length[code]
+        extra = ((bits << used.astype(np.uint32)) >> np.uint32(16)).astype(np.int32) >> (16 - size.astype(np.int32))
+        out[k] = np.where(extra < (1 << size.astype(np.int32) >> 1), extra - (1 << size.astype(np.int32)) + 1, extra)
+        at += used
+        at += size
+    x = np.ascontiguousarray(out.T).reshape(n, h, w)
     x[:, 0, 0] += 128
-    x[:, :, 0] = np.cumsum(x[:, :, 0], 1, dtype=np.int16)
-    return np.cumsum(x, 2, dtype=np.int16).astype(np.uint8).reshape(len(files), FRAME)
+    if head.predictor == 1:
+        x[:, :, 0] = np.cumsum(x[:, :, 0], 1, dtype=np.int16)
+        return np.cumsum(x, 2, dtype=np.int16).astype(np.uint8).reshape(n, h * w)
+    x[:, 0] = np.cumsum(x[:, 0], 1, dtype=np.int16)
+    guess = {2: lambda a, b, c: b, 3: lambda a, b, c: c, 4: lambda a, b, c: a + b - c, 5: lambda a, b, c: a + ((b - c) >> 1), 6: lambda a, b, c: b + ((a - c) >> 1), 7: lambda a, b, c: (a + b) >> 1}[head.predictor]
+    x &= 255
+    for row in range(1, h):
+        x[:, row, 0] = (x[:, row, 0] + x[:, row - 1, 0]) & 255
+        for col in range(1, w):
+            x[:, row, col] = (x[:, row, col] + guess(x[:, row, col - 1], x[:, row - 1, col], x[:, row - 1, col - 1])) & 255
+    return x.astype(np.uint8).reshape(n, h * w)
+
+
+@functools.lru_cache(maxsize=1)
+def zigzag() -> list[int]:
+    """Places of a block of 8 by 8 along its diagonals, which are walked up and down in turn."""
+    return sorted(range(64), key=lambda k: (k // 8 + k % 8, k % 8 if (k // 8 + k % 8) % 2 == 0 else k // 8))
+
+
+@functools.lru_cache(maxsize=1)
+def cosines() -> np.ndarray:
+    k, x = np.arange(8)[:, None], np.arange(8)[None, :]
+    return np.where(k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * k * np.pi / 16)
+
+
+def baseline_samples(head: Head, data: bytes) -> np.ndarray:
+    """Luma of a baseline frame, one block after the other."""
+    tables = {k: reading_table(counts, symbols) for k, counts, symbols in head.huffman}
+    parts = re.split(b"\xff[\xd0-\xd7]", data) if head.restart else [data]
+    wide, high = max(c[1] for c in head.components), max(c[2] for c in head.components)
+    if len(head.components) == 1:
+        wide = high = 1
+    across, down = -(-head.width // (8 * wide)), -(-head.height // (8 * high))
+    luma = head.components[0]
+    planes = (luma[1], luma[2]) if len(head.components) > 1 else (1, 1)
+    blocks = np.zeros((down * planes[1], across * planes[0], 64))
+    chosen, order = {c: (d, a) for c, d, a in head.scan}, zigzag()
+    units, done = across * down, 0
+    for part in parts:
+        windows = unstuffed([part])[0].tolist()
+        at, last = 0, dict.fromkeys((c[0] for c in head.components), 0)
+
+        def taken(n: int) -> int:
+            nonlocal at
+            out = (windows[at >> 3] << (at & 7) & 0xFFFFFFFF) >> (32 - n) if n else 0
+            at += n
+            return out
+
+        def symbol(table) -> int:
+            nonlocal at
+            code = (windows[at >> 3] << (at & 7) & 0xFFFFFFFF) >> 16
+            at += int(table[1][code])
+            return int(table[0][code])
+
+        def signed(size: int) -> int:
+            x = taken(size)
+            return x if not size or x >> (size - 1) else x - (1 << size) + 1
+
+        for unit in range(done, min(done + (head.restart or units), units)):
+            for name, hs, vs, _ in head.components:
+                dc, ac = tables[chosen[name][0]], tables[16 + chosen[name][1]]
+                for b in range(hs * vs if len(head.components) > 1 else 1):
+                    values = [0] * 64
+                    last[name] += signed(symbol(dc))
+                    values[0], k = last[name], 1
+                    while k < 64:
+                        run, size = divmod(symbol(ac), 16)
+                        if not size and run != 15:
+                            break
+                        k += run
+                        if size:
+                            values[k] = signed(size)
+                        k += 1
+                    if name == luma[0]:
+                        blocks[unit // across * planes[1] + b // planes[0], unit % across * planes[0] + b % planes[0], order] = values
+        done += head.restart or units
+    scaled = np.zeros(64)
+    scaled[order] = dict(head.quantization)[luma[3]]
+    coefficients = (blocks * scaled).reshape(*blocks.shape[:2], 8, 8)
+    c = cosines()
+    x = np.rint(np.einsum("kx,abkl,ly->abxy", c, coefficients, c) + 128).clip(0, 255).astype(np.uint8)
+    whole = x.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+    return np.ascontiguousarray(whole[: -(-head.height * planes[1] // high), : -(-head.width * planes[0] // wide)])
+
+
+def decode_frames(files: list[bytes]) -> list[np.ndarray]:
+    """The samples of JPEG frames, rows of a table for frames of one head; lossless frames that share a head are read together."""
+    out: list = [None] * len(files)
+    groups: dict[bytes, list[int]] = {}
+    for k, f in enumerate(files):
+        if not f.endswith(TAIL):
+            raise ValueError("not a JPEG frame")
+        groups.setdefault(HEAD if f.startswith(HEAD) else bytes(f[: head_size(f)]), []).append(k)
+    for name, members in groups.items():
+        head = parse_head(name)
+        data = [files[k][len(name) : -len(TAIL)] for k in members]
+        for k, x in zip(members, lossless_samples(head, data) if head.lossless else [baseline_samples(head, d).ravel() for d in data]):
+            out[k] = x
+    return out
 
 
 def chunk(name: bytes, *parts: bytes) -> bytes:
@@ -169,21 +348,32 @@ def avi(frames: list[bytes]) -> bytes:
 
 
 def index_of(file: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """Milliseconds per frame, and (offset, length) of each frame of an AVI file, from its index."""
+    """Milliseconds per frame, and (offset, length) of each video frame of an AVI file, from its index or, without one, its chunks.
+
+    Offsets in an index count from ``movi`` or, in some files, from the start of the file.
+    """
     if file[:4] != b"RIFF" or file[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movie, found, ms = 12, None, [], MS_PER_FRAME
+    at, movie, found, inner, ms = 12, None, None, [], MS_PER_FRAME
     while at + 8 <= len(file):
         name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
         if name == b"LIST" and file[at + 8 : at + 12] == b"movi":
-            movie = at + 8
+            movie, place = at + 8, at + 12
+            while place + 8 <= min(at + 8 + size, len(file)) and not file.startswith(b"idx1", at + 8 + size):
+                inner_size = struct.unpack_from("<I", file, place + 4)[0]
+                if file[place + 2 : place + 4] in (b"dc", b"db"):
+                    inner.append((place + 8, inner_size))
+                place += 12 if file[place : place + 4] == b"LIST" else 8 + inner_size + (inner_size & 1)
         elif name == b"LIST" and file[at + 8 : at + 12] == b"hdrl":
             ms = struct.unpack_from("<I", file, at + 20)[0] // 1000
         elif name == b"idx1":
-            entries = np.frombuffer(file, "<u4", size // 4, at + 8).reshape(-1, 4)
-            found = [(movie + a + 8, n) for a, n in entries[:, 2:].tolist()]
+            entries = np.frombuffer(file, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
+            video = ((entries[:, 0] >> 16) == 0x6364) | ((entries[:, 0] >> 16) == 0x6264)
+            offsets = entries[video, 2].astype(np.int64)
+            base = 0 if len(offsets) and file[offsets[0] : offsets[0] + 4] == entries[video][0, :1].tobytes() else movie
+            found = list(zip((offsets + base + 8).tolist(), entries[video, 3].tolist()))
         at += 8 + size + (size & 1)
-    return ms, found
+    return ms, inner if found is None else found
 
 
 def cuts_of(frames: np.ndarray) -> list[int]:
@@ -192,7 +382,7 @@ def cuts_of(frames: np.ndarray) -> list[int]:
         return [0]
     bins = (frames >> 4).astype(np.int64) + np.arange(len(frames))[:, None] * BINS
     hist = np.bincount(bins.ravel(), minlength=len(frames) * BINS).reshape(-1, BINS)
-    steps = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * FRAME)
+    steps = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * frames.shape[1])
     sums, squares = np.concatenate([[0], np.cumsum(steps)]), np.concatenate([[0], np.cumsum(steps * steps)])
     k = np.arange(len(steps))
     a, b = np.maximum(k - NEAR, 0), np.minimum(k + NEAR + 1, len(steps))
@@ -233,7 +423,7 @@ def decoded(batch, column: str = "media"):
         samples = decode_frames([f[a : a + n] for f, (_, places) in zip(files, indexes) for a, n in places])
         at = 0
         for k, (ms, places) in enumerate(indexes):
-            yield start + k, files[k], ms, samples[at : at + len(places)]
+            yield start + k, files[k], ms, np.stack(samples[at : at + len(places)]) if places else np.zeros((0, FRAME), np.uint8)
             at += len(places)
         start, held = i + 1, 0
 
