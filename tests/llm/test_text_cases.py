@@ -565,7 +565,7 @@ def test_frames():
     rng = np.random.default_rng(12)
     x = np.concatenate([rng.integers(0, 256, (50, 576)), np.zeros((2, 576)), np.full((2, 576), 255), np.tile([0, 255], (3, 288))]).astype(np.uint8)
     files = media.code_frames(x)
-    assert (media.decode_frames(files) == x).all()
+    assert (np.stack(media.decode_frames(files)) == x).all()
     whole = media.avi(files)
     ms, places = media.index_of(whole)
     assert ms == media.MS_PER_FRAME and [whole[a : a + n] for a, n in places] == files
@@ -575,6 +575,122 @@ def test_frames():
     assert media.cuts_of(np.concatenate([dark, light])) == [0, 6] and media.cuts_of(dark) == [0]
 
 
+def bits_to_scan(bits):
+    bits += "1" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def segment(marker, body):
+    return bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def value_bits(d):
+    size = abs(int(d)).bit_length()
+    return size, format(d if d >= 0 else d + (1 << size) - 1, f"0{size}b") if size else ""
+
+
+def lossless_file(image, predictor):
+    """A lossless JPEG by another writer: codes of 4 bits, a comment, any predictor."""
+    h, w = image.shape
+    x, bits = image.astype(int), ""
+    for i in range(h):
+        for j in range(w):
+            a, b, c = (x[i, j - 1] if j else 0), (x[i - 1, j] if i else 0), (x[i - 1, j - 1] if i and j else 0)
+            if not i and not j:
+                guess = 128
+            elif not i or not j:
+                guess = a if not i else b
+            else:
+                guess = [a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1][predictor - 1]
+            size, extra = value_bits(((int(x[i, j]) - guess + 128) % 256) - 128)
+            bits += format(size, "04b") + extra
+    table = bytes([0, 0, 0, 0, 9, *[0] * 12]) + bytes(range(9))
+    frame = bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([1, 7, 0x11, 0])
+    return b"\xff\xd8" + segment(0xFE, b"note") + segment(0xC4, table) + segment(0xC3, frame) + segment(0xDA, bytes([1, 7, 0, predictor, 0, 0])) + bits_to_scan(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_lossless_frames_of_another_writer(predictor):
+    rng = np.random.default_rng(predictor)
+    images = [rng.integers(0, 256, (9, 13)).astype(np.uint8), np.arange(117).reshape(9, 13).astype(np.uint8)]
+    got = media.decode_frames([lossless_file(x, predictor) for x in images])
+    assert all(np.array_equal(g.reshape(9, 13), x) for g, x in zip(got, images))
+
+
+def baseline_file(luma_blocks, chroma, restart):
+    """A baseline JPEG of quantized blocks: codes of 8 bits, luma 2 by 1, one chroma component."""
+    code = lambda s: format(s, "08b")
+    parts, last, bits = [], [0, 0], ""
+    for unit in range(len(luma_blocks) // 2):
+        if restart and unit and unit % restart == 0:
+            parts.append(bits_to_scan(bits))
+            last, bits = [0, 0], ""
+        for c, block in ((0, luma_blocks[2 * unit]), (0, luma_blocks[2 * unit + 1]), (1, chroma)):
+            size, extra = value_bits(block[0] - last[c])
+            last[c] = block[0]
+            bits += code(size) + extra
+            run = 0
+            for v in block[1:]:
+                if v == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits += code(0xF0)
+                    run -= 16
+                size, extra = value_bits(v)
+                bits += code(run << 4 | size) + extra
+                run = 0
+            if run:
+                bits += code(0)
+    parts.append(bits_to_scan(bits))
+    data = b"".join(p + (bytes([255, 0xD0 + k % 8]) if k + 1 < len(parts) else b"") for k, p in enumerate(parts))
+    table = lambda k: bytes([k, *[0] * 7, 255, *[0] * 8]) + bytes(range(255))
+    frame = bytes([8, 0, 15, 0, 30, 2, 1, 0x21, 0, 2, 0x11, 0])
+    quantization = bytes([0]) + bytes(range(1, 65))
+    return b"\xff\xd8" + segment(0xDB, quantization) + segment(0xC4, table(0) + table(16)) + segment(0xC0, frame) + (segment(0xDD, restart.to_bytes(2, "big")) if restart else b"") + segment(0xDA, bytes([2, 1, 0, 2, 0, 0, 63, 0])) + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 1, 3])
+def test_baseline_frames(restart):
+    rng = np.random.default_rng(restart)
+    walk, i, j, up = [], 0, 0, True
+    for _ in range(64):  # the zigzag, step by step
+        walk.append((i, j))
+        if up:
+            up, i, j = (False, i + 1, j) if j == 7 else (False, i, j + 1) if i == 0 else (True, i - 1, j + 1)
+        else:
+            up, i, j = (True, i, j + 1) if i == 7 else (True, i + 1, j) if j == 0 else (False, i + 1, j - 1)
+    blocks = []
+    for _ in range(8):  # 2 rows of 2 units of 2 luma blocks: 16 by 32 samples
+        block = np.zeros(64, int)
+        block[0] = rng.integers(-60, 60)
+        block[rng.integers(1, 64, 5)] = rng.integers(-3, 4, 5)
+        blocks.append(block.tolist())
+    got = media.decode_frames([baseline_file(blocks, [5] + [0] * 63, restart)])[0].reshape(15, 30)
+    want = np.zeros((16, 32))
+    for n, block in enumerate(blocks):
+        unit, b = divmod(n, 2)
+        top, left = unit // 2 * 8, (unit % 2 * 2 + b) * 8
+        for k, v in enumerate(block):
+            u, w = walk[k]
+            for y in range(8):
+                for x in range(8):
+                    scale = (np.sqrt(0.5) if u == 0 else 1) * (np.sqrt(0.5) if w == 0 else 1) / 4
+                    want[top + y, left + x] += scale * v * (k + 1) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * w * np.pi / 16)
+    assert np.abs(got - np.clip(want + 128, 0, 255)[:15, :30]).max() <= 0.51
+
+
+def test_files_without_an_index_and_frames_that_are_not_read():
+    x = np.arange(576, dtype=np.uint8).reshape(1, -1)
+    files = media.code_frames(np.concatenate([x, x // 2, x // 3]))
+    whole = media.avi(files)
+    cut = whole[: whole.index(b"idx1")]
+    assert [cut[a : a + n] for a, n in media.index_of(cut)[1]] == files
+    for bad in (b"GIF89a" + media.TAIL, b"\xff\xd8" + segment(0xC2, b"\x08\0\1\0\1\1\1\x11\0") + segment(0xDA, b"\1\1\0\0\0\0") + media.TAIL):
+        with pytest.raises(ValueError):
+            media.decode_frames([bad])
+
+
 def test_media_rows(spark):
     import zlib
 
