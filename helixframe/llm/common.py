@@ -97,24 +97,6 @@ def slices(texts, chars: int = 4_000_000):
         yield start, len(sizes)
 
 
-class Memo(dict):
-    """A bounded memory from a string to what ``make`` computes for a list of strings; it starts afresh when full."""
-
-    def __init__(self, make, most: int = 300_000, most_chars: int = 12_000_000):
-        super().__init__()
-        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
-
-    def learn(self, keys) -> None:
-        keys = set(keys)
-        new = list(keys.difference(self))
-        if len(self) + len(new) > self.most or self.chars > self.most_chars:
-            self.clear()
-            self.chars, new = 0, list(keys)
-        if new:
-            self.chars += sum(map(len, new))
-            self.update(zip(new, self.make(new)))
-
-
 BYTE_MASKS = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
 
 

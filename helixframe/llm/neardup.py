@@ -34,14 +34,12 @@ least doc_id; long texts are compared whole; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, slices
+from .common import BLANKS, BYTE_MASKS, Scratch, slices
 
 REGISTERS, ROWS = 128, 5
 BANDS = REGISTERS // ROWS
@@ -49,6 +47,7 @@ BASE = 1.02
 OFFSET = 1024  # keeps registers of sets of any size above 0
 SLACK = 0.2  # of the estimate: more than five of its deviations
 PAIRS_A_PART = 1024  # pairs that share a pivot and are verified together
+IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -58,26 +57,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def word_memo() -> Memo:
-    import xxhash
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, A-Z as a-z, and where each text's words begin and the last one's end.
+
+    Words of up to 15 bytes are hashed from those bytes and their number all at once.
+    """
+    held = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    whole = b"\n".join(["".encode(), *held, bytes(16)]).lower()
+    raw = np.frombuffer(whole, np.uint8)
+    blank = IS_BLANK[raw]
+    blank[-17:] = True
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, n = edges[::2], edges[1::2] - edges[::2]
+    words = np.ndarray(len(raw) - 7, "<u8", whole, strides=(1,))
+    low, high = words[starts] & BYTE_MASKS[np.minimum(n, 8)], words[np.minimum(starts + 8, len(words) - 1)] & BYTE_MASKS[np.clip(n - 8, 0, 7)]
+    out = mix(mix(low + M2) ^ (high | n.astype(np.uint64) << np.uint64(56)) * M1)
+    long = np.flatnonzero(n > 15)
+    if len(long):
+        import xxhash
 
-    return Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words])
+        out[long] = [xxhash.xxh3_64_intdigest(whole[a : a + k]) for a, k in zip(starts[long].tolist(), n[long].tolist())]
+    return out, np.searchsorted(starts, np.cumsum([1, *(len(h) + 1 for h in held)]))
 
 
 def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes."""
-    memo = word_memo()
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    memo.learn(w for own in words for w in own)
+    x, cuts = word_hashes(texts)
+    h = np.full(max(len(x) - width + 1, 0), width, np.uint64)
+    for k in range(width):
+        h = mix(h * M2 + x[k : k + len(h)])
     out = []
-    for own in words:
-        x = np.fromiter(map(memo.__getitem__, own), np.uint64, len(own))
-        n = max(1, len(x) - width + 1) if len(x) else 0
-        h = np.full(n, min(len(x), width), np.uint64)
-        for k in range(min(len(x), width)):
-            h = mix(h * M2 + x[k : k + n])
-        out.append(np.unique(h))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a >= width:
+            out.append(np.unique(h[a : b - width + 1]))
+        else:  # the whole sequence, if there is any
+            one = np.full(min(b - a, 1), b - a, np.uint64)
+            for k in range(a, b):
+                one = mix(one * M2 + x[k])
+            out.append(one)
     return out
 
 
