@@ -478,6 +478,21 @@ def test_near_duplicates(spark, width, percent):
         assert (rows[k].n_shingles, rows[k].component_id, rows[k].kept) == (n, root, root == k)
 
 
+def test_shingles_are_those_of_words():
+    rng = random.Random(19)
+    words = ["a", "A", "b", "é", "É", "x\x1cy", "\x85", "longer-than-fifteen-bytes", "LONGER-THAN-FIFTEEN-BYTES", "fifteen-bytes-x", "a\0", "\0", "a\0\0"]
+    texts = [None, "", " \n\t"] + [rng.choice(["", " "]).join([rng.choice([" ", "\n", "\x0b", "  "]) + rng.choice(words) for _ in range(rng.randrange(7))]) for _ in range(400)]
+    for width in (1, 3, 5):
+        names: dict = {}
+        for text, got in zip(texts, neardup.shingle_sets(texts, width)):
+            w = (text or "").encode().lower().split()
+            want = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+            assert len(got) == len(want) and (np.diff(got.view(np.uint64).astype(object)) > 0).all()
+            if len(want) == 1:
+                assert names.setdefault(next(iter(want)), int(got[0])) == int(got[0])
+        assert len(set(names.values())) == len(names)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, "x").where("doc_id < 0")).count() == 0
     twice = docs(spark, "one two three", "one two three").withColumn("doc_id", F.lit(4).cast("long"))
