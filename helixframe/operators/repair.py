@@ -95,8 +95,12 @@ def repair(symbols: list[int], least: int = 2, most_rules: int | None = None, ei
     return [s for s, ok in zip(syms, alive) if ok], rules
 
 
-def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int | None = None):
-    """(final symbols, rules as (symbols, usage, count)): the most frequent window of k is replaced until none is frequent enough."""
+def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int | None = None, either_strand: bool = False):
+    """(final symbols, rules as (symbols, usage, count)): the most frequent window of k that can be replaced twice is, until there is none.
+
+    With ``either_strand`` a window and its reverse complement count as one, and an
+    occurrence of the latter becomes the reverse of the rule's symbol.
+    """
     n = len(symbols)
     syms, nxt, prv, alive = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
 
@@ -111,11 +115,15 @@ def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int |
         found = nodes(i)
         return tuple(syms[x] for x in found) if len(found) == k else None
 
+    def key(i: int) -> tuple | None:
+        w = window(i)
+        return min(w, tuple(back(x) for x in reversed(w))) if w and either_strand else w
+
     count: dict = {}
     places: dict = {}
 
     def add(i: int) -> tuple | None:
-        w = window(i)
+        w = key(i)
         if w:
             count[w] = count.get(w, 0) + 1
             places.setdefault(w, []).append(i)
@@ -131,12 +139,13 @@ def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int |
         if count.get(body, 0) != -c:
             continue
         chosen, after = [], 0
-        for i in sorted(set(places.pop(body))):
-            if i >= after and alive[i] and window(i) == body:
+        places[body] = sorted(set(places[body]))
+        for i in places[body]:
+            if i >= after and alive[i] and key(i) == body:
                 chosen.append(i)
                 after = nodes(i)[-1] + 1
-        if len(chosen) < 2:
-            break
+        if len(chosen) < 2:  # its places overlap; it comes up again if its count changes
+            continue
         touched = set()
         for i in chosen:
             inner, before, left = nodes(i), [], prv[i]
@@ -144,11 +153,11 @@ def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int |
                 before.append(left)
                 left = prv[left]
             for x in before + inner:
-                w = window(x)
+                w = key(x)
                 if w:
                     count[w] -= 1
                     touched.add(w)
-            syms[i], nxt[i] = 4 + len(rules), nxt[inner[-1]]
+            syms[i], nxt[i] = (4 + len(rules) if window(i) == body else -5 - len(rules)), nxt[inner[-1]]
             for x in inner[1:]:
                 alive[x] = False
             if nxt[i] < n:
@@ -187,7 +196,7 @@ def build(seqs: DataFrame, least: int = 2, length_factor: int | None = None, mos
                     final, rules = repair(symbols, enough, most_rules, either_strand)
                     out.append((final, [([a, b], used, n) for a, b, used, n in rules]))
                 else:
-                    out.append(replace_kmers(symbols, kmer, enough, most_rules))
+                    out.append(replace_kmers(symbols, kmer, enough, most_rules, either_strand))
             yield _grammar_batch(batch.column("seq_id"), out)
 
     return seqs.select("seq_id", "dna").mapInArrow(run, GRAMMAR)

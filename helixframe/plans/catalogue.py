@@ -15,6 +15,7 @@ from ..operators import chunks, grammar, kmers, lcg, repair, sketch, stats
 from ..shared import keep, shared_dir
 from ..sources import export, fasta
 from ..streaming import counts as streaming
+from . import grammar_sql as G
 
 K, W, SKETCH, ROUNDS = 8, 4, 16, 4
 QUERIES: dict = {}
@@ -32,6 +33,11 @@ def query(sql: str | None = None):
     return add
 
 
+def spelled(df: DataFrame, column: str = "symbols") -> DataFrame:
+    """The table with an array of numbers written as text."""
+    return df.withColumn(column, F.array_join(F.col(column).cast("array<string>"), " "))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -121,7 +127,7 @@ def read_range(spark, sf_dir):
     return fasta.read_range(sequences(spark, sf_dir), 10, 20)
 
 
-@query()
+@query(G.FINGERPRINTS_SQL)
 def base_fingerprints(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", D.fingerprint_bases("dna").alias("fingerprint"))
 
@@ -331,7 +337,7 @@ def suffix_arrays(spark, sf_dir):
     return sketch.suffix_arrays(sequences(spark, sf_dir))
 
 
-@query()
+@query(G.window_fingerprints_sql(8))
 def window_fingerprints(spark, sf_dir):
     return sketch.window_fingerprints(sequences(spark, sf_dir), 8)
 
@@ -386,6 +392,16 @@ def kmer_grammar_roundtrip(spark, sf_dir):
     return grammar.expand(repair.build(sequences(spark, sf_dir), kmer=4))
 
 
+@query(G.KMER_RULES_SQL)
+def kmer_rules(spark, sf_dir):
+    return spelled(grammar.explode_rules(repair.build(sequences(spark, sf_dir), kmer=4)))
+
+
+@query(f"WITH {S} SELECT seq_id, dna FROM s")
+def kmer_either_strand_roundtrip(spark, sf_dir):
+    return grammar.expand(repair.build(sequences(spark, sf_dir), kmer=4, either_strand=True))
+
+
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def simplified_roundtrip(spark, sf_dir):
     built = repair.build(sequences(spark, sf_dir))
@@ -410,37 +426,45 @@ def lcg_phrases_joined(spark, sf_dir):
     return found.groupBy("seq_id").agg(F.array_join(F.transform(part, lambda p: p["content"]), "").alias("dna"))
 
 
-@query()
+PRINTS = {a + b: D.fx_hash(w for x in a + b for w in D.symbol_words("ACGT".index(x))) for a in "ACGT" for b in ("A", "C", "G", "T", "")}
+
+
+@query(G.phrases(PRINTS) + "SELECT seq_id, start, len, content FROM p")
+def lcg_phrases(spark, sf_dir):
+    return lcg.phrases(sequences(spark, sf_dir)).where(F.col("len") > 0)
+
+
+@query(G.phrases(PRINTS) + "SELECT content, count(*) AS n FROM p WHERE len >= 2 GROUP BY content HAVING count(*) >= 2")
 def lcg_phrase_rules(spark, sf_dir):
     return lcg.phrase_rules(sequences(spark, sf_dir))
 
 
-@query()
+@query(G.RULES_SQL)
 def repair_rules(spark, sf_dir):
-    return grammar.explode_rules(repair.build(sequences(spark, sf_dir)))
+    return spelled(grammar.explode_rules(repair.build(sequences(spark, sf_dir))))
 
 
-@query()
+@query(G.EVICTED_SQL)
 def evicted_rules(spark, sf_dir):
     built = repair.build(sequences(spark, sf_dir))
-    return grammar.explode_rules(grammar.simplify(built, most_rules=8))
+    return spelled(grammar.explode_rules(grammar.simplify(built, most_rules=8)))
 
 
 # Analysis.
 
 
-@query()
+@query(G.ANALYSIS_SQL)
 def rule_analysis(spark, sf_dir):
-    return grammar.analyze(grammars(spark, sf_dir))
+    return spelled(grammar.analyze(grammars(spark, sf_dir)))
 
 
-@query()
+@query(G.LEVELS_SQL)
 def rule_levels(spark, sf_dir):
     """The same figures by rounds of joins."""
     return grammar.rule_levels(grammar.explode_rules(grammars(spark, sf_dir)))
 
 
-@query()
+@query(G.EDGES_SQL)
 def rule_edges(spark, sf_dir):
     return export.edges(grammars(spark, sf_dir))
 
@@ -453,7 +477,7 @@ def sequence_assembly_index(spark, sf_dir):
     return found.select("seq_id", (F.col("assembly_index") + F.col("n")).cast("long").alias("total"))
 
 
-@query()
+@query(G.STATS_SQL)
 def compression_stats(spark, sf_dir):
     return grammar.compression_stats(grammars(spark, sf_dir))
 
@@ -463,20 +487,20 @@ def original_sizes(spark, sf_dir):
     return grammar.compression_stats(grammars(spark, sf_dir)).select("seq_id", "original_size")
 
 
-@query()
+@query(G.DEDUPLICATED_SQL)
 def deduplicated_rules(spark, sf_dir):
-    return grammar.deduplicate_rules(grammar.explode_rules(grammars(spark, sf_dir)))
+    return spelled(grammar.deduplicate_rules(grammar.explode_rules(grammars(spark, sf_dir))), "body")
 
 
 # Merging.
 
 
-@query()
+@query(G.MERGED_SQL)
 def merged_rules(spark, sf_dir):
     return grammar.merge_grammars(grammars(spark, sf_dir))[0]
 
 
-@query()
+@query(G.ORIGINS_SQL)
 def rule_origins(spark, sf_dir):
     return grammar.merge_grammars(grammars(spark, sf_dir))[1]
 
@@ -503,14 +527,14 @@ def chunked_roundtrip(spark, sf_dir):
 # Exports and sources.
 
 
-@query()
+@query(G.SUMMARY_SQL)
 def repeat_summary(spark, sf_dir):
     return export.repeat_summary(grammars(spark, sf_dir))
 
 
-@query()
+@query(G.LONGEST_SQL)
 def top_n_longest_rules(spark, sf_dir):
-    return export.top_rules(grammars(spark, sf_dir), 20)
+    return spelled(export.top_rules(grammars(spark, sf_dir), 20))
 
 
 def _export(kind: str, name: str, **options):
@@ -518,7 +542,7 @@ def _export(kind: str, name: str, **options):
         return export.lines_for(grammars(spark, sf_dir), kind, **options)
 
     run.__name__ = name
-    query()(run)
+    query(G.LINES_SQL.get(name))(run)
 
 
 for _kind in ("text", "fasta", "gfa", "dot", "graphml", "repeats", "stats"):
@@ -531,7 +555,7 @@ _export("dot", "dot_lines_graph", dialect="graph")
 _export("json", "json_object_lines", dialect="object")
 
 
-@query()
+@query(G.LINES_SQL["gfa_top_lines"])
 def gfa_top_lines(spark, sf_dir):
     return export.gfa_top_lines(grammars(spark, sf_dir), 5)
 

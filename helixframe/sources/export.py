@@ -1,8 +1,9 @@
 """Grammar exporters: every format is rows of lines with an order, made by DataFrame operations.
 
-Lines are (seq_id, section, item, line); ``write_lines`` streams one grammar's lines to
-a file in order without holding them, and ``df.write.text`` writes many in
-parallel.  Rules come in order of their ids in every format.
+Lines are (seq_id, section, item, place, line), in that order; a rule's lines have its id as
+``item``.  ``write_lines`` sorts them by range and writes a file for each range in
+parallel, whose names are in order, or streams them to one local file.  Rules
+come in order of their ids in every format.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ DEPTH_COLORS = ((0.2, "lightgreen"), (0.4, "palegreen"), (0.6, "khaki"), (0.8, "
 FORMATS = {"json": "json", "txt": "text", "text": "text", "gfa": "gfa", "dot": "dot", "fasta": "fasta", "fa": "fasta", "fna": "fasta", "graphml": "graphml", "tsv": "repeats"}
 
 
-def _lines(df: DataFrame, section: int, item, line) -> DataFrame:
-    return df.select("seq_id", F.lit(section).alias("section"), (F.lit(item) if isinstance(item, int) else item).cast("long").alias("item"), line.alias("line"))
+ORDER = ("seq_id", "section", "item", "place", "line")
+
+
+def _lines(df: DataFrame, section: int, item, line, place=0) -> DataFrame:
+    number = lambda x, name: (F.lit(x) if isinstance(x, int) else x).cast("long").alias(name)
+    return df.select("seq_id", F.lit(section).alias("section"), number(item, "item"), number(place, "place"), line.alias("line"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -120,7 +125,7 @@ def gfa_top_lines(grammars: DataFrame, n: int) -> DataFrame:
         _lines(grammars, 0, 0, F.lit("H\tVN:Z:1.0")),
         _lines(segments, 1, F.col("rule_id"), F.concat_ws("\t", F.lit("S"), F.col("rule_id").cast("string"), "dna", F.concat(F.lit("LN:i:"), F.length("dna")))),
         _lines(bases, 2, F.col("sym"), F.concat(F.lit("S\tT_"), code_base("sym"), F.lit("\t"), code_base("sym"), F.lit("\tLN:i:1"))),
-        _lines(rows, 3, F.col("rule_id") * 1000 + F.col("ordinal"), F.concat_ws("\t", F.lit("L"), F.col("rule_id").cast("string"), F.lit("+"), name, strand_of("sym"), F.lit("0M"))),
+        _lines(rows, 3, F.col("rule_id"), F.concat_ws("\t", F.lit("L"), F.col("rule_id").cast("string"), F.lit("+"), name, strand_of("sym"), F.lit("0M")), F.col("ordinal")),
     ])
 
 
@@ -143,13 +148,13 @@ def dot_lines(grammars: DataFrame, dialect: str = "clusters", terminals: bool =
     """Dialect clusters: a cluster for the sequence and each rule. graph: rules and bases as nodes, uses as edges."""
     known = analyze(grammars).select("seq_id", "rule_id", "usage_count", "depth")
     if dialect == "graph":
-        rules = explode_rules(grammars).select("seq_id", "rule_id", F.explode("symbols").alias("sym"))
+        rules = explode_rules(grammars).select("seq_id", "rule_id", F.posexplode("symbols").alias("ordinal", "sym"))
         node = lambda s: F.when(s.between(0, 3), F.concat(F.lit("T_"), code_base(s))).otherwise(F.concat(F.lit("R"), rule_of(s).cast("string")))
         return _union([
             _lines(grammars, 0, 0, F.lit("digraph Grammar {\n  rankdir=LR;\n  node [shape=box, style=filled, fillcolor=lightgrey];")),
             _lines(known, 1, F.col("rule_id"), F.format_string('  R%d [label="R%d (Usage=%d)", shape=box, fillcolor=lightblue];', "rule_id", "rule_id", "usage_count")),
             _lines(rules.where(~is_rule("sym")).select("seq_id", "sym").distinct(), 2, F.col("sym"), F.concat(F.lit("  "), node(F.col("sym")), F.lit(' [label="'), code_base("sym"), F.lit('", shape=ellipse, fillcolor=white];'))),
-            _lines(rules, 3, F.col("rule_id"), F.concat(F.lit("  R"), F.col("rule_id"), F.lit(" -> "), node(F.col("sym")), F.lit(";"))),
+            _lines(rules, 3, F.col("rule_id"), F.concat(F.lit("  R"), F.col("rule_id"), F.lit(" -> "), node(F.col("sym")), F.lit(";")), F.col("ordinal")),
             _lines(grammars, 9, 0, F.lit("}")),
         ])
     deepest = known.groupBy("seq_id").agg(F.max("depth").alias("deepest"))
@@ -165,17 +170,17 @@ def dot_lines(grammars: DataFrame, dialect: str = "clusters", terminals: bool =
     places = described(explode_symbols(grammars))
     inner = described(explode_rules(grammars).select("seq_id", "rule_id", F.size("symbols").alias("n"), F.posexplode("symbols").alias("ordinal", "sym")))
     rules = explode_rules(grammars)
-    place = F.col("rule_id") * 4096 + 8 * F.col("ordinal")
+    place = F.col("ordinal") * 2
     return _union([
         _lines(grammars, 0, 0, F.lit('digraph Grammar {\n  graph [rankdir=LR];\n  node [shape=box, style=filled, fontname="Arial"];\n  subgraph cluster_sequence {\n    label="Main Sequence";\n    style=filled;\n    color=lightblue;')),
         _lines(places.where(shown), 1, F.col("pos"), F.format_string('    seq_%d [label="%s", color=%s];', "pos", "label", "color")),
         _lines(_followed(grammars), 2, F.col("pos"), F.format_string("    seq_%d -> seq_%d;", F.col("pos"), F.col("pos") + 1)),
         _lines(grammars, 3, 0, F.lit("  }\n")),
-        _lines(rules, 4, F.col("rule_id") * 4096 - 1, F.format_string('  subgraph cluster_rule_%d {\n    label="Rule %d";\n    style=filled;\n    color=lightgrey;', "rule_id", "rule_id")),
-        _lines(inner.where(shown), 4, place, F.format_string('    rule_%d_%d [label="%s", color=%s];', "rule_id", "ordinal", "label", "color")),
-        _lines(inner.where("ordinal + 1 < n"), 4, place + 1, F.format_string("    rule_%d_%d -> rule_%d_%d;", F.col("rule_id"), F.col("ordinal"), F.col("rule_id"), F.col("ordinal") + 1)),
-        _lines(rules, 4, F.col("rule_id") * 4096 + 4094, F.lit("  }\n")),
-        _lines(inner.where(F.col("uses").isNotNull()), 5, place, F.format_string("  rule_%d_%d -> rule_%d_0 [style=dashed, color=blue];", "rule_id", "ordinal", "child")),
+        _lines(rules, 4, F.col("rule_id"), F.format_string('  subgraph cluster_rule_%d {\n    label="Rule %d";\n    style=filled;\n    color=lightgrey;', "rule_id", "rule_id"), -1),
+        _lines(inner.where(shown), 4, F.col("rule_id"), F.format_string('    rule_%d_%d [label="%s", color=%s];', "rule_id", "ordinal", "label", "color"), place),
+        _lines(inner.where("ordinal + 1 < n"), 4, F.col("rule_id"), F.format_string("    rule_%d_%d -> rule_%d_%d;", F.col("rule_id"), F.col("ordinal"), F.col("rule_id"), F.col("ordinal") + 1), place + 1),
+        _lines(rules, 4, F.col("rule_id"), F.lit("  }\n"), 2 * F.size("symbols")),
+        _lines(inner.where(F.col("uses").isNotNull()), 5, F.col("rule_id"), F.format_string("  rule_%d_%d -> rule_%d_0 [style=dashed, color=blue];", "rule_id", "ordinal", "child"), place),
         _lines(grammars, 9, 0, F.lit("}")),
     ])
 
@@ -256,7 +261,7 @@ def repeat_lines(grammars: DataFrame) -> DataFrame:
     rows = repeat_summary(grammars)
     return _union([
         _lines(grammars, 0, 0, F.lit("RuleID\tUsageCount\tExpandedLength\tSequence(Preview)")),
-        _lines(rows, 1, -F.col("UsageCount") * 1_000_000 + F.col("RuleID"), F.concat_ws("\t", *(F.col(c).cast("string") for c in ("RuleID", "UsageCount", "ExpandedLength", "Preview")))),
+        _lines(rows, 1, -F.col("UsageCount"), F.concat_ws("\t", *(F.col(c).cast("string") for c in ("RuleID", "UsageCount", "ExpandedLength", "Preview"))), F.col("RuleID")),
     ])
 
 
@@ -292,15 +297,19 @@ def lines_for(grammars: DataFrame, kind: str, **options) -> DataFrame:
     return WRITERS[kind](grammars, **options)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """One local file, in order; the driver holds a partition's lines at a time."""
+def write_lines(lines: DataFrame, path: str, one_file: bool = True) -> None:
+    """The lines in order: one local file, of which the driver holds a partition's lines at a time, or a folder of text files written in parallel."""
+    ordered = lines.orderBy(*ORDER)
+    if not one_file:
+        ordered.select(F.col("line").alias("value")).write.text(path)
+        return
     with open(path, "w", encoding="utf-8") as out:
-        for row in lines.orderBy("seq_id", "section", "item", "line").toLocalIterator():
+        for row in ordered.toLocalIterator():
             out.write(row["line"] + "\n")
 
 
-def export_grammar(grammars: DataFrame, path: str, kind: str | None = None, **options) -> None:
-    write_lines(lines_for(grammars, kind or format_of(path), **options), path)
+def export_grammar(grammars: DataFrame, path: str, kind: str | None = None, one_file: bool = True, **options) -> None:
+    write_lines(lines_for(grammars, kind or format_of(path), **options), path, one_file)
 
 
 def write_json_streaming(grammars: DataFrame, path: str, flush: int = 1000) -> int:
