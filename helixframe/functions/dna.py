@@ -201,17 +201,45 @@ def symbol_words(sym: int) -> tuple[int, int, int]:
     return (1, sym - 4, 0) if sym >= 4 else (1, -5 - sym, 1)
 
 
+def fx_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """The word hash of each array, as signed numbers; all arrays take a step at a time, the longest first."""
+    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+    lengths = np.array([len(words[k]) for k in order])
+    flat = np.concatenate([words[k] for k in order]).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    h = np.zeros(len(words), np.uint64)
+    for j in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -j))  # those longer than j
+        x = h[:n]
+        h[:n] = (((x << np.uint64(5)) | (x >> np.uint64(59))) ^ flat[starts[:n] + j]) * np.uint64(FX_SEED)
+    out = np.empty(len(words), np.int64)
+    out[order] = h.view(np.int64)
+    return out
+
+
+def _hashed(column: pd.Series, words) -> pd.Series:
+    known = column.notna().to_numpy()
+    out = pd.array([pd.NA] * len(column), "Int64")
+    out[known] = fx_hashes([words(x) for x in column[known]])
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint_bases(dna: pd.Series) -> pd.Series:
     """Word hash of clean DNA's codes, as a signed 64-bit number."""
-    found = [None if x is None else fx_hash(_codes(x).tolist()) for x in dna]
-    return pd.Series([None if h is None else h - (1 << 64) if h >> 63 else h for h in found], dtype="Int64")
+    return _hashed(dna, _codes)
+
+
+def words_of_symbols(symbols) -> np.ndarray:
+    """Tag, value and strand of each symbol."""
+    x = np.asarray(symbols, np.int64)
+    value = np.where((x >= 0) & (x <= 3), x, np.where(x >= 4, x - 4, -5 - x))
+    return np.stack([(x < 0) | (x > 3), value, x < 0], 1).astype(np.int64).ravel()
 
 
 @F.pandas_udf(T.LongType())
 def fingerprint_symbols(symbols: pd.Series) -> pd.Series:
-    found = [None if s is None else fx_hash(w for x in s for w in symbol_words(int(x))) for s in symbols]
-    return pd.Series([None if h is None else h - (1 << 64) if h >> 63 else h for h in found], dtype="Int64")
+    return _hashed(symbols, words_of_symbols)
 
 
 def identity_hash(*cols) -> Column:

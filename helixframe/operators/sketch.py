@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import fingerprint_bases, polynomial_hash
-from .kmers import PIECE, count_kmers, extract_kmers, kmer_at, pieces
+from .kmers import PIECE, count_kmers, extract_kmers, pieces
 
 
 def rolling_hash_counts(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
@@ -22,28 +22,89 @@ def repeats(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
     return count_kmers(seqs, k).where(F.col("n") >= least)
 
 
-def repeats_from(seqs: DataFrame, shortest: int, least: int = 2, longest: int = 255) -> DataFrame:
-    """kmer, n: repeated substrings of length ``shortest`` or more, true counts.
+def repeats_from(seqs: DataFrame, shortest: int, least: int = 2) -> DataFrame:
+    """seq_id, length, n, pos: the maximal repeats of each sequence, substrings of ``shortest`` bases or more that
+    occur ``least`` times and that no further base on the right keeps together; pos is the first place.
 
-    A repeat of length k + 1 starts where one of length k does, so each length
-    looks only at the starts the last one left; the loop ends when none is left.
+    Places that share their suffixes' beginnings are intervals of the suffix array: those
+    between smaller common prefixes, whatever their length.
     """
-    from ..shared import keep
-
-    found, k = None, shortest
-    starts = None
-    while k <= longest:
-        kmers = extract_kmers(seqs, k)
-        if starts is not None:
-            kmers = kmers.join(starts, ["seq_id", "pos"])
-        counts = kmers.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        counts = keep(counts)
-        if counts.isEmpty():
-            break
-        starts = keep(kmers.join(counts.select("kmer"), "kmer").select("seq_id", "pos"))
-        found = counts if found is None else found.unionByName(counts)
-        k += 1
-    return found if found is not None else counts
+
+    def run(batches):
+        for batch in batches:
+            for seq_id, dna in zip(batch.column("seq_id").to_pylist(), batch.column("dna").to_pylist()):
+                order = suffix_order(dna or "")
+                length, low, high = repeat_intervals(common_prefixes(dna or "", order), shortest)
+                enough = high - low + 1 >= least
+                length, low, high = length[enough], low[enough], high[enough]
+                first = np.array([order[a : b + 1].min() for a, b in zip(low, high)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(length), seq_id), length, high - low + 1, first)], ["seq_id", "length", "n", "pos"])
+
+    return seqs.select("seq_id", "dna").mapInArrow(run, "seq_id long, length long, n long, pos long")
+
+
+def common_prefixes(text: str, order: np.ndarray) -> np.ndarray:
+    """For each suffix in order but the first, how much it has in common with the one before."""
+    n = len(text)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    out, h = np.zeros(max(n - 1, 0), np.int64), 0
+    before = np.concatenate([[-1], order[:-1]]).tolist() if n else []
+    for i, r in enumerate(rank.tolist()):
+        if r:
+            j = before[r]
+            most = n - max(i, j)
+            while h < most and text[i + h] == text[j + h]:
+                h += 1
+            out[r - 1] = h
+            h = max(h - 1, 0)
+        else:
+            h = 0
+    return out
+
+
+def repeat_intervals(common: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and first and last ranks of the intervals of suffixes that share ``shortest`` or more."""
+    found: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []  # (length, first rank)
+    for k, h in enumerate([*common.tolist(), 0]):
+        begin = k
+        while stack and stack[-1][0] > h:
+            length, begin = stack.pop()
+            if length >= shortest:
+                found.append((length, begin, k))
+        if h and (not stack or stack[-1][0] < h):
+            stack.append((h, begin))
+    return tuple(np.array(x, np.int64) for x in (zip(*found) if found else [()] * 3))
+
+
+def window_hashes(raw: np.ndarray, k: int, base: int = 101, modulus: int = 1_000_000_007) -> np.ndarray:
+    """The polynomial hash of every window of k bytes, as ``dna.polynomial_hash`` gives it."""
+    h = np.zeros(max(len(raw) - k + 1, 0), np.int64)
+    for j in range(k):
+        h = (h * base + raw[j : j + len(h)]) % modulus
+    return h
+
+
+def least_windows(h: np.ndarray, w: int) -> np.ndarray:
+    """For each w consecutive hashes, the place of the least, the rightmost on ties."""
+    x = (h << 32) - np.arange(len(h))  # a later place makes an equal hash less
+    least = x[: len(x) - w + 1].copy()
+    for j in range(1, w):
+        np.minimum(least, x[j : j + len(least)], out=least)
+    return -least & 0xFFFFFFFF
+
+
+def piece_minimizers(raw: bytes, lead: int, owned: int, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a piece, and hashes, of the minimizers of the windows that it owns."""
+    h = window_hashes(np.frombuffer(raw, np.uint8).astype(np.int64), k)
+    if len(h) < w:
+        return np.zeros(0, np.int64), h[:0]
+    at = least_windows(h, w)[: lead + owned]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = at[1:] != at[:-1]
+    fresh[:lead] = False
+    return at[fresh], h[at[fresh]]
 
 
 def minimizers(seqs: DataFrame, k: int, w: int, size: int = PIECE) -> DataFrame:
@@ -52,27 +113,40 @@ def minimizers(seqs: DataFrame, k: int, w: int, size: int = PIECE) -> DataFrame:
     A piece has one window more to its left, by which it knows whether its
     first minimizer is new, so pieces need no exchange.
     """
-    part = pieces(seqs, w + k - 2, left=1, size=size)
-    n = F.octet_length("dna") - k + 1
-    kmers = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(polynomial_hash(kmer_at(i, k).cast("string"), k).alias("h"), (-i).alias("back")))
-    hashed = part.where(n >= w).select("seq_id", "start", "owned", "lead", kmers.alias("x"))
-    windows = F.least(F.size("x") - w + 1, F.col("lead") + F.col("owned"))
-    least = hashed.where(windows > F.col("lead")).select("seq_id", "start", "lead", F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice("x", i, w))).alias("m"))
-    fresh = F.filter("m", lambda m, i: (i >= F.col("lead")) & ((i == 0) | (F.get("m", i - 1) != m)))
-    rows = least.select("seq_id", "start", "lead", F.explode(fresh).alias("m"))
-    return rows.select("seq_id", (F.col("start") - F.col("lead") - F.col("m.back") - 1).alias("pos"), F.col("m.h").alias("h"))
 
+    def run(batches):
+        for batch in batches:
+            ids, starts, owned, lead = (batch.column(c).to_numpy() for c in ("seq_id", "start", "owned", "lead"))
+            found = [piece_minimizers(raw, int(a), int(n), k, w) for raw, a, n in zip(batch.column("dna").to_pylist(), lead, owned)]
+            n = [len(h) for _, h in found]
+            if sum(n):
+                pos = np.concatenate([at for at, _ in found]) + np.repeat(starts - lead, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(pos), pa.array(np.concatenate([h for _, h in found]))], ["seq_id", "pos", "h"])
 
-def minimizer_counts(seqs: DataFrame, k: int, w: int) -> DataFrame:
-    return minimizers(seqs, k, w).groupBy("h").agg(F.count("*").alias("n"))
+    return pieces(seqs, w + k - 2, left=1, size=size).mapInArrow(run, "seq_id long, pos long, h long")
+
+
+def minimizer_counts(seqs: DataFrame, k: int, w: int, size: int = PIECE) -> DataFrame:
+    """h, n; each batch of pieces sends a hash once."""
+
+    def run(batches):
+        for batch in batches:
+            found = [piece_minimizers(raw, int(a), int(n), k, w)[1] for raw, a, n in zip(batch.column("dna").to_pylist(), batch.column("lead").to_pylist(), batch.column("owned").to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(np.concatenate(found), return_counts=True)], ["h", "n"])
+
+    return pieces(seqs, w + k - 2, left=1, size=size).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def bottom_sketch(seqs: DataFrame, k: int, n: int) -> DataFrame:
     """seq_id, sketch: the n least distinct k-mer hashes, in order; pieces send n at most."""
-    part = pieces(seqs, k - 1)
-    last = F.least(F.col("owned"), F.octet_length("dna") - k + 1)
-    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: polynomial_hash(kmer_at(i, k).cast("string"), k))
-    least = part.where(last > 0).select("seq_id", F.slice(F.array_sort(F.array_distinct(hashes)), 1, n).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(window_hashes(np.frombuffer(raw, np.uint8).astype(np.int64), k)[:own])[:n].tolist() for raw, own in zip(batch.column("dna").to_pylist(), batch.column("owned").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(found, pa.list_(pa.int64()))], ["seq_id", "x"])
+
+    least = pieces(seqs, k - 1).mapInArrow(run, "seq_id long, x array<long>").where(F.size("x") > 0)
     return least.groupBy("seq_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, n).alias("sketch"))
 
 
@@ -85,7 +159,7 @@ def sketch_similarity(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
 
 
 def window_fingerprints(seqs: DataFrame, w: int) -> DataFrame:
-    """seq_id, pos, fingerprint of every window of w bases; each distinct window is hashed where it occurs in a batch."""
+    """seq_id, pos, fingerprint of every window of w bases."""
     return extract_kmers(seqs, w).select("seq_id", "pos", fingerprint_bases("kmer").alias("fingerprint"))
 
 

@@ -236,12 +236,12 @@ def digram_entropy(spark, sf_dir):
     return stats.digram_entropy(sequences(spark, sf_dir)).withColumn("entropy", F.col("entropy") + 0.0)
 
 
-SAMPLED = "z AS (SELECT seq_id, array_to_string(list_transform(list_slice(range(1, length(dna) + 1, greatest(length(dna) // greatest(least(200, length(dna)), 1), 1)), 1, 200), lambda i: substr(dna, i, 1)), '') AS dna FROM s)"
+SAMPLED = "z AS (SELECT seq_id, array_to_string(list_transform(list_slice(range(1, length(dna) + 1, greatest(length(dna) // greatest(least(1000, length(dna)), 1), 1)), 1, 1000), lambda i: substr(dna, i, 1)), '') AS dna FROM s)"
 
 
 @query(ENTROPY_SQL.format(cte=f"{S}, {SAMPLED}, {kmer_sql(3, 'z')}", k="k3") + " SELECT s.seq_id, coalesce(round(entropy / 2, 6), 0.5) + 0.0 AS entropy FROM s LEFT JOIN e USING (seq_id)")
 def trimer_entropy_sampled(spark, sf_dir):
-    return stats.trimer_entropy(sequences(spark, sf_dir), 200).withColumn("entropy", F.col("entropy") + 0.0)
+    return stats.trimer_entropy(sequences(spark, sf_dir)).withColumn("entropy", F.col("entropy") + 0.0)
 
 
 @query(
@@ -282,7 +282,7 @@ def best_overlap(spark, sf_dir):
 
 @query(ENTROPY_SQL.format(cte=f"{S}, {SAMPLED}, {kmer_sql(3, 'z')}", k="k3") + " SELECT s.seq_id, least(greatest(floor(200000 * (0.5 + (1 - coalesce(round(entropy / 2, 6), 0.5)) * 0.5)), 50000), 100000000)::BIGINT AS size FROM s LEFT JOIN e USING (seq_id)")
 def adaptive_chunk_size(spark, sf_dir):
-    found = stats.trimer_entropy(sequences(spark, sf_dir), 200)
+    found = stats.trimer_entropy(sequences(spark, sf_dir))
     return found.select("seq_id", chunks.adaptive_size(F.col("entropy"), 1_600_000, 8).alias("size"))
 
 
@@ -299,6 +299,11 @@ def repeats_fixed_len(spark, sf_dir):
     return sketch.repeats(sequences(spark, sf_dir), 12)
 
 
+@query()
+def repeats_any_len(spark, sf_dir):
+    return sketch.repeats_from(sequences(spark, sf_dir), 12)
+
+
 MINIMIZERS = f"""{S}, {kmer_sql(K)}, h AS (SELECT seq_id, pos, {hash_sql('kmer', K)} * 4294967296 - pos AS x FROM k{K}),
 w AS (SELECT seq_id, min(x) OVER q AS x, count(*) OVER q AS n FROM h WINDOW q AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING)),
 m AS (SELECT DISTINCT seq_id, (x + 4294967295) // 4294967296 AS h, x FROM w WHERE n = {W})"""
@@ -581,19 +586,15 @@ def fasta_roundtrip(spark, sf_dir):
     return fasta.read_fasta(spark, path).select("record_id", "dna")
 
 
-@query(f"WITH {S}, d AS (SELECT doc_id AS seq_id, source FROM documents) SELECT source, count(*)::BIGINT AS n_sequences, string_agg(dna, '' ORDER BY seq_id) AS dna FROM s JOIN d USING (seq_id) GROUP BY source")
-def orb_roundtrip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "source", D.normalize(F.coalesce("text", F.lit(""))).alias("raw"))
-    packed = fasta.to_orb(docs)
+ORB_SQL = f"""WITH {S}, d AS (SELECT doc_id AS seq_id, source FROM documents), w AS (SELECT source, count(*)::BIGINT AS n_sequences, string_agg(dna, '' ORDER BY seq_id) AS dna FROM s JOIN d USING (seq_id) GROUP BY source)
+SELECT source, n_sequences, block, substr(dna, block * 1000 + 1, 1000) AS dna FROM (SELECT *, unnest(range(0, (length(dna) + 999) // 1000)) AS block FROM w)"""
 
-    def run(frames):
-        import pandas as pd
 
-        for frame in frames:
-            found = [fasta.total_orb(c) for c in frame["content"]]
-            yield pd.DataFrame({"source": frame["source"], "n_sequences": [n for n, _ in found], "dna": [b.decode() for _, b in found]})
-
-    return packed.mapInPandas(run, "source string, n_sequences long, dna string")
+@query(ORB_SQL)
+def orb_roundtrip(spark, sf_dir):
+    """Containers of several parts, read back in blocks of 1,000 bases."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "source", D.normalize(F.coalesce("text", F.lit(""))).alias("raw"))
+    return fasta.read_orb_parts(keep(fasta.to_orb(docs, part_bytes=1 << 16)), 1000)
 
 
 @query(f"WITH {S}, o AS (SELECT seq_id, dna, row_number() OVER (ORDER BY seq_id) - 1 AS k FROM s), c AS (SELECT unnest([5, 0, 5, 17]) AS k, unnest([0, 1, 2, 3])::BIGINT AS ordinal) SELECT ordinal, seq_id, dna FROM c JOIN o USING (k)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import normalize
@@ -70,11 +71,6 @@ def total_orb(content: bytes) -> tuple[int, bytes]:
     return n, content[16 : 16 + length]
 
 
-def orb_bytes(sequences: list[str]) -> bytes:
-    body = "".join(sequences).encode()
-    return struct.pack("<QQ", len(sequences), len(body)) + body
-
-
 def read_orb(spark: SparkSession, paths) -> DataFrame:
     """source, n_sequences, dna of .orb files; records' borders are not in the format."""
 
@@ -87,16 +83,81 @@ def read_orb(spark: SparkSession, paths) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "source string, n_sequences long, dna string")
 
 
-def to_orb(seqs: DataFrame, by: str = "source") -> DataFrame:
-    """One container (binary) for each ``by``, records in order of seq_id, other characters than ACGT written as A."""
-    part = F.struct("seq_id", normalize("raw", "replace_a").alias("dna"))
-    joined = seqs.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["dna"]).alias("parts"))
+PART_BYTES = 1 << 24
+
+
+def to_orb(seqs: DataFrame, by: str = "source", part_bytes: int = PART_BYTES) -> DataFrame:
+    """by, part, start, content: one container for each ``by`` as rows of bytes, to be put together in order of part.
+
+    Records come in order of seq_id, other characters than ACGT written as A.  Part 0 is the
+    header; the others hold ``part_bytes`` at most and begin at ``start``.  They are made by
+    ranges of (by, seq_id), so a container of any size is spread over tasks.
+    """
+    from ..shared import keep
+
+    clean = seqs.select(F.col(by).alias("by"), "seq_id", normalize("raw", "replace_a").alias("dna"))
+    ranged = clean.repartitionByRange("by", "seq_id").sortWithinPartitions("by", "seq_id")
+    schema = "by string, place long, n long, size long, content binary"
 
     def run(batches):
+        place, name, n, held, size = TaskContext.get().partitionId() << 32, None, 0, [], 0
+
+        def part():
+            nonlocal place, n, held, size
+            place += 1
+            row = [[name], [place], [n], [size], [b"".join(held)]]
+            n, held, size = 0, [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], [f.split()[0] for f in schema.split(", ")])
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([orb_bytes(p) for p in batch.column("parts").to_pylist()], pa.binary())], [by, "content"])
+            for key, dna in zip(batch.column("by").to_pylist(), batch.column("dna").to_pylist()):
+                if (n or size) and key != name:
+                    yield part()
+                name, n, raw = key, n + 1, (dna or "").encode()
+                for k in range(0, len(raw), part_bytes):
+                    piece = raw[k : k + part_bytes]
+                    if size + len(piece) > part_bytes:
+                        yield part()
+                    held.append(piece)
+                    size += len(piece)
+        if n or size:
+            yield part()
+
+    parts = keep(ranged.select("by", "dna").mapInArrow(run, schema))
+    in_order = Window.partitionBy("by").orderBy("place")
+    number = F.row_number().over(in_order).cast("long")
+    start = 16 + F.coalesce(F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = parts.select(F.col("place").alias("of"), number.alias("part"), start.alias("start"), "by", "place", "size").select("of", "part", "start")
+    little = lambda x: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 16, "0"), k, 2) for k in range(15, 0, -2)]))
+    totals = parts.groupBy("by").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    head = totals.select("by", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("start"), F.concat(little(F.col("n")), little(F.col("size"))).alias("content"))
+    body = parts.join(places, F.col("place") == F.col("of")).select("by", "part", "start", "content")
+    return head.unionByName(body).withColumnRenamed("by", by)
+
+
+def read_orb_parts(parts: DataFrame, block: int, by: str = "source") -> DataFrame:
+    """by, n_sequences, block, dna: a container's bases in blocks of a fixed size, each put together from the parts that it lies in."""
 
-    return joined.select(F.col(by).alias("name"), "parts").mapInArrow(run, f"{by} string, content binary")
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for name, start, content in zip(*(batch.column(c).to_pylist() for c in ("by", "start", "content"))):
+                first, text = start - 16, content.decode()
+                at = 0
+                while at < len(text):
+                    k, inside = divmod(first + at, block)
+                    out.append((name, k, inside, text[at : at + block - inside]))
+                    at += block - inside
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], ["by", "block", "at", "dna"])
+
+    rows = parts.withColumnRenamed(by, "by")
+    number = F.aggregate(F.sequence(F.lit(8), F.lit(1), F.lit(-1)), F.lit(0).cast("long"), lambda acc, k: acc * 256 + F.conv(F.hex(F.substring(F.col("content"), k, F.lit(1))), 16, 10).cast("long"))
+    heads = rows.where("part = 0").select(F.col("by").alias("of"), number.alias("n_sequences"))
+    pieces = rows.where("part > 0").select("by", "start", "content").mapInArrow(run, "by string, block long, at long, dna string")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "dna"))), lambda p: p["dna"]), "")
+    blocks = pieces.groupBy("by", "block").agg(text.alias("dna"))
+    return blocks.join(heads, F.col("by").eqNullSafe(F.col("of"))).select(F.col("by").alias(by), "n_sequences", "block", "dna")
 
 
 SYMBOL_JSON = "struct<id:long,type:string,value:string,strand:string>"

@@ -47,7 +47,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
 
 
 GROWN = "seq_id long, chunks int, symbols array<long>, rules array<struct<rule_id:long,symbols:array<long>,usage_count:long,pair_count:long>>"
-STATE = "chunks int, symbols array<long>, left array<long>, right array<long>, used array<long>, counted array<long>"
+STATE = "chunks int, symbols array<long>, left array<long>, right array<long>, used array<long>, counted array<long>, waiting array<struct<idx:int,dna:string>>"
 
 
 def apply_rules(symbols: list[int], rules: list[tuple[int, int]], used: list[int]) -> list[int]:
@@ -81,14 +81,20 @@ def grow(state: tuple, dna: str, least: int, budget: int | None) -> tuple:
 
 
 def stream_grammars(chunks: DataFrame, least: int = 2, budget: int | None = None) -> DataFrame:
-    """Grammar rows of each sequence so far, after every batch; chunks of a sequence have no context and come in order of idx."""
+    """Grammar rows of each sequence so far, after every batch; chunks have no context.
+
+    Chunks are appended in order of idx: one that comes before an earlier one waits in the state for it, and one that
+    comes again is left out.
+    """
 
     def step(key, frames, state):
-        now = state.get if state.exists else (0, [], [], [], [], [])
-        table = pd.concat(list(frames)).sort_values("idx")
-        for dna, owned in zip(table["dna"], table["owned"]):
-            now = grow(now, dna[: int(owned)], least, budget)
-        state.update(now)
+        *now, waiting = state.get if state.exists else (0, [], [], [], [], [], [])
+        held = {int(w[0]): w[1] for w in waiting}
+        for frame in frames:
+            held.update((int(i), dna[: int(owned)]) for i, dna, owned in zip(frame["idx"], frame["dna"], frame["owned"]))
+        while now[0] in held:
+            now = grow(tuple(now), held[now[0]], least, budget)
+        state.update((*now, [(i, dna) for i, dna in sorted(held.items()) if i >= now[0]]))
         n, symbols, left, right, used, counted = now
         rules = [{"rule_id": r, "symbols": [int(a), int(b)], "usage_count": int(u), "pair_count": int(c)} for r, (a, b, u, c) in enumerate(zip(left, right, used, counted))]
         yield pd.DataFrame({"seq_id": [key[0]], "chunks": [n], "symbols": [[int(s) for s in symbols]], "rules": [rules]})

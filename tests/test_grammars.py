@@ -134,11 +134,124 @@ def test_kmers_do_not_depend_on_pieces(spark):
 
 
 def test_repeats_and_sketches(spark):
-    found = {r.kmer: r.n for r in sketch.repeats_from(seqs(spark, "ACGACG"), 2).collect()}
-    assert found == {"AC": 2, "CG": 2, "ACG": 2}
+    found = {("ACGACG"[r.pos : r.pos + r.length], r.n) for r in sketch.repeats_from(seqs(spark, "ACGACG"), 2).collect()}
+    assert found == {("CG", 2), ("ACG", 2)}
     assert len(sketch.bottom_sketch(seqs(spark, "AAAAAAAAAA"), 3, 5).first().sketch) == 1
 
 
+def brute_repeats(text, shortest, least):
+    """Substrings that occur often enough, but for those always followed by one base."""
+    out = set()
+    places = {}
+    for i in range(len(text)):
+        for j in range(i + shortest, len(text) + 1):
+            places.setdefault(text[i:j], []).append(i)
+    for rep, at in places.items():
+        after = {text[i + len(rep) : i + len(rep) + 1] for i in at}
+        if len(at) >= least and (len(after) > 1 or after == {""}):
+            out.add((len(rep), len(at), min(at)))
+    return out
+
+
+def test_repeats_of_any_length(spark):
+    rng = random.Random(16)
+    texts = ["", "A", "AAAA", "ACGT" * 90] + ["".join(rng.choice("ACGT"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    for shortest, least in ((1, 2), (3, 2), (2, 3)):
+        found = {}
+        for r in sketch.repeats_from(seqs(spark, *texts), shortest, least).collect():
+            found.setdefault(r.seq_id, set()).add((r.length, r.n, r.pos))
+        for k, text in enumerate(texts):
+            assert found.get(k, set()) == brute_repeats(text, shortest, least)
+
+
+def test_kmer_rules_go_on_past_overlaps():
+    final, rules = repair.replace_kmers(codes("AAAAACGTCCGTC"), 4)
+    assert ([1, 2, 3, 1], 2) in [(body, used) for body, used, _ in rules]
+    assert final == [0, 0, 0, 0, 0, 4, 4]
+
+
+def naive_kmers(symbols, k, either):
+    """The most frequent window that can be replaced twice, again and again."""
+    rules, back = [], repair.back
+    while True:
+        n = {}
+        key = lambda w: min(w, tuple(back(x) for x in reversed(w))) if either else w
+        for i in range(len(symbols) - k + 1):
+            w = key(tuple(symbols[i : i + k]))
+            n[w] = n.get(w, 0) + 1
+        done = False
+        for body in sorted((w for w, c in n.items() if c >= 2), key=lambda w: (-n[w], w)):
+            out, i, used = [], 0, 0
+            while i < len(symbols):
+                w = tuple(symbols[i : i + k])
+                if len(w) == k and key(w) == body:
+                    out.append(4 + len(rules) if w == body else -5 - len(rules))
+                    i, used = i + k, used + 1
+                else:
+                    out.append(symbols[i])
+                    i += 1
+            if used >= 2:
+                rules.append((list(body), used, n[body]))
+                symbols, done = out, True
+                break
+        if not done:
+            return symbols, rules
+
+
+@pytest.mark.parametrize("either", [False, True])
+def test_kmer_rules_equal_the_plain_form(either):
+    rng = random.Random(17)
+    for _ in range(150):
+        k, text = rng.choice([3, 4, 5]), [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(60))]
+        assert repair.replace_kmers(text, k, either_strand=either) == naive_kmers(text, k, either)
+
+
+def test_word_hashes():
+    rng = random.Random(18)
+    words = [[rng.randrange(5) for _ in range(rng.randrange(9))] for _ in range(50)]
+    import numpy as np
+
+    got = D.fx_hashes([np.array(w, np.int64) for w in words])
+    assert [int(h) % 2**64 for h in got] == [D.fx_hash(w) for w in words]
+    assert D.words_of_symbols([0, 5, -6]).tolist() == [w for s in (0, 5, -6) for w in D.symbol_words(s)]
+    assert len(D.fx_hashes([])) == 0
+
+
+def test_containers_of_many_parts(spark):
+    rng = random.Random(20)
+    rows = [(k, rng.choice(["a", "b", None]), "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 50, 400])))) for k in range(60)]
+    df = spark.createDataFrame(rows, "seq_id long, source string, raw string").repartition(5)
+    parts = fasta.to_orb(df, part_bytes=100).collect()
+    for name in ("a", "b", None):
+        mine = sorted((r for r in parts if r.source == name), key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(len(mine))) and len(mine) > 3
+        starts = [sum(len(x.content) for x in mine[:k]) for k in range(len(mine))]
+        assert [r.start for r in mine] == starts and max(len(r.content) for r in mine) <= 100
+        n, dna = fasta.total_orb(b"".join(bytes(r.content) for r in mine))
+        own = [raw.replace("N", "A") for _, source, raw in rows if source == name]
+        assert (n, dna.decode()) == (len(own), "".join(own))
+
+
+def test_lines_of_long_rules_stay_inside(spark):
+    rules = [{"rule_id": 0, "symbols": [k % 4 for k in range(1500)], "usage_count": 2, "pair_count": 2}, {"rule_id": 1, "symbols": [4, 0], "usage_count": 1, "pair_count": 1}]
+    g = spark.createDataFrame([(0, [5, 4], rules)], repair.GRAMMAR)
+    lines = [r.line for r in export.dot_lines(g).orderBy(*export.ORDER).collect()]
+    at = [k for k, x in enumerate(lines) if x.startswith("  subgraph cluster_rule_")] + [max(k for k, x in enumerate(lines) if x == "  }\n")]
+    inside = lines[at[0] : at[1]]
+    assert sum(x.startswith("    rule_0_") for x in inside) == 1500 + 1499 and not any("rule_1_" in x for x in inside)
+    assert inside[-1] == "  }\n"
+
+
+def test_chunks_that_come_late_wait(spark, tmp_path):
+    texts = ["AAAA", "CCCC", "GGGG", "TTTT"]
+    for place, idx in enumerate([2, 1, 0, 3]):
+        spark.createDataFrame([(7, idx, 4 * idx, 4, texts[idx])], counts.CHUNK).coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={place}"))
+    stream = spark.readStream.schema(counts.CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    counts.run_to_table(counts.stream_grammars(stream), str(tmp_path / "out"), str(tmp_path / "marks"), "update")
+    row = grammar.expand(counts.finalize(spark.read.parquet(str(tmp_path / "out")))).first()
+    assert row.dna == "".join(texts)
+
+
 def test_suffixes():
     assert sketch.suffix_order("ACGT").tolist() == [0, 1, 2, 3]
     rng = random.Random(15)
