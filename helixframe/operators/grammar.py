@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import is_rule, rule_of
+from ..functions.dna import canonical, is_rule, rule_of
 from ..shared import keep
 from .repair import GRAMMAR, RULES, _grammar_batch
 
@@ -70,14 +73,22 @@ def analyze_rules(rules: dict[int, list[int]], on_cycle: str = "raise") -> dict[
     except GrammarError:
         if on_cycle != "fallback":
             raise
-        order, left = [], dict(rules)
-        while True:
-            ready = [r for r, body in left.items() if all(0 <= s <= 3 or (s - 4 if s >= 4 else -5 - s) in order for s in body)]
-            if not ready:
-                break
-            order += sorted(ready)
+        order, users, open_ = [], {}, {}
+        for r, body in rules.items():
+            needs = {s - 4 if s >= 4 else -5 - s for s in body if not 0 <= s <= 3}
+            open_[r] = len(needs)
+            for c in needs:
+                users.setdefault(c, []).append(r)
+        ready = sorted(r for r, n in open_.items() if not n)
+        while ready:
+            order += ready
+            after = []
             for r in ready:
-                del left[r]
+                for user in users.get(r, ()):
+                    open_[user] -= 1
+                    if not open_[user]:
+                        after.append(user)
+            ready = sorted(after)
     out: dict = {}
     for r in order:
         parts = [out[s - 4 if s >= 4 else -5 - s] if not 0 <= s <= 3 else (0, 1, 0) for s in rules[r]]
@@ -228,6 +239,38 @@ def references(symbols: list[int], rules: dict[int, list[int]]) -> dict[int, int
     return out
 
 
+def evict(symbols: list[int], rules: dict[int, list[int]], most: int):
+    """Inlines the least used rules, ties to the newest, until ``most`` are left.
+
+    Counts change only as bodies are copied: an inlined rule adds what its body holds,
+    once for each use but one.  The bodies are put in place together at the end.
+    """
+    n, gone = references(symbols, rules), set()
+    opened = {r: Counter(s - 4 if s >= 4 else -5 - s for s in body if not 0 <= s <= 3) for r, body in rules.items()}
+    users: dict[int, set] = {r: set() for r in rules}
+    for r, held in opened.items():
+        for c in held:
+            users[c].add(r)
+    heap = [(k, -r) for r, k in n.items()]
+    heapq.heapify(heap)
+    while len(rules) - len(gone) > most:
+        k, r = heapq.heappop(heap)
+        r = -r
+        if r in gone or n[r] != k:
+            continue
+        gone.add(r)
+        for c, held in opened[r].items():
+            users[c].discard(r)
+            n[c] += held * (k - 1)
+            heapq.heappush(heap, (n[c], -c))
+        for user in users.pop(r):
+            times = opened[user].pop(r)
+            for c, held in opened[r].items():
+                opened[user][c] += times * held
+                users[c].add(user)
+    return inline_rules(symbols, rules, gone)
+
+
 def simplify(grammars: DataFrame, inline_single: bool = True, most_rules: int | None = None) -> DataFrame:
     """Grammar rows with rules of one reference put in their place and, beyond ``most_rules``, the least used ones (ties: the newest).
 
@@ -242,9 +285,8 @@ def simplify(grammars: DataFrame, inline_single: bool = True, most_rules: int |
             if not once:
                 break
             symbols, bodies = inline_rules(symbols, bodies, once)
-        while most_rules is not None and len(bodies) > most_rules:
-            n = references(symbols, bodies)
-            symbols, bodies = inline_rules(symbols, bodies, {min(bodies, key=lambda r: (n[r], -r))})
+        if most_rules is not None and len(bodies) > most_rules:
+            symbols, bodies = evict(symbols, bodies, most_rules)
         n = references(symbols, bodies)
         return symbols, [{"rule_id": r, "symbols": bodies[r], "usage_count": n[r], "pair_count": chosen[r]} for r in sorted(bodies)]
 
@@ -266,34 +308,90 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.withColumn("_place", place).join(F.broadcast(bases), "_range").withColumn("number", F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
-def merge_grammars(grammars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One grammar of many: rules (rule_id, dna, expanded_length, usage_count, n_origins) and origins (seq_id, old_rule_id, rule_id).
+def merge_grammars(grammars: DataFrame, either_strand: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One grammar of many: rules (rule_id, dna, expanded_length, usage_count, n_origins) and origins (seq_id, old_rule_id, rule_id, flipped).
 
-    Rules that expand to the same DNA are one, numbered by length and DNA.  A
-    hot rule is one row from each task before the shuffle.
+    Rules that expand to the same DNA are one, and with ``either_strand`` those that expand to
+    each other's reverse complement, of which the lesser stays and the other's origins are
+    flipped.  They are numbered by length and DNA.  A hot rule is one row
+    from each task before the shuffle.
     """
-    expanded = keep(expand_rules(grammars).select("seq_id", F.col("rule_id").alias("old_rule_id"), "usage_count", "dna"))
+    expanded = expand_rules(grammars).select("seq_id", F.col("rule_id").alias("old_rule_id"), "usage_count", *_content(either_strand))
+    expanded = keep(expanded)
     same = expanded.groupBy("dna").agg(F.sum("usage_count").alias("usage_count"), F.count("*").alias("n_origins")).withColumn("expanded_length", F.length("dna").cast("long"))
     rules = keep(numbered(same, "expanded_length", "dna").withColumnRenamed("number", "rule_id").select("rule_id", "dna", "expanded_length", "usage_count", "n_origins"))
-    origins = expanded.join(rules.select("dna", "rule_id"), "dna").select("seq_id", "old_rule_id", "rule_id")
+    origins = expanded.join(rules.select("dna", "rule_id"), "dna").select("seq_id", "old_rule_id", "rule_id", "flipped")
     return rules, origins
 
 
+def _content(either_strand: bool) -> list:
+    """The DNA that a rule is known by, and whether the rule is its reverse complement."""
+    if not either_strand:
+        return [F.col("dna"), F.lit(False).alias("flipped")]
+    return [canonical("dna").alias("dna"), (canonical("dna") != F.col("dna")).alias("flipped")]
+
+
+def renamed(rows: DataFrame, origins: DataFrame, *by: str) -> DataFrame:
+    """The rows (by, .., sym) with the symbols of rules in the numbers of origins (by, old_rule_id, rule_id, flipped)."""
+    child = origins.select(*by, F.col("old_rule_id").alias("child"), F.col("rule_id").alias("to"), F.col("flipped").alias("turned"))
+    found = rows.withColumn("child", rule_of("sym")).join(child, [*by, "child"], "left")
+    forward = (F.col("sym") >= 4) != F.col("turned")
+    sym = F.when(F.col("sym").between(0, 3), F.col("sym")).when(forward, 4 + F.col("to")).otherwise(-5 - F.col("to"))
+    return found.withColumn("sym", sym).drop("child", "to", "turned")
+
+
+def turned_body(symbols) -> Column:
+    """A rule's symbols read on the other strand."""
+    return F.reverse(F.transform(symbols, lambda s: F.when(s.between(0, 3), 3 - s).otherwise(-1 - s)))
+
+
+def in_order(*place: str) -> Column:
+    """The symbols of a group in the order of some columns."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(*place, "sym"))), lambda x: x["sym"])
+
+
 def merged_sequences(grammars: DataFrame, origins: DataFrame) -> DataFrame:
     """seq_id, pos, sym with the merged grammar's rule numbers; nothing of any sequence is dropped."""
-    rows = explode_symbols(grammars).withColumn("old_rule_id", rule_of("sym"))
-    found = rows.join(origins, ["seq_id", "old_rule_id"], "left")
-    return found.select("seq_id", "pos", F.when(F.col("sym").between(0, 3), F.col("sym")).when(F.col("sym") >= 4, 4 + F.col("rule_id")).otherwise(-5 - F.col("rule_id")).alias("sym"))
+    return renamed(explode_symbols(grammars), origins, "seq_id").select("seq_id", "pos", "sym")
 
 
 def merged_rules(grammars: DataFrame, origins: DataFrame) -> DataFrame:
     """rule_id, symbols: a body for each merged rule, in merged numbers; of several, the least."""
-    rules = explode_rules(grammars).select("seq_id", F.col("rule_id").alias("old_rule_id"), F.posexplode("symbols").alias("ordinal", "sym"))
-    child = origins.select("seq_id", F.col("old_rule_id").alias("child"), F.col("rule_id").alias("to"))
-    named = rules.withColumn("child", rule_of("sym")).join(child, ["seq_id", "child"], "left")
-    sym = F.when(F.col("sym").between(0, 3), F.col("sym")).when(F.col("sym") >= 4, 4 + F.col("to")).otherwise(-5 - F.col("to"))
-    bodies = named.groupBy("seq_id", "old_rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", sym.alias("sym")))), lambda x: x["sym"]).alias("symbols"))
-    return bodies.join(origins, ["seq_id", "old_rule_id"]).groupBy("rule_id").agg(F.min("symbols").alias("symbols"))
+    return _merged_bodies(grammars, origins, "seq_id").groupBy("rule_id").agg(F.min("symbols").alias("symbols"))
+
+
+def _merged_bodies(grammars: DataFrame, origins: DataFrame, *by: str) -> DataFrame:
+    """by, rule_id, symbols: the body of each origin in merged numbers, on the merged rule's strand."""
+    rules = grammars.select(*by, F.inline("rules")).select(*by, F.col("rule_id").alias("old_rule_id"), F.posexplode("symbols").alias("ordinal", "sym"))
+    bodies = renamed(rules, origins, *by).groupBy(*by, "old_rule_id").agg(in_order("ordinal").alias("symbols"))
+    named = bodies.join(origins, [*by, "old_rule_id"])
+    return named.select(*by, "rule_id", F.when(F.col("flipped"), turned_body(F.col("symbols"))).otherwise(F.col("symbols")).alias("symbols"))
+
+
+def merge_chunks(chunks: DataFrame, either_strand: bool = False) -> DataFrame:
+    """Grammar rows, one for each sequence, of the grammars (seq_id, idx, symbols, rules) of its chunks.
+
+    Rules of a sequence that expand to the same DNA are one (with ``either_strand``, or to its
+    reverse complement), numbered by length and DNA, so that a rule comes after those it uses.
+    usage_count and pair_count are summed.
+    """
+    by = ("seq_id", "idx")
+    built = keep(chunks.select(*by, "symbols", "rules"))
+    key = built.select(F.xxhash64(*by).alias("key"), *by)
+    expanded = expand_rules(built.select(F.xxhash64(*by).alias("seq_id"), "symbols", "rules")).withColumnRenamed("seq_id", "key").join(key, "key")
+    counted = built.select(*by, F.inline("rules")).select(*by, "rule_id", "pair_count")
+    expanded = keep(expanded.join(counted, [*by, "rule_id"]).select(*by, F.col("rule_id").alias("old_rule_id"), "usage_count", "pair_count", *_content(either_strand)))
+    same = expanded.groupBy("seq_id", "dna").agg(F.sum("usage_count").alias("usage_count"), F.sum("pair_count").alias("pair_count"))
+    place = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.length("dna"), "dna")) - 1
+    named = keep(same.withColumn("rule_id", place.cast("long")))
+    origins = keep(expanded.join(named.select("seq_id", "dna", "rule_id"), ["seq_id", "dna"]).select(*by, "old_rule_id", "rule_id", "flipped"))
+    bodies = _merged_bodies(built, origins, *by).groupBy("seq_id", "rule_id").agg(F.min("symbols").alias("symbols"))
+    rule = F.struct("rule_id", "symbols", "usage_count", "pair_count")
+    rules = bodies.join(named, ["seq_id", "rule_id"]).groupBy("seq_id").agg(F.array_sort(F.collect_list(rule), lambda a, b: (a["rule_id"] - b["rule_id"]).cast("int")).alias("rules"))
+    symbols = renamed(built.select(*by, F.posexplode("symbols").alias("pos", "sym")), origins, *by).groupBy("seq_id").agg(in_order("idx", "pos").alias("symbols"))
+    whole = built.select("seq_id").distinct().join(symbols, "seq_id", "left").join(rules, "seq_id", "left")
+    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(t)).alias(c)
+    return whole.select("seq_id", empty("symbols", "array<long>"), empty("rules", rules.schema["rules"].dataType))
 
 
 def used_enough(rules: DataFrame, least: int) -> DataFrame:
@@ -302,8 +400,7 @@ def used_enough(rules: DataFrame, least: int) -> DataFrame:
 
 def canonical_body(symbols) -> F.Column:
     """The lesser of a rule's symbols and their reverse complement: equal for rules that are each other's reverse."""
-    back = F.reverse(F.transform(symbols, lambda s: F.when(s.between(0, 3), 3 - s).otherwise(-1 - s)))
-    return F.least(symbols, back)
+    return F.least(symbols, turned_body(symbols))
 
 
 def deduplicate_rules(rules: DataFrame) -> DataFrame:

@@ -202,8 +202,8 @@ def build(seqs: DataFrame, least: int = 2, length_factor: int | None = None, mos
     return seqs.select("seq_id", "dna").mapInArrow(run, GRAMMAR)
 
 
-def build_chunked(seqs: DataFrame, size: int, **options) -> DataFrame:
-    """Grammar rows (seq_id, idx, symbols, rules) of chunks of each sequence; ``merge.merge_grammars`` makes them one."""
+def build_chunked(seqs: DataFrame, size, **options) -> DataFrame:
+    """Grammar rows (seq_id, idx, symbols, rules) of chunks of each sequence; ``grammar.merge_chunks`` makes them one."""
     from .chunks import split_chunks
 
     chunks = split_chunks(seqs, size)

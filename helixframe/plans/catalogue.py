@@ -507,7 +507,7 @@ def merged_rules(spark, sf_dir):
 
 @query(G.ORIGINS_SQL)
 def rule_origins(spark, sf_dir):
-    return grammar.merge_grammars(grammars(spark, sf_dir))[1]
+    return grammar.merge_grammars(grammars(spark, sf_dir))[1].drop("flipped")
 
 
 @query(f"WITH {S} SELECT seq_id, dna FROM s WHERE length(dna) > 0")
@@ -529,6 +529,12 @@ def chunked_roundtrip(spark, sf_dir):
     return part.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "dna"))), lambda p: p["dna"]), "").alias("dna"))
 
 
+@query(f"WITH {S} SELECT seq_id, dna FROM s")
+def merged_chunks_roundtrip(spark, sf_dir):
+    """Chunks' grammars made one for each sequence, rules of both strands as one."""
+    return grammar.expand(grammar.merge_chunks(repair.build_chunked(sequences(spark, sf_dir), 1000, either_strand=True), either_strand=True))
+
+
 # Exports and sources.
 
 

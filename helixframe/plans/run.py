@@ -1,12 +1,18 @@
 """Running a whole analysis: read, build, merge, export, with checkpoints and metadata; and the command line.
 
 ``python -m helixframe.plans.run genome.fa --output run1 --stats --output-gfa``
+
+Each input file's grammars are a checkpoint of their own, under a name that is made of the
+file's path, size and time and of the options that matter to it.  A run takes up
+those that are complete, and builds the others; other inputs or options never meet an
+old table.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import hashlib
 import json
 import os
 from dataclasses import asdict, dataclass, field
@@ -14,8 +20,13 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grammar, lcg, repair
+from ..operators import chunks, grammar, lcg, repair, stats
+from ..ship import ship
+from ..shared import shared_dir
 from ..sources import export, fasta
+from ..streaming import counts as streaming
+
+GRAPHS = ("dot", "graphml")
 
 
 @dataclass
@@ -30,11 +41,18 @@ class Options:
     reverse_aware: bool = False
     skip_ns: bool = True
     chunk_size: int = 0
+    adaptive_chunking: bool = False
+    max_memory_mb: int = 1024
+    streaming: bool = False
     use_lcg: bool = False
     auto_tune_lcg: bool = False
     sequence_indices: list[int] | None = None
     simplify: bool = True
     outputs: list[str] = field(default_factory=lambda: ["json"])
+    graph_terminals: bool = True
+    graph_usage: bool = True
+    graph_depth_colors: bool = True
+    graph_max_depth: int | None = None
     force_rerun: bool = False
 
     def __post_init__(self):
@@ -44,18 +62,60 @@ class Options:
             raise ValueError("min_rule_usage must be 2 at least")
         if self.chunk_size and self.chunk_size < 1000:
             raise ValueError("chunk_size must be 1000 at least, or 0 for none")
+        if self.streaming and (self.kmer_size > 2 or self.reverse_aware or self.use_lcg or self.auto_tune_lcg):
+            raise ValueError("streamed grammars are made of pairs on one strand")
+
+    def for_graph(self, kind: str) -> dict:
+        if kind == "dot":
+            return {"terminals": self.graph_terminals, "usage": self.graph_usage, "by_depth": self.graph_depth_colors}
+        return {"terminals": self.graph_terminals, "deepest": self.graph_max_depth}
+
+
+#: Options that say what is built; the others only what is done with it.
+BUILDING = ("kmer_size", "min_rule_usage", "max_rule_count", "reverse_aware", "skip_ns", "chunk_size", "adaptive_chunking", "max_memory_mb", "streaming", "use_lcg", "auto_tune_lcg", "sequence_indices", "simplify")
 
 
 def build(seqs: DataFrame, options: Options) -> DataFrame:
+    """Grammar rows, one for each sequence; chunks are built on their own and merged."""
+    if options.streaming:
+        return stream(seqs, options)
     if options.auto_tune_lcg:
         return lcg.build_tuned(seqs)
     if options.use_lcg:
         return lcg.build(seqs, least=options.min_rule_usage)
     made = {"least": options.min_rule_usage, "most_rules": options.max_rule_count, "either_strand": options.reverse_aware, "kmer": max(2, options.kmer_size)}
-    if not options.chunk_size:
-        return repair.build(seqs, **made)
-    chunks = repair.build_chunked(seqs, options.chunk_size, **made)
-    return chunks.select(F.xxhash64("seq_id", "idx").alias("seq_id"), "symbols", "rules")
+    if options.adaptive_chunking:
+        workers = seqs.sparkSession.sparkContext.defaultParallelism
+        size = chunks.adaptive_size(F.col("entropy"), options.max_memory_mb << 20, workers, options.chunk_size or None)
+        sized = seqs.join(stats.trimer_entropy(seqs), "seq_id")
+        return grammar.merge_chunks(repair.build_chunked(sized, size, **made), options.reverse_aware)
+    if options.chunk_size:
+        return grammar.merge_chunks(repair.build_chunked(seqs, options.chunk_size, **made), options.reverse_aware)
+    return repair.build(seqs, **made)
+
+
+def stream(seqs: DataFrame, options: Options) -> DataFrame:
+    """Grammars that grow chunk by chunk in a stream, finished at its end."""
+    spark = seqs.sparkSession
+    name = hashlib.sha1(os.urandom(16)).hexdigest()
+    source, target, marks = (f"{shared_dir(spark)}/{name}/{part}" for part in ("chunks", "grown", "marks"))
+    streaming.write_chunks(seqs.select("seq_id", "dna"), source, options.chunk_size or 100_000, 0)
+    streaming.run_to_table(streaming.stream_grammars(streaming.read_chunks(spark, source), options.min_rule_usage), target, marks, "update")
+    return streaming.finalize(spark.read.parquet(target), options.min_rule_usage, options.max_rule_count)
+
+
+def files_of(spark: SparkSession, inputs: list[str]) -> list[tuple[str, str]]:
+    """(path, its size and time) of all files that the inputs name, patterns too, in order of path."""
+    found = {}
+    for name in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = system.globStatus(path)
+        if not listed:
+            raise FileNotFoundError(name)
+        for status in listed:
+            found[status.getPath().toString()] = f"{status.getLen()}:{status.getModificationTime()}"
+    return sorted(found.items())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,23 +124,33 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def run(spark: SparkSession, options: Options) -> DataFrame:
-    """Grammar rows; a run that finds its grammars already written takes them, unless forced."""
+    """Grammar rows of all files; files whose checkpoint is complete aren't built again, unless forced."""
+    ship(spark)
     os.makedirs(options.output, exist_ok=True)
-    target = os.path.join(options.output, "grammars.parquet")
     began = datetime.datetime.now(datetime.timezone.utc).isoformat()
-    if options.force_rerun or not exists(spark, os.path.join(target, "_SUCCESS")):
-        seqs = fasta.read_fasta(spark, options.inputs, options.skip_ns)
-        if options.sequence_indices is not None:
-            seqs = fasta.select_sequences(seqs, options.sequence_indices)
-        built = build(seqs, options)
-        built = grammar.simplify(built) if options.simplify else built
-        built.write.mode("overwrite").parquet(target)
-    grammars = spark.read.parquet(target)
+    chosen = {k: v for k, v in asdict(options).items() if k in BUILDING}
+    targets, built_now = {}, []
+    files = files_of(spark, options.inputs)
+    whole = [("+".join(p for p, _ in files), "+".join(v for _, v in files))] if options.sequence_indices is not None else files
+    for number, (path, version) in enumerate(whole):
+        mark = hashlib.sha1(json.dumps([path, version, number, chosen], sort_keys=True).encode()).hexdigest()[:20]
+        target = targets[path] = os.path.join(os.path.abspath(options.output), "grammars", mark)
+        if options.force_rerun or not exists(spark, os.path.join(target, "_SUCCESS")):
+            seqs = fasta.read_fasta(spark, [path] if whole is files else [p for p, _ in files], options.skip_ns)
+            if options.sequence_indices is not None:
+                seqs = fasta.select_sequences(seqs, options.sequence_indices).withColumn("seq_id", F.col("ordinal"))
+            seqs = seqs.withColumn("seq_id", F.lit(number << 48) + F.col("seq_id"))
+            grammars = build(seqs.select("seq_id", "dna"), options)
+            grammars = grammar.simplify(grammars) if options.simplify else grammars
+            grammars.write.mode("overwrite").parquet(target)
+            built_now.append(path)
+    grammars = spark.read.parquet(*targets.values())
     for kind in options.outputs:
         extension = {"text": "txt", "repeats": "tsv", "stats": "stats.txt"}.get(kind, kind)
-        export.write_lines(export.lines_for(grammars, kind), os.path.join(options.output, f"grammar.{extension}"))
+        lines = export.lines_for(grammars, kind, **(options.for_graph(kind) if kind in GRAPHS else {}))
+        export.write_lines(lines, os.path.join(options.output, f"grammar.{extension}"))
     with open(os.path.join(options.output, "metadata.json"), "w", encoding="utf-8") as out:
-        json.dump({"options": asdict(options), "started": began, "ended": datetime.datetime.now(datetime.timezone.utc).isoformat(), "status": "completed", "checkpoints": {"grammars": target}}, out, indent=2)
+        json.dump({"options": asdict(options), "started": began, "ended": datetime.datetime.now(datetime.timezone.utc).isoformat(), "status": "completed", "checkpoints": targets, "built": built_now}, out, indent=2)
     return grammars
 
 
@@ -96,28 +166,33 @@ def info(grammars: DataFrame) -> DataFrame:
 
 def convert(spark: SparkSession, source: str, path: str) -> None:
     """A JSON grammar in another format, chosen by the path's extension."""
+    ship(spark)
     grammars = fasta.read_grammar_json(spark, source).select(F.lit(0).cast("long").alias("seq_id"), "symbols", "rules")
     export.export_grammar(grammars, path)
 
 
+FORMATS = ("text", "gfa", "dot", "fasta", "graphml", "repeats")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Builds and exports grammars of DNA sequences.")
     p.add_argument("inputs", nargs="+")
     p.add_argument("--output", default="run")
-    for name, kind, default in (("kmer-size", int, 2), ("min-rule-usage", int, 2), ("max-rule-count", int, None), ("chunk-size", int, 0)):
-        p.add_argument(f"--{name}", type=kind, default=default)
-    for name in ("reverse-aware", "use-lcg", "auto-tune-lcg", "force-rerun", *(f"output-{k}" for k in ("text", "gfa", "dot", "fasta", "graphml", "repeats")), "stats"):
+    for name, default in (("kmer-size", 2), ("min-rule-usage", 2), ("max-rule-count", None), ("chunk-size", 0), ("max-memory-mb", 1024), ("graph-max-depth", None)):
+        p.add_argument(f"--{name}", type=int, default=default)
+    for name in ("reverse-aware", "adaptive-chunking", "streaming", "use-lcg", "auto-tune-lcg", "force-rerun", *(f"output-{k}" for k in FORMATS), "stats"):
         p.add_argument(f"--{name}", action="store_true")
-    p.add_argument("--keep-ns", action="store_true")
+    for name, target in (("keep-ns", "skip_ns"), ("graph-no-terminals", "graph_terminals"), ("graph-no-usage", "graph_usage"), ("graph-no-depth-colors", "graph_depth_colors")):
+        p.add_argument(f"--{name}", dest=target, action="store_false")
     p.add_argument("--sequence-indices", type=lambda s: [int(x) for x in s.split(",")])
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
-    a = parser().parse_args(argv)
-    outputs = ["json"] + [k for k in ("text", "gfa", "dot", "fasta", "graphml", "repeats") if getattr(a, f"output_{k}")] + ["stats"] * a.stats
-    options = Options(a.inputs, a.output, a.kmer_size, a.min_rule_usage, a.max_rule_count, a.reverse_aware, not a.keep_ns, a.chunk_size, a.use_lcg, a.auto_tune_lcg, a.sequence_indices, outputs=outputs, force_rerun=a.force_rerun)
-    run(SparkSession.builder.getOrCreate(), options)
+    given = vars(parser().parse_args(argv))
+    wanted = [k for k in FORMATS if given.pop(f"output_{k}")]
+    outputs = ["json", *wanted, *["stats"] * given.pop("stats")]
+    run(SparkSession.builder.getOrCreate(), Options(**given, outputs=outputs))
 
 
 if __name__ == "__main__":

@@ -315,11 +315,79 @@ def test_run(spark, tmp_path):
     path.write_text(">test\nACGTACGTACGT\n")
     options = run.Options([str(path)], str(tmp_path / "out"), outputs=["json", "text", "gfa", "stats"])
     first = run.run(spark, options).collect()
-    assert run.run(spark, options).collect() == first
-    assert run.load_metadata(options.output)["status"] == "completed"
+    assert run.load_metadata(options.output)["built"] and run.run(spark, options).collect() == first
+    assert run.load_metadata(options.output)["status"] == "completed" and not run.load_metadata(options.output)["built"]
     assert "final_sequence" in (tmp_path / "out" / "grammar.json").read_text()
     with pytest.raises(ValueError):
         run.Options(kmer_size=300)
+    with pytest.raises(FileNotFoundError):
+        run.run(spark, run.Options([str(tmp_path / "none.fa")], str(tmp_path / "out")))
+
+
+def test_runs_take_up_only_what_is_the_same(spark, tmp_path):
+    from helixframe.plans import run
+
+    rng = random.Random(21)
+    texts = {f"f{k}": "".join(rng.choice("ACGT") for _ in range(2500)) for k in range(2)}
+    for name, dna in texts.items():
+        (tmp_path / f"{name}.fa").write_text(f">{name}\n{dna}\n")
+    plain = dict(inputs=[str(tmp_path / "f*.fa")], output=str(tmp_path / "out"), outputs=["json"])
+
+    def dnas(**changed):
+        return sorted(r.dna for r in grammar.expand(run.run(spark, run.Options(**plain | changed))).collect())
+
+    built = lambda: len(run.load_metadata(plain["output"])["built"])
+    want = sorted(texts.values())
+    assert dnas() == want and built() == 2
+    assert dnas(chunk_size=1000) == want and built() == 2
+    assert dnas(chunk_size=1000) == want and built() == 0
+    assert dnas(chunk_size=1000, reverse_aware=True, kmer_size=3) == want and built() == 2
+    assert dnas(streaming=True, chunk_size=1000) == want and built() == 2
+    assert dnas(adaptive_chunking=True) == want
+    texts["f1"] = texts["f1"][:2000]
+    (tmp_path / "f1.fa").write_text(f">f1\n{texts['f1']}\n")
+    assert dnas() == sorted(texts.values()) and built() == 1
+    assert dnas(sequence_indices=[1, 0]) == sorted(texts.values())
+
+
+def test_merged_chunks(spark):
+    rng = random.Random(22)
+    unit = "".join(rng.choice("ACGT") for _ in range(300))
+    back = unit[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    texts = [unit * 4 + back * 3, "", "ACG", "".join(rng.choice("ACGT") for _ in range(900))]
+    for either in (False, True):
+        merged = grammar.merge_chunks(repair.build_chunked(seqs(spark, *texts), 301, either_strand=either), either).collect()
+        assert len(merged) == len(texts)
+        for row in merged:
+            bodies = {r.rule_id: list(r.symbols) for r in row.rules}
+            expanded = grammar.expand_all(bodies)
+            assert "".join(grammar.text_of(s, expanded) for s in row.symbols) == texts[row.seq_id]
+            named = [min(t, t[::-1].translate(str.maketrans("ACGT", "TGCA"))) if either else t for t in expanded.values()]
+            assert len(set(named)) == len(named)
+
+
+def test_merging_both_strands(spark):
+    rules = lambda body: [{"rule_id": 0, "symbols": body, "usage_count": 2, "pair_count": 2}]
+    g = spark.createDataFrame([(0, [4, 4], rules([0, 1])), (1, [4, 2, 4], rules([2, 3]))], repair.GRAMMAR)
+    assert grammar.merge_grammars(g)[0].count() == 2
+    found, origins = grammar.merge_grammars(g, either_strand=True)
+    assert [(r.dna, r.usage_count, r.n_origins) for r in found.collect()] == [("AC", 4, 2)]
+    rows = {s: [r.sym for r in grammar.merged_sequences(g, origins).where(F.col("seq_id") == s).orderBy("pos").collect()] for s in (0, 1)}
+    assert rows == {0: [4, 4], 1: [-5, 2, -5]}
+    assert [list(r.symbols) for r in grammar.merged_rules(g, origins).collect()] == [[0, 1]]
+
+
+def test_eviction_equals_the_plain_form():
+    rng = random.Random(23)
+    for _ in range(60):
+        final, made = repair.repair([rng.randrange(2) for _ in range(rng.randrange(20, 120))])
+        rules = {k: [a, b] for k, (a, b, *_) in enumerate(made)}
+        most = rng.randrange(len(rules) + 1)
+        symbols, left = final, dict(rules)
+        while len(left) > most:
+            n = grammar.references(symbols, left)
+            symbols, left = grammar.inline_rules(symbols, left, {min(left, key=lambda r: (n[r], -r))})
+        assert grammar.evict(final, rules, most) == (symbols, left)
 
 
 def test_growing_grammar():
