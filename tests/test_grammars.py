@@ -206,6 +206,29 @@ def test_kmer_rules_equal_the_plain_form(either):
         assert repair.replace_kmers(text, k, either_strand=either) == naive_kmers(text, k, either)
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 64])
+def test_rounds_over_pieces_equal_the_plain_form(spark, size):
+    rng = random.Random(size)
+    texts = ["", "A", "AAAAAAAAAAAAAAAAA", "CAAAAAAAG", "ACACACACACAC"] + ["".join(rng.choice("ACGT"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(40))) for _ in range(25)]
+    rounds = 3 if size > 1 else 2
+    symbols, rules = repair.pair_rounds(seqs(spark, *texts), rounds, size=size)
+    found, made = {}, {}
+    for r in symbols.orderBy("seq_id", "pos").collect():
+        found.setdefault(r.seq_id, []).append((r.pos, r.sym))
+    for r in rules.orderBy("seq_id", "rule_id").collect():
+        made.setdefault(r.seq_id, []).append((r.a, r.b, r.n))
+    for k, text in enumerate(texts):
+        final, want = repair.repair(codes(text), most_rules=rounds)
+        assert found.get(k, []) == list(enumerate(final)), text
+        assert made.get(k, []) == [(a, b, n) for a, b, _, n in want]
+
+
+def test_rounds_to_the_end(spark):
+    symbols, rules = repair.pair_rounds(seqs(spark, "ACACACAC", "GATTACA"), size=3)
+    assert [r.sym for r in symbols.where("seq_id = 0").orderBy("pos").collect()] == repair.repair(codes("ACACACAC"))[0]
+    assert rules.count() == len(repair.repair(codes("ACACACAC"))[1])
+
+
 def test_word_hashes():
     rng = random.Random(18)
     words = [[rng.randrange(5) for _ in range(rng.randrange(9))] for _ in range(50)]
