@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,44 @@ def expand_all(rules: dict[int, list[int]]) -> dict[int, str]:
     return texts
 
 
+class Expander:
+    """The texts of a grammar's symbols, by symbol; those of the other strand are made when they are met."""
+
+    def __init__(self, bodies: dict[int, list[int]]):
+        ids = list(bodies)
+        in_order = ids == list(range(len(ids))) and all(max(body, default=0) < 4 + r and min(body, default=0) >= -4 - r for r, body in bodies.items())
+        self.texts = dict(enumerate("ACGT"))
+        for r in ids if in_order else order_rules(bodies):
+            self.texts[4 + r] = self.text(bodies[r])
+
+    def __missing__(self, sym: int) -> str:
+        self.texts[sym] = found = self.texts[-1 - sym][::-1].translate(COMPLEMENT)
+        return found
+
+    def text(self, symbols: list[int]) -> str:
+        texts = self.texts
+        try:
+            return "".join([texts[s] for s in symbols])
+        except KeyError:
+            return "".join([texts[s] if s in texts else self.__missing__(s) for s in symbols])
+
+
+def grammars_in(batch) -> list[tuple[list[int], dict[int, list[int]]]]:
+    """(symbols, bodies by rule id) of each grammar of a batch."""
+    rules = batch.column("rules")
+    flat = rules.flatten()
+    ids, bodies = flat.field("rule_id").to_pylist(), flat.field("symbols")
+    numbers, edges = bodies.flatten().to_pylist(), bodies.offsets.to_numpy() - (bodies.offsets[0].as_py() if len(bodies.offsets) else 0)
+    cut = list(map(numbers.__getitem__, map(slice, edges[:-1].tolist(), edges[1:].tolist())))
+    out, at = [], 0
+    symbols = batch.column("symbols").to_pylist() if "symbols" in batch.schema.names else [[]] * len(rules)
+    for own, n in zip(symbols, pa.compute.list_value_length(rules).to_pylist()):
+        n = n or 0
+        out.append((own or [], dict(zip(ids[at : at + n], cut[at : at + n]))))
+        at += n
+    return out
+
+
 def analyze_rules(rules: dict[int, list[int]], on_cycle: str = "raise") -> dict[int, tuple[int, int, int]]:
     """Rule id to (depth, expanded length, assembly index).
 
@@ -125,11 +165,11 @@ def analyze(grammars: DataFrame, on_cycle: str = "raise") -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for seq_id, rules in zip(batch.column("seq_id").to_pylist(), batch.column("rules").to_pylist()):
-                found = analyze_rules(_bodies(rules), on_cycle)
-                rows += [(seq_id, r["rule_id"], r["symbols"], r["usage_count"], *found[r["rule_id"]]) for r in rules or []]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], [f.split()[0] for f in schema.split(", ")])
+            for _, bodies in grammars_in(batch):
+                found = analyze_rules(bodies, on_cycle)
+                rows += [found[r] for r in bodies]
+            kinds = [pa.int32(), pa.int64(), pa.int64()]
+            yield with_rules(batch, [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, kinds)], ["depth", "expanded_length", "assembly_index"])
 
     return grammars.select("seq_id", "rules").mapInArrow(run, schema)
 
@@ -162,10 +202,7 @@ def expand(grammars: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for symbols, rules in zip(batch.column("symbols").to_pylist(), batch.column("rules").to_pylist()):
-                texts = expand_all(_bodies(rules))
-                out.append("".join(text_of(s, texts) for s in symbols or []))
+            out = [Expander(bodies).text(symbols) for symbols, bodies in grammars_in(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(out, pa.string())], ["seq_id", "dna"])
 
     return grammars.select("seq_id", "symbols", "rules").mapInArrow(run, "seq_id long, dna string")
@@ -173,18 +210,25 @@ def expand(grammars: DataFrame) -> DataFrame:
 
 def expand_rules(grammars: DataFrame) -> DataFrame:
     """seq_id, rule_id, symbols, usage_count, dna."""
-    schema = "seq_id long, rule_id long, symbols array<long>, usage_count long, dna string"
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for seq_id, rules in zip(batch.column("seq_id").to_pylist(), batch.column("rules").to_pylist()):
-                texts = expand_all(_bodies(rules))
-                rows += [(seq_id, r["rule_id"], r["symbols"], r["usage_count"], texts[r["rule_id"]]) for r in rules or []]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], [f.split()[0] for f in schema.split(", ")])
-
-    return grammars.select("seq_id", "rules").mapInArrow(run, schema)
+            texts = []
+            for _, bodies in grammars_in(batch):
+                known = Expander(bodies).texts
+                texts += [known[4 + r] for r in bodies]
+            yield with_rules(batch, [pa.array(texts, pa.string())], ["dna"])
+
+    return grammars.select("seq_id", "rules").mapInArrow(run, "seq_id long, rule_id long, symbols array<long>, usage_count long, dna string")
+
+
+def with_rules(batch, columns: list, names: list[str]) -> pa.RecordBatch:
+    """A row for each rule of a batch: seq_id, rule_id, symbols, usage_count and further columns."""
+    rules = batch.column("rules")
+    flat = rules.flatten()
+    n = pa.compute.fill_null(pa.compute.list_value_length(rules), 0).to_numpy(zero_copy_only=False)
+    owner = batch.column("seq_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+    return pa.RecordBatch.from_arrays([owner, *(flat.field(c) for c in ("rule_id", "symbols", "usage_count")), *columns], ["seq_id", "rule_id", "symbols", "usage_count", *names])
 
 
 def sequence_assembly_index(grammars: DataFrame) -> DataFrame:

@@ -174,10 +174,92 @@ def replace_kmers(symbols: list[int], k: int, least: int = 2, most_rules: int |
     return [x for x, ok in zip(syms, alive) if ok], rules
 
 
-def _grammar_batch(ids, found):
-    symbols = pa.array([s for s, _ in found], pa.list_(pa.int64()))
-    rules = pa.array([[{"rule_id": k, "symbols": body, "usage_count": used, "pair_count": n} for k, (body, used, n) in enumerate(r)] for _, r in found], RULES)
-    return pa.RecordBatch.from_arrays([ids, symbols, rules], ["seq_id", "symbols", "rules"])
+SIDE_BY_SIDE = 4096  # sequences of up to so many symbols are built in one numpy batch
+
+
+def repair_many(sequences: list[np.ndarray], least: np.ndarray, most_rules: int | None = None):
+    """For each sequence what ``repair`` gives: (final symbols, rules as rows of left, right, usage, count).
+
+    All sequences take a round at a time, in one array; each makes its rule of that
+    number, or is done.  Symbols must be below 2**17.
+    """
+    out: list = [(x, np.zeros((0, 4), np.int64)) for x in sequences]
+    sid = np.repeat(np.arange(len(sequences)), [len(x) for x in sequences])
+    x = np.concatenate([np.zeros(0, np.int64), *sequences])
+    made: list[np.ndarray] = []
+    while len(x) and (most_rules is None or len(made) < most_rules):
+        keys = np.where(sid[1:] == sid[:-1], sid[:-1] << 34 | x[:-1] << 17 | x[1:], -1)
+        ordered = np.sort(keys[keys >= 0])
+        if not len(ordered):
+            break
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(first, append=len(ordered))
+        pair = ordered[first]
+        begins = np.flatnonzero(np.concatenate([[True], pair[1:] >> 34 != pair[:-1] >> 34]))
+        most = np.maximum.reduceat(count, begins)
+        top = np.flatnonzero(count == np.repeat(most, np.diff(begins, append=len(pair))))
+        top = top[np.concatenate([[True], pair[top][1:] >> 34 != pair[top][:-1] >> 34])]  # the least of a sequence's
+        owner = pair[top] >> 34
+        enough = most >= least[owner]
+        best = np.full(len(sequences), -2)
+        best[owner[enough]] = pair[top][enough]
+        hit = np.flatnonzero(keys == best[sid[:-1]])
+        starts = np.ones(len(hit), bool)
+        starts[1:] = hit[1:] != hit[:-1] + 1
+        place = np.arange(len(hit))
+        hit = hit[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]  # a run of one symbol: every other
+        used = np.bincount(sid[hit], minlength=len(sequences))
+        go = best[sid] >= 0
+        x[hit] = 4 + len(made)
+        go[hit + 1] = False
+        made.append(np.stack([owner[enough], pair[top][enough] >> 17 & 131071, pair[top][enough] & 131071, used[owner[enough]], most[enough]], 1))
+        done = best[sid] < 0
+        for k, part in zip(*_split(sid[done], x[done])):
+            out[k] = (part, out[k][1])
+        sid, x = sid[go], x[go]
+    for k, part in zip(*_split(sid, x)):
+        out[k] = (part, out[k][1])
+    if made:
+        rules = np.concatenate(made)
+        rules = rules[np.argsort(rules[:, 0], kind="stable")]
+        for k, part in zip(*_split(rules[:, 0], rules[:, 1:])):
+            out[k] = (out[k][0], part)
+    return out
+
+
+def _split(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Owners, which are in order, and their values."""
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[begins].tolist(), np.split(values, begins[1:]) if len(begins) else []
+
+
+def lists_of(parts: list, kind=None) -> pa.ListArray:
+    """An Arrow list of numbers for each array or list."""
+    edges = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in parts)])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))
+
+
+def _grammar_batch(ids, found) -> pa.RecordBatch:
+    """Grammar rows of (symbols, rules); rules are (body, usage, count), or rows of left, right, usage and count."""
+    bodies, used, counts = [], [], []
+    for _, rules in found:
+        if isinstance(rules, np.ndarray):
+            bodies.append(rules[:, :2])
+            used.append(rules[:, 2])
+            counts.append(rules[:, 3])
+        else:
+            bodies += [np.asarray(body, np.int64)[None] for body, _, _ in rules]
+            used.append([u for _, u, _ in rules])
+            counts.append([n for _, _, n in rules])
+    size = np.concatenate([np.zeros(0, np.int64), *(np.full(len(b), b.shape[1]) for b in bodies)])
+    flat = np.concatenate([np.zeros(0, np.int64), *(b.ravel() for b in bodies)])
+    joined = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in parts)]))
+    n = [len(rules) for _, rules in found]
+    body = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+    each = pa.StructArray.from_arrays([joined(map(np.arange, n)), body, joined(used), joined(counts)], names=["rule_id", "symbols", "usage_count", "pair_count"])
+    rules = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), each)
+    return pa.RecordBatch.from_arrays([ids, lists_of([s for s, _ in found]), rules], ["seq_id", "symbols", "rules"])
 
 
 def build(seqs: DataFrame, least: int = 2, length_factor: int | None = None, most_rules: int | None = None, either_strand: bool = False, kmer: int = 2) -> DataFrame:
@@ -192,15 +274,18 @@ def build(seqs: DataFrame, least: int = 2, length_factor: int | None = None, mos
 
     def run(batches):
         for batch in batches:
-            out = []
-            for dna in batch.column("dna").to_pylist():
-                symbols = _codes(dna or "").tolist()
-                enough = max(least, -(-len(symbols) // length_factor)) if length_factor else least
-                if kmer == 2:
-                    final, rules = repair(symbols, enough, most_rules, either_strand)
-                    out.append((final, [([a, b], used, n) for a, b, used, n in rules]))
-                else:
-                    out.append(replace_kmers(symbols, kmer, enough, most_rules, either_strand))
+            found = [_codes(dna or "").astype(np.int64) for dna in batch.column("dna").to_pylist()]
+            enough = np.array([max(least, -(-len(x) // length_factor)) if length_factor else least for x in found], np.int64)
+            out: list = [None] * len(found)
+            together = [k for k, x in enumerate(found) if kmer == 2 and not either_strand and len(x) <= SIDE_BY_SIDE]
+            for k, grammar in zip(together, repair_many([found[k] for k in together], enough[together], most_rules)):
+                out[k] = grammar
+            for k, x in enumerate(found):
+                if out[k] is None and kmer == 2:
+                    final, rules = repair(x.tolist(), int(enough[k]), most_rules, either_strand)
+                    out[k] = (final, np.array(rules, np.int64).reshape(-1, 4))
+                elif out[k] is None:
+                    out[k] = replace_kmers(x.tolist(), kmer, int(enough[k]), most_rules, either_strand)
             yield _grammar_batch(batch.column("seq_id"), out)
 
     return seqs.select("seq_id", "dna").mapInArrow(run, GRAMMAR)

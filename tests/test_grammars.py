@@ -65,6 +65,27 @@ def test_repair_equals_the_plain_form():
         assert repair.repair(text) == naive(text)
 
 
+def test_many_at_once_equal_one_by_one():
+    import numpy as np
+
+    rng = random.Random(24)
+    for _ in range(30):
+        texts = [[rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.choice([0, 1, 2, 5, 30, 120]))] for _ in range(rng.randrange(20))]
+        least = [rng.choice([2, 2, 3]) for _ in texts]
+        most = rng.choice([None, None, 0, 1, 4])
+        got = repair.repair_many([np.array(t, np.int64) for t in texts], np.array(least, np.int64), most)
+        for text, n, (final, rules) in zip(texts, least, got):
+            assert (final.tolist(), [tuple(r) for r in rules.tolist()]) == repair.repair(text, n, most)
+
+
+def test_expansion_of_any_order_of_rules():
+    for bodies, symbols in (({0: [0, 1], 1: [4, -5]}, [5, -6, 3]), ({7: [0, 2], 3: [11, -12]}, [7, -8, 1]), ({1: [4, 4], 0: [1, 2]}, [5, -6])):
+        texts = grammar.expand_all(bodies)
+        assert grammar.Expander(bodies).text(symbols) == "".join(grammar.text_of(s, texts) for s in symbols)
+    with pytest.raises(grammar.GrammarError):
+        grammar.Expander({0: [5], 1: [4]})
+
+
 def test_either_strand_expands_back():
     rng = random.Random(4)
     for _ in range(100):
