@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but
 the last return the columns of documents.  SQL can't express the first and the
 third to fifth stages, so there is none; each is tested against brute force.
+
+Further columns of any name go through the first four stages unchanged.  Rows without
+a doc_id and rows that repeat are kept apart as each stage says; texts of any length
+are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or like no language."""
+    """Drops documents without letters, null texts among them, or like no language; other rows stay as they are, repeated ones too."""
     ship(spark)
     languages, vectors = prototypes(docs)
     found = predict(docs, languages, vectors)
@@ -31,7 +35,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that many documents share, but for the last of them; n_chars follows the text."""
+    """Drops lines that many documents share, but for the last of them; n_chars follows the text.
+
+    No row goes; null texts stay null, and rows that repeat a doc_id count as one document.
+    """
     text = F.when(F.col("row.text").isNotNull(), F.col("text_kept"))
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
@@ -40,7 +47,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates; of rows with equal doc_id and text, one."""
+    """Keeps the first document of each group of near duplicates; of rows with equal doc_id and text, one.
+
+    Rows without words, or without a doc_id, are near no other and stay.
+    """
     ship(spark)
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of")).distinct()
     packed = docs.select("doc_id", F.struct("*").alias("row"))
@@ -52,7 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their target weights; rows that repeat a doc_id get the copies of one."""
+    """Repeats or leaves out documents so that sources meet their target weights; rows that repeat a doc_id get the copies of one, those without a doc_id too."""
     copies = mix_sources(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
     packed = docs.select("doc_id", F.struct("*").alias("row"))
     joined = packed.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of"))).where("copies > 0")
@@ -60,7 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token digests of each document that is left, copies included."""
+    """Token digests of each row that is left, copies included; a null text is empty."""
     import public_tokenizers as tokenizers
 
     ship(spark)
