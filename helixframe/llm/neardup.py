@@ -16,8 +16,8 @@ as their Jaccard similarity.
 4. Verified links are contracted to components.  Members of buckets that still
    hold several components are compared by an exact filter: a set's shingles are
    ordered from the rarest among these members to the commonest, and two sets whose
-   first common shingle leaves too few after it can't be linked.  So sets meet only
-   on their rare shingles, texts of one source with many others like it included,
+   first common shingle leaves too few after it can't be linked, nor those whose
+   bitmaps show too many that aren't shared.  So sets meet only on their rare shingles,
    and the pairs that pass are verified on the full sets.
 
 A pair at the threshold shares no bucket with a probability of
@@ -46,6 +46,7 @@ BANDS = REGISTERS // ROWS
 BASE = 1.02
 OFFSET = 1024  # keeps registers of sets of any size above 0
 SLACK = 0.2  # of the estimate: more than five of its deviations
+WORDS = 16  # of 64 bits, of the bitmaps that tell sets apart
 PAIRS_A_PART = 1024  # pairs that share a pivot and are verified together
 IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
@@ -285,22 +286,49 @@ def shingle_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets, "id").select("id", "which", "comp", "shingles").mapInArrow(run, schema)
 
 
-def reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """id, which, b0 and so on: the bits that a set's shingles hash to, as ``WORDS`` numbers of 64."""
+    names = ["id", "which", *(f"b{k}" for k in range(WORDS))]
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
+            bits = np.zeros((len(sets), WORDS), np.uint64)
+            if sets:
+                h = mix(np.concatenate(sets))
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                np.bitwise_or.at(bits, (owner, (h >> np.uint64(32)).astype(np.int64) % WORDS), np.uint64(1) << (h & np.uint64(63)))
+            columns = bits.view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("which"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names)
+
+    return sets.select("id", "which", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def reachable(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of members of different components that may be linked; every link between them is among these.
 
     A set's shingles are counted down, from the rarest: ``left`` is how many there
     are from one to the commonest.  Two linked sets share as many as their
     first common shingle has ``left`` in both.  Shingles of a single member take no part but as ones before.
+    A bit that one set's shingles hash to and the other's don't is a shingle
+    that isn't shared, so what is shared is at most a set's size without such bits.
     """
     rows = shingle_rows(members, sets)
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     down = Window.partitionBy("id", "which").orderBy(F.col("often").desc(), F.col("shingle").desc())
     placed = rows.join(often, "shingle").withColumn("left", F.row_number().over(down).cast("long"))
-    first = placed.where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n")).select("shingle", "id", "comp", "n", "left")
-    other = first.withColumnsRenamed({c: f"of_{c}" for c in first.columns})
-    enough = F.lit(100 + percent) * F.least("left", "of_left") >= F.lit(percent) * (F.col("n") + F.col("of_n"))
-    match = (F.col("shingle") == F.col("of_shingle")) & (F.col("id") < F.col("of_id")) & (F.col("comp") != F.col("of_comp")) & enough
-    return first.join(other, match).select(F.col("of_id").alias("a"), F.col("id").alias("b")).distinct()
+    first = scratch.keep(placed.where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n")).select("shingle", "id", "which", "comp", "n", "left"))
+    several = first.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
+    met = scratch.keep(first.join(several, "shingle", "left_semi"))
+    marks = bitmaps(sets.join(met.select("id").distinct(), "id", "left_semi"))
+    mine = scratch.keep(met.join(marks, ["id", "which"]).drop("which"))
+    other = mine.withColumnsRenamed({c: f"of_{c}" for c in mine.columns})
+    need = F.lit(percent) * (F.col("n") + F.col("of_n"))
+    enough = lambda shared: F.lit(100 + percent) * shared >= need
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(WORDS)), F.lit(0))
+    match = (F.col("shingle") == F.col("of_shingle")) & (F.col("id") < F.col("of_id")) & (F.col("comp") != F.col("of_comp")) & enough(F.least("left", "of_left"))
+    match = match & enough(F.col("n") - alone("b", "of_b")) & enough(F.col("of_n") - alone("of_b", "b"))
+    return mine.join(other, match).select(F.col("of_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -322,7 +350,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             sets = scratch.keep(sets.dropDuplicates(["id", "which"]))
         links = scratch.keep(verified(pairs, sets, percent))
         labels = components(links, scratch)
-        far = scratch.keep(reachable(scratch.keep(open_members(members, labels)), sets, percent))
+        far = scratch.keep(reachable(scratch.keep(open_members(members, labels)), sets, percent, scratch))
         more = scratch.keep(verified(far, sets, percent))
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
