@@ -526,7 +526,8 @@ def test_reachable_pairs_hold_every_link(spark):
     rows = [(k, k % 7, k, s.tobytes()) for k, s in enumerate(sets)]
     held = spark.createDataFrame([(k, w, bytearray(b)) for k, w, _, b in rows], "id long, which long, shingles binary")
     members = spark.createDataFrame([(k, k) for k in range(len(sets))], "id long, comp long")
-    found = {(r.b, r.a) for r in neardup.reachable(members, held, 85).collect()}
+    with neardup.Scratch(spark) as scratch:
+        found = {(r.b, r.a) for r in neardup.reachable(members, held, 85, scratch).collect()}
     want = set()
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
