@@ -31,14 +31,22 @@ def cuts(symbols: list[int], window: int, shortest: int, longest: int) -> list[i
     n = len(symbols)
     if not n:
         return []
-    prints = np.array([pair_print(a, b) for a, b in zip(symbols, [*symbols[1:], None])], np.uint64)
+    x = np.array(symbols, np.int64)
+    pairs, which = np.unique(x[:-1] << 32 | x[1:], return_inverse=True)
+    known = np.array([pair_print(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], np.uint64)
+    prints = np.append(known[which], np.uint64(pair_print(symbols[-1], None)))
     half = window // 2
     padded = np.concatenate([np.full(half, ~np.uint64(0)), prints, np.full(half, ~np.uint64(0))])
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1).min(1) == prints
-    out = [0]
-    for i in range(1, n):
-        length = i - out[-1]
-        if (least[i] and length >= shortest) or length >= longest:
+    low = padded[:n].copy()
+    for k in range(1, 2 * half + 1):
+        np.minimum(low, padded[k : k + n], out=low)
+    out, last = [0], 0
+    for i in [*np.flatnonzero(low == prints).tolist(), n]:
+        while i - last > longest:
+            last += longest
+            out.append(last)
+        if 0 < i < n and i - last >= min(shortest, longest):
+            last = i
             out.append(i)
     return out
 

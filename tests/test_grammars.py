@@ -107,6 +107,20 @@ def test_lcg_goldens(text, longest, window, final, rules):
     assert got == final and [(b, n) for b, n, _ in made] == rules
 
 
+def test_cuts_equal_the_plain_form():
+    rng = random.Random(25)
+    for _ in range(200):
+        symbols = [rng.randrange(rng.choice([1, 2, 4, 9])) for _ in range(rng.randrange(60))]
+        window, shortest, longest = rng.choice([2, 4, 8]), rng.choice([1, 2, 3]), rng.choice([2, 5, 16, 256])
+        prints = [lcg.pair_print(a, b) for a, b in zip(symbols, [*symbols[1:], None])]
+        want = [0] if symbols else []
+        for i in range(1, len(symbols)):
+            least = prints[i] == min(prints[max(0, i - window // 2) : i + window // 2 + 1])
+            if (least and i - want[-1] >= shortest) or i - want[-1] >= longest:
+                want.append(i)
+        assert lcg.cuts(symbols, window, shortest, longest) == want
+
+
 def test_fingerprints():
     assert D.fx_hash(D.symbol_words(0) + D.symbol_words(1)) == 0x0D4569EE47D3C0F2
     assert D.fx_hash([0, 1]) == 0x517CC1B727220A95
