@@ -192,10 +192,12 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(run, "id long, key long")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose estimated similarity isn't far below the threshold."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    chosen = scratch.keep(classes.select("id", "n", "registers").join(ids.hint("merge"), "id", "left_semi"))
+    side = lambda c: chosen.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
     def run(batches):
         for batch in batches:
@@ -231,7 +233,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(parts, "b")
     right = right.select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    both = dealt.join(left, "a").join(right, ["b", "part"])
+    both = dealt.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "part"])
 
     def run(batches):
         for batch in batches:
@@ -271,19 +273,16 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several, "key", "left_semi").select("id", "comp").distinct()
 
 
-def shingle_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, which, comp, n, shingle: a row for each shingle of the members (id, comp)."""
-    schema = "id long, which long, comp long, n long, shingle long"
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """which, shingle: a row for each shingle of each set."""
 
     def run(batches):
         for batch in batches:
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
             if sets:
-                n = np.array([len(x) for x in sets])
-                whole = [np.repeat(batch.column(c).to_numpy(), n) for c in ("id", "which", "comp")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (*whole, np.repeat(n, n), np.concatenate(sets)))], [f.split()[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("which").to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["which", "shingle"])
 
-    return members.join(sets, "id").select("id", "which", "comp", "shingles").mapInArrow(run, schema)
+    return sets.select("which", "shingles").mapInArrow(run, "which long, shingle long")
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -313,11 +312,14 @@ def reachable(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     A bit that one set's shingles hash to and the other's don't is a shingle
     that isn't shared, so what is shared is at most a set's size without such bits.
     """
-    rows = shingle_rows(members, sets)
+    sets = sets.join(members.select("id").hint("merge"), "id", "left_semi")
+    own = scratch.keep(sets.select("id", "which", (F.octet_length("shingles") / 8).cast("long").alias("n")).join(members.hint("merge"), "id"))
+    rows = shingle_rows(sets)
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    down = Window.partitionBy("id", "which").orderBy(F.col("often").desc(), F.col("shingle").desc())
-    placed = rows.join(often, "shingle").withColumn("left", F.row_number().over(down).cast("long"))
-    first = scratch.keep(placed.where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n")).select("shingle", "id", "which", "comp", "n", "left"))
+    down = Window.partitionBy("which").orderBy(F.col("often").desc(), F.col("shingle").desc())
+    placed = rows.join(often.hint("merge"), "shingle").withColumn("left", F.row_number().over(down).cast("long"))
+    first = placed.select("which", "shingle", "left").join(own.hint("merge"), "which").where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n"))
+    first = scratch.keep(first.select("shingle", "id", "which", "comp", "n", "left"))
     several = first.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
     met = scratch.keep(first.join(several, "shingle", "left_semi"))
     marks = bitmaps(sets.join(met.select("id").distinct(), "id", "left_semi"))
@@ -340,10 +342,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         real = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         classes = scratch.keep(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
         placed = scratch.keep(buckets(classes))
+        # Joins whose sides grow with the documents are merge joins at every size; only ids of texts are left to Spark to choose.
         full = scratch.keep(placed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1"))
-        star = placed.join(full.select("key", "pivot"), "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-        pairs = scratch.keep(plausible(star, classes, percent).distinct())
-        members = scratch.keep(placed.join(full.where("rows > 2").select("key"), "key", "left_semi").select("key", "id").distinct())
+        crowd = scratch.keep(placed.join(full.hint("merge"), "key").distinct())
+        star = scratch.keep(crowd.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+        pairs = scratch.keep(plausible(star, classes, percent, scratch).distinct())
+        members = scratch.keep(crowd.where("rows > 2").select("key", "id"))
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
         sets = scratch.keep(sets_of(narrow, scratch.keep(wanted), width))
         if not sets.groupBy("id", "which").count().where("count > 1").isEmpty():  # rows that repeat a doc_id and its text
