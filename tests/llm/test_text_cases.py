@@ -523,7 +523,7 @@ def test_reachable_pairs_hold_every_link(spark):
             copy[rng.randrange(len(copy))] = f"x{rng.randrange(10_000)}"
         texts.append(" ".join(copy[: rng.randrange(100, 121)]))
     sets = neardup.shingle_sets(texts, 3)
-    rows = [(k, k % 7, k, s.tobytes()) for k, s in enumerate(sets)]
+    rows = [(k, -k, k, s.tobytes()) for k, s in enumerate(sets)]
     held = spark.createDataFrame([(k, w, bytearray(b)) for k, w, _, b in rows], "id long, which long, shingles binary")
     members = spark.createDataFrame([(k, k) for k in range(len(sets))], "id long, comp long")
     with neardup.Scratch(spark) as scratch:
