@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,23 @@ def digram_entropy(seqs: DataFrame, sample: int | None = None) -> DataFrame:
 
 
 def trimer_entropy(seqs: DataFrame, samples: int = 1000) -> DataFrame:
-    """seq_id, entropy: half the 3-mer entropy of up to ``samples`` evenly spaced bases; 0.5 below 3 of them."""
-    raw = seqs.select("seq_id", F.col("dna").cast("binary").alias("raw"))
-    n = F.octet_length("raw")
-    step = F.greatest(F.floor(n / F.greatest(F.least(F.lit(samples), n), F.lit(1))), F.lit(1)).cast("int")
-    taken = F.array_join(F.transform(F.slice(F.sequence(F.lit(1), n, step), 1, samples), lambda i: F.substring(F.col("raw"), i, F.lit(1)).cast("string")), "")
-    picked = raw.select("seq_id", F.when(n > 0, taken).otherwise("").alias("dna"))
-    found = entropy_of(count_kmers(picked, 3, by=("seq_id",))).select("seq_id", F.round(F.col("entropy") / 2, 6).alias("entropy"))
-    return picked.select("seq_id").join(found, "seq_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.5)))
+    """The columns seq_id and dna, and entropy: half the 3-mer entropy of up to ``samples`` evenly spaced bases; 0.5 below 3 of them."""
+
+    def entropy(dna) -> float:
+        raw = np.frombuffer((dna or "").encode(), np.uint8)
+        taken = raw[:: max(len(raw) // max(min(samples, len(raw)), 1), 1)][:samples].astype(np.int64)
+        if len(taken) < 3:
+            return 0.5
+        n = np.unique((taken[:-2] << 16) | (taken[1:-1] << 8) | taken[2:], return_counts=True)[1]
+        p = n / n.sum()
+        return float(np.round(-(p * np.log2(p)).sum() / 2, 6)) + 0.0
+
+    def run(batches):
+        for batch in batches:
+            found = pa.array([entropy(x) for x in batch.column("dna").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), batch.column("dna"), found], ["seq_id", "dna", "entropy"])
+
+    return seqs.select("seq_id", "dna").mapInArrow(run, "seq_id long, dna string, entropy double")
 
 
 def auto_tune(seqs: DataFrame, sample: int = 10_000) -> DataFrame:

@@ -241,7 +241,7 @@ SAMPLED = "z AS (SELECT seq_id, array_to_string(list_transform(list_slice(range(
 
 @query(ENTROPY_SQL.format(cte=f"{S}, {SAMPLED}, {kmer_sql(3, 'z')}", k="k3") + " SELECT s.seq_id, coalesce(round(entropy / 2, 6), 0.5) + 0.0 AS entropy FROM s LEFT JOIN e USING (seq_id)")
 def trimer_entropy_sampled(spark, sf_dir):
-    return stats.trimer_entropy(sequences(spark, sf_dir)).withColumn("entropy", F.col("entropy") + 0.0)
+    return stats.trimer_entropy(sequences(spark, sf_dir)).select("seq_id", "entropy")
 
 
 @query(

@@ -87,8 +87,7 @@ def build(seqs: DataFrame, options: Options) -> DataFrame:
     if options.adaptive_chunking:
         workers = seqs.sparkSession.sparkContext.defaultParallelism
         size = chunks.adaptive_size(F.col("entropy"), options.max_memory_mb << 20, workers, options.chunk_size or None)
-        sized = seqs.join(stats.trimer_entropy(seqs), "seq_id")
-        return grammar.merge_chunks(repair.build_chunked(sized, size, **made), options.reverse_aware)
+        return grammar.merge_chunks(repair.build_chunked(stats.trimer_entropy(seqs), size, **made), options.reverse_aware)
     if options.chunk_size:
         return grammar.merge_chunks(repair.build_chunked(seqs, options.chunk_size, **made), options.reverse_aware)
     return repair.build(seqs, **made)
