@@ -97,6 +97,7 @@ def slices(texts, chars: int = 4_000_000):
         yield start, len(sizes)
 
 
+ASCII_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 BYTE_MASKS = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
 
 
@@ -167,16 +168,25 @@ class Stretches:
             left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
 
     @staticmethod
-    def is_blank(raw: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Whether the bytes at ``a``, or from ``a`` to ``b`` or ``c``, are a white space character."""
-        x, y, z = raw[a], raw[b], raw[c]
-        out = ((x >= 9) & (x <= 13)) | ((x >= 28) & (x <= 32))
+    def is_wide_blank(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Whether three bytes, or the first two, are a white space character beyond ASCII."""
+        general = (x == 0xE2) & (((y == 0x80) & (z >= 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+        return ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | general | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+
+    def beside_blank(self, raw: np.ndarray, cut: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a text ends after a place, or white space stands before or after it."""
+        after = cut + 1
+        x = raw[after]
+        bad = (after == end) | ASCII_BLANK[x]
         many = np.flatnonzero(x >= 0xC2)
-        x, y, z = x[many], y[many], z[many]
-        two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
-        general = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
-        out[many] = two | general | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
-        return out
+        bad[many] |= self.is_wide_blank(x[many], raw[after[many] + 1], raw[after[many] + 2])
+        x = raw[cut - 1]  # of the first text's first byte, the zeros at the end
+        x[cut == begin] = 0
+        bad |= ASCII_BLANK[x]
+        many = np.flatnonzero(x >= 0x80)
+        one, two, three = x[many], raw[cut[many] - 2], raw[cut[many] - 3]
+        bad[many] |= self.is_wide_blank(two, one, np.zeros_like(one)) & (two == 0xC2) | self.is_wide_blank(three, two, one) & (three >= 0xE1)
+        return bad
 
     def looked_up(self, raw: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of stretches of ``raw`` lie in the arena, and how many there are."""
@@ -221,18 +231,13 @@ class Stretches:
         edges = edges - edges[0]
         raw = np.concatenate([raw, np.zeros(16, np.uint8)])  # so that whole words may be read at the end
         cut = np.flatnonzero((raw == 32) | (raw == 10))
-        owner = np.searchsorted(edges, cut, "right") - 1
-        begin, end = edges[owner], edges[owner + 1]
-        after = np.minimum(cut + 1, end)
-        bad = (after == end) | self.is_blank(raw, after, after + 1, after + 2)
-        before = cut > begin
-        p = np.maximum(cut[:, None] - np.array([1, 2, 3]), 0)
-        last = self.is_blank(raw, p[:, 0], p[:, 0], p[:, 0]) | self.is_blank(raw, p[:, 1], p[:, 0], p[:, 0]) & (raw[p[:, 1]] == 0xC2) | self.is_blank(raw, p[:, 2], p[:, 1], p[:, 0]) & (raw[p[:, 2]] >= 0xE1)
-        bad |= before & last
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(cut, edges)))
+        bad = self.beside_blank(raw, cut, edges[owner], edges[owner + 1])
         odd = np.zeros(len(texts), bool)
         odd[owner[bad]] = True
-        good = ~odd[owner]
-        cut, owner = cut[good], owner[good]
+        if odd.any():
+            good = ~odd[owner]
+            cut, owner = cut[good], owner[good]
         stop = np.append(cut[1:], edges[-1])
         stop = np.minimum(stop, edges[owner + 1])
         at, size = self.looked_up(raw, cut, stop - cut)

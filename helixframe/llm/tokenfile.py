@@ -87,14 +87,18 @@ def frequent_places(symbols: np.ndarray, last: np.ndarray, least: int) -> np.nda
 def sorted_pairs(symbols: np.ndarray, after: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that begin at places, as numbers, in order, and their places, in order for each pair; symbols are below ``top``."""
     wide, far = top.bit_length(), len(symbols).bit_length()
-    left, right = symbols[at].astype(np.uint64), symbols[after[at]].astype(np.uint64)
-    pairs = left << np.uint64(wide) | right
-    if 2 * wide + far <= 64:  # pair and place fit in one number, which sorts faster
-        both = pairs << np.uint64(far) | at.astype(np.uint64)
-        both.sort()
-        return both >> np.uint64(far), (both & np.uint64((1 << far) - 1)).astype(np.int32)
-    order = np.argsort(pairs, kind="stable")
-    return pairs[order], at[order]
+    both = symbols[at].astype(np.uint64)
+    both <<= np.uint64(wide)
+    both |= symbols[after[at]]
+    if 2 * wide + far > 64:
+        order = np.argsort(both, kind="stable")
+        return both[order], at[order]
+    both <<= np.uint64(far)  # pair and place fit in one number, which sorts faster
+    both |= at.view(np.uint32)
+    both.sort()
+    places = (both & np.uint64((1 << far) - 1)).astype(np.int32)
+    both >>= np.uint64(far)
+    return both, places
 
 
 def replace_pairs(symbols: np.ndarray, last: np.ndarray, top: int, most: int = PAIRS, least: int = LEAST):
