@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Stretches, slices
+from .common import Stretches, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -256,6 +256,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([bpe.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
@@ -274,4 +275,5 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(named), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

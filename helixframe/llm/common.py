@@ -27,26 +27,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of the session hold ``BATCH_ROWS`` rows at most from here on.
+
+    That bounds what the JVM and a Python worker hold of rows with whole texts; as the
+    frames that operators return run later, the setting stays.
+    """
+    rows = int(spark.conf.get(BATCH_CONF))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables in the shared folder that cut a job's lineage; those still held are removed on exit.
 
     ``keep`` writes and rereads a table; ``keep_sorted`` does so in buckets, sorted
     by the columns, which joins on them read without an exchange.  ``result`` is for the
     table an operator returns, which outlives the block; it is removed when
-    the application ends.  Inside the block Arrow batches hold
-    ``BATCH_ROWS`` rows, which bounds what a Python worker holds of wide rows.
+    the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.names = spark, [], []
 
     def __enter__(self) -> "Scratch":
-        self.batch_rows = self.spark.conf.get(BATCH_CONF)
-        self.spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(self.batch_rows)) if int(self.batch_rows) > 0 else BATCH_ROWS))
+        small_batches(self.spark)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(BATCH_CONF, self.batch_rows)
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in self.paths:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 DIM, SEED = 1024, 5
 MARK = 0  # the code point that stands at both ends of a word
@@ -97,6 +97,8 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     the driver receives ``DIM`` numbers for each language.
     """
 
+    small_batches(training.sparkSession)
+
     def flushed(sums: dict[str, np.ndarray]):
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM)), pa.array(np.rint(total * SCALE).astype(np.int64))], ["lang", "dim", "x"])
@@ -133,6 +135,7 @@ def in_test_fold(doc_id) -> F.Column:
 
 def predict(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> DataFrame:
     """All columns of ``docs`` as ``row``, with lang_pred and score (the cosine, at least 0)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((languages, vectors.astype(np.float32)))
     kept = docs.select(F.struct("*").alias("row"))
     schema = kept.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema

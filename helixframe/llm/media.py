@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -406,6 +406,7 @@ def store_avi(docs: DataFrame) -> DataFrame:
                 media = [avi(files[e - n : e]) for e, n in zip(ends, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 

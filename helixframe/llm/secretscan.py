@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The patterns, and the least length of what each must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -165,6 +167,7 @@ def scan_text(text: str, model: MarkovPair, threshold: float) -> tuple[list, lis
 
 def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, **training) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document's whole text."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), **training))
 
     def run(batches):
