@@ -64,7 +64,7 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_joined(found, lengths: np.ndarray, chunks: list[str], most: int = 20_000) -> list[bytes]:
+def encode_joined(found, lengths: np.ndarray, chunks: list[str], most: int = 1_000) -> list[bytes]:
     """Ids of stretches of text that begin at piece borders: many are encoded as one text and told apart by their tokens' numbers of bytes."""
     out: list[bytes] = []
     for k in range(0, len(chunks), most):
