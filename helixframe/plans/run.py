@@ -170,6 +170,13 @@ def convert(spark: SparkSession, source: str, path: str) -> None:
     export.export_grammar(grammars, path)
 
 
+def top_gfa(spark: SparkSession, source: str, path: str, n: int) -> None:
+    """The n longest rules of a JSON grammar, with what they use, as GFA."""
+    ship(spark)
+    grammars = fasta.read_grammar_json(spark, source).select(F.lit(0).cast("long").alias("seq_id"), "symbols", "rules")
+    export.write_lines(export.gfa_top_lines(grammars, n), path)
+
+
 FORMATS = ("text", "gfa", "dot", "fasta", "graphml", "repeats")
 
 

@@ -360,6 +360,12 @@ def test_exports(spark, tmp_path):
     assert grammar.expand(back).first().dna == "ACACG"
     import json
 
+    from helixframe.plans import run
+
+    run.top_gfa(spark, str(tmp_path / "g.json"), str(tmp_path / "top.gfa"), 1)
+    assert (tmp_path / "top.gfa").read_text().splitlines() == ["H\tVN:Z:1.0", "S\t0\tAC\tLN:i:2", "S\t1\tACG\tLN:i:3", "S\tT_G\tG\tLN:i:1", "L\t1\t+\t0\t+\t0M", "L\t1\t+\tT_G\t+\t0M"]
+    run.convert(spark, str(tmp_path / "g.json"), str(tmp_path / "g2.gfa"))
+    assert (tmp_path / "g2.gfa").read_text() == (tmp_path / "g.gfa").read_text()
     assert export.write_json_streaming(g, str(tmp_path / "s.json"), 1) == 2
     assert json.loads((tmp_path / "s.json").read_text()) == json.loads(export.grammar_json(g, "object").first()["json"])
     with pytest.raises(ValueError):
