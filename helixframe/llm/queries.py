@@ -13,6 +13,7 @@ from .linededup import dedup_lines
 from .media import media_digests, store_avi
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .periodic import periodic_runs, run_digests, with_repeats
 from .perplexity import quality
 from .secretscan import scan_secrets
 from .tokenfile import read_shards, write_shards
@@ -71,6 +72,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_repeats(documents(spark, sf_dir))))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_motion_jpeg": op8_motion_jpeg,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 OP9_SQL = r"""
