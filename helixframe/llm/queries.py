@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import digests
 from .chat import link_tool_calls
 from .common import Scratch, documents
+from .convtrie import prefix_trie, shared_openings, turn_arrays
 from .langid import identify
 from .linededup import dedup_lines
 from .media import media_digests, store_avi
@@ -76,6 +77,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeats(documents(spark, sf_dir))))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = turn_arrays(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    with Scratch(spark) as scratch:
+        return prefix_trie(shared_openings(scratch.keep(arrays)), scratch).drop("last_key")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
@@ -88,6 +95,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP9_SQL = r"""
@@ -135,4 +143,41 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_
 FROM documents LEFT JOIN n USING (doc_id) JOIN least_root ON id = doc_id
 """
 
-ORACLE_SQL = {"op4_tool_calls": OP4_SQL, "op7_setsketch": OP7_SQL, "op9_line_dedup": OP9_SQL}
+#: The checksum is worked out bit by bit: its polynomial is a fixed value.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+         lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc
+  FROM sizes),
+c AS (
+  SELECT crc.conv_id, crc % 6 AS h, crc.conv_id - crc.conv_id % 100 AS base, least(crc % 6, coalesce(n, 0)) AS lead
+  FROM crc LEFT JOIN sizes ON sizes.conv_id = crc.conv_id - crc.conv_id % 100),
+rebuilt AS (
+  SELECT c.conv_id, t.i AS pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL
+  SELECT c.conv_id, c.lead + t.i - c.h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h),
+chained AS (
+  SELECT conv_id, pos + 1 AS depth, length(text) AS size,
+         md5(string_agg(md5(concat(strlen(role), ':', role, text)), ',') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS node
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) AS down FROM chained),
+nodes AS (
+  SELECT node, depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, count(DISTINCT down) AS n_children, (count(*) - 1) * min(size) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE down IS NULL), '')) AS ends_sha256
+  FROM linked GROUP BY node, depth),
+below AS (SELECT DISTINCT a.node, b.node AS inner_node FROM linked a JOIN linked b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT below.node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM below JOIN nodes ON nodes.node = below.inner_node GROUP BY below.node)
+SELECT nodes.conv_id, nodes.depth, parents.conv_id AS parent_conv_id, nodes.n_convs, nodes.n_children, n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums USING (node) LEFT JOIN nodes parents ON parents.node = nodes.up
+"""
+
+ORACLE_SQL = {"op4_tool_calls": OP4_SQL, "op7_setsketch": OP7_SQL, "op9_line_dedup": OP9_SQL, "op13_prefix_trie": OP13_SQL}
