@@ -13,6 +13,7 @@ from .langid import identify
 from .linededup import dedup_lines
 from .media import media_digests, store_avi
 from .mixing import mix_sources
+from .multiindex import nearest_vectors
 from .neardup import near_duplicates
 from .periodic import periodic_runs, run_digests, with_repeats
 from .perplexity import quality
@@ -73,6 +74,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, scratch)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeats(documents(spark, sf_dir))))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_motion_jpeg": op8_motion_jpeg,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_multi_index": op11_multi_index,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_prefix_trie": op13_prefix_trie,
 }
