@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 def split_chunks(seqs: DataFrame, size: int | Column, overlap: int = 0) -> DataFrame:
     """seq_id, idx, start, end, is_first, is_last, dna: chunks of ``size``, a number or a column, that share ``overlap`` bases.
 
-    A last chunk that would lie inside the one before is left out.
+    A last chunk that would lie inside the one before is left out.  Chunks are cut from bytes: a
+    substring of a STRING is found by walking from its start.
     """
     if isinstance(size, int) and (size <= 0 or not 0 <= overlap < size):
         raise ValueError("overlap must be less than the chunk size")
-    whole = seqs.select("seq_id", "dna", F.length("dna").alias("n"), (F.lit(size) if isinstance(size, int) else size).cast("int").alias("size"))
+    whole = seqs.select("seq_id", F.col("dna").cast("binary").alias("raw"), F.octet_length("dna").alias("n"), (F.lit(size) if isinstance(size, int) else size).cast("int").alias("size"))
     step, n = F.col("size") - overlap, F.col("n")
     count = F.when(n <= F.col("size"), 1).otherwise(F.ceil((n - overlap) / step)).cast("int")
-    cut = whole.withColumn("chunks", count).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("idx"))
+    cut = whole.withColumn("chunks", count).select("seq_id", "raw", "n", "size", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("idx"))
     start = F.col("idx") * step
     last = F.col("idx") == F.col("chunks") - 1
     end = F.when(last, n).otherwise(F.least(start + F.col("size"), n))
-    return cut.select("seq_id", "idx", start.cast("long").alias("start"), end.cast("long").alias("end"), (F.col("idx") == 0).alias("is_first"), last.alias("is_last"), F.substring(F.col("dna"), start + 1, end - start).alias("dna"))
+    return cut.select("seq_id", "idx", start.cast("long").alias("start"), end.cast("long").alias("end"), (F.col("idx") == 0).alias("is_first"), last.alias("is_last"), F.substring(F.col("raw"), start + 1, end - start).cast("string").alias("dna"))
 
 
 def join_chunks(chunks: DataFrame, overlap: int) -> DataFrame:

@@ -19,16 +19,14 @@ which the rule was chosen.
 from __future__ import annotations
 
 import heapq
-import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import _codes
-from ..shared import keep
-from .kmers import pieces
+from .rounds import SYMBOLS_A_PIECE, build_spread, placed_symbols
 
 GRAMMAR = "seq_id long, symbols array<long>, rules array<struct<rule_id:long,symbols:array<long>,usage_count:long,pair_count:long>>"
 RULES = pa.list_(pa.struct([("rule_id", pa.int64()), ("symbols", pa.list_(pa.int64())), ("usage_count", pa.int64()), ("pair_count", pa.int64())]))
@@ -301,116 +299,10 @@ def build_chunked(seqs: DataFrame, size, **options) -> DataFrame:
     return named.select("key", "seq_id", "idx").join(built, "key").drop("key")
 
 
-SYMBOLS_A_PIECE = 65_536
-
-
-def encode_symbols(seqs: DataFrame, size: int = SYMBOLS_A_PIECE) -> DataFrame:
-    """seq_id, piece, symbols: the terminals of each sequence, in pieces of about ``size``."""
-
-    def run(batches):
-        for batch in batches:
-            found = [_codes(dna.decode()).astype(np.int64) for dna in batch.column("dna").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), batch.column("piece"), pa.array(found, pa.list_(pa.int64()))], ["seq_id", "piece", "symbols"])
-
-    return pieces(seqs, 0, size=size).select("seq_id", F.floor(F.col("start") / size).alias("piece"), "dna").mapInArrow(run, "seq_id long, piece long, symbols array<long>")
-
-
-def in_numpy(column) -> list[np.ndarray]:
-    """The arrays of a list column."""
-    flat, edges = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
-    return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
-
-
-def pair_counts(held: DataFrame) -> DataFrame:
-    """seq_id, a, b, n of pieces (seq_id, symbols, next): each piece sends a pair once."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for seq_id, x, follow in zip(batch.column("seq_id").to_pylist(), in_numpy(batch.column("symbols")), batch.column("next").to_pylist()):
-                x = x if follow is None else np.append(x, follow)
-                found, n = np.unique(np.stack([x[:-1], x[1:]], 1), axis=0, return_counts=True)
-                rows.append((np.full(len(n), seq_id), found[:, 0], found[:, 1], n))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows)], ["seq_id", "a", "b", "n"])
-
-    found = held.select("seq_id", "symbols", "next").mapInArrow(run, "seq_id long, a long, b long, n long")
-    return found.groupBy("seq_id", "a", "b").agg(F.sum("n").alias("n"))
-
-
-def replace_in_piece(x: np.ndarray, follow: int | None, a: int, b: int, rule: int, odd: bool, before: int | None) -> np.ndarray:
-    """A piece after a round: ``follow`` is the symbol after it, ``before`` the one before, and ``odd`` whether a run of ``a`` that goes on from there has left one to be paired."""
-    if a != b:
-        taken = bool(len(x)) and before == a and x[0] == b
-    else:
-        taken = bool(len(x)) and odd and x[0] == a
-    y = x[1:] if taken else x
-    wide = y if follow is None else np.append(y, follow)
-    hit = np.flatnonzero((wide[:-1] == a) & (wide[1:] == b))
-    if a == b and len(hit):  # of a run, every other place
-        starts = np.ones(len(hit), bool)
-        starts[1:] = hit[1:] != hit[:-1] + 1
-        place = np.arange(len(hit))
-        hit = hit[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]
-    out = y.copy()
-    out[hit] = rule
-    stay = np.ones(len(y) + 1, bool)
-    stay[hit + 1] = False
-    return out[stay[: len(y)]]
-
-
-def pair_round(held: DataFrame, rule: int, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """One round on pieces (seq_id, piece, symbols): the pieces afterwards, and the pair chosen in each sequence (seq_id, a, b, n).
-
-    Windows run over pieces, not symbols: a piece needs to know the symbols beside it and,
-    of a run that comes into it, whether its length so far is odd.
-    """
-    along = Window.partitionBy("seq_id").orderBy("piece")
-    ends = held.select("seq_id", "piece", F.get("symbols", F.lit(0)).alias("first"), F.element_at("symbols", -1).alias("last"))
-    beside = ends.select(F.col("seq_id").alias("of"), F.col("piece").alias("at"), F.lead("first").over(along).alias("next"), F.lag("last").over(along).alias("before"))
-    ready = held.join(beside, (F.col("seq_id") == F.col("of")) & (F.col("piece") == F.col("at"))).drop("of", "at")
-    counts = pair_counts(ready).where(F.col("n") >= least)
-    best = counts.groupBy("seq_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "a", "b")).alias("x")).select("seq_id", "x.a", "x.b", (-F.col("x.less")).alias("n"))
-    marked = ready.join(best, "seq_id", "left")
-    # How long the run of ``a`` is that ends a piece; a piece of nothing else goes on with the run before.
-    whole = F.forall("symbols", lambda s: s == F.col("a"))
-    back = F.reverse("symbols")
-    stop = F.array_position(F.transform(back, lambda s: s != F.col("a")), F.lit(True))
-    tail = F.when(whole, F.size("symbols")).otherwise(stop - 1).cast("long")
-    runs = marked.where(F.col("a") == F.col("b")).select("seq_id", "piece", whole.alias("whole"), tail.alias("tail"))
-    group = F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    length = F.sum("tail").over(Window.partitionBy("seq_id", "group").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0))
-    coming = runs.withColumn("group", group).withColumn("length", length)
-    coming = coming.select(F.col("seq_id").alias("of"), F.col("piece").alias("at"), (F.coalesce(F.lag("length").over(along), F.lit(0)) % 2 == 1).alias("odd"))
-    full = marked.join(coming, (F.col("seq_id") == F.col("of")) & (F.col("piece") == F.col("at")), "left").select("seq_id", "piece", "symbols", "next", "before", "a", "b", F.coalesce("odd", F.lit(False)).alias("odd"))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for x, *rest in zip(in_numpy(batch.column("symbols")), *(batch.column(c).to_pylist() for c in ("next", "a", "b", "odd", "before"))):
-                follow, a, b, odd, before = rest
-                out.append(x if a is None else replace_in_piece(x, follow, a, b, 4 + rule, odd, before))
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), batch.column("piece"), pa.array(out, pa.list_(pa.int64()))], ["seq_id", "piece", "symbols"])
-
-    return full.mapInArrow(run, "seq_id long, piece long, symbols array<long>").where(F.size("symbols") > 0), best
-
-
 def pair_rounds(seqs: DataFrame, rounds: int | None = None, least: int = 2, size: int = SYMBOLS_A_PIECE) -> tuple[DataFrame, DataFrame]:
     """Symbols (seq_id, pos, sym) after some rounds, or when no pair is left ``least`` times, and the rules (seq_id, rule_id, a, b, n).
 
-    Sequences of any length are spread over tasks; each round's table is written, so the plan stays short.
+    The same rules as ``build`` makes, one of each sequence in a round; ``rounds.build_spread`` makes many.
     """
-    held, rules = keep(encode_symbols(seqs, size)), None
-    for r in itertools.count() if rounds is None else range(rounds):
-        after, best = pair_round(held, r, least)
-        best = keep(best.select("seq_id", F.lit(r).cast("long").alias("rule_id"), "a", "b", "n"))
-        if rounds is None and best.isEmpty():
-            rules = best if rules is None else rules
-            break
-        held = keep(after)
-        rules = best if rules is None else rules.unionByName(best)
-    before = F.coalesce(F.sum(F.size("symbols")).over(Window.partitionBy("seq_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = held.select(F.col("seq_id").alias("of"), F.col("piece").alias("at"), before.alias("start"))
-    placed = held.join(starts, (F.col("seq_id") == F.col("of")) & (F.col("piece") == F.col("at")))
-    symbols = placed.select("seq_id", "start", F.posexplode("symbols").alias("i", "sym")).select("seq_id", (F.col("start") + F.col("i")).cast("long").alias("pos"), "sym")
-    return symbols, rules
+    held, rules = build_spread(seqs, least, None, rounds, size)
+    return placed_symbols(held), rules.drop("used")

@@ -5,14 +5,12 @@ Sequences are the A, C, G and T of each document's text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
-from ..operators import chunks, grammar, kmers, lcg, repair, sketch, stats
-from ..shared import keep, shared_dir
+from ..operators import chunks, grammar, kmers, lcg, repair, rounds, sketch, stats
+from ..shared import keep, new_path
 from ..sources import export, fasta
 from ..streaming import counts as streaming
 from . import grammar_sql as G
@@ -350,9 +348,9 @@ def window_fingerprints(spark, sf_dir):
 # Grammars by pair replacement.
 
 
-def rounds_sql(rounds: int) -> str:
+def rounds_sql(n: int) -> str:
     parts = [S, "q0 AS (SELECT seq_id, i - 1 AS pos, (instr('ACGT', substr(dna, i, 1)) - 1)::BIGINT AS sym FROM (SELECT seq_id, dna, unnest(range(1, length(dna) + 1)) AS i FROM s))"]
-    for r in range(rounds):
+    for r in range(n):
         parts += [
             f"p{r} AS (SELECT *, lead(sym) OVER (PARTITION BY seq_id ORDER BY pos) AS nx FROM q{r})",
             f"b{r} AS (SELECT seq_id, sym AS a, nx AS b, count(*) AS n FROM p{r} WHERE nx IS NOT NULL GROUP BY seq_id, sym, nx HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY n DESC, a, b) = 1)",
@@ -382,6 +380,53 @@ def repair_first_rules(spark, sf_dir):
     return built.select("seq_id", F.size("symbols").cast("long").alias("n_symbols"))
 
 
+SETS, SHARE = 3, 4
+
+
+def sets_sql(n: int) -> str:
+    """Rounds that replace a set of pairs: in order of count, each that shares no symbol as end and begin with one taken before."""
+    parts = [S, "q0 AS (SELECT seq_id, i - 1 AS pos, (instr('ACGT', substr(dna, i, 1)) - 1)::BIGINT AS sym FROM (SELECT seq_id, dna, unnest(range(1, length(dna) + 1)) AS i FROM s))", "made0 AS (SELECT seq_id, 0 AS made FROM s)"]
+    none = "{'s': []::BIGINT[], 'e': []::BIGINT[], 'n': []::BIGINT[]}"
+    for r in range(n):
+        parts += [
+            f"p{r} AS (SELECT *, lead(sym) OVER (PARTITION BY seq_id ORDER BY pos) AS nx FROM q{r})",
+            f"c{r} AS (SELECT seq_id, sym AS a, nx AS b, count(*) AS n FROM p{r} WHERE nx IS NOT NULL GROUP BY seq_id, sym, nx HAVING count(*) >= 2)",
+            f"f{r} AS (SELECT seq_id, list({{'a': a, 'b': b, 'n': n}} ORDER BY n DESC, a, b) AS l FROM (SELECT *, max(n) OVER (PARTITION BY seq_id) AS top FROM c{r}) WHERE n * {SHARE} >= top GROUP BY seq_id)",
+            f"x{r} AS (SELECT seq_id, list_reduce(l, lambda t, x: CASE WHEN list_contains(t.e, x.a) OR list_contains(t.s, x.b) THEN t ELSE {{'s': list_append(t.s, x.a), 'e': list_append(t.e, x.b), 'n': list_append(t.n, x.n)}} END, {none}) AS t FROM f{r})",
+            f"b{r} AS (SELECT seq_id, made + i - 1 AS rule_id, t.s[i] AS a, t.e[i] AS b, t.n[i] AS n FROM (SELECT seq_id, t, made, unnest(range(1, len(t.s) + 1)) AS i FROM x{r} JOIN made{r} USING (seq_id)))",
+            f"made{r + 1} AS (SELECT seq_id, made + coalesce(len(t.s), 0) AS made FROM made{r} LEFT JOIN x{r} USING (seq_id))",
+            f"h{r} AS (SELECT p.seq_id, p.pos, p.sym, b.rule_id, b.rule_id IS NOT NULL AS hit FROM p{r} p LEFT JOIN b{r} b ON b.seq_id = p.seq_id AND b.a = p.sym AND b.b = p.nx)",
+            f"i{r} AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_id, hit ORDER BY pos) AS island FROM h{r})",
+            f"o{r} AS (SELECT *, hit AND row_number() OVER (PARTITION BY seq_id, hit, island ORDER BY pos) % 2 = 1 AS begins FROM i{r})",
+            f"g{r} AS (SELECT *, coalesce(lag(begins) OVER (PARTITION BY seq_id ORDER BY pos), false) AS gone FROM o{r})",
+            f"q{r + 1} AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS pos, CASE WHEN begins THEN 4 + rule_id ELSE sym END AS sym FROM g{r} WHERE NOT gone)",
+        ]
+    return "WITH " + ",\n".join(parts)
+
+
+USED = " UNION ALL ".join(f"SELECT b.seq_id, b.rule_id, a, b, n, used FROM b{r} b JOIN (SELECT seq_id, rule_id, count(*) AS used FROM g{r} WHERE begins AND NOT gone GROUP BY seq_id, rule_id) USING (seq_id, rule_id)" for r in range(SETS))
+
+
+@query(sets_sql(SETS) + "\n" + USED)
+def pair_sets_rules(spark, sf_dir):
+    return rounds.build_spread(sequences(spark, sf_dir), share=SHARE, rounds=SETS)[1]
+
+
+@query(sets_sql(SETS) + f"\nSELECT seq_id, pos, sym::BIGINT AS sym FROM q{SETS}")
+def pair_sets_symbols(spark, sf_dir):
+    return rounds.placed_symbols(rounds.build_spread(sequences(spark, sf_dir), share=SHARE, rounds=SETS)[0])
+
+
+@query(f"WITH {S} SELECT seq_id, dna, true AS finished FROM s WHERE length(dna) > 0")
+def pair_sets_grammar(spark, sf_dir):
+    """Built to the end: what it stands for, and whether no pair is left twice."""
+    held, rules = rounds.build_spread(sequences(spark, sf_dir), share=SHARE)
+    built = keep(rounds.grammar_rows(held, rules))
+    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("symbols") - 1, F.lit(1))), lambda i: F.slice("symbols", i, 2))
+    left = built.select("seq_id", F.explode(pair).alias("pair")).where(F.size("pair") == 2).groupBy("seq_id", "pair").count().groupBy("seq_id").agg((F.max("count") < 2).alias("finished"))
+    return grammar.expand(built).join(left, "seq_id", "left").select("seq_id", "dna", F.coalesce("finished", F.lit(True)).alias("finished"))
+
+
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def repair_roundtrip(spark, sf_dir):
     return grammar.expand(repair.build(sequences(spark, sf_dir)))
@@ -571,14 +616,10 @@ def gfa_top_lines(spark, sf_dir):
     return export.gfa_top_lines(grammars(spark, sf_dir), 5)
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
 @query(f"WITH {S} SELECT seq_id, dna FROM s")
 def json_roundtrip(spark, sf_dir):
     """Grammars written as JSON files, read back and expanded."""
-    path = _folder(spark)
+    path = new_path(spark)
     export.grammar_json(grammars(spark, sf_dir)).select(F.regexp_replace("json", r"^\{", F.concat(F.lit('{"seq_id":'), F.col("seq_id"), F.lit(","))).alias("value")).write.text(path)
     found = spark.read.schema("seq_id long, " + fasta.GRAMMAR_JSON).json(path)
     rules = F.transform("rules", lambda r: F.struct(r["id"].alias("rule_id"), F.transform(r["symbols"], fasta.symbol_code).alias("symbols")))
@@ -587,7 +628,7 @@ def json_roundtrip(spark, sf_dir):
 
 @query(f"WITH {S} SELECT seq_id::VARCHAR AS record_id, dna FROM s WHERE length(dna) > 0")
 def fasta_roundtrip(spark, sf_dir):
-    path = _folder(spark)
+    path = new_path(spark)
     sequences(spark, sf_dir).select(F.concat(F.lit(">"), F.col("seq_id"), F.lit(" document\n"), export.wrap(F.col("dna"))).alias("value")).write.text(path)
     return fasta.read_fasta(spark, path).select("record_id", "dna")
 
@@ -619,7 +660,7 @@ def conversation_lengths(spark, sf_dir):
 
 @query(f"WITH {S}, {kmer_sql(K)} SELECT kmer, count(*) AS n FROM k{K} GROUP BY kmer")
 def streaming_kmer_counts(spark, sf_dir):
-    source, target, marks = _folder(spark), _folder(spark), _folder(spark)
+    source, target, marks = new_path(spark), new_path(spark), new_path(spark)
     streaming.write_chunks(sequences(spark, sf_dir), source, 1000, K - 1)
     streaming.run_to_table(streaming.stream_kmer_counts(streaming.read_chunks(spark, source), K), target, marks)
     return spark.read.parquet(target)
@@ -627,7 +668,7 @@ def streaming_kmer_counts(spark, sf_dir):
 
 @query(f"WITH {S} SELECT seq_id, dna FROM s WHERE length(dna) > 0")
 def streaming_grammar_roundtrip(spark, sf_dir):
-    source, target, marks = _folder(spark), _folder(spark), _folder(spark)
+    source, target, marks = new_path(spark), new_path(spark), new_path(spark)
     streaming.write_chunks(sequences(spark, sf_dir), source, 1000, 0)
     streaming.run_to_table(streaming.stream_grammars(streaming.read_chunks(spark, source)), target, marks, "update")
     return grammar.expand(streaming.finalize(spark.read.parquet(target)))

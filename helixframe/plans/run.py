@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, grammar, lcg, repair, stats
 from ..ship import ship
-from ..shared import shared_dir
+from ..shared import new_path
 from ..sources import export, fasta
 from ..streaming import counts as streaming
 
@@ -96,8 +96,7 @@ def build(seqs: DataFrame, options: Options) -> DataFrame:
 def stream(seqs: DataFrame, options: Options) -> DataFrame:
     """Grammars that grow chunk by chunk in a stream, finished at its end."""
     spark = seqs.sparkSession
-    name = hashlib.sha1(os.urandom(16)).hexdigest()
-    source, target, marks = (f"{shared_dir(spark)}/{name}/{part}" for part in ("chunks", "grown", "marks"))
+    source, target, marks = (new_path(spark) for _ in range(3))
     streaming.write_chunks(seqs.select("seq_id", "dna"), source, options.chunk_size or 100_000, 0)
     streaming.run_to_table(streaming.stream_grammars(streaming.read_chunks(spark, source), options.min_rule_usage), target, marks, "update")
     return streaming.finalize(spark.read.parquet(target), options.min_rule_usage, options.max_rule_count)

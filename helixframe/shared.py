@@ -19,16 +19,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder, which is removed when the application ends."""
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+def _located(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Lets a path that exists be removed when the application ends."""
+    where, system = _located(spark, path)
+    if not system.deleteOnExit(where):
+        raise FileNotFoundError(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more."""
+    for path in paths:
+        where, system = _located(spark, path)
+        system.delete(where, True)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in a new folder of the shared one; the folder is removed when the application ends."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    where, system = _located(spark, folder)
+    system.mkdirs(where)
+    gone_at_end(spark, folder)
+    return f"{folder}/table"
+
+
+def keep_at(df: DataFrame, path: str | None = None, *partition_by: str) -> tuple[DataFrame, str]:
+    """The table, written (at a new path if none is given) and read back, and its path; new paths go when the application ends."""
+    path = path or new_path(df.sparkSession)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The table, written and read back."""
-    path = new_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep_at(df)[0]
