@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import drop, new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -55,26 +55,25 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        for path in self.paths:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _path(self) -> str:
-        return f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        drop(self.spark, *self.paths)
+        self.paths, self.names = [], []
 
     def _write(self, df: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        path = self._path()
+        path = new_path(self.spark)
         self.paths.append(path)
         return self._write(df, path, list(partition_by))
 
     def keep_sorted(self, df: DataFrame, *columns: str) -> DataFrame:
-        path, name = self._path(), f"kept_{uuid.uuid4().hex}"
+        path, name = new_path(self.spark), f"kept_{uuid.uuid4().hex}"
         self.paths.append(path)
         self.names.append(name)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -82,10 +81,7 @@ class Scratch:
         return self.spark.table(name)
 
     def result(self, df: DataFrame) -> DataFrame:
-        path = self._path()
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-        return self._write(df, path, [])
+        return self._write(df, new_path(self.spark), [])
 
 
 def n_words(text) -> F.Column:
