@@ -83,9 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    scratch = Scratch(spark)
-    docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    """All stages over documents, each written and read again; a stage's table goes when the next is written."""
+    docs, before = documents(spark, sf_dir), None
+    for k, (_, stage) in enumerate(STAGES):
+        scratch = Scratch(spark)
+        found = stage(spark, docs, sf_dir)
+        docs = scratch.keep(found) if k + 1 < len(STAGES) else scratch.result(found)
+        if before:
+            before.close()
+        before = scratch
     return docs
