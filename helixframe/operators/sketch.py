@@ -1,4 +1,4 @@
-"""Rolling hashes, repeats, minimizers and bottom-n sketches."""
+"""Rolling hashes, repeats of fixed length, minimizers and bottom-n sketches."""
 
 from __future__ import annotations
 
@@ -22,62 +22,6 @@ def repeats(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
     return count_kmers(seqs, k).where(F.col("n") >= least)
 
 
-def repeats_from(seqs: DataFrame, shortest: int, least: int = 2) -> DataFrame:
-    """seq_id, length, n, pos: the maximal repeats of each sequence, substrings of ``shortest`` bases or more that
-    occur ``least`` times and that no further base on the right keeps together; pos is the first place.
-
-    Places that share their suffixes' beginnings are intervals of the suffix array: those
-    between smaller common prefixes, whatever their length.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for seq_id, dna in zip(batch.column("seq_id").to_pylist(), batch.column("dna").to_pylist()):
-                order = suffix_order(dna or "")
-                length, low, high = repeat_intervals(common_prefixes(dna or "", order), shortest)
-                enough = high - low + 1 >= least
-                length, low, high = length[enough], low[enough], high[enough]
-                first = np.array([order[a : b + 1].min() for a, b in zip(low, high)], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(length), seq_id), length, high - low + 1, first)], ["seq_id", "length", "n", "pos"])
-
-    return seqs.select("seq_id", "dna").mapInArrow(run, "seq_id long, length long, n long, pos long")
-
-
-def common_prefixes(text: str, order: np.ndarray) -> np.ndarray:
-    """For each suffix in order but the first, how much it has in common with the one before."""
-    n = len(text)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    out, h = np.zeros(max(n - 1, 0), np.int64), 0
-    before = np.concatenate([[-1], order[:-1]]).tolist() if n else []
-    for i, r in enumerate(rank.tolist()):
-        if r:
-            j = before[r]
-            most = n - max(i, j)
-            while h < most and text[i + h] == text[j + h]:
-                h += 1
-            out[r - 1] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    return out
-
-
-def repeat_intervals(common: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths and first and last ranks of the intervals of suffixes that share ``shortest`` or more."""
-    found: list[tuple[int, int, int]] = []
-    stack: list[tuple[int, int]] = []  # (length, first rank)
-    for k, h in enumerate([*common.tolist(), 0]):
-        begin = k
-        while stack and stack[-1][0] > h:
-            length, begin = stack.pop()
-            if length >= shortest:
-                found.append((length, begin, k))
-        if h and (not stack or stack[-1][0] < h):
-            stack.append((h, begin))
-    return tuple(np.array(x, np.int64) for x in (zip(*found) if found else [()] * 3))
-
-
 def window_hashes(raw: np.ndarray, k: int, base: int = 101, modulus: int = 1_000_000_007) -> np.ndarray:
     """The polynomial hash of every window of k bytes, as ``dna.polynomial_hash`` gives it."""
     h = np.zeros(max(len(raw) - k + 1, 0), np.int64)
@@ -161,35 +105,3 @@ def sketch_similarity(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
 def window_fingerprints(seqs: DataFrame, w: int) -> DataFrame:
     """seq_id, pos, fingerprint of every window of w bases."""
     return extract_kmers(seqs, w).select("seq_id", "pos", fingerprint_bases("kmer").alias("fingerprint"))
-
-
-def suffix_order(text: str) -> np.ndarray:
-    """Starts of the suffixes of a text in order, by doubling the prefix that is ranked."""
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    rank = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:] if step < n else []
-        order = np.lexsort((after, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all():
-            return order
-        step *= 2
-
-
-def suffix_arrays(seqs: DataFrame) -> DataFrame:
-    """seq_id, rank, pos: each sequence's suffixes in order; a sequence is handled in one task."""
-
-    def run(batches):
-        for batch in batches:
-            for seq_id, dna in zip(batch.column("seq_id").to_pylist(), batch.column("dna").to_pylist()):
-                order = suffix_order(dna or "")
-                yield pa.RecordBatch.from_arrays([pa.array([seq_id] * len(order), pa.int64()), pa.array(np.arange(len(order))), pa.array(order, pa.int64())], ["seq_id", "rank", "pos"])
-
-    return seqs.select("seq_id", "dna").mapInArrow(run, "seq_id long, rank long, pos long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
-from ..operators import chunks, grammar, kmers, lcg, repair, rounds, sketch, stats
+from ..operators import chunks, grammar, kmers, lcg, repair, rounds, sketch, stats, suffixes
 from ..shared import keep, new_path
 from ..sources import export, fasta
 from ..streaming import counts as streaming
@@ -297,9 +297,20 @@ def repeats_fixed_len(spark, sf_dir):
     return sketch.repeats(sequences(spark, sf_dir), 12)
 
 
-@query()
+#: Common prefixes are measured by powers of two, from the greatest down; intervals lie between smaller ones of the same stretch of neighbours.
+REPEATS_SQL = f"""WITH {S},
+x AS (SELECT seq_id, i - 1 AS pos, substr(dna, i) AS t, row_number() OVER (PARTITION BY seq_id ORDER BY substr(dna, i)) AS r FROM (SELECT seq_id, dna, unnest(range(1, length(dna) + 1)) AS i FROM s)),
+u AS (SELECT seq_id, r, pos, t, lag(t) OVER (PARTITION BY seq_id ORDER BY r) AS u FROM x),
+h AS (SELECT seq_id, r, list_reduce(list_transform(range(20, -1, -1), lambda e: 1::BIGINT << e), lambda k, p: k + CASE WHEN k + p <= least(length(t), length(u)) AND substr(t, k + 1, p) = substr(u, k + 1, p) THEN p ELSE 0 END, 0::BIGINT) AS h FROM u WHERE length(u) >= 12 AND substr(t, 1, 12) = substr(u, 1, 12)),
+g AS (SELECT *, r - row_number() OVER (PARTITION BY seq_id ORDER BY r) AS island FROM h),
+b AS (SELECT DISTINCT a.seq_id, a.h, coalesce(max(b.r) FILTER (WHERE b.r < a.r AND b.h < a.h), min(b.r) - 1) AS low, coalesce(min(b.r) FILTER (WHERE b.r > a.r AND b.h < a.h), max(b.r) + 1) AS high
+  FROM g a JOIN g b USING (seq_id, island) GROUP BY a.seq_id, a.r, a.h)
+SELECT b.seq_id, b.h AS length, high - low AS n, min(x.pos) AS pos FROM b JOIN x ON x.seq_id = b.seq_id AND x.r >= low AND x.r < high GROUP BY b.seq_id, b.h, low, high"""
+
+
+@query(REPEATS_SQL)
 def repeats_any_len(spark, sf_dir):
-    return sketch.repeats_from(sequences(spark, sf_dir), 12)
+    return suffixes.repeats_from(sequences(spark, sf_dir), 12)
 
 
 MINIMIZERS = f"""{S}, {kmer_sql(K)}, h AS (SELECT seq_id, pos, {hash_sql('kmer', K)} * 4294967296 - pos AS x FROM k{K}),
@@ -337,7 +348,7 @@ def sketch_similarity(spark, sf_dir):
 
 @query(f"WITH {S} SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY substr(dna, i)) - 1 AS rank, i - 1 AS pos FROM (SELECT seq_id, dna, unnest(range(1, length(dna) + 1)) AS i FROM s)")
 def suffix_arrays(spark, sf_dir):
-    return sketch.suffix_arrays(sequences(spark, sf_dir))
+    return suffixes.suffix_arrays(sequences(spark, sf_dir))
 
 
 @query(G.window_fingerprints_sql(8))

@@ -168,37 +168,10 @@ def test_kmers_do_not_depend_on_pieces(spark):
         assert sorted(map(tuple, sketch.minimizers(df, 4, 3, size=size).collect())) == mins
 
 
-def test_repeats_and_sketches(spark):
-    found = {("ACGACG"[r.pos : r.pos + r.length], r.n) for r in sketch.repeats_from(seqs(spark, "ACGACG"), 2).collect()}
-    assert found == {("CG", 2), ("ACG", 2)}
+def test_sketches(spark):
     assert len(sketch.bottom_sketch(seqs(spark, "AAAAAAAAAA"), 3, 5).first().sketch) == 1
 
 
-def brute_repeats(text, shortest, least):
-    """Substrings that occur often enough, but for those always followed by one base."""
-    out = set()
-    places = {}
-    for i in range(len(text)):
-        for j in range(i + shortest, len(text) + 1):
-            places.setdefault(text[i:j], []).append(i)
-    for rep, at in places.items():
-        after = {text[i + len(rep) : i + len(rep) + 1] for i in at}
-        if len(at) >= least and (len(after) > 1 or after == {""}):
-            out.add((len(rep), len(at), min(at)))
-    return out
-
-
-def test_repeats_of_any_length(spark):
-    rng = random.Random(16)
-    texts = ["", "A", "AAAA", "ACGT" * 90] + ["".join(rng.choice("ACGT"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(60))) for _ in range(60)]
-    for shortest, least in ((1, 2), (3, 2), (2, 3)):
-        found = {}
-        for r in sketch.repeats_from(seqs(spark, *texts), shortest, least).collect():
-            found.setdefault(r.seq_id, set()).add((r.length, r.n, r.pos))
-        for k, text in enumerate(texts):
-            assert found.get(k, set()) == brute_repeats(text, shortest, least)
-
-
 def test_kmer_rules_go_on_past_overlaps():
     final, rules = repair.replace_kmers(codes("AAAAACGTCCGTC"), 4)
     assert ([1, 2, 3, 1], 2) in [(body, used) for body, used, _ in rules]
@@ -310,14 +283,6 @@ def test_chunks_that_come_late_wait(spark, tmp_path):
     assert row.dna == "".join(texts)
 
 
-def test_suffixes():
-    assert sketch.suffix_order("ACGT").tolist() == [0, 1, 2, 3]
-    rng = random.Random(15)
-    for _ in range(100):
-        text = "".join(rng.choice("AC") for _ in range(rng.randrange(40)))
-        assert sketch.suffix_order(text).tolist() == sorted(range(len(text)), key=lambda k: text[k:])
-
-
 def test_stats(spark):
     row = stats.sequence_stats(seqs(spark, "ACGTACGT"), k=2).first()
     assert (row.length, row.a, row.gc, row.longest_run, row.top_kmer, row.top_n) == (8, 2, 50.0, 1, "AC", 4)
