@@ -11,8 +11,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import canonical, is_rule, rule_of
+from ..functions.dna import is_rule, reverse_complement, rule_of
 from ..shared import keep
+from .ranges import with_starts
 from .repair import GRAMMAR, RULES, _grammar_batch
 
 COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
@@ -352,27 +353,109 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.withColumn("_place", place).join(F.broadcast(bases), "_range").withColumn("number", F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
+#: The modulus and the bases of the two hashes that rules are known by.
+MODULUS = 2**61 - 1
+BASES = (806_515_533_049_393, 1_304_969_544_928_657)
+
+
+def content_of(bodies: dict[int, list[int]]) -> dict[int, tuple]:
+    """Rule id to (length, two hashes of what it expands to, two of its reverse complement).
+
+    Both are put together from those of the rule's symbols, children first; nothing is expanded.
+    """
+    one = {c: ((1, BASES, (c + 1,) * 2, (4 - c,) * 2)) for c in range(4)}
+    known: dict[int, tuple] = {}
+    for r in order_rules(bodies):
+        n, power, ahead, back = 0, (1, 1), (0, 0), (0, 0)
+        for s in bodies[r]:
+            size, p, f, b = one[s] if 0 <= s <= 3 else known[s - 4 if s >= 4 else -5 - s]
+            f, b = (b, f) if s < 0 else (f, b)
+            ahead = tuple((x * q + y) % MODULUS for x, q, y in zip(ahead, p, f))
+            back = tuple((y * q + x) % MODULUS for x, q, y in zip(back, power, b))
+            n, power = n + size, tuple(x * q % MODULUS for x, q in zip(power, p))
+        known[r] = (n, power, ahead, back)
+    return {r: (n, *ahead, *back) for r, (n, _, ahead, back) in known.items()}
+
+
+CONTENT = ("length", "high", "low")
+
+
+def rule_contents(grammars: DataFrame, either_strand: bool, *by: str) -> DataFrame:
+    """by, old_rule_id, usage_count, pair_count, length, high, low, turned of each rule: what it is known by.
+
+    With ``either_strand`` a rule and its reverse complement have the hashes of the lesser, and ``turned`` says that these are the other strand's.
+    Two rules of different content are taken for one with a probability below length / 2**120.
+    """
+    kinds = grammars.select(*by).schema
+
+    def run(batches):
+        for batch in batches:
+            rules = batch.column("rules")
+            flat, rows = rules.flatten(), []
+            for _, bodies in grammars_in(batch):
+                found = content_of(bodies)
+                for r in bodies:
+                    n, *prints = found[r]
+                    turned = either_strand and prints[2:] < prints[:2]
+                    rows.append((n, *(prints[2:] if turned else prints[:2]), turned))
+            owner = pa.array(np.repeat(np.arange(len(rules)), pa.compute.fill_null(pa.compute.list_value_length(rules), 0).to_numpy(zero_copy_only=False)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.bool_()])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in by), *(flat.field(c) for c in ("rule_id", "usage_count", "pair_count")), *columns], [*by, "old_rule_id", "usage_count", "pair_count", *CONTENT, "turned"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    return grammars.select(*by, "rules").mapInArrow(run, f"{schema}, old_rule_id long, usage_count long, pair_count long, length long, high long, low long, turned boolean")
+
+
+def chosen_texts(grammars: DataFrame, chosen: DataFrame) -> DataFrame:
+    """seq_id, old_rule_id, dna of the chosen rules (seq_id, old_rule_id); no others are expanded."""
+    wanted = chosen.groupBy(F.col("seq_id").alias("of")).agg(F.collect_list("old_rule_id").alias("wanted"))
+
+    def run(batches):
+        for batch in batches:
+            ids, texts, owners = [], [], []
+            for seq_id, want, (_, bodies) in zip(batch.column("seq_id").to_pylist(), batch.column("wanted").to_pylist(), grammars_in(batch)):
+                for r in want:
+                    ids.append(r)
+                    texts.append(expansion(4 + r, bodies))
+                    owners.append(seq_id)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["seq_id", "old_rule_id", "dna"])
+
+    return grammars.select("seq_id", "rules").join(wanted, F.col("seq_id") == F.col("of")).mapInArrow(run, "seq_id long, old_rule_id long, dna string")
+
+
+def expansion(sym: int, bodies: dict[int, list[int]], deepest: int | None = None) -> str:
+    """The bases of one symbol; with ``deepest``, rules are opened so far down only and deeper ones written as R and their number."""
+    out, stack = [], [(sym, 0)]
+    while stack:
+        s, depth = stack.pop()
+        if 0 <= s <= 3:
+            out.append("ACGT"[s])
+        elif deepest is not None and depth >= deepest:
+            out.append(f"R{s - 4 if s >= 4 else -5 - s}{'+' if s >= 4 else '-'}")
+        else:
+            body = bodies[s - 4 if s >= 4 else -5 - s]
+            inner = reversed(body) if s >= 4 else [3 - x if 0 <= x <= 3 else -1 - x for x in body]
+            stack.extend((x, depth + 1) for x in inner)
+    return "".join(out)
+
+
 def merge_grammars(grammars: DataFrame, either_strand: bool = False) -> tuple[DataFrame, DataFrame]:
     """One grammar of many: rules (rule_id, dna, expanded_length, usage_count, n_origins) and origins (seq_id, old_rule_id, rule_id, flipped).
 
     Rules that expand to the same DNA are one, and with ``either_strand`` those that expand to
     each other's reverse complement, of which the lesser stays and the other's origins are
-    flipped.  They are numbered by length and DNA.  A hot rule is one row
-    from each task before the shuffle.
+    flipped.  They are known by hashes; one rule of each content is expanded, and they are numbered by length and DNA.
     """
-    expanded = expand_rules(grammars).select("seq_id", F.col("rule_id").alias("old_rule_id"), "usage_count", *_content(either_strand))
-    expanded = keep(expanded)
-    same = expanded.groupBy("dna").agg(F.sum("usage_count").alias("usage_count"), F.count("*").alias("n_origins")).withColumn("expanded_length", F.length("dna").cast("long"))
-    rules = keep(numbered(same, "expanded_length", "dna").withColumnRenamed("number", "rule_id").select("rule_id", "dna", "expanded_length", "usage_count", "n_origins"))
-    origins = expanded.join(rules.select("dna", "rule_id"), "dna").select("seq_id", "old_rule_id", "rule_id", "flipped")
-    return rules, origins
-
-
-def _content(either_strand: bool) -> list:
-    """The DNA that a rule is known by, and whether the rule is its reverse complement."""
-    if not either_strand:
-        return [F.col("dna"), F.lit(False).alias("flipped")]
-    return [canonical("dna").alias("dna"), (canonical("dna") != F.col("dna")).alias("flipped")]
+    known = keep(rule_contents(grammars, either_strand, "seq_id"))
+    same = known.groupBy(*CONTENT).agg(F.sum("usage_count").alias("usage_count"), F.count("*").alias("n_origins"), F.min(F.struct("seq_id", "old_rule_id", "turned")).alias("one"))
+    same = keep(same.select(*CONTENT, "usage_count", "n_origins", "one.*"))
+    texts = same.join(chosen_texts(grammars, same.select("seq_id", "old_rule_id")), ["seq_id", "old_rule_id"])
+    hashed = F.when(F.col("turned"), reverse_complement("dna")).otherwise(F.col("dna"))
+    dna = F.least(F.col("dna"), reverse_complement("dna")) if either_strand else F.col("dna")
+    named = texts.select(*CONTENT, dna.alias("dna"), F.col("length").alias("expanded_length"), "usage_count", "n_origins", (dna != hashed).alias("swapped"))
+    named = keep(numbered(named, "expanded_length", "dna").withColumnRenamed("number", "rule_id"))
+    origins = known.join(named.select(*CONTENT, "rule_id", "swapped"), list(CONTENT)).select("seq_id", "old_rule_id", "rule_id", (F.col("turned") != F.col("swapped")).alias("flipped"))
+    return named.select("rule_id", "dna", "expanded_length", "usage_count", "n_origins"), origins
 
 
 def renamed(rows: DataFrame, origins: DataFrame, *by: str) -> DataFrame:
@@ -412,30 +495,35 @@ def _merged_bodies(grammars: DataFrame, origins: DataFrame, *by: str) -> DataFra
     return named.select(*by, "rule_id", F.when(F.col("flipped"), turned_body(F.col("symbols"))).otherwise(F.col("symbols")).alias("symbols"))
 
 
-def merge_chunks(chunks: DataFrame, either_strand: bool = False) -> DataFrame:
-    """Grammar rows, one for each sequence, of the grammars (seq_id, idx, symbols, rules) of its chunks.
+def merge_chunk_tables(chunks: DataFrame, either_strand: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of the grammars (seq_id, idx, symbols, rules) of sequences' chunks: the chunks' symbols (seq_id, idx, symbols) and the rules
+    (seq_id, rule_id, symbols, usage_count, pair_count) of one grammar for each sequence.
 
     Rules of a sequence that expand to the same DNA are one (with ``either_strand``, or to its
-    reverse complement), numbered by length and DNA, so that a rule comes after those it uses.
-    usage_count and pair_count are summed.
+    reverse complement), known by hashes and numbered by length and these, so that a rule comes after those it uses.
+    usage_count and pair_count are summed.  Nothing is expanded or gathered by sequence.
     """
     by = ("seq_id", "idx")
     built = keep(chunks.select(*by, "symbols", "rules"))
-    key = built.select(F.xxhash64(*by).alias("key"), *by)
-    expanded = expand_rules(built.select(F.xxhash64(*by).alias("seq_id"), "symbols", "rules")).withColumnRenamed("seq_id", "key").join(key, "key")
-    counted = built.select(*by, F.inline("rules")).select(*by, "rule_id", "pair_count")
-    expanded = keep(expanded.join(counted, [*by, "rule_id"]).select(*by, F.col("rule_id").alias("old_rule_id"), "usage_count", "pair_count", *_content(either_strand)))
-    same = expanded.groupBy("seq_id", "dna").agg(F.sum("usage_count").alias("usage_count"), F.sum("pair_count").alias("pair_count"))
-    place = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.length("dna"), "dna")) - 1
-    named = keep(same.withColumn("rule_id", place.cast("long")))
-    origins = keep(expanded.join(named.select("seq_id", "dna", "rule_id"), ["seq_id", "dna"]).select(*by, "old_rule_id", "rule_id", "flipped"))
+    known = keep(rule_contents(built, either_strand, *by))
+    same = known.groupBy("seq_id", *CONTENT).agg(F.sum("usage_count").alias("usage_count"), F.sum("pair_count").alias("pair_count"))
+    placed = with_starts(same, ["seq_id", *CONTENT], [1, 4])
+    named = keep(placed.select("seq_id", *CONTENT, "usage_count", "pair_count", (F.col("start_1") - F.col("start_0")).alias("rule_id")))
+    origins = keep(known.join(named.select("seq_id", *CONTENT, "rule_id"), ["seq_id", *CONTENT]).select(*by, "old_rule_id", "rule_id", F.col("turned").alias("flipped")))
     bodies = _merged_bodies(built, origins, *by).groupBy("seq_id", "rule_id").agg(F.min("symbols").alias("symbols"))
+    rules = bodies.join(named, ["seq_id", "rule_id"]).select("seq_id", "rule_id", "symbols", "usage_count", "pair_count")
+    symbols = renamed(built.select(*by, F.posexplode("symbols").alias("pos", "sym")), origins, *by).groupBy(*by).agg(in_order("pos").alias("symbols"))
+    return built.select(*by).join(symbols, list(by), "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<long>"))), rules
+
+
+def merge_chunks(chunks: DataFrame, either_strand: bool = False) -> DataFrame:
+    """Grammar rows, one for each sequence, of ``merge_chunk_tables``, for sequences whose grammar fits a row."""
+    symbols, rules = merge_chunk_tables(chunks, either_strand)
     rule = F.struct("rule_id", "symbols", "usage_count", "pair_count")
-    rules = bodies.join(named, ["seq_id", "rule_id"]).groupBy("seq_id").agg(F.array_sort(F.collect_list(rule), lambda a, b: (a["rule_id"] - b["rule_id"]).cast("int")).alias("rules"))
-    symbols = renamed(built.select(*by, F.posexplode("symbols").alias("pos", "sym")), origins, *by).groupBy("seq_id").agg(in_order("idx", "pos").alias("symbols"))
-    whole = built.select("seq_id").distinct().join(symbols, "seq_id", "left").join(rules, "seq_id", "left")
-    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(t)).alias(c)
-    return whole.select("seq_id", empty("symbols", "array<long>"), empty("rules", rules.schema["rules"].dataType))
+    gathered = rules.groupBy("seq_id").agg(F.array_sort(F.collect_list(rule), lambda a, b: F.signum(a["rule_id"] - b["rule_id"]).cast("int")).alias("rules"))
+    part = F.transform(F.array_sort(F.collect_list(F.struct("idx", "symbols"))), lambda p: p["symbols"])
+    whole = symbols.groupBy("seq_id").agg(F.flatten(part).alias("symbols")).join(gathered, "seq_id", "left")
+    return whole.withColumn("rules", F.coalesce("rules", F.array().cast(gathered.schema["rules"].dataType)))
 
 
 def used_enough(rules: DataFrame, least: int) -> DataFrame:
