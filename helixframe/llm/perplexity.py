@@ -31,7 +31,7 @@ of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from .common import Scratch, slices
 
 ORDER, PARTS, FAN = 5, 4, 64
 COUNTED, HELD = 8_000_000, 1_500_000  # bytes of text counted at once, and n-grams that a task holds of a half
-MOST_BROADCAST, BLOCK = 64_000_000, 16_000_000
+MOST_BROADCAST, BLOCK, SLICE = 64_000_000, 16_000_000, 4_000_000
 WIDTH = 3.0
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -401,6 +401,7 @@ def in_blocks(halved: DataFrame, size: int = BLOCK) -> DataFrame:
     """block, half, docs: texts of a half, about ``size`` characters in a row, as compressed Arrow streams."""
 
     def run(batches):
+        task, number = TaskContext.get().partitionId(), itertools.count()
         waiting: dict[int, list] = {}
         sizes: dict[int, int] = {}
 
@@ -410,7 +411,7 @@ def in_blocks(halved: DataFrame, size: int = BLOCK) -> DataFrame:
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
             sizes[half] = 0
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([half], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "half", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{next(number)}"]), pa.array([half], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "half", "docs"])
 
         for batch in batches:
             for half, *row in zip(*(batch.column(c).to_pylist() for c in ("half", "doc_id", "lang", "text"))):
@@ -428,32 +429,76 @@ def docs_in(stream) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-def score_by_join(halved: DataFrame, model: DataFrame, scratch: Scratch, size: int = BLOCK) -> DataFrame:
-    """Scores blocks of texts, each with the values of its own n-grams, which are joined to the model's groups."""
+def sliced(model: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The model's groups cut by the leading bits of hashes, so that no row has much more than ``most`` bytes: half, d, part, slice, h, log_p; and the number of bits."""
+    largest = model.agg(F.coalesce(F.max(F.octet_length("h") + F.octet_length("log_p")), F.lit(0))).first()[0]
+    bits = max(0, -(-largest // most) - 1).bit_length()
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for half, d, part, h, log_p in zip(*(batch.column(c).to_pylist() for c in ("half", "d", "part")), numbers_in(batch.column("h"), np.uint64), numbers_in(batch.column("log_p"), np.float32)):
+                for k, a, b in slices_of(h, bits):
+                    rows.append((half, d, part, k, h[a:b].tobytes(), log_p[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["half", "d", "part", "slice", "h", "log_p"])
+
+    return model.select("half", "d", "part", "h", "log_p").mapInArrow(run, "half long, d int, part int, slice long, h binary, log_p binary"), bits
+
+
+def slices_of(h: np.ndarray, bits: int):
+    """(slice, begin, end) of the stretches of sorted hashes with equal leading bits."""
+    if not bits:
+        yield 0, 0, len(h)
+        return
+    lead = (h >> np.uint64(64 - bits)).astype(np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])) if len(lead) else np.zeros(0, np.int64)
+    for k, a, b in zip(lead[begins].tolist(), begins.tolist(), np.append(begins[1:], len(lead)).tolist()):
+        yield k, a, b
+
+
+def score_by_join(halved: DataFrame, model: DataFrame, scratch: Scratch, size: int = BLOCK, most: int = SLICE) -> DataFrame:
+    """Scores blocks of texts, each with the values of its own n-grams.
+
+    The n-grams that blocks ask about go to the slices of the model, each of which is sent once and
+    stands before what is asked of it; the values go back to the blocks.  So what is sent grows as the model and the questions
+    do, and a task holds a slice and a block's questions of it.
+    """
     blocks = scratch.keep(in_blocks(halved, size))
+    parts, bits = sliced(model, most)
 
     def ask(batches):
         for batch in batches:
             for block, half, stream in zip(*(batch.column(c).to_pylist() for c in ("block", "half", "docs"))):
                 texts = [b" ".join(w) for w in map(words_of, docs_in(stream).column("text").to_pylist()) if w]
                 known = runs_of(gram_keys(texts)[0])[0] if texts else np.zeros(0, np.uint64)
-                rows = [(block, half, d, part, known[at].tobytes()) for d, part, at in in_groups(known)]
-                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["block", "half", "d", "part", "asked"])
+                rows = []
+                for d, part, at in in_groups(known):
+                    h = np.sort(mixed(known[at]))
+                    rows += [(half, d, part, k, block, h[a:b].tobytes()) for k, a, b in slices_of(h, bits)]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], ["half", "d", "part", "slice", "block", "h"])
 
     def answer(batches):
+        held = None
         for batch in batches:
-            values = []
-            for asked, h, log_p in zip(*(numbers_in(batch.column(c), t) for c, t in (("asked", np.uint64), ("h", np.uint64), ("log_p", np.float32)))):
-                values.append(log_p[np.searchsorted(h, mixed(asked))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("asked"), pa.array(values, pa.binary())], ["block", "asked", "log_p"])
-
-    asked = blocks.mapInArrow(ask, "block string, half long, d int, part int, asked binary")
-    answers = asked.join(model, ["half", "d", "part"]).select("block", "asked", "h", "log_p").mapInArrow(answer, "block string, asked binary, log_p binary")
+            rows = []
+            for *place, block, h, log_p in zip(*(batch.column(c).to_pylist() for c in ("half", "d", "part", "slice", "block", "h", "log_p"))):
+                h = np.frombuffer(h, np.uint64)
+                if block is None:
+                    held = (place, h, np.frombuffer(log_p, np.float32))
+                else:
+                    assert held and held[0] == place
+                    rows.append((block, h.tobytes(), held[2][np.searchsorted(held[1], h)].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, [pa.string(), pa.binary(), pa.binary()])], ["block", "h", "log_p"])
+
+    place = ["half", "d", "part", "slice"]
+    asked = blocks.mapInArrow(ask, "half long, d int, part int, slice long, block string, h binary").withColumn("log_p", F.lit(None).cast("binary"))
+    both = parts.withColumn("block", F.lit(None).cast("string")).select(*place, "block", "h", "log_p").unionByName(asked)
+    answers = both.repartition(*place).sortWithinPartitions(*place, F.col("block").asc_nulls_first()).mapInArrow(answer, "block string, h binary, log_p binary")
 
     def score(block, known):
-        asked, log_p = (numbers_in(known.column(c), t) for c, t in (("asked", np.uint64), ("log_p", np.float32)))
-        lookup = Lookup(mixed(np.concatenate(asked)), np.concatenate(log_p)) if asked else None
+        h, log_p = (numbers_in(known.column(c), t) for c, t in (("h", np.uint64), ("log_p", np.float32)))
+        lookup = Lookup(np.concatenate(h), np.concatenate(log_p)) if h else None
         docs = docs_in(block.column("docs")[0].as_py())
         halves = np.full(docs.num_rows, block.column("half")[0].as_py())
         return pa.Table.from_batches([scored_rows(docs.column("doc_id"), docs.column("lang"), halves, docs.column("text").to_pylist(), lambda _: lookup)])

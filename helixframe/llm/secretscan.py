@@ -4,7 +4,8 @@ Two order-2 Markov models over the characters that keys are written in are
 trained: one on strings labelled random (the values that the fixed patterns find, and
 seeded random strings over the alphabets of keys), one on strings labelled
 ordinary (words and identifiers of the sampled texts outside those values, but for
-those as long as candidates, which may be secrets).  A candidate, a run of ``LEAST_LENGTH`` key characters or more with single dots inside, is a span
+those as long as candidates, which may be secrets; names and words of the documentation of Python's standard
+library; and long identifiers, paths, addresses and chains put together from these by a seed, and runs of one sign).  A candidate, a run of ``LEAST_LENGTH`` key characters or more with single dots inside, is a span
 of kind ``random`` if its log-likelihood ratio per character passes the
 threshold, whatever characters it has.  Candidates that overlap a span of the
 fixed patterns are left to it, so fixed spans always stay.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import importlib
 import re
 
 import numpy as np
@@ -44,7 +46,9 @@ KEY = "A-Za-z0-9+/_="
 CANDIDATE = re.compile(rf"(?=[{KEY}.-]{{{LEAST_LENGTH}}})[{KEY}-]+(?:\.[{KEY}-]+)*")
 WORD = re.compile(rf"[{KEY}-]{{4,}}")
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-MADE = 2000  # seeded random strings of each alphabet
+MADE = 2000  # seeded random strings of each alphabet, and ordinary ones of each kind
+#: Modules whose names and documentation are samples of ordinary identifiers and words.
+SAMPLED = ("argparse", "asyncio", "calendar", "collections", "concurrent.futures", "configparser", "csv", "datetime", "decimal", "difflib", "email.message", "functools", "http.client", "http.server", "inspect", "ipaddress", "json", "locale", "logging.handlers", "mailbox", "os", "pathlib", "random", "shutil", "smtplib", "socket", "statistics", "string", "subprocess", "tarfile", "tempfile", "threading", "types", "unittest.mock", "urllib.parse", "urllib.request", "uuid", "xml.dom.minidom", "zipfile")
 #: Characters of the models: those of a candidate, and one mark for the start.
 CODES = {c: k + 1 for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")}
 N_CODES = len(CODES) + 1
@@ -122,6 +126,48 @@ def made_strings(seed: int) -> list[str]:
     return ["".join(rng.choice(list(alphabet), int(rng.integers(20, 64)))) for alphabet in ALPHABETS for _ in range(MADE)]
 
 
+def library_words() -> tuple[list[str], list[str]]:
+    """Names in the sampled modules and their classes, and the words of their documentation."""
+    names, texts = set(), []
+    for module in SAMPLED:
+        for name, value in sorted(vars(importlib.import_module(module)).items()):
+            names.add(name)
+            inner = vars(value) if isinstance(value, type) else {}
+            names.update(inner)
+            texts += [x.__doc__ for x in (value, *inner.values()) if isinstance(getattr(x, "__doc__", None), str)]
+    words = sorted({w for text in texts for w in re.findall("[A-Za-z]{2,}", text)})
+    return sorted(n for n in names if len(n) > 3), words
+
+
+def ordinary_strings(seed: int) -> list[str]:
+    """Names and words of the library, and strings put together of them as identifiers, paths, addresses and chains are; runs of one sign."""
+    rng = np.random.default_rng(seed)
+    names, words = library_words()
+    lower = [w.lower() for w in words]
+    pick = lambda pool, least=2, most=8: [pool[i] for i in rng.integers(0, len(pool), int(rng.integers(least, most)))]
+    number = lambda: str(rng.integers(0, 10 ** int(rng.integers(1, 5))))
+    capital = lambda found: "".join(w.capitalize() for w in found)
+    ends = ("", "", ".py", ".html", ".txt", ".json", ".md", ".png", ".com", ".org")
+    kinds = [
+        lambda: (w := pick(lower))[0] + capital(w[1:]),
+        lambda: capital(pick(lower)),
+        lambda: "_".join(pick(lower)),
+        lambda: "_".join(pick(lower)).upper(),
+        lambda: "-".join(pick(lower)),
+        lambda: "/" * int(rng.integers(0, 3)) + "/".join(pick(lower)) + ends[rng.integers(0, len(ends))],
+        lambda: "/".join(x for pair in zip(pick(lower, 3, 4), pick(names, 3, 4)) for x in pair) + ends[rng.integers(0, len(ends))],
+        lambda: ".".join(pick(lower)),
+        lambda: "//www." + ".".join(pick(lower, 1, 3)) + ".com/" + "/".join("-".join(pick(lower, 1, 4)) for _ in range(2)),
+        lambda: "-".join([*pick(lower, 1, 4), number(), number()]),
+        lambda: f"{'/'.join(pick(lower, 2, 5))}{number()}.{number()}/{'_'.join(pick(lower, 1, 4))}",
+        lambda: "_".join(pick(names, 2, 4)),
+        lambda: "=".join(["_".join(pick(lower, 1, 4)), "-".join(pick(lower, 1, 3))]),
+    ]
+    made = [kind() for kind in kinds for _ in range(MADE)]
+    runs = [sign * int(n) for sign in "=-_/+" for n in rng.integers(20, 80, MADE // 10)]
+    return names + words + made + runs
+
+
 def train(docs: DataFrame, sample_docs: int = 4000, seed: int = 11) -> MarkovPair:
     """Fits both models on about ``sample_docs`` texts; the driver receives summed counts of trigrams."""
     share = min(1.0, sample_docs / max(1, docs.count()))
@@ -145,8 +191,7 @@ def train(docs: DataFrame, sample_docs: int = 4000, seed: int = 11) -> MarkovPai
     for secret in (True, False):
         mine = table[table.secret == secret]
         both.append(np.bincount(mine.gram.to_numpy(np.int64), mine.n.to_numpy(np.float64), N_CODES**3).reshape((N_CODES,) * 3))
-    plain = both[1] if both[1].any() else MarkovPair.counts(["the", "and", "value", "identifier"])
-    return MarkovPair(both[0] + MarkovPair.counts(made_strings(seed)), plain)
+    return MarkovPair(both[0] + MarkovPair.counts(made_strings(seed)), both[1] + MarkovPair.counts(ordinary_strings(seed)))
 
 
 def scan_text(text: str, model: MarkovPair, threshold: float) -> tuple[list, list]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -930,3 +931,55 @@ def test_calls_equal_brute_force(spark, seed):
     messages = sorted(json.loads(r.json)["content"] for r in rows if r.kind == "message")
     assert messages == sorted(f"text {k}" for k in range(60) if k % 9 == 0 for _ in range(3))
     assert sum(r.kind == "result" for r in rows) == sum(t[2] == "tool" for t in turns)
+
+
+def held_out_strings():
+    """Ordinary strings as code has them, from packages whose names no model has seen."""
+    import glob
+    import os
+
+    import pandas
+    import pyspark
+
+    found = set()
+    for package in (pandas, pyspark):
+        top = os.path.dirname(package.__file__)
+        for path in sorted(glob.glob(f"{top}/**/*.py", recursive=True))[:150]:
+            found.add(path.lstrip("/"))
+            with open(path, encoding="utf-8") as f:
+                found |= {x for x in re.findall(r"[A-Za-z_][A-Za-z0-9_.]{19,}[A-Za-z0-9_]|https?:(//[a-zA-Z0-9./_-]{20,})", f.read()) if x}
+    more = ["getUserAccountInformationFromDatabaseConnectionPool", "www.example.com/some/long/path/to-a-page.html", "MAX_CONNECTIONS_PER_HOST_DEFAULT", "the-quick-brown-fox-jumps-over-it", "=" * 37, "-" * 60, "_" * 25]
+    return sorted(found)[:4000] + more
+
+
+def test_secrets_leave_code_alone(spark, sf_dir):
+    model = secretscan.train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    rng = random.Random(9)
+    alphabets = (*secretscan.ALPHABETS, "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
+    secret = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for alphabet in alphabets for _ in range(100)]
+    hits = sum(model.score(t) > secretscan.THRESHOLD for t in secret)
+    plain = held_out_strings()
+    false = sum(model.score(t) > secretscan.THRESHOLD for t in plain)
+    assert len(plain) > 1000 and hits >= 0.98 * len(secret)
+    assert hits / (hits + false) >= 0.95 and false <= 0.01 * len(plain)
+
+
+def test_perplexity_slices_and_blocks(spark, monkeypatch):
+    """Many blocks for each half, and groups of the model cut into slices, give what the whole model gives."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(60))) for _ in range(80)] + [None, ""]
+    df = docs(spark, *texts)
+    whole = {r.doc_id: r for r in perplexity.quality(df).collect()}
+    real, sizes = perplexity.score_by_join, []
+
+    def small(halved, model, scratch):
+        blocks = perplexity.in_blocks(halved, 300)
+        sizes.append(blocks.groupBy("half").count().agg({"count": "min"}).first()[0])
+        sizes.append(perplexity.sliced(model, 64)[1])
+        return real(halved, model, scratch, 300, 64)
+
+    monkeypatch.setattr(perplexity, "score_by_join", small)
+    cut = {r.doc_id: r for r in perplexity.quality(df, 0).collect()}
+    assert sizes[0] > 2 and sizes[1] > 2
+    assert {k: r.kept for k, r in whole.items()} == {k: r.kept for k, r in cut.items()}
+    assert all((r.log_ppl is None) == (cut[k].log_ppl is None) and (r.log_ppl is None or abs(r.log_ppl - cut[k].log_ppl) < 1e-6) for k, r in whole.items())
