@@ -223,26 +223,57 @@ class Shard:
         self.n_ids, self.n_symbols = take(np.int64, docs), take(np.int64, docs)
         self.rules = np.stack([take(np.uint32, rules), take(np.uint32, rules)], 1)
         self.lengths = take(np.uint32, rules).astype(np.int64)
-        self.symbols = np.ascontiguousarray(take(np.uint8, symbols * 4).reshape(4, -1).T).view(np.uint32).ravel()
+        self.planes = take(np.uint8, symbols * 4).reshape(4, -1)
+        self.begins = np.concatenate([[0], np.cumsum(self.n_symbols)])
+
+    def symbols_of(self, begin: int, end: int) -> np.ndarray:
+        return np.ascontiguousarray(self.planes[:, begin:end].T).view(np.uint32).ravel()
+
+    @property
+    def symbols(self) -> np.ndarray:
+        return self.symbols_of(0, self.planes.shape[1])
+
+    @functools.cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each symbol how many ids it stands for, where they begin, and the ids; every rule is expanded."""
         starts, flat = expansions(self.rules, self.first)[1:]
         ids = np.arange(self.first)  # an id stands for itself
-        self.all_lengths = np.concatenate([np.ones(self.first, np.int64), self.lengths])
-        self.all_starts = np.concatenate([ids, starts + self.first])
-        self.all_flat = np.concatenate([ids.astype(np.uint32), flat])
+        return np.concatenate([np.ones(self.first, np.int64), self.lengths]), np.concatenate([ids, starts + self.first]), np.concatenate([ids.astype(np.uint32), flat])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        lengths = self.all_lengths[symbols]
-        at = np.repeat(self.all_starts[symbols] - (np.cumsum(lengths) - lengths), lengths)
+        all_lengths, all_starts, all_flat = self.tables
+        lengths = all_lengths[symbols]
+        at = np.repeat(all_starts[symbols] - (np.cumsum(lengths) - lengths), lengths)
         at += np.arange(len(at))
-        return self.all_flat[at]
+        return all_flat[at]
 
     def all_ids(self) -> np.ndarray:
         return self.expand(self.symbols)
 
-    def ids_of(self, k: int) -> np.ndarray:
-        """Of the k-th document alone."""
-        start = int(self.n_symbols[:k].sum())
-        return self.expand(self.symbols[start : start + int(self.n_symbols[k])])
+    def ids_of(self, k: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Of the k-th document alone, or of a range of its ids.
+
+        Only the document's symbols are read, and only rules that the range meets are opened: the stored
+        lengths tell where each symbol's ids begin.
+        """
+        x = self.symbols_of(int(self.begins[k]), int(self.begins[k + 1])).astype(np.int64)
+        end = int(self.n_ids[k]) if end is None else min(end, int(self.n_ids[k]))
+        size = lambda x: np.where(x >= self.first, self.lengths[np.maximum(x - self.first, 0)] if len(self.lengths) else 1, 1)
+        at = np.cumsum(size(x)) - size(x)
+        while True:
+            met = (at < end) & (at + size(x) > begin)
+            x, at = x[met], at[met]
+            rule = x >= self.first
+            if not rule.any():
+                return x.astype(np.uint32)
+            owner = np.repeat(np.arange(len(x)), 1 + rule)
+            second = np.zeros(len(owner), bool)
+            second[1:] = owner[1:] == owner[:-1]
+            opened = rule[owner]
+            left = np.where(opened, self.rules[np.where(opened, x[owner] - self.first, 0), 0], 0).astype(np.int64)
+            right = np.where(opened, self.rules[np.where(opened, x[owner] - self.first, 0), 1], 0).astype(np.int64)
+            at = at[owner] + np.where(second, size(left), 0)
+            x = np.where(~opened, x[owner], np.where(second, right, left))
 
 
 def write_shards(docs: DataFrame, path: str, scratch: Scratch, shard_ids: int = SHARD_IDS) -> DataFrame:

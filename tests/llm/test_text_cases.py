@@ -983,3 +983,22 @@ def test_perplexity_slices_and_blocks(spark, monkeypatch):
     assert sizes[0] > 2 and sizes[1] > 2
     assert {k: r.kept for k, r in whole.items()} == {k: r.kept for k, r in cut.items()}
     assert all((r.log_ppl is None) == (cut[k].log_ppl is None) and (r.log_ppl is None or abs(r.log_ppl - cut[k].log_ppl) < 1e-6) for k, r in whole.items())
+
+
+def test_a_document_is_read_without_the_others(monkeypatch):
+    rng = np.random.default_rng(8)
+    piece = rng.integers(0, 50, 400)
+    ids = [np.concatenate([piece[: int(rng.integers(1, 400))], rng.integers(0, 50, int(rng.integers(0, 30))), piece]).astype(np.uint32) for _ in range(90)] + [np.array([7], np.uint32)]
+    shard = tokenfile.Shard(tokenfile.pack_shard(list(range(len(ids))), ids))
+    assert len(shard.rules) > 10 and np.array_equal(shard.all_ids(), np.concatenate(ids))
+    monkeypatch.setattr(tokenfile, "expansions", None)  # all rules expanded
+    read = []
+    real = shard.symbols_of
+    monkeypatch.setattr(shard, "symbols_of", lambda a, b: read.append(b - a) or real(a, b))
+    for k, x in enumerate(ids):
+        assert np.array_equal(shard.ids_of(k), x)
+        a, b = sorted(rng.integers(0, len(x) + 5, 2).tolist())
+        assert np.array_equal(shard.ids_of(k, a, b), x[a:b])
+    assert sum(read) == 2 * shard.planes.shape[1]
+    none = tokenfile.Shard(tokenfile.pack_shard([1], [np.array([3, 4], np.uint32)]))
+    assert none.ids_of(0).tolist() == [3, 4] and none.ids_of(0, 1, 1).tolist() == []
