@@ -423,19 +423,16 @@ def chosen_texts(grammars: DataFrame, chosen: DataFrame) -> DataFrame:
     return grammars.select("seq_id", "rules").join(wanted, F.col("seq_id") == F.col("of")).mapInArrow(run, "seq_id long, old_rule_id long, dna string")
 
 
-def expansion(sym: int, bodies: dict[int, list[int]], deepest: int | None = None) -> str:
-    """The bases of one symbol; with ``deepest``, rules are opened so far down only and deeper ones written as R and their number."""
-    out, stack = [], [(sym, 0)]
+def expansion(sym: int, bodies: dict[int, list[int]]) -> str:
+    """The bases of one symbol; no other rules are opened than those in it."""
+    out, stack = [], [sym]
     while stack:
-        s, depth = stack.pop()
+        s = stack.pop()
         if 0 <= s <= 3:
             out.append("ACGT"[s])
-        elif deepest is not None and depth >= deepest:
-            out.append(f"R{s - 4 if s >= 4 else -5 - s}{'+' if s >= 4 else '-'}")
         else:
             body = bodies[s - 4 if s >= 4 else -5 - s]
-            inner = reversed(body) if s >= 4 else [3 - x if 0 <= x <= 3 else -1 - x for x in body]
-            stack.extend((x, depth + 1) for x in inner)
+            stack.extend(reversed(body) if s >= 4 else (3 - x if 0 <= x <= 3 else -1 - x for x in body))
     return "".join(out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
-from ..operators import chunks, grammar, kmers, lcg, repair, rounds, sketch, stats, suffixes
+from ..operators import access, chunks, grammar, kmers, lcg, repair, rounds, sketch, stats, suffixes
 from ..shared import keep, new_path
 from ..sources import export, fasta
 from ..streaming import counts as streaming
@@ -553,6 +553,25 @@ def deduplicated_rules(spark, sf_dir):
     return spelled(grammar.deduplicate_rules(grammar.explode_rules(grammars(spark, sf_dir))), "body")
 
 
+# Parts of grammars.
+
+
+STEP, WIDTH = 200, 40
+
+
+@query(f"WITH {S} SELECT seq_id, i * {STEP} AS start, i * {STEP} + {WIDTH} AS stop, substr(dna, i * {STEP} + 1, {WIDTH}) AS dna, repeat('+', length(substr(dna, i * {STEP} + 1, {WIDTH}))::BIGINT) AS strands FROM (SELECT *, unnest(range(0, length(dna) // {STEP} + 1)) AS i FROM s)")
+def expanded_ranges(spark, sf_dir):
+    """Every 200 bases, the next 40, read from the grammars."""
+    place = F.explode(F.sequence(F.lit(0), F.floor(F.length("dna") / STEP)))
+    ranges = sequences(spark, sf_dir).select("seq_id", (place * STEP).cast("long").alias("start")).withColumn("stop", F.col("start") + WIDTH)
+    return access.expand_ranges(grammars(spark, sf_dir), ranges)
+
+
+@query(G.TO_DEPTH_SQL)
+def symbols_to_depth(spark, sf_dir):
+    return spelled(access.expand_to_depth(grammars(spark, sf_dir), 2))
+
+
 # Merging.
 
 
