@@ -47,7 +47,9 @@ def extract_kmers(seqs: DataFrame, k: int, canonical_only: bool = False, size: i
 
 
 def count_kmers(seqs: DataFrame, k: int, canonical_only: bool = False, by: tuple = ()) -> DataFrame:
-    return extract_kmers(seqs, k, canonical_only).groupBy(*by, "kmer").agg(F.count("*").alias("n"))
+    """by, kmer, n; strands are folded after the count, so each distinct k-mer is turned once."""
+    counted = extract_kmers(seqs, k).groupBy(*by, "kmer").agg(F.count("*").alias("n"))
+    return counted.groupBy(*by, canonical("kmer").alias("kmer")).agg(F.sum("n").alias("n")) if canonical_only else counted
 
 
 def most_common(counts: DataFrame, key: str, by: str | None = None, least: int = 1) -> DataFrame:
@@ -81,6 +83,22 @@ def kmer_positions(seqs: DataFrame, k: int, canonical_only: bool = False) -> Dat
     return found.groupBy("seq_id", "kmer").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def kmer_position_blocks(seqs: DataFrame, k: int, canonical_only: bool = False, size: int = PIECE) -> DataFrame:
+    """seq_id, kmer, block, n, first, gaps: where each k-mer starts in each stretch of ``size`` bases, as its first place there and the steps from one to the next.
+
+    A row holds ``size`` places at most, however often a k-mer occurs; blocks in order give all places.
+    """
+    found = extract_kmers(seqs, k, canonical_only).withColumn("block", F.floor(F.col("pos") / size))
+    lists = found.groupBy("seq_id", "kmer", "block").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    gaps = F.zip_with(F.slice("at", 2, size), F.slice("at", 1, size), lambda later, place: later - place)
+    return lists.select("seq_id", "kmer", "block", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).alias("first"), F.filter(gaps, lambda x: x.isNotNull()).alias("gaps"))
+
+
+def positions_in(first: Column, gaps: Column) -> Column:
+    """The places of a block."""
+    return F.aggregate(gaps, F.array(first), lambda done, gap: F.concat(done, F.array(F.element_at(done, -1) + gap)))
+
+
 def merge_counts(*tables: DataFrame, key: str = "kmer") -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

@@ -3,7 +3,8 @@
 A position's fingerprint is the hash of its symbol and the next.  A phrase begins
 where the fingerprint is the least within half a window on both sides, if the
 phrase before is long enough, or where it has become too long.  Phrases that occur
-often enough become rules and the text is parsed again.
+often enough become rules and the text is parsed again, ``MOST_LEVELS`` times at most: a text that has
+phrases to name on the last level keeps them as symbols of that level.
 """
 
 from __future__ import annotations

@@ -164,6 +164,12 @@ def kmer_positions(spark, sf_dir):
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
+@query(f"WITH {S}, {kmer_sql(3)}, b AS (SELECT seq_id, kmer, pos, pos // 256 AS block FROM k3), g AS (SELECT *, pos - lag(pos) OVER (PARTITION BY seq_id, kmer, block ORDER BY pos) AS gap FROM b) SELECT seq_id, kmer, block, count(*) AS n, min(pos) AS first, coalesce(string_agg(gap::VARCHAR, ',' ORDER BY pos), '') AS gaps FROM g GROUP BY seq_id, kmer, block")
+def kmer_position_blocks(spark, sf_dir):
+    found = kmers.kmer_position_blocks(sequences(spark, sf_dir), 3, size=256)
+    return found.withColumn("gaps", F.array_join(F.col("gaps").cast("array<string>"), ","))
+
+
 @query(f"WITH {S}, {kmer_sql(2)} SELECT kmer, count(*) AS n FROM k2 GROUP BY kmer")
 def digram_counts(spark, sf_dir):
     return kmers.count_kmers(sequences(spark, sf_dir), 2)

@@ -452,3 +452,32 @@ def test_finalize_leaves_no_repeated_pair(spark):
     assert grammar.expand(counts.finalize(grown)).first().dna == dna
     small = counts.finalize(grown, most_rules=5)
     assert len(small.first().rules) == 5 and grammar.expand(small).first().dna == dna
+
+
+def test_positions_in_blocks(spark):
+    texts = ["", "A" * 1000, "ACGTACG", "CA" * 130]
+    df = seqs(spark, *texts)
+    blocks = kmers.kmer_position_blocks(df, 2, size=64).withColumn("at", kmers.positions_in(F.col("first"), F.col("gaps"))).collect()
+    assert max(len(r.at) for r in blocks) == 64 and all(r.n == len(r.at) and r.at[0] // 64 == r.at[-1] // 64 == r.block for r in blocks)
+    found = {}
+    for r in sorted(blocks, key=lambda r: r.block):
+        found.setdefault((r.seq_id, r.kmer), []).extend(r.at)
+    assert found == {(r.seq_id, r.kmer): r.positions for r in kmers.kmer_positions(df, 2).collect()}
+
+
+def test_strands_are_folded_after_the_count(spark):
+    df = seqs(spark, "ACGTACGTTT", "AAACG", "")
+    direct = kmers.extract_kmers(df, 3, True).groupBy("seq_id", "kmer").count()
+    assert sorted(map(tuple, kmers.count_kmers(df, 3, True, by=("seq_id",)).collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_long_sequences_are_cut_in_linear_time(spark):
+    import time
+
+    from helixframe.operators import chunks
+
+    text = "ACGT" * 2_000_000
+    began = time.time()
+    cut = chunks.split_chunks(seqs(spark, text), 1000)
+    assert cut.agg(F.count("*"), F.sum(F.length("dna"))).first()[:] == (8000, len(text))
+    assert time.time() - began < 60
