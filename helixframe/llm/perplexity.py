@@ -456,11 +456,21 @@ def slices_of(h: np.ndarray, bits: int):
         yield k, a, b
 
 
+def questions(docs: pa.Table, bits: int):
+    """(d, part, slice, sorted hashes) of the n-grams of some texts."""
+    texts = [b" ".join(w) for w in map(words_of, docs.column("text").to_pylist()) if w]
+    known = runs_of(gram_keys(texts)[0])[0] if texts else np.zeros(0, np.uint64)
+    for d, part, at in in_groups(known):
+        h = np.sort(mixed(known[at]))
+        for k, a, b in slices_of(h, bits):
+            yield d, part, k, h[a:b]
+
+
 def score_by_join(halved: DataFrame, model: DataFrame, scratch: Scratch, size: int = BLOCK, most: int = SLICE) -> DataFrame:
     """Scores blocks of texts, each with the values of its own n-grams.
 
     The n-grams that blocks ask about go to the slices of the model, each of which is sent once and
-    stands before what is asked of it; the values go back to the blocks.  So what is sent grows as the model and the questions
+    stands before what is asked of it; the values go back to the blocks, in the order of the questions.  So what is sent grows as the model and the questions
     do, and a task holds a slice and a block's questions of it.
     """
     blocks = scratch.keep(in_blocks(halved, size))
@@ -469,12 +479,7 @@ def score_by_join(halved: DataFrame, model: DataFrame, scratch: Scratch, size: i
     def ask(batches):
         for batch in batches:
             for block, half, stream in zip(*(batch.column(c).to_pylist() for c in ("block", "half", "docs"))):
-                texts = [b" ".join(w) for w in map(words_of, docs_in(stream).column("text").to_pylist()) if w]
-                known = runs_of(gram_keys(texts)[0])[0] if texts else np.zeros(0, np.uint64)
-                rows = []
-                for d, part, at in in_groups(known):
-                    h = np.sort(mixed(known[at]))
-                    rows += [(half, d, part, k, block, h[a:b].tobytes()) for k, a, b in slices_of(h, bits)]
+                rows = [(half, d, part, k, block, h.tobytes()) for d, part, k, h in questions(docs_in(stream), bits)]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], ["half", "d", "part", "slice", "block", "h"])
 
@@ -488,18 +493,19 @@ def score_by_join(halved: DataFrame, model: DataFrame, scratch: Scratch, size: i
                     held = (place, h, np.frombuffer(log_p, np.float32))
                 else:
                     assert held and held[0] == place
-                    rows.append((block, h.tobytes(), held[2][np.searchsorted(held[1], h)].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, [pa.string(), pa.binary(), pa.binary()])], ["block", "h", "log_p"])
+                    rows.append((block, *place[1:], held[2][np.searchsorted(held[1], h)].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])], ["block", "d", "part", "slice", "log_p"])
 
     place = ["half", "d", "part", "slice"]
     asked = blocks.mapInArrow(ask, "half long, d int, part int, slice long, block string, h binary").withColumn("log_p", F.lit(None).cast("binary"))
     both = parts.withColumn("block", F.lit(None).cast("string")).select(*place, "block", "h", "log_p").unionByName(asked)
-    answers = both.repartition(*place).sortWithinPartitions(*place, F.col("block").asc_nulls_first()).mapInArrow(answer, "block string, h binary, log_p binary")
+    answers = both.repartition(*place).sortWithinPartitions(*place, F.col("block").asc_nulls_first()).mapInArrow(answer, "block string, d int, part int, slice long, log_p binary")
 
     def score(block, known):
-        h, log_p = (numbers_in(known.column(c), t) for c, t in (("h", np.uint64), ("log_p", np.float32)))
-        lookup = Lookup(np.concatenate(h), np.concatenate(log_p)) if h else None
         docs = docs_in(block.column("docs")[0].as_py())
+        values = dict(zip(zip(*(known.column(c).to_pylist() for c in ("d", "part", "slice"))), numbers_in(known.column("log_p"), np.float32)))
+        asked = list(questions(docs, bits))
+        lookup = Lookup(np.concatenate([h for *_, h in asked]), np.concatenate([values[tuple(place)] for *place, _ in asked])) if asked else None
         halves = np.full(docs.num_rows, block.column("half")[0].as_py())
         return pa.Table.from_batches([scored_rows(docs.column("doc_id"), docs.column("lang"), halves, docs.column("text").to_pylist(), lambda _: lookup)])
 
@@ -518,8 +524,9 @@ def bounds(scored: DataFrame, width: float = WIDTH) -> DataFrame:
 def quality(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, log_ppl, lang."""
     with Scratch(docs.sparkSession) as scratch:
-        halved = with_half(docs)
-        model = scratch.keep(model_of(scratch.keep(merge_counts(in_rounds(count_grams(halved), scratch)))))
+        halved, counting = with_half(docs), Scratch(docs.sparkSession)
+        model = scratch.keep(model_of(counting.keep(merge_counts(in_rounds(count_grams(halved), counting)))))
+        counting.close()
         n_bytes = model.agg(F.coalesce(F.sum(F.octet_length("h") + F.octet_length("log_p")), F.lit(0))).first()[0]
         scored = scratch.keep(score_by_broadcast(halved, model) if n_bytes <= most_broadcast else score_by_join(halved, model, scratch))
         joined = scored.join(bounds(scored), F.col("lang").eqNullSafe(F.col("of")), "left")
