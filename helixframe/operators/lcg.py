@@ -115,25 +115,3 @@ def build_tuned(seqs: DataFrame, sample: int = 10_000) -> DataFrame:
             yield _grammar_batch(batch.column("seq_id"), [lcg(_codes(d or "").tolist(), w, a, b, n) for d, w, a, b, n in rows])
 
     return tuned.mapInArrow(run, GRAMMAR)
-
-
-def phrases(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: int = 256) -> DataFrame:
-    """seq_id, start, len, content: the first level's phrases."""
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for seq_id, dna in zip(frame["seq_id"], frame["dna"]):
-                begins = cuts(_codes(dna or "").tolist(), window, shortest, longest)
-                rows += [(seq_id, a, b - a, dna[a:b]) for a, b in zip(begins, [*begins[1:], len(dna or "")])]
-            yield pd.DataFrame(rows, columns=["seq_id", "start", "len", "content"])
-
-    return seqs.select("seq_id", "dna").mapInPandas(run, "seq_id long, start long, len long, content string")
-
-
-def phrase_rules(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: int = 256, least: int = 2) -> DataFrame:
-    """content, n: phrases of the first level that are frequent over all sequences, counted by content in Spark."""
-    found = phrases(seqs, window, shortest, longest).where(F.col("len") >= shortest)
-    return found.groupBy("content").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -190,16 +190,22 @@ def phrases(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: int =
     return found.select("seq_id", "start", F.size("body").cast("long").alias("len"), content.alias("content"))
 
 
+def phrase_rules(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: int = 256, least: int = 2) -> DataFrame:
+    """content, n: phrases of the first level that are frequent over all sequences."""
+    found = phrases(seqs, window, shortest, longest).where(F.col("len") >= shortest)
+    return found.groupBy("content").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def check(window: int, shortest: int, longest: int, size: int) -> None:
     if shortest < 2 or longest < shortest or size < longest + window:
         raise ValueError("phrases have two symbols at least, and pieces more than a phrase and a window")
 
 
-def build_spread(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: int = 256, least: int = 2, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """Pieces (seq_id, piece, symbols) of the last level, and the rules (seq_id, rule_id, symbols, used) of all levels."""
+def build_spread(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: int = 256, least: int = 2, size: int = SIZE, levels: int = MOST_LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Pieces (seq_id, piece, symbols) of the last level, and the rules (seq_id, rule_id, symbols, used) of all levels, ``levels`` at most."""
     check(window, shortest, longest, size)
     held, done, rules = keep(encoded(seqs, size)), [], None
-    for _ in range(MOST_LEVELS):
+    for _ in range(levels):
         found = keep(phrases_of(held, window, shortest, longest, size))
         counted = found.where(F.size("body") >= shortest).groupBy("seq_id", "body").agg(F.count("*").alias("n"), F.min("start").alias("first")).where(F.col("n") >= least)
         named = keep(counted if rules is None else counted.join(rules.select("seq_id", F.col("symbols").alias("body"), "rule_id"), ["seq_id", "body"], "left"))
@@ -226,3 +232,13 @@ def build_spread(seqs: DataFrame, window: int = 8, shortest: int = 2, longest: i
     for table in done:
         held = held.unionByName(table)
     return held, rules if rules is not None else seqs.sparkSession.createDataFrame([], "seq_id long, rule_id long, symbols array<long>, used long")
+
+
+def grammar_rows(held: DataFrame, rules: DataFrame) -> DataFrame:
+    """Grammar rows, one for each sequence, of pieces and rules; for sequences whose grammar fits a row."""
+    part = F.transform(F.array_sort(F.collect_list(F.struct("piece", "symbols"))), lambda p: p["symbols"])
+    symbols = held.groupBy("seq_id").agg(F.flatten(part).alias("symbols"))
+    rule = F.struct("rule_id", "symbols", F.col("used").alias("usage_count"), F.col("used").alias("pair_count"))
+    made = rules.groupBy("seq_id").agg(F.array_sort(F.collect_list(rule), lambda x, y: F.signum(x["rule_id"] - y["rule_id"]).cast("int")).alias("rules"))
+    kind = "array<struct<rule_id:long,symbols:array<long>,usage_count:long,pair_count:long>>"
+    return symbols.join(made, "seq_id", "left").withColumn("rules", F.coalesce("rules", F.array().cast(kind)))

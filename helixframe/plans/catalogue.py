@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna as D
-from ..operators import access, chunks, grammar, kmers, lcg, repair, rounds, sketch, stats, suffixes
+from ..operators import access, chunks, grammar, kmers, lcg, parsing, repair, rounds, sketch, stats, suffixes
 from ..shared import keep, new_path
 from ..sources import export, fasta
 from ..streaming import counts as streaming
@@ -488,7 +488,7 @@ def lcg_tuned_roundtrip(spark, sf_dir):
 @query(f"WITH {S} SELECT seq_id, dna FROM s WHERE length(dna) > 0")
 def lcg_phrases_joined(spark, sf_dir):
     """Phrases cover a sequence without gaps."""
-    found = lcg.phrases(sequences(spark, sf_dir))
+    found = parsing.phrases(sequences(spark, sf_dir))
     part = F.array_sort(F.collect_list(F.struct("start", "content")))
     return found.groupBy("seq_id").agg(F.array_join(F.transform(part, lambda p: p["content"]), "").alias("dna"))
 
@@ -498,12 +498,26 @@ PRINTS = {a + b: D.fx_hash(w for x in a + b for w in D.symbol_words("ACGT".index
 
 @query(G.phrases(PRINTS) + "SELECT seq_id, start, len, content FROM p")
 def lcg_phrases(spark, sf_dir):
-    return lcg.phrases(sequences(spark, sf_dir)).where(F.col("len") > 0)
+    return parsing.phrases(sequences(spark, sf_dir)).where(F.col("len") > 0)
 
 
 @query(G.phrases(PRINTS) + "SELECT content, count(*) AS n FROM p WHERE len >= 2 GROUP BY content HAVING count(*) >= 2")
 def lcg_phrase_rules(spark, sf_dir):
-    return lcg.phrase_rules(sequences(spark, sf_dir))
+    return parsing.phrase_rules(sequences(spark, sf_dir))
+
+
+@query(G.phrases(PRINTS) + "SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY min(start)) - 1 AS rule_id, content, count(*) AS n FROM p WHERE len >= 2 GROUP BY seq_id, content HAVING count(*) >= 2")
+def lcg_first_rules(spark, sf_dir):
+    """The rules of the first level, in order of first place; later levels use them."""
+    rules = parsing.build_spread(sequences(spark, sf_dir), levels=1)[1]
+    return rules.select("seq_id", "rule_id", F.translate(F.array_join(F.col("symbols").cast("array<string>"), ""), "0123", "ACGT").alias("content"), F.col("used").alias("n"))
+
+
+@query(f"WITH {S} SELECT seq_id, dna FROM s WHERE length(dna) > 0")
+def lcg_spread_roundtrip(spark, sf_dir):
+    """All levels over pieces, expanded again; tests hold the rules against those built in a task."""
+    held, rules = parsing.build_spread(sequences(spark, sf_dir))
+    return grammar.expand(parsing.grammar_rows(held, rules))
 
 
 @query(G.RULES_SQL)
@@ -568,8 +582,8 @@ STEP, WIDTH = 200, 40
 @query(f"WITH {S} SELECT seq_id, i * {STEP} AS start, i * {STEP} + {WIDTH} AS stop, substr(dna, i * {STEP} + 1, {WIDTH}) AS dna, repeat('+', length(substr(dna, i * {STEP} + 1, {WIDTH}))::BIGINT) AS strands FROM (SELECT *, unnest(range(0, length(dna) // {STEP} + 1)) AS i FROM s)")
 def expanded_ranges(spark, sf_dir):
     """Every 200 bases, the next 40, read from the grammars."""
-    place = F.explode(F.sequence(F.lit(0), F.floor(F.length("dna") / STEP)))
-    ranges = sequences(spark, sf_dir).select("seq_id", (place * STEP).cast("long").alias("start")).withColumn("stop", F.col("start") + WIDTH)
+    places = F.transform(F.sequence(F.lit(0), F.floor(F.length("dna") / STEP)), lambda i: (i * STEP).cast("long"))
+    ranges = sequences(spark, sf_dir).select("seq_id", F.explode(places).alias("start")).withColumn("stop", F.col("start") + WIDTH)
     return access.expand_ranges(grammars(spark, sf_dir), ranges)
 
 

@@ -75,7 +75,7 @@ RULES_SQL = f"{PAIRS} SELECT seq_id, rule_id, {NUMBERS} AS symbols, used AS usag
 ANALYSIS_SQL = f"{PAIRS} SELECT seq_id, rule_id, {NUMBERS} AS symbols, used AS usage_count, depth, length(dna) AS expanded_length, length(dna) - 1 AS assembly_index FROM rules"
 LEVELS_SQL = f"{PAIRS} SELECT seq_id, rule_id, depth, length(dna) AS expanded_length, length(dna) - 1 AS assembly_index FROM rules"
 EDGES_SQL = f"{PAIRS} SELECT seq_id, rule_id AS parent, {number('sym')} - 4 AS child, ordinal::INTEGER AS ordinal, '+' AS strand FROM bodies WHERE NOT {is_base('sym')}"
-OPENED = joined("s", "", lambda x: of_rule(x, "list_transform(rules, lambda r: r.body)", x))
+OPENED = joined("s", "", lambda x: of_rule(x, "list_transform(rules, lambda one: one.body)", x))
 TO_DEPTH_SQL = f"""{PAIRS}, once AS (SELECT seq_id, rules, {OPENED} AS s FROM g), twice AS (SELECT seq_id, {OPENED} AS s FROM once)
 SELECT seq_id, {joined("s", " ", number)} AS symbols FROM twice"""
 STATS = "st AS (SELECT seq_id, count(*) AS n_rules, sum(length(body))::BIGINT AS rule_symbols, max(depth)::BIGINT AS max_depth, round(avg(used), 6) AS avg_usage, arg_min(rule_id, (-used, rule_id)) AS most_used_rule FROM rules GROUP BY seq_id), f AS (SELECT g.seq_id, length(s) AS final_symbols, length(dna) AS original_size FROM g JOIN s AS q USING (seq_id))"
