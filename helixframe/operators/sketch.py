@@ -12,8 +12,15 @@ from .kmers import PIECE, count_kmers, extract_kmers, pieces
 
 
 def rolling_hash_counts(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
-    """h, n: windows by hash, summed over all sequences; k-mers are counted first, so each is hashed once."""
-    counted = count_kmers(seqs, k).select(polynomial_hash("kmer", k).alias("h"), "n")
+    """h, n: windows by hash, summed over all sequences; k-mers are counted first, so each is hashed once. Those of more than 31 bases are hashed in numpy."""
+
+    def run(batches):
+        for batch in batches:
+            h = [int(window_hashes(np.frombuffer(x.encode(), np.uint8).astype(np.int64), k)[0]) for x in batch.column("kmer").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column("n")], ["h", "n"])
+
+    counted = count_kmers(seqs, k)
+    counted = counted.select(polynomial_hash("kmer", k).alias("h"), "n") if k <= 31 else counted.mapInArrow(run, "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 

@@ -520,6 +520,18 @@ def lcg_spread_roundtrip(spark, sf_dir):
     return grammar.expand(parsing.grammar_rows(held, rules))
 
 
+@query(G.SYMBOL_DIGRAMS_SQL)
+def symbol_digram_counts(spark, sf_dir):
+    """Pairs of final symbols, those of bases on either strand."""
+    found = kmers.symbol_kmers(grammars(spark, sf_dir).select("seq_id", "symbols"), 2)
+    return spelled(found.select(kmers.canonical_symbols(F.col("kmer")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")), "kmer")
+
+
+@query(G.RULE_PRINTS_SQL)
+def rule_fingerprints(spark, sf_dir):
+    return grammar.explode_rules(grammars(spark, sf_dir)).select("seq_id", "rule_id", D.fingerprint_symbols("symbols").alias("fingerprint"))
+
+
 @query(G.RULES_SQL)
 def repair_rules(spark, sf_dir):
     return spelled(grammar.explode_rules(repair.build(sequences(spark, sf_dir))))
@@ -683,6 +695,26 @@ def fasta_roundtrip(spark, sf_dir):
     return fasta.read_fasta(spark, path).select("record_id", "dna")
 
 
+@query(f"WITH {S} SELECT seq_id::VARCHAR AS record, true AS named, dna FROM s WHERE length(dna) > 0")
+def fasta_files_roundtrip(spark, sf_dir):
+    """Several files read together; a record is known by its file's name and its own."""
+    path = new_path(spark)
+    sequences(spark, sf_dir).select(F.concat(F.lit(">"), F.col("seq_id"), F.lit("\n"), export.wrap(F.col("dna"))).alias("value")).repartition(5).write.text(path)
+    parts = F.split("record_id", ":")
+    found = fasta.read_fasta(spark, path, prefix_file=True)
+    return found.select(F.get(parts, F.lit(1)).alias("record"), (F.length(F.get(parts, F.lit(0))) > 0).alias("named"), "dna")
+
+
+@query(G.DNA_FASTA_SQL)
+def dna_fasta_lines(spark, sf_dir):
+    return export.dna_fasta_lines(sequences(spark, sf_dir), "Sequence")
+
+
+@query(f"WITH {S}, {kmer_sql(40)} SELECT h, sum(n)::BIGINT AS n FROM (SELECT list_reduce(list_transform(string_split(kmer, ''), lambda c: ascii(c)::BIGINT), lambda a, b: (a * 101 + b) % 1000000007) AS h, count(*) AS n FROM k40 GROUP BY kmer) GROUP BY h HAVING sum(n) >= 2")
+def long_rolling_hash_counts(spark, sf_dir):
+    return sketch.rolling_hash_counts(sequences(spark, sf_dir), 40)
+
+
 ORB_SQL = f"""WITH {S}, d AS (SELECT doc_id AS seq_id, source FROM documents), w AS (SELECT source, count(*)::BIGINT AS n_sequences, string_agg(dna, '' ORDER BY seq_id) AS dna FROM s JOIN d USING (seq_id) GROUP BY source)
 SELECT source, n_sequences, block, substr(dna, block * 1000 + 1, 1000) AS dna FROM (SELECT *, unnest(range(0, (length(dna) + 999) // 1000)) AS block FROM w)"""
 

@@ -257,3 +257,12 @@ c AS (SELECT seq_id, list_reduce(list_transform(range(1, len(least)), lambda i:
 p AS (SELECT seq_id, a AS start, b - a AS len, substr(dna, a + 1, b - a) AS content FROM (
   SELECT seq_id, dna, cuts[k] AS a, coalesce(cuts[k + 1], length(dna)) AS b FROM (SELECT *, unnest(range(1, len(cuts) + 1)) AS k FROM c JOIN s USING (seq_id))))
 """
+
+
+A, B = number("sym"), number("next")
+SYMBOL_DIGRAMS_SQL = f"""{PAIRS}, d AS (SELECT {A}::BIGINT AS a, {B}::BIGINT AS b FROM symbols WHERE next IS NOT NULL),
+c AS (SELECT CASE WHEN a < 4 AND b < 4 THEN least([a, b], [3 - b, 3 - a]) WHEN a = b THEN [-1 - b, -1 - a] ELSE [a, b] END AS kmer FROM d)
+SELECT array_to_string(kmer, ' ') AS kmer, count(*) AS n FROM c GROUP BY kmer"""
+WORDS = f"list_transform(flatten(list_transform(string_split(body, ''), lambda x: CASE WHEN {is_base('x')} THEN [0, {number('x')}, 0] ELSE [1, {number('x')} - 4, 0] END)), lambda v: v::UHUGEINT)"
+RULE_PRINTS_SQL = f"{PAIRS} SELECT seq_id, rule_id, {fx_sql(WORDS)} AS fingerprint FROM rules"
+DNA_FASTA_SQL = f"WITH {SEQUENCES} " + lines(("s", 0, "0", f"'>Sequence' || chr(10) || {wrap('dna')}"))
