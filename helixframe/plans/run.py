@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, grammar, lcg, repair, stats
 from ..ship import ship
-from ..shared import new_path
+from ..shared import keep, new_path
 from ..sources import export, fasta
 from ..streaming import counts as streaming
 
@@ -122,33 +122,39 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def run(spark: SparkSession, options: Options) -> DataFrame:
-    """Grammar rows of all files; files whose checkpoint is complete aren't built again, unless forced."""
+    """Grammar rows of all files' sequences, numbered in order of file and place.
+
+    A sequence's grammar is kept by its content and the options that build it, in one table for each set of options:
+    one job over all files builds what isn't there yet, equal sequences once; a forced run builds all.
+    """
     ship(spark)
     os.makedirs(options.output, exist_ok=True)
     began = datetime.datetime.now(datetime.timezone.utc).isoformat()
-    chosen = {k: v for k, v in asdict(options).items() if k in BUILDING}
-    targets, built_now = {}, []
-    files = files_of(spark, options.inputs)
-    whole = [("+".join(p for p, _ in files), "+".join(v for _, v in files))] if options.sequence_indices is not None else files
-    for number, (path, version) in enumerate(whole):
-        mark = hashlib.sha1(json.dumps([path, version, number, chosen], sort_keys=True).encode()).hexdigest()[:20]
-        target = targets[path] = os.path.join(os.path.abspath(options.output), "grammars", mark)
-        if options.force_rerun or not exists(spark, os.path.join(target, "_SUCCESS")):
-            seqs = fasta.read_fasta(spark, [path] if whole is files else [p for p, _ in files], options.skip_ns)
-            if options.sequence_indices is not None:
-                seqs = fasta.select_sequences(seqs, options.sequence_indices).withColumn("seq_id", F.col("ordinal"))
-            seqs = seqs.withColumn("seq_id", F.lit(number << 48) + F.col("seq_id"))
-            grammars = build(seqs.select("seq_id", "dna"), options)
-            grammars = grammar.simplify(grammars) if options.simplify else grammars
-            grammars.write.mode("overwrite").parquet(target)
-            built_now.append(path)
-    grammars = spark.read.parquet(*targets.values())
+    chosen = {k: v for k, v in asdict(options).items() if k in BUILDING and k != "sequence_indices"}
+    mark = hashlib.sha1(json.dumps(chosen, sort_keys=True).encode()).hexdigest()[:20]
+    store = os.path.join(os.path.abspath(options.output), "grammars", mark)
+    files = [path for path, _ in files_of(spark, options.inputs)]
+    read = grammar.numbered(fasta.read_fasta(spark, files, options.skip_ns).select("source", "seq_id", "dna"), "source", "seq_id")
+    seqs = read.select(F.col("number").alias("seq_id"), "source", "dna", F.sha2("dna", 256).alias("content"))
+    if options.sequence_indices is not None:
+        seqs = fasta.select_sequences(seqs, options.sequence_indices).withColumn("seq_id", F.col("ordinal")).drop("ordinal")
+    seqs = keep(seqs)
+    one = seqs.groupBy("content").agg(F.min("seq_id").alias("seq_id"), F.min_by("dna", "seq_id").alias("dna"), F.min_by("source", "seq_id").alias("source"))
+    known = exists(spark, os.path.join(store, "_SUCCESS")) and not options.force_rerun
+    todo = keep(one.join(spark.read.parquet(store).select("content"), "content", "left_anti") if known else one)
+    built_now = sorted(r.source for r in todo.select("source").distinct().collect())
+    if built_now or not known:
+        made = build(todo.select("seq_id", "dna"), options)
+        made = grammar.simplify(made) if options.simplify else made
+        made = made.join(todo.select("seq_id", "content"), "seq_id").select("content", "symbols", "rules")
+        made.write.mode("append" if known else "overwrite").parquet(store)
+    grammars = seqs.select("seq_id", "content").join(spark.read.parquet(store), "content").select("seq_id", "symbols", "rules")
     for kind in options.outputs:
         extension = {"text": "txt", "repeats": "tsv", "stats": "stats.txt"}.get(kind, kind)
         lines = export.lines_for(grammars, kind, **(options.for_graph(kind) if kind in GRAPHS else {}))
         export.write_lines(lines, os.path.join(options.output, f"grammar.{extension}"))
     with open(os.path.join(options.output, "metadata.json"), "w", encoding="utf-8") as out:
-        json.dump({"options": asdict(options), "started": began, "ended": datetime.datetime.now(datetime.timezone.utc).isoformat(), "status": "completed", "checkpoints": targets, "built": built_now}, out, indent=2)
+        json.dump({"options": asdict(options), "started": began, "ended": datetime.datetime.now(datetime.timezone.utc).isoformat(), "status": "completed", "inputs": files, "checkpoint": store, "built": built_now}, out, indent=2)
     return grammars
 
 

@@ -377,6 +377,9 @@ def test_runs_take_up_only_what_is_the_same(spark, tmp_path):
     (tmp_path / "f1.fa").write_text(f">f1\n{texts['f1']}\n")
     assert dnas() == sorted(texts.values()) and built() == 1
     assert dnas(sequence_indices=[1, 0]) == sorted(texts.values())
+    (tmp_path / "f0a.fa").write_text(f">again\n{texts['f0']}\n>more\nACGTACGTTTACGT\n")  # sorts before f1; one sequence is known
+    assert dnas() == sorted([*texts.values(), texts["f0"], "ACGTACGTTTACGT"]) and built() == 1
+    assert dnas(force_rerun=True) == dnas() and built() == 0
 
 
 def test_merged_chunks(spark):
