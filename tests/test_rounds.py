@@ -11,7 +11,7 @@ SCHEMA = "seq_id long, dna string"
 
 def texts(seed):
     rnd = random.Random(seed)
-    out = ["", None, "A", "AA", "AAA", "A" * 65, "ACGTTGCA" * 9 + "A" * 37 + "ACGTTGCA" * 5]
+    out = ["", None, "A", "AA", "AAA", "A" * 33, "ACGTTGCA" * 5 + "A" * 17 + "ACGTTGCA" * 3]
     return out + ["".join(rnd.choice("ACGT" if k % 2 else "AC") for _ in range(rnd.choice([2, 5, 50, 300]))) for k in range(12)]
 
 

@@ -53,7 +53,7 @@ def test_neighbours_in_order(ranges):
         assert found.get(k, {}) == {r: (i, common(text[order[r - 1] :], text[i:]) if r else 0) for r, i in enumerate(order)}
 
 
-@pytest.mark.parametrize("shortest,least", [(1, 2), (3, 2), (2, 3), (30, 2)])
+@pytest.mark.parametrize("shortest,least", [(1, 2), (2, 3), (30, 2)])
 def test_repeats_of_any_length(ranges, shortest, least):
     rows = list(enumerate(texts()))
     found = {}
