@@ -7,21 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import fingerprint_bases, polynomial_hash
-from .kmers import PIECE, count_kmers, extract_kmers, pieces
+from ..functions.batches import bounded
+from ..functions.dna import FX_SEED, _codes
+from .kmers import PIECE, count_kmers, pieces
 
 
-def rolling_hash_counts(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
-    """h, n: windows by hash, summed over all sequences; k-mers are counted first, so each is hashed once. Those of more than 31 bases are hashed in numpy."""
+def rolling_hash_counts(seqs: DataFrame, k: int, least: int = 2, size: int = PIECE) -> DataFrame:
+    """h, n: windows by hash, summed over all sequences; pieces are hashed whole, and each batch of them sends a hash once."""
 
     def run(batches):
-        for batch in batches:
-            h = [int(window_hashes(np.frombuffer(x.encode(), np.uint8).astype(np.int64), k)[0]) for x in batch.column("kmer").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column("n")], ["h", "n"])
+        for batch in bounded(batches):
+            found = [window_hashes(np.frombuffer(raw, np.uint8).astype(np.int64), k)[:own] for raw, own in zip(batch.column("dna").to_pylist(), batch.column("owned").to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(np.concatenate(found), return_counts=True)], ["h", "n"])
 
-    counted = count_kmers(seqs, k)
-    counted = counted.select(polynomial_hash("kmer", k).alias("h"), "n") if k <= 31 else counted.mapInArrow(run, "h long, n long")
-    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return pieces(seqs, k - 1, size=size).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def repeats(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
@@ -30,10 +30,17 @@ def repeats(seqs: DataFrame, k: int, least: int = 2) -> DataFrame:
 
 
 def window_hashes(raw: np.ndarray, k: int, base: int = 101, modulus: int = 1_000_000_007) -> np.ndarray:
-    """The polynomial hash of every window of k bytes, as ``dna.polynomial_hash`` gives it."""
-    h = np.zeros(max(len(raw) - k + 1, 0), np.int64)
-    for j in range(k):
-        h = (h * base + raw[j : j + len(h)]) % modulus
+    """The polynomial hash of every window of k bytes, as ``dna.polynomial_hash`` gives it; windows are put together from halves."""
+    n = max(len(raw) - k + 1, 0)
+    h, done, part, width = np.zeros(n, np.int64), 0, raw % modulus, 1
+    while n:
+        if k & width:  # the window's next bytes
+            h = (h * pow(base, width, modulus) + part[done : done + n]) % modulus
+            done += width
+        if done == k:
+            break
+        part = (part[:-width] * pow(base, width, modulus) + part[width:]) % modulus
+        width *= 2
     return h
 
 
@@ -109,6 +116,25 @@ def sketch_similarity(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     return both.select("pair", "a", "b", F.round(shared / F.size(union), 6).alias("similarity"))
 
 
-def window_fingerprints(seqs: DataFrame, w: int) -> DataFrame:
-    """seq_id, pos, fingerprint of every window of w bases."""
-    return extract_kmers(seqs, w).select("seq_id", "pos", fingerprint_bases("kmer").alias("fingerprint"))
+def window_fingerprints(seqs: DataFrame, w: int, size: int = PIECE) -> DataFrame:
+    """seq_id, pos, fingerprint of every window of w bases, as ``dna.fingerprint_bases`` gives it; pieces are hashed whole."""
+
+    def run(batches):
+        for batch in bounded(batches):
+            ids, starts, owned = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seq_id", "start", "owned"))
+            found = [window_prints(_codes(raw.decode()), w)[:own] for raw, own in zip(batch.column("dna").to_pylist(), owned.tolist())]
+            n = np.array([len(x) for x in found], np.int64)
+            if n.sum():
+                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts, n)
+                owner = pa.array(np.repeat(np.arange(len(ids)), n))
+                yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(owner), pa.array(pos, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["seq_id", "pos", "fingerprint"])
+
+    return pieces(seqs, w - 1, size=size).mapInArrow(run, "seq_id long, pos long, fingerprint long")
+
+
+def window_prints(codes: np.ndarray, w: int) -> np.ndarray:
+    """The word hash of every window of w codes, unsigned."""
+    x, h = codes.astype(np.uint64), np.zeros(max(len(codes) - w + 1, 0), np.uint64)
+    for j in range(w):
+        h = (((h << np.uint64(5)) | (h >> np.uint64(59))) ^ x[j : j + len(h)]) * np.uint64(FX_SEED)
+    return h
