@@ -11,6 +11,9 @@ any number of ranges, each of which passes on one row (how many rows it has, whe
 Repeats are intervals of neighbours; a stack of open ones is kept while a range is read, and
 one pass over the ranges, in their order, joins their stacks.
 
+That is for sequences too long for a task.  The suffixes of shorter ones (a piece at most) are sorted and swept inside tasks, many
+sequences at a time, without an exchange.
+
 Null and empty sequences have no suffixes.  A suffix that ends sorts before one that goes on.
 """
 
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.dna import _codes
 from ..shared import keep
 from .kmers import PIECE, pieces
@@ -71,9 +75,98 @@ def ranked_suffixes(seqs: DataFrame, size: int = PIECE) -> tuple[DataFrame, list
     return whole, shared
 
 
+def sorted_suffixes(texts: list[np.ndarray], prefixes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of sequences of codes: the suffixes of one after the other in order, as (sequence, place), and, if asked for, the common prefix with the one before (0 for a sequence's first)."""
+    size = np.array([len(x) for x in texts], np.int64)
+    sid = np.repeat(np.arange(len(texts)), size)
+    n = len(sid)
+    if not n:
+        return sid, sid, sid
+    begin = np.repeat(np.cumsum(size) - size, size)
+    after = begin + size[sid]
+    rank, width, h = np.concatenate(texts).astype(np.int64) + 1, 3, 1
+    at = np.arange(n)
+    while True:  # ranks of h bases; codes themselves at first
+        following = np.where(at + h < after, rank[np.minimum(at + h, n - 1)], 0)
+        if 2 * width + int(sid[-1]).bit_length() <= 62:
+            rank = rank << width | following
+            width, h = 2 * width, 2 * h
+            continue
+        break
+    order = np.argsort(rank | sid << width)  # the first h bases of a suffix fit one number
+    place = (rank | sid << width)[order]
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    while True:
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        ranked = np.empty(n, np.int64)
+        ranked[order] = first + 1
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(open_):
+            break
+        who = order[open_]
+        following = np.where(who + h < after[who], ranked[np.minimum(who + h, n - 1)], 0)
+        finer = np.lexsort((following, first[open_]))
+        order[open_] = who[finer]
+        following, group = following[finer], first[open_]
+        new[open_] = np.concatenate([[True], (group[1:] != group[:-1]) | (following[1:] != following[:-1])])
+        h *= 2
+    return sid[order], order - begin[order], common_prefixes(np.concatenate(texts), order, sid, after) if prefixes else None
+
+
+def common_prefixes(codes: np.ndarray, order: np.ndarray, sid: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """How far each suffix in order and the one before are equal, all together, by steps of halving length over names of stretches."""
+    n = len(codes)
+    a, b = order[1:], order[:-1]
+    near = sid[a] == sid[b]
+    a, b = a[near], b[near]
+    most = np.minimum(after[a] - a, after[b] - b)
+    found, level = np.zeros(len(a), np.int64), 0
+    names, tables = codes.astype(np.int64), []
+    while True:  # names of stretches of 2**level bases, equal if they are
+        tables.append(names)
+        step = 1 << level
+        if step * 2 > int(most.max(initial=0)):
+            break
+        pair = names[: len(names) - step] * (n + 4) + names[step:]
+        names = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        level += 1
+        here = most >= 1 << level
+        if not (names[a[here]] == names[b[here]]).any():
+            break
+    for level in reversed(range(len(tables))):
+        step = 1 << level
+        go = np.flatnonzero(found + step <= most)
+        equal = tables[level][a[go] + found[go]] == tables[level][b[go] + found[go]]
+        found[go[equal]] += step
+    out = np.zeros(n, np.int64)
+    out[1:][near] = found
+    return out
+
+
+def codes_in(batch) -> list[np.ndarray]:
+    return [_codes(dna or "") for dna in batch.column("dna").to_pylist()]
+
+
+def short_and_long(seqs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Sequences whose suffixes one task sorts, and those of more than ``size`` bases, whose suffixes are ranked over ranges."""
+    few = F.coalesce(F.length("dna"), F.lit(0)) <= size
+    return seqs.select("seq_id", "dna").where(few), seqs.where(~few)
+
+
 def suffix_arrays(seqs: DataFrame, size: int = PIECE) -> DataFrame:
-    """seq_id, rank, pos: each sequence's suffixes in order."""
-    return ranked_suffixes(seqs, size)[0].select("seq_id", "rank", "pos")
+    """seq_id, rank, pos: each sequence's suffixes in order. Sequences of up to ``size`` bases are sorted in tasks without an exchange."""
+
+    def run(batches):
+        for batch in bounded(batches):
+            texts = codes_in(batch)
+            owner, place, _ = sorted_suffixes(texts, False)
+            n = np.array([len(x) for x in texts], np.int64)
+            rank = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(owner)), pa.array(rank, LONG), pa.array(place, LONG)], ["seq_id", "rank", "pos"])
+
+    short, long = short_and_long(seqs, size)
+    found = short.mapInArrow(run, "seq_id long, rank long, pos long")
+    return found.unionByName(ranked_suffixes(long, size)[0].select("seq_id", "rank", "pos")) if not long.isEmpty() else found
 
 
 def neighbours(seqs: DataFrame, size: int = PIECE) -> DataFrame:
@@ -197,7 +290,34 @@ def joined_stacks(least: int):
 
 def repeats_from(seqs: DataFrame, shortest: int, least: int = 2, size: int = PIECE) -> DataFrame:
     """seq_id, length, n, pos: the maximal repeats of each sequence, substrings of ``shortest`` bases or more that
-    occur ``least`` times and that no further base on the right keeps together; pos is the first place."""
+    occur ``least`` times and that no further base on the right keeps together; pos is the first place.
+    Those of sequences of up to ``size`` bases are found in tasks without an exchange."""
+
+    def run(batches):
+        for batch in bounded(batches):
+            owner, place, h = sorted_suffixes(codes_in(batch))
+            stack, found, leaf, last = Stack(), [], 0, -1
+            h = np.where(h >= shortest, h, 0)
+            some = np.flatnonzero((h > 0) | np.append(h[1:] > 0, False))  # neighbours of a long prefix; between them nothing is open
+            for k, common, pos in zip(owner[some].tolist(), h[some].tolist(), place[some].tolist()):
+                if last >= 0:
+                    stack.step(common, 1, leaf)
+                    found += [(last, *x) for x in stack.out if x[1] >= least]
+                    stack.out = []
+                leaf, last = pos, k
+            if last >= 0:
+                stack.step(0, 1, leaf)
+                found += [(last, *x) for x in stack.out if x[1] >= least]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(columns[0], LONG)), *(pa.array(c, LONG) for c in columns[1:])], ["seq_id", "length", "n", "pos"])
+
+    short, long = short_and_long(seqs, size)
+    found = short.mapInArrow(run, "seq_id long, length long, n long, pos long")
+    return found.unionByName(repeats_over_ranges(long, shortest, least, size)) if not long.isEmpty() else found
+
+
+def repeats_over_ranges(seqs: DataFrame, shortest: int, least: int = 2, size: int = PIECE) -> DataFrame:
+    """The same of sequences of any length."""
     ranged = neighbours(seqs, size).repartitionByRange("seq_id", "rank").sortWithinPartitions("seq_id", "rank")
     found = keep(ranged.select(F.spark_partition_id().cast("long").alias("part"), "seq_id", "pos", "lcp").mapInArrow(swept(shortest, least), f"seq_id long, length long, n long, pos long, edge {EDGE_SQL}"))
     edges = found.where(F.col("edge").isNotNull()).select("edge").repartition(1).sortWithinPartitions("edge.part")

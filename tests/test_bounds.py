@@ -73,3 +73,60 @@ def test_window_fingerprints_over_pieces(spark, w):
     found = sketch.window_fingerprints(seqs, w, size=50)
     assert rows(found) == sorted(want)
     assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5])
+@pytest.mark.parametrize("either", [False, True])
+def test_kmers_side_by_side_make_the_same_rules(k, either):
+    from helixframe.operators import repair as R
+
+    rnd = random.Random(k)
+    found = [np.array([rnd.randrange(rnd.randint(1, 4)) for _ in range(n)], np.int64) for n in [0, 1, 3, *range(4, 90), 300, 500, 700]]
+    found += [np.zeros(200, np.int64), np.array([0, 3] * 100), np.array([0, 1, 2, 3, 0, 1, 2] * 30)]
+    for most in (None, 3):
+        many = R.replace_many([x.copy() for x in found], k, np.full(len(found), 2), most, either, k > 2)
+        for x, (symbols, rules) in zip(found, many):
+            if k == 2:
+                final, want = R.repair(x.tolist(), 2, most, either)
+                want = [([a, b], used, n) for a, b, used, n in want]
+            else:
+                final, want = R.replace_kmers(x.tolist(), k, 2, most, either)
+            assert symbols.tolist() == final
+            assert [(r[:-2], r[-2], r[-1]) for r in rules.tolist()] == want
+
+
+def test_wide_windows_are_built_one_by_one(spark):
+    from helixframe.operators import grammar, repair as R
+
+    assert R.fits_many(1000, 4096, 4) and not R.fits_many(1000, 4096, 9)
+    seqs, texts = sequences(spark)
+    assert rows(grammar.expand(R.build(seqs, kmer=9))) == [(k, t or "") for k, t in enumerate(texts)]
+
+
+def test_suffixes_of_short_sequences_need_no_exchange(spark):
+    from helixframe.operators import suffixes
+
+    rnd = random.Random(5)
+    block = "".join(rnd.choice("ACGT") for _ in range(90))
+    texts = ["", None, "A", "A" * 700, "ACGT" * 40, block + "C" + block + "GG" + block[:60] + block] + ["".join(rnd.choice("ACGT"[: rnd.randint(1, 4)]) for _ in range(rnd.randrange(200))) for _ in range(40)]
+    seqs = spark.createDataFrame(list(enumerate(texts)), "seq_id long, dna string").repartition(2)
+    found = suffixes.suffix_arrays(seqs)
+    want = [(k, r, i) for k, t in enumerate(texts) for r, i in enumerate(sorted(range(len(t or "")), key=lambda i: t[i:]))]
+    assert rows(found) == want
+    assert rows(suffixes.suffix_arrays(seqs, size=60)) == want
+    whole = suffixes.repeats_from(seqs, 3)
+    assert rows(whole) == rows(suffixes.repeats_over_ranges(seqs, 3, size=60)) == rows(suffixes.repeats_from(seqs, 3, size=60))
+    for df in (found, whole):
+        assert "rangepartitioning" not in df._jdf.queryExecution().toString()
+
+
+def test_most_bytes_do_not_change_results(spark, monkeypatch):
+    from helixframe.operators import grammar, lcg, parsing, repair as R
+
+    seqs, texts = sequences(spark)
+    built = [R.build(seqs), R.build(seqs, kmer=4, either_strand=True), lcg.build(seqs), parsing.grammar_rows(*parsing.build_spread(seqs))]
+    want = [rows(grammar.explode_rules(b)) for b in built]
+    texts_of = [(k, t or "") for k, t in enumerate(texts)]
+    assert all(rows(grammar.expand(grammar.simplify(b))) == (texts_of if n < 3 else [x for x in texts_of if x[1]]) for n, b in enumerate(built))
+    single = [grammar.explode_rules(R.build(seqs.where(f"seq_id = {k}"))).collect() for k in (7, 12)]
+    assert [sorted(map(tuple, s)) for s in single] == [[r for r in want[0] if r[0] == k] for k in (7, 12)]
