@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.dna import _codes
 from ..shared import keep
 from .kmers import pieces
@@ -90,7 +91,7 @@ def marked(held: DataFrame, window: int, shortest: int, longest: int) -> DataFra
     """seq_id, piece, symbols (with those after the piece), own (its size), ended (nothing is left out at the end), places, leaving."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             rows = []
             beside = [batch.column(c) for c in ("before", "after")]
             for seq_id, piece, x, *sides in zip(batch.column("seq_id").to_pylist(), batch.column("piece").to_pylist(), in_numpy(batch.column("symbols")), *(in_numpy(c.fill_null([])) for c in beside)):
@@ -100,7 +101,8 @@ def marked(held: DataFrame, window: int, shortest: int, longest: int) -> DataFra
                 may = np.flatnonzero(possible_begins(whole, window, ended)[len(before) :])
                 places = may[may <= len(x) + longest].tolist()
                 first = piece == 0
-                table = Begins([p for p in places if p < len(x) and not (first and p == 0)], len(x), shortest, longest).left_with()
+                goes_on = not ended or len(after) > 0  # a sequence's last piece is left for no other
+                table = Begins([p for p in places if p < len(x) and not (first and p == 0)], len(x), shortest, longest).left_with() if goes_on else []
                 rows.append((seq_id, piece, np.concatenate([x, after]), len(x), ended, places, table))
             columns = list(zip(*rows)) or [()] * 7
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), lists_of(columns[2]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.bool_()), lists_of(columns[5]), lists_of(columns[6])]
@@ -114,13 +116,13 @@ def entered(found: DataFrame) -> DataFrame:
 
     def run(batches):
         now, distance = None, 0
-        for batch in batches:
+        for batch in bounded(batches):
             out = []
             for seq_id, piece, leaving in zip(*(batch.column(c).to_pylist() for c in ("seq_id", "piece", "leaving"))):
                 if seq_id != now:
                     now, distance = seq_id, 0
                 out.append((seq_id, piece, distance))
-                distance = leaving[distance]
+                distance = leaving[distance] if leaving else 0
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)], ["of", "at", "distance"])
 
     ordered = found.select("seq_id", "piece", "leaving").repartition("seq_id").sortWithinPartitions("seq_id", "piece")
@@ -133,7 +135,7 @@ def phrases_of(held: DataFrame, window: int, shortest: int, longest: int, size:
     ready = found.join(entered(found), (F.col("seq_id") == F.col("of")) & (F.col("piece") == F.col("at")))
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             ids, numbers, starts, bodies = [], [], [], []
             for seq_id, piece, x, own, ended, places, distance in zip(batch.column("seq_id").to_pylist(), batch.column("piece").to_pylist(), in_numpy(batch.column("symbols")), *(batch.column(c).to_pylist() for c in ("own", "ended", "places", "distance"))):
                 first = piece == 0
@@ -161,7 +163,7 @@ def encoded(seqs: DataFrame, size: int) -> DataFrame:
     """seq_id, piece, symbols of (seq_id, dna)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             found = [_codes(dna.decode()).astype(np.int64) for dna in batch.column("dna").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("seq_id"), batch.column("piece"), lists_of(found)], ["seq_id", "piece", "symbols"])
 
