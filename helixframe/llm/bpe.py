@@ -28,6 +28,7 @@ from .common import Stretches, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
+MOST_KNOWN, CHARS = 250_000, 1_000_000  # stretches that a worker remembers, and characters that it encodes at a time
 
 
 class PairTable:
@@ -234,7 +235,7 @@ class Bpe:
 def remembered(path: str, pattern: str) -> tuple[Bpe, Stretches]:
     """A vocabulary, and the ids of stretches of text; kept by a Python worker from task to task."""
     bpe = Bpe(path, pattern)
-    return bpe, Stretches(bpe.encode_chunks, bpe.encode_chunks)
+    return bpe, Stretches(bpe.encode_chunks, bpe.encode_chunks, MOST_KNOWN)
 
 
 def encode_texts(bpe: Bpe, known: Stretches, texts):
@@ -250,7 +251,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe, known = remembered(path, pattern)
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS):
                 ids = [i for i, _ in encode_texts(bpe, known, texts.slice(a, b - a))]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
@@ -267,7 +268,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe, known = remembered(path, pattern)
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS):
                 n, named, decoded = [], [], []
                 for ids, decimal in encode_texts(bpe, known, texts.slice(a, b - a)):
                     n.append(len(ids))
