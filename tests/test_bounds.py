@@ -130,3 +130,29 @@ def test_most_bytes_do_not_change_results(spark, monkeypatch):
     assert all(rows(grammar.expand(grammar.simplify(b))) == (texts_of if n < 3 else [x for x in texts_of if x[1]]) for n, b in enumerate(built))
     single = [grammar.explode_rules(R.build(seqs.where(f"seq_id = {k}"))).collect() for k in (7, 12)]
     assert [sorted(map(tuple, s)) for s in single] == [[r for r in want[0] if r[0] == k] for k in (7, 12)]
+
+
+def test_large_grammars_go_by_rounds_of_joins(spark):
+    from helixframe.operators import grammar, repair as R
+
+    seqs, _ = sequences(spark)
+    built = R.build(seqs)
+    rules = grammar.explode_rules(built)
+    want = rows(grammar.analyze(built).select("seq_id", "rule_id", "depth", "expanded_length", "assembly_index"))
+    in_tasks = grammar.rule_levels(rules)
+    assert rows(in_tasks) == rows(grammar.rule_levels(rules, 3)) == want
+    missing = spark.createDataFrame([(1, 0, [0, 9])], "seq_id long, rule_id long, symbols array<long>")
+    with pytest.raises(grammar.GrammarError):
+        grammar.rule_levels(missing)
+
+
+def test_edges_need_no_join(spark):
+    from helixframe.operators import repair as R
+    from helixframe.sources import export
+
+    built = R.build(sequences(spark)[0])
+    edges, shallow = export.graph_edges(built), export.graph_edges(built, 1, False)
+    assert "Join" not in edges._jdf.queryExecution().toString()
+    for found, nodes in ((edges, export.graph_nodes(built)), (shallow, export.graph_nodes(built, 1, False))):
+        known = {(r.seq_id, r.id) for r in nodes.collect()}
+        assert all((r.seq_id, r.source) in known and (r.seq_id, r.target) in known for r in found.collect())
